@@ -16,6 +16,7 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -28,6 +29,7 @@ CACHED_CHARS = 64
 CACHE_ENTRIES = 250_000
 
 
+@functools.lru_cache(maxsize=1)
 def byte_alphabet() -> list[str]:
     """The character that stands for each byte: printable Latin-1 bytes for themselves, the others from U+0100 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -74,9 +76,7 @@ class Vocabulary:
         self.ids: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         pairs = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(pairs):
-            self.ranks.setdefault((self.ids[a], self.ids[b]), (rank, self.ids[a + b]))
+        self.ranks = Ranks((self.ids[a], self.ids[b], self.ids[a + b]) for a, b in pairs)
         alphabet = byte_alphabet()
         self.symbol = [self.ids[c] for c in alphabet]
         self.last_symbol = [self.ids[c + self.suffix] for c in alphabet]
@@ -104,41 +104,56 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def merge(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+class Ranks(dict):
+    """(left id, right id) as one integer -> (rank, merged id) as one integer, which sorts by rank."""
+
+    BITS = 24
+    NONE = 1 << 62
+
+    def __init__(self, merges: Iterable[tuple[int, int, int]]):
+        super().__init__()
+        for rank, (a, b, made) in enumerate(merges):
+            self.setdefault(a << self.BITS | b, rank << self.BITS | made)
+
+
+def merge(symbols: list[int], ranks: Ranks) -> list[int]:
     """Apply the merges by rank, the leftmost first."""
-    if len(symbols) > 48:
+    if len(symbols) > 64:
         return _merge_heap(symbols, ranks)
-    get = ranks.get
-    while len(symbols) > 1:
-        best = None
-        for k in range(len(symbols) - 1):
-            found = get((symbols[k], symbols[k + 1]))
-            if found is not None and (best is None or found < best):
-                best, at = found, k
-        if best is None:
+    get, bits, none = ranks.get, Ranks.BITS, Ranks.NONE
+    found = [get(a << bits | b, none) for a, b in zip(symbols, symbols[1:])]
+    while found:
+        best = min(found)
+        if best == none:
             break
-        symbols[at : at + 2] = [best[1]]
+        at = found.index(best)
+        made = symbols[at] = best & (1 << bits) - 1
+        del symbols[at + 1], found[at]
+        if at:
+            found[at - 1] = get(symbols[at - 1] << bits | made, none)
+        if at < len(found):
+            found[at] = get(made << bits | symbols[at + 1], none)
     return symbols
 
 
-def _merge_heap(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    n = len(symbols)
+def _merge_heap(symbols: list[int], ranks: Ranks) -> list[int]:
+    n, bits = len(symbols), Ranks.BITS
     left, right, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-    heap: list[tuple[int, int, int, int, int]] = []
+    heap: list[tuple[int, int, int, int]] = []
 
     def push(i: int) -> None:
         j = right[i]
-        if j < n and (found := ranks.get((symbols[i], symbols[j]))):
-            heapq.heappush(heap, (found[0], i, symbols[i], symbols[j], found[1]))
+        if j < n and (found := ranks.get(symbols[i] << bits | symbols[j])) is not None:
+            heapq.heappush(heap, (found, i, symbols[i], symbols[j]))
 
     for i in range(n - 1):
         push(i)
     while heap:
-        _, i, a, b, made = heapq.heappop(heap)
+        found, i, a, b = heapq.heappop(heap)
         j = right[i]
         if not alive[i] or symbols[i] != a or j >= n or symbols[j] != b:
             continue
-        symbols[i], alive[j] = made, False
+        symbols[i], alive[j] = found & (1 << bits) - 1, False
         right[i] = right[j]
         if right[j] < n:
             left[right[j]] = i
@@ -302,8 +317,13 @@ def lowered(text: str) -> str:
 
 
 def piece_ids(vocab: Vocabulary, piece: str) -> list[int]:
+    raw = piece.encode()
+    if len(raw) <= vocab.lookahead:  # the whole piece fits into the window and is stable as it ends
+        symbols = [vocab.symbol[b] for b in raw]
+        symbols[-1] = vocab.last_symbol[raw[-1]]
+        return merge(symbols, vocab.ranks)
     word = WordTransducer(vocab)
-    return word.push(piece.encode()) + word.finish()
+    return word.push(raw) + word.finish()
 
 
 class StreamingDecoder:
@@ -317,7 +337,7 @@ class StreamingDecoder:
         self.vocab = vocab
         self.first = True
         self.bytes = codecs.getincrementaldecoder("utf-8")("replace")
-        self.value = {c: b for b, c in enumerate(byte_alphabet())}
+        self.value = {c: b for b, c in enumerate(byte_alphabet())} if vocab.byte_decoder else {}
 
     def feed(self, ids: Iterable[int]) -> str:
         token = self.vocab.token_of
@@ -370,15 +390,13 @@ class Codec:
 
     def _word(self, word: bytes) -> tuple[bytes, str]:
         ids = self._ids(word)
-        return b"".join(i.to_bytes(4, "little") for i in ids), StreamingDecoder(self.vocab).feed(ids)
+        return np.array(ids, "<u4").tobytes(), StreamingDecoder(self.vocab).feed(ids)
 
     def spans(self, text: str) -> Iterator[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of the text's words, many words at a time."""
         words = text.encode().split()  # at ASCII white space, which no token crosses
         for at in range(0, len(words), 4096):
-            got = []
-            for w in words[at : at + 4096]:
-                got.append(self.words[w] if len(w) <= CACHED_CHARS else self._word(w))
+            got = [self.words[w] if len(w) <= CACHED_CHARS else self._word(w) for w in words[at : at + 4096]]
             yield b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])
 
     def digest(self, text: str) -> tuple[int, str, str]:
@@ -421,8 +439,6 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         codec = Codec(path)
         for batch in batches:
             rows = [np.frombuffer(b"".join(raw for raw, _ in codec.spans(t or "")), "<u4").astype(np.int32) for t in batch.column(1).to_pylist()]

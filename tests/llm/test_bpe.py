@@ -79,9 +79,7 @@ def test_lookahead_is_sufficient():
                     known.append(a + b)
         ids = {t: i for i, t in enumerate(known)}
         names = {i: t for t, i in ids.items()}
-        ranks = {}
-        for r, (a, b) in enumerate(merges):
-            ranks.setdefault((ids[a], ids[b]), (r, ids[a + b]))
+        ranks = bpe.Ranks((ids[a], ids[b], ids[a + b]) for a, b in merges)
         look = bpe.sufficient_lookahead(merges, {t: len(t) for t in known})
 
         def bounds(text):
