@@ -25,8 +25,8 @@ from .common import tune
 
 #: Words up to so many characters go through the caches.
 CACHED_CHARS = 64
-#: Entries of a cache before it starts anew.
-CACHE_ENTRIES = 250_000
+#: Entries of the caches before they start anew.
+WORDS, PIECES = 400_000, 250_000
 
 
 @functools.lru_cache(maxsize=1)
@@ -354,16 +354,22 @@ class StreamingDecoder:
 
 
 class _Cache(dict):
-    """What ``make`` gives for a key; starts anew when it is full."""
+    """What ``make`` gives for a key. A full cache becomes the old one, from which keys that come again return."""
 
-    def __init__(self, make, entries: int = CACHE_ENTRIES):
+    def __init__(self, make, entries: int):
         super().__init__()
-        self.make, self.entries = make, entries
+        self.make, self.entries, self.old = make, entries, {}
 
     def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+            if len(key) > CACHED_CHARS:
+                return value
         if len(self) >= self.entries:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
@@ -372,32 +378,37 @@ class Codec:
 
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
-        self.pieces = _Cache(functools.partial(piece_ids, self.vocab))
-        self.words = _Cache(self._word)
+        self.pieces = _Cache(self._piece, PIECES)
+        self.words = _Cache(self._word, WORDS)
 
-    def _ids(self, word: bytes) -> list[int]:
+    def _both(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return np.array(ids, "<u4").tobytes(), StreamingDecoder(self.vocab).feed(ids).encode()
+
+    def _piece(self, piece: str) -> tuple[bytes, bytes]:
+        return self._both(piece_ids(self.vocab, piece))
+
+    def _word(self, word: bytes) -> tuple[bytes, bytes]:
         text = word.decode()
         if len(text) > CACHED_CHARS or (self.vocab.marks and "<" in text):
             stream = StreamingEncoder(self.vocab)
-            return stream.feed(text) + stream.finish()
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text) if self.vocab.nfc else text
-        text = lowered(text) if self.vocab.lower else text
-        out: list[int] = []
-        for piece in self.vocab.pattern.findall(text):
-            out += self.pieces[piece]
-        return out
-
-    def _word(self, word: bytes) -> tuple[bytes, str]:
-        ids = self._ids(word)
-        return np.array(ids, "<u4").tobytes(), StreamingDecoder(self.vocab).feed(ids)
-
-    def spans(self, text: str) -> Iterator[tuple[bytes, str]]:
+            return self._both(stream.feed(text) + stream.finish())
+        if self.vocab.nfc and not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        found = [self.pieces[p] for p in self.vocab.pattern.findall(lowered(text) if self.vocab.lower else text)]
+        if len(found) == 1:
+            return found[0]
+        return b"".join([f[0] for f in found]), self.between.join([f[1] for f in found])
+
+    @property
+    def between(self) -> bytes:
+        return b"" if self.vocab.byte_decoder else b" "
+
+    def spans(self, text: str) -> Iterator[tuple[bytes, bytes]]:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of the text's words, many words at a time."""
         words = text.encode().split()  # at ASCII white space, which no token crosses
         for at in range(0, len(words), 4096):
-            got = [self.words[w] if len(w) <= CACHED_CHARS else self._word(w) for w in words[at : at + 4096]]
-            yield b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])
+            got = list(map(self.words.__getitem__, words[at : at + 4096]))
+            yield b"".join([g[0] for g in got]), self.between.join([g[1] for g in got if g[1]])
 
     def digest(self, text: str) -> tuple[int, str, str]:
         ids, decoded, n, first = hashlib.sha256(), hashlib.sha256(), 0, True
@@ -405,7 +416,7 @@ class Codec:
             ids.update(raw)
             n += len(raw) // 4
             if words:
-                decoded.update((words if first else " " + words).encode())
+                decoded.update(words if first else self.between + words)
                 first = False
         return n, ids.hexdigest(), decoded.hexdigest()
 
