@@ -129,13 +129,18 @@ class Rolling:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + length * _U(0x9E3779B97F4A7C15))
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of bytes other than ASCII white space, and how many each row has."""
+#: Separators of terms: ASCII other than digits, lower-case letters and the apostrophe.
+NOT_TERM = np.ones(256, bool)
+NOT_TERM[[*range(0x30, 0x3A), *range(0x61, 0x7B), 0x27, *range(0x80, 0x100)]] = False
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITESPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes other than separators, and how many each row has."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets) - 1, np.int64)
-    black = ~WHITESPACE[data]
+    black = ~separators[data]
     fresh = np.zeros(n + 1, bool)
     fresh[offsets] = True
     before = np.empty(n, bool)

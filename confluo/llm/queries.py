@@ -18,15 +18,57 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+OP5_SQL = """
+WITH rows AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+     known AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM rows),
+     tops AS (SELECT payload_digest, max(page_id) AS top FROM known WHERE payload_bytes >= 1000 GROUP BY 1 HAVING count(*) > 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN top IS NULL OR top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN top <> page_id THEN top END AS refers_to
+FROM known LEFT JOIN tops USING (payload_digest)
+"""
+
+
 def op2_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trip
 
     return round_trip(documents(spark, sf_dir), tokenizer_path())
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokenfile import written_and_read
+
+    return written_and_read(documents(spark, sf_dir), tokenizer_path(), end_id=1)
+
+
+def op5_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import written_and_read
+
+    found = written_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import linked
+
+    return linked(documents(spark, sf_dir), k=4, percent=85)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import language_id
+
+    return language_id(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_stream,)}
+    return {f.__name__: f for f in (op1_toxicity_fm, op2_bpe_stream, op4_token_files, op5_warc_archives, op7_ngram_jaccard, op8_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc_archives": OP5_SQL}
