@@ -38,7 +38,8 @@ DICTIONARY_TEXTS = 600
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 CACHED_BYTES = 64
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 600_000
+CLOSING = frozenset(bytes([c]) for c in b".,;:!?|")
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -56,29 +57,37 @@ class LibraryEncoder:
         self.library.no_padding()
         self.library.no_truncation()
         with open(path, encoding="utf-8") as f:
-            steps = json.load(f)["pre_tokenizer"].get("pretokenizers", [])
+            spec = json.load(f)
+        steps = spec["pre_tokenizer"].get("pretokenizers", [])
+        self.lower = any(n["type"] == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
         self.by_word = any(p["type"] == "Split" and p["invert"] and p["behavior"] == "Removed" and r"\s" in p["pattern"].get("Regex", "") for p in steps)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.cache: dict[bytes, bytes] = {}
 
     def _pack(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch(texts, add_special_tokens=False)
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian integers of ``width`` bytes."""
         if not self.by_word:
             return self._pack([text])[0]
-        words, cache = text.encode().split(), self.cache
-        fresh = list(set(words).difference(cache))
+        raw, cache = text.encode(), self.cache
+        words = (raw if b"<" in raw or not self.lower else raw.lower()).split()  # marks keep their case
+        fresh = set(words).difference(cache)
         if fresh:
-            if len(cache) + len(fresh) > CACHE_ENTRIES:
+            if len(cache) > CACHE_ENTRIES:
                 cache.clear()
-                fresh = list(set(words))
-            for at in range(0, len(fresh), 1024):
-                some = fresh[at : at + 1024]
+                fresh = set(words)
+            # a letter and one closing mark after it are separate tokens, so such words are put together from both
+            stems = {w: w[:-1] for w in fresh if w[-1:] in CLOSING and w[:-1] and w[:-1].decode()[-1].isalpha()}
+            alone = list((fresh.difference(stems) | {*stems.values(), *(w[-1:] for w in stems)}).difference(cache))
+            for at in range(0, len(alone), 1024):
+                some = alone[at : at + 1024]
                 cache.update(zip(some, self._pack([w.decode() for w in some])))
+            for w, stem in stems.items():
+                cache[w] = cache[stem] + cache[w[-1:]]
         out = b"".join(map(cache.__getitem__, words))
         for w in fresh:
             if len(w) > CACHED_BYTES:
