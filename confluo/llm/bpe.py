@@ -405,7 +405,10 @@ class Codec:
 
     def spans(self, text: str) -> Iterator[tuple[bytes, bytes]]:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of the text's words, many words at a time."""
-        words = text.encode().split()  # at ASCII white space, which no token crosses
+        raw = text.encode()
+        if self.vocab.lower and b"<" not in raw:  # the case of marks counts
+            raw = raw.lower()
+        words = raw.split()  # at ASCII white space, which no token crosses
         for at in range(0, len(words), 4096):
             got = list(map(self.words.__getitem__, words[at : at + 4096]))
             yield b"".join([g[0] for g in got]), self.between.join([g[1] for g in got if g[1]])
