@@ -11,14 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text in one Arrow batch; texts of a batch are worked on in slices of SLICE_BYTES.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch; texts of a batch are worked on in slices of SLICE_BYTES.
+BATCH_ROWS = 8192
+BATCH_BYTES = 4 << 20
 SLICE_BYTES = 2 << 20
 
 
 def tune(spark: SparkSession) -> None:
     """Small Arrow batches, so that long texts never meet in one large batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +48,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def one_per_id(docs: DataFrame) -> DataFrame:
+    """Rows with a doc_id, one for each: where several rows share one, the row of the smallest text stands for them.
+
+    A scan of the ids tells whether that is needed at all.
+    """
+    docs = docs.where("doc_id is not null")
+    n, distinct = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if n == distinct:
+        return docs
+    columns = ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
+    return docs.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("r")).select("doc_id", "r.*").select(*docs.columns)
+
+
 def held_out() -> "F.Column":
     """crc32 of doc_id as text leaves remainder 2 when divided by four."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2

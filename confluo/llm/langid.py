@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import LOWER, Rolling, held_out, text_slices, tune, word_spans
 
@@ -257,7 +258,7 @@ def with_prediction(docs: DataFrame, network: Network, column: str = "text") ->
                 kept = [c.slice(start, end - start) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1))], names=[*batch.schema.names, "lang_pred", "score"])
 
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType(list(docs.schema)).add("lang_pred", "string").add("score", "double")
     return docs.mapInArrow(run, schema)
 
 
