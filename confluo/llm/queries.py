@@ -54,6 +54,12 @@ def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .syncmers import edited
+
+    return edited(documents(spark, sf_dir))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import linked
 
@@ -66,8 +72,20 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import digests
+
+    return digests(documents(spark, sf_dir))
+
+
+def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import overlaps
+
+    return overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_fm, op2_bpe_stream, op4_token_files, op5_warc_archives, op7_ngram_jaccard, op8_language_id)}
+    return {f.__name__: f for f in (op1_toxicity_fm, op2_bpe_stream, op4_token_files, op5_warc_archives, op6_syncmer_fingerprints, op7_ngram_jaccard, op8_language_id, op9_suffix_dedup, op10_spaced_seeds)}
 
 
 def oracle_sql() -> dict[str, str]:
