@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from .common import Rolling, mix, one_per_id, partitions, text_slices, tune, written
 
@@ -293,6 +293,9 @@ def duplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 # --- removal -----------------------------------------------------------------------------------------------------------
 
 
+SPANS = ArrayType(StructType().add("begin", "long").add("end", "long"))
+
+
 def spans_of(starts: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends of the maximal runs of bytes that the strings cover."""
     order = np.argsort(starts, kind="stable")
@@ -340,7 +343,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "kept", "n_bytes", "n_removed", "spans"])
 
     schema = StructType(list(rows.drop("_strings").schema))
-    for name, kind in (("kept", "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("spans", "array<struct<begin: long, end: long>>")):
+    for name, kind in (("kept", "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("spans", SPANS)):
         schema = schema.add(name, kind)
     return rows.mapInArrow(run, schema)
 

@@ -24,7 +24,8 @@ TRAIN_ROWS = 12_000
 BUCKET_BITS = 20
 TERMS = 1024
 RANK = 6
-EPOCHS = 25
+STEPS = 1500
+BATCH = 256
 THRESHOLD = 0.3
 
 
@@ -85,10 +86,10 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Machine:
     v = rng.normal(0, 0.01, (x.shape[1], RANK)).astype(np.float32)
     y = toxic.astype(np.float32)
     state = [np.full_like(w, 1e-6), np.full_like(v, 1e-6)]
-    for _ in range(EPOCHS):
+    for _ in range(-(-STEPS * BATCH // n)):
         order = rng.permutation(n)
-        for at in range(0, n, 256):
-            some = order[at : at + 256]
+        for at in range(0, n, BATCH):
+            some = order[at : at + BATCH]
             xs = x[some]
             err = (1 / (1 + np.exp(-_margin(xs, bias, w, v))) - y[some]) / len(some)
             gw = xs.T @ err + 2e-3 * w / np.sqrt(n)

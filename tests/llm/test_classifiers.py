@@ -87,7 +87,7 @@ def test_pairs_beyond_single_terms():
     rows, y = [], []
     for _ in range(3000):
         a, b = rng.random(2) < 0.5
-        rows.append(np.array([1] * a + [2] * b + [3 + int(rng.integers(50))], np.int32))
+        rows.append(np.array([1] * int(a) + [2] * int(b) + [3 + int(rng.integers(50))], np.int32))
         y.append(int(a and b) if rng.random() < 0.98 else 0)
     machine = toxicity.fit(rows, np.array(y))
     x = np.zeros((4, len(machine.weights)), np.float32)

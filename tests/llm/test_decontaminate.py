@@ -25,7 +25,7 @@ def test_finds_planted_overlaps(spark):
         docs.append((d, " ".join(own)))
     docs += [(100, None), (101, ""), (None, " ".join(items[0][1])), (0, docs[0][1])]
     df = spark.createDataFrame([(d, t, 5) for d, t in docs], "doc_id long, text string, item_id long")
-    bench = spark.createDataFrame([(k, " ".join(w), 9) for k, w in items] + [(99, None), (None, "a b"), (0, " ".join(items[0][1]))], "item_id long, text string, doc_id long")
+    bench = spark.createDataFrame([(k, " ".join(w), 9) for k, w in items] + [(99, None, 1), (None, "a b", 1), (0, " ".join(items[0][1]), 1)], "item_id long, text string, doc_id long")
     got = decontaminate.overlaps(df, bench).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
     kept = {r["doc_id"] for r in decontaminate.clean(df, bench).collect()}

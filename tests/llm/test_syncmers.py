@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 
@@ -11,7 +12,8 @@ def run(spark, rows):
 
 
 def text(k, n):
-    return " ".join(f"w{(k * 7919 + j * 31) % 997}é" for j in range(n))
+    rng = random.Random(k)
+    return " ".join(f"w{rng.randrange(997)}é" for _ in range(n))
 
 
 def test_edits_and_neighbours(spark):
