@@ -35,6 +35,12 @@ def op2_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), tokenizer_path())
 
 
+def op3_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .compact import classes
+
+    return classes(documents(spark, sf_dir))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenfile import written_and_read
 
@@ -85,7 +91,7 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_fm, op2_bpe_stream, op4_token_files, op5_warc_archives, op6_syncmer_fingerprints, op7_ngram_jaccard, op8_language_id, op9_suffix_dedup, op10_spaced_seeds)}
+    return {f.__name__: f for f in (op1_toxicity_fm, op2_bpe_stream, op3_compact_windows, op4_token_files, op5_warc_archives, op6_syncmer_fingerprints, op7_ngram_jaccard, op8_language_id, op9_suffix_dedup, op10_spaced_seeds)}
 
 
 def oracle_sql() -> dict[str, str]:
