@@ -9,8 +9,9 @@ H elements; with H + 1 + E blocks at least 1 + E blocks are alike in both, so a
 
 The boundary is the size up to which enumerating makes no more keys than the lists would.
 
-Lists are not expanded into pairs. Round one compares every document with the first of its lists. Later rounds only look
-at lists whose members are not yet connected. The result is the partition that all qualifying links give.
+Lists are not expanded into pairs. Round one compares every document with a centre of its lists. Later rounds only look at
+lists whose members are not yet connected; the last one compares what is left under a bound that sketches of the sets give,
+so no link between components is lost. The result is the partition that all qualifying links give.
 """
 
 from __future__ import annotations
@@ -218,18 +219,26 @@ def lists(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key long, doc_id long, n long, whole boolean, first long")
 
 
+def odd_sketch(grams: np.ndarray) -> np.ndarray:
+    """256 bits, each the parity of how many elements hash to it: sketches differ in at most as many bits as sets in elements."""
+    ones = np.bincount((mix(grams ^ _U(0x3C79AC492BA7B653)) >> _U(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(ones.astype(np.uint8)).view(np.int64)
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc_id, grams) of the documents in ``ids``; grams is the set as sorted unsigned 64-bit integers, in bytes."""
+    """(doc_id, grams, odd) of the documents in ``ids``: the set as sorted unsigned 64-bit integers in bytes, and its odd sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for start, end, data, offsets in text_slices(batch.column(1)):
-                found = pa.array([g.tobytes() for g in gram_sets(data, offsets, k)], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), found], names=["doc_id", "grams"])
+                sets = gram_sets(data, offsets, k)
+                found = pa.array([g.tobytes() for g in sets], pa.binary())
+                odd = pa.array([odd_sketch(g) for g in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), found, odd], names=["doc_id", "grams", "odd"])
 
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return _texts(docs).join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, grams binary")
+    return _texts(docs).join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, grams binary, odd array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -245,8 +254,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             at = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["src", "dst"])
 
-    left = sets.withColumnsRenamed({"doc_id": "src", "grams": "a"})
-    right = sets.withColumnsRenamed({"doc_id": "dst", "grams": "b"})
+    left = sets.selectExpr("doc_id as src", "grams as a")
+    right = sets.selectExpr("doc_id as dst", "grams as b")
     return pairs.join(left, "src").join(right, "dst").select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
 
@@ -265,28 +274,28 @@ def linked(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     # equal sets are represented by one of them
     same = whole.where("doc_id <> rep").select("doc_id", "rep").distinct()
     members = members.join(same.withColumnRenamed("rep", "r"), "doc_id", "left").selectExpr("key", "coalesce(r, doc_id) as doc_id", "n").distinct()
-    firsts = members.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
-    members = written(members.join(firsts, "key"), "members")
+    members = written(_centred(members), "members")
     sets = written(sets_of(docs, members.select("doc_id").distinct(), k).dropDuplicates(["doc_id"]), "sets")
 
-    # round one: each document with the smallest of the firsts of its lists
-    tested = written(members.where("doc_id <> first").groupBy("doc_id").agg(F.min("first").alias("src")).selectExpr("src", "doc_id as dst"), "pairs")
+    # round one: each document with the most central of the centres of its lists
+    centres = members.where("doc_id <> centre").groupBy("doc_id").agg(F.max(F.struct("score", "centre")).alias("c"))
+    tested = written(_pairs(centres.selectExpr("c.centre as a", "doc_id as b")), "pairs")
     links = written(verified(tested, sets, percent), "links")
-    for turn in itertools.count(2):
+    for last in (False, True):
         labels = written(components(links), "labels")
-        open_lists = _open(members, labels)
-        if turn == 2:  # each document with the firsts of all its lists that are not connected
-            pairs = open_lists.where("doc_id <> first and label <> first_label").selectExpr("first as src", "doc_id as dst")
-        else:  # all others that are not connected
-            a = open_lists.selectExpr("key", "doc_id as src", "n as n1", "label as l1")
-            b = open_lists.selectExpr("key", "doc_id as dst", "n as n2", "label as l2")
-            fits = f"src < dst and l1 <> l2 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)"
-            pairs = a.join(b, "key").where(fits).select("src", "dst")
-        pairs = written(pairs.distinct().join(tested, ["src", "dst"], "left_anti"), "pairs")
+        now = _open(members, labels)
+        if not last:  # each document with the centres of all its lists that are not connected
+            pairs = now.where("label <> centre_label").selectExpr("centre as a", "doc_id as b")
+        else:  # all others that are not connected and whose sketches allow it
+            odd = sets.select("doc_id", "odd")
+            a = now.selectExpr("key", "doc_id", "n as n1", "label as l1").join(odd, "doc_id").withColumnsRenamed({"doc_id": "a", "odd": "o1"})
+            b = a.withColumnsRenamed({"a": "b", "n1": "n2", "l1": "l2", "o1": "o2"})
+            differ = " + ".join(f"bit_count(o1[{j}] ^ o2[{j}])" for j in range(4))
+            allowed = f"n1 + n2 - 2 * cast(ceil({percent} * (n1 + n2) / {100 + percent}) as long)"
+            pairs = a.join(b, "key").where(f"a < b and l1 <> l2 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2) and {differ} <= {allowed}").select("a", "b")
+        pairs = written(_pairs(pairs).join(tested, ["src", "dst"], "left_anti"), "pairs")
         links = written(links.union(verified(pairs, sets, percent)), "links")
         tested = tested.union(pairs)
-        if turn == 3:
-            break
     edges = links.union(same.selectExpr("doc_id as src", "rep as dst"))
     labels = components(edges)
     rows = whole.select("doc_id", "n").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
@@ -295,8 +304,27 @@ def linked(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     return result.union(lone.selectExpr("doc_id", "n as n_shingles", "doc_id as component_id"))
 
 
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.where("a <> b").selectExpr("least(a, b) as src", "greatest(a, b) as dst").distinct()
+
+
+def _centred(members: DataFrame) -> DataFrame:
+    """Members of lists of two and more (key, doc_id, n, own) with the centre of each list and its score.
+
+    A document's score is the sum of the lengths of its lists: what most copies have in common makes long lists, so the
+    centre of a list is a text that most of its members resemble.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    sized = members.join(sizes, "key")
+    scores = sized.groupBy("doc_id").agg(F.sum("size").alias("own"))
+    scored = sized.join(scores, "doc_id")
+    centres = scored.groupBy("key").agg(F.max(F.struct("own", (-F.col("doc_id")).alias("i"))).alias("c")).selectExpr("key", "c.own as score", "-c.i as centre")
+    return scored.join(centres, "key").select("key", "doc_id", "n", "own", "centre", "score")
+
+
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with their labels, of the lists that hold documents of several components."""
-    now = members.join(labels.selectExpr("id as doc_id", "component"), "doc_id", "left").selectExpr("key", "doc_id", "n", "first", "coalesce(component, doc_id) as label")
-    several = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.when(F.col("doc_id") == F.col("first"), F.col("label"))).alias("first_label")).where("low < high").select("key", "first_label")
+    now = members.join(labels.selectExpr("id as doc_id", "component"), "doc_id", "left").selectExpr("key", "doc_id", "n", "own", "centre", "coalesce(component, doc_id) as label")
+    at_centre = F.min(F.when(F.col("doc_id") == F.col("centre"), F.col("label")))
+    several = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), at_centre.alias("centre_label")).where("low < high").select("key", "centre_label")
     return now.join(several, "key")
