@@ -72,5 +72,5 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without an overlap, with all their columns."""
-    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("leaked"), "left_anti")
+    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("_leaked_doc_id")).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_leaked_doc_id"), "left_anti")

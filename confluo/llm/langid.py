@@ -226,10 +226,10 @@ def predicted(docs: DataFrame, network: Network) -> DataFrame:
     return with_prediction(rows, network, "text").select("doc_id", "held_out", "lang_pred", "score")
 
 
-def with_prediction(docs: DataFrame, network: Network, column: str = "text") -> DataFrame:
-    """``docs`` with the columns lang_pred and score added (columns of these names are replaced)."""
+def with_prediction(docs: DataFrame, network: Network, column: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with two columns added, the language and its score (columns of these names are replaced)."""
     tune(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
     at = docs.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,16 +249,16 @@ def with_prediction(docs: DataFrame, network: Network, column: str = "text") ->
                 letters = (lower >= 0x61) & (lower <= 0x7A)
                 seen = np.concatenate([[0], np.cumsum(letters)])[offsets]
                 sure = np.diff(seen) > 0
-                names = []
+                found_names = []
                 for k in range(end - start):
                     ok = network.languages and n[k] and (sure[k] or has_letter(data[offsets[k] : offsets[k + 1]].tobytes()))
-                    names.append(network.languages[best[k]] if ok else UNKNOWN)
+                    found_names.append(network.languages[best[k]] if ok else UNKNOWN)
                     if not ok:
                         score[k] = 0
                 kept = [c.slice(start, end - start) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1))], names=[*batch.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(found_names, pa.string()), pa.array(np.clip(score, 0, 1))], names=[*batch.schema.names, *names])
 
-    schema = StructType(list(docs.schema)).add("lang_pred", "string").add("score", "double")
+    schema = StructType(list(docs.schema)).add(names[0], "string").add(names[1], "double")
     return docs.mapInArrow(run, schema)
 
 

@@ -305,15 +305,17 @@ def spans_of(starts: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.nd
     return begin[new], np.r_[reach[:-1][new[1:]], reach[-1]]
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The documents with their removed runs: all columns, plus kept (the remaining bytes), n_bytes, n_removed and spans.
+def without_repeats(docs: DataFrame, length: int = LENGTH, prefix: str = "") -> DataFrame:
+    """The documents with their removed runs: all columns, plus kept (the remaining bytes), kept_text (the same as text,
+    without the halves of characters at the cuts), n_bytes, n_removed and spans, all named with ``prefix``.
 
     A byte goes if a string of ``length`` bytes over it also starts earlier (in a smaller doc_id, or further left in the
     same document); strings are judged on the input. Null texts are empty. Rows without doc_id are kept whole; of rows that
     share a doc_id, that with the smallest text counts and the others go. Columns of the new names are replaced.
     """
     tune(docs.sparkSession)
-    docs = docs.drop("kept", "n_bytes", "n_removed", "spans").withColumn("doc_id", F.col("doc_id").cast("long"))
+    added = [prefix + c for c in ("kept", "kept_text", "n_bytes", "n_removed", "spans")]
+    docs = docs.drop(*added).withColumn("doc_id", F.col("doc_id").cast("long"))
     lone, docs = docs.where("doc_id is null"), one_per_id(docs)
     found = duplicated(docs, length)
     own = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("_strings"))
@@ -339,11 +341,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 spans.append([{"begin": a, "end": b} for a, b in runs])
             cols = [c for k, c in enumerate(batch.columns) if k != strings]
             kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-            cols += [pa.array(kept, pa.binary()), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, kind)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "kept", "n_bytes", "n_removed", "spans"])
+            cols += [pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, kind)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, *added])
 
     schema = StructType(list(rows.drop("_strings").schema))
-    for name, kind in (("kept", "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("spans", SPANS)):
+    for name, kind in zip(added, ("binary", "string", "long", "long", SPANS)):
         schema = schema.add(name, kind)
     return rows.mapInArrow(run, schema)
 

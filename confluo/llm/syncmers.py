@@ -9,13 +9,15 @@ of the anchor sets, and is exact for sets of up to SKETCH anchors.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import one_per_id, written
+from .common import one_per_id, partitions
 from .tokenfile import split_points
 
 K, S, SKETCH = 5, 2, 64
-SPLITS = 200
+#: Ranges of doc_id that are sorted separately.
+LEAST_RANGES, MOST_RANGES = 64, 1000
 #: Words are the runs of characters other than ASCII white space.
 SPLIT = r"[ \t\n\x0B\f\r]+"
 
@@ -68,19 +70,26 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) as doc_id", "coalesce(text, '') as text").selectExpr("doc_id", "length(text) as n", f"{sketch_sql('text')} as sketch")
 
 
-def followers(ids: DataFrame) -> DataFrame:
-    """(doc_id, next_id) over distinct non-null doc_id: the next larger one, after the largest the smallest.
+def with_next(rows: DataFrame, made: dict[str, str], columns: list[str]) -> DataFrame:
+    """Rows (one for each doc_id) with the columns ``made`` (SQL) and ``next_<column>``: the value of the next larger doc_id.
 
-    Ids are cut into at most SPLITS ranges at approximate quantiles, so that no task sorts them all; the ends of the ranges
-    are joined from a table of at most SPLITS rows.
+    After the largest doc_id follows the smallest.
+
+    Ids are cut at approximate quantiles into ranges, which are sorted separately. The first row of each range is also put
+    behind the end of the range before it; these are as many rows as ranges.
     """
-    points = split_points(ids, "doc_id", SPLITS)
-    cuts = f"size(filter(array({', '.join(f'{p}L' for p in points)}), p -> p <= doc_id))" if points else "0"
-    ranged = ids.selectExpr("doc_id", f"{cuts} as part")
-    heads = ranged.groupBy("part").agg(F.min("doc_id").alias("head"))
-    linked = heads.selectExpr("part", "coalesce(lead(head) over (order by part), min(head) over ()) as head")  # at most SPLITS rows
-    steps = ranged.selectExpr("doc_id", "part", "lead(doc_id) over (partition by part order by doc_id) as next_id")
-    return steps.join(F.broadcast(linked), "part").selectExpr("doc_id", "coalesce(next_id, head) as next_id")
+    spark = rows.sparkSession
+    points = split_points(rows.select("doc_id"), "doc_id", min(MOST_RANGES, max(LEAST_RANGES, partitions(spark))))
+    part = f"size(filter(array({', '.join(f'{p}L' for p in points)}), p -> p <= doc_id))" if points else "0"
+    heads = rows.select("doc_id").selectExpr("doc_id", f"{part} as part").groupBy("part").agg(F.min("doc_id").alias("doc_id"))
+    before = heads.selectExpr("doc_id", "coalesce(lag(part) over (order by part), max(part) over ()) as part")  # at most MOST_RANGES rows
+    extra = rows.join(F.broadcast(before), "doc_id").withColumn("_extra", F.lit(True))
+    every = rows.withColumn("part", F.expr(part)).withColumn("_extra", F.lit(False)).unionByName(extra)
+    dealt = every.repartition(partitions(spark), "part")  # the texts are shuffled once, without what is made of them
+    for name, sql in made.items():
+        dealt = dealt.withColumn(name, F.expr(sql))
+    order = W.partitionBy("part").orderBy("_extra", "doc_id")
+    return dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where(~F.col("_extra")).drop("part", "_extra")
 
 
 def edited(docs: DataFrame) -> DataFrame:
@@ -93,13 +102,8 @@ def edited(docs: DataFrame) -> DataFrame:
     """
     docs = docs.selectExpr("cast(doc_id as long) as doc_id", "coalesce(text, '') as text")
     known, lone = one_per_id(docs), docs.where("doc_id is null")
-    own = written(fingerprints(known), "sketches")
-    steps = written(followers(own.select("doc_id")), "followers")
-    after = own.selectExpr("doc_id as next_id", "sketch as next_sketch")
-    facts = own.join(steps, "doc_id").join(after, "next_id").select("doc_id", "n", "sketch", "next_sketch")
-    halves = own.join(steps, "doc_id").selectExpr("next_id as doc_id", "doc_id as before", "cast(n div 2 as int) as half")
-    heads = known.join(halves, "doc_id").selectExpr("before as doc_id", "substring(text, 1, half) as head")
-    rows = known.join(facts, "doc_id").join(heads, "doc_id").selectExpr("doc_id", "n", "sketch", "next_sketch", "concat(substring(text, 1, cast(n - n div 2 as int)), head) as edited")
+    rows = with_next(known, {"n": "length(text)", "sketch": sketch_sql("text")}, ["text", "sketch"])
+    rows = rows.selectExpr("doc_id", "n", "sketch", "next_sketch", "concat(substring(text, 1, cast(n - n div 2 as int)), substring(next_text, 1, cast(n div 2 as int))) as edited")
     rows = rows.selectExpr("doc_id", "n", "sketch", "next_sketch", "sha2(edited, 256) as edited_sha256", f"{sketch_sql('edited')} as edited_sketch")
     shown = rows.selectExpr(
         "doc_id", "cast(n as long) as n_chars", "edited_sha256", f"{print_sql('sketch')} as fingerprint", f"{print_sql('edited_sketch')} as edited_fingerprint",
