@@ -38,7 +38,7 @@ DICTIONARY_TEXTS = 600
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 CACHED_BYTES = 64
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 900_000
 CLOSING = frozenset(bytes([c]) for c in b".,;:!?|")
 
 
@@ -62,19 +62,33 @@ class LibraryEncoder:
         self.lower = any(n["type"] == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
         self.by_word = any(p["type"] == "Split" and p["invert"] and p["behavior"] == "Removed" and r"\s" in p["pattern"].get("Regex", "") for p in steps)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.kind = f"<u{self.width}"
+        self.letter = "H" if self.width == 2 else "I"
         self.cache: dict[bytes, bytes] = {}
 
     def _pack(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
+        return [self._bytes(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
+
+    def _fill(self, words: list[bytes]) -> None:
+        """Encode words into the cache; lower-case ASCII words are one piece, which the library's model takes as it is."""
+        plain = [w for w in words if w.isalpha()] if self.lower else []
+        tokenize = self.library.model.tokenize
+        self.cache.update((w, self._bytes([t.id for t in tokenize(w.decode())])) for w in plain)
+        rest = [w for w in words if not w.isalpha()] if self.lower else words
+        for at in range(0, len(rest), 1024):
+            some = rest[at : at + 1024]
+            self.cache.update(zip(some, self._pack([w.decode() for w in some])))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian integers of ``width`` bytes."""
         if not self.by_word:
             return self._pack([text])[0]
         raw, cache = text.encode(), self.cache
-        words = (raw if b"<" in raw or not self.lower else raw.lower()).split()  # marks keep their case
+        if b"<" in raw or not self.lower:  # marks keep their case
+            return self._pack([text])[0]
+        words = raw.lower().split()
         fresh = set(words).difference(cache)
         if fresh:
             if len(cache) > CACHE_ENTRIES:
@@ -83,9 +97,7 @@ class LibraryEncoder:
             # a letter and one closing mark after it are separate tokens, so such words are put together from both
             stems = {w: w[:-1] for w in fresh if w[-1:] in CLOSING and w[:-1] and w[:-1].decode()[-1].isalpha()}
             alone = list((fresh.difference(stems) | {*stems.values(), *(w[-1:] for w in stems)}).difference(cache))
-            for at in range(0, len(alone), 1024):
-                some = alone[at : at + 1024]
-                cache.update(zip(some, self._pack([w.decode() for w in some])))
+            self._fill(alone)
             for w, stem in stems.items():
                 cache[w] = cache[stem] + cache[w[-1:]]
         out = b"".join(map(cache.__getitem__, words))
