@@ -72,3 +72,11 @@ def test_table_cases(spark):
     got = sorted(((r["doc_id"], r["class_id"], r["n_words"]) for r in compact.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == [(1, 1, 90), (2, 1, 90), (3, 3, 0), (None, None, 0)]
     assert compact.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_places_in_two_distant_halves():
+    rng = np.random.default_rng(1)
+    a = rng.integers(1, 1 << 30, 100).astype(np.uint32)
+    gap = rng.integers(1 << 30, 1 << 31, 500).astype(np.uint32)
+    assert compact.alike(a, np.concatenate([a[:50], gap, a[50:]]), 60) == []
+    assert compact.alike(a, np.concatenate([gap, a]), 60) == [(0, 100, 500, 600)]
