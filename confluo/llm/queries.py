@@ -18,17 +18,6 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-OP5_SQL = """
-WITH rows AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
-     known AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM rows),
-     tops AS (SELECT payload_digest, max(page_id) AS top FROM known WHERE payload_bytes >= 1000 GROUP BY 1 HAVING count(*) > 1)
-SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN top IS NULL OR top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN top <> page_id THEN top END AS refers_to
-FROM known LEFT JOIN tops USING (payload_digest)
-"""
-
-
 def op2_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trip
 
@@ -95,4 +84,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_archives": OP5_SQL}
+    from . import oracles
+
+    return {
+        "op5_warc_archives": oracles.WARC,
+        "op7_ngram_jaccard": oracles.JACCARD,
+        "op9_suffix_dedup": oracles.REPEATS,
+        "op10_spaced_seeds": oracles.LEAKS,
+    }
