@@ -23,23 +23,35 @@ BROADCAST_ROWS = 200_000
 WORDS = "filter(split(lower(text), '[^\\\\p{L}\\\\p{N}]+'), w -> w <> '')"
 
 
+def _terms(mask: str) -> list[str]:
+    """What a seed hashes: word hashes h and, where two marked positions are neighbours, hashes p of pairs."""
+    out, j = [], 0
+    while j < len(mask):
+        pair = mask[j : j + 2] == "11"
+        if mask[j] == "1":
+            out.append(f"{'p' if pair else 'h'}[i + {j}]")
+        j += 2 if pair else 1
+    return out
+
+
 def seeds_sql(hashes: str, masks: tuple[str, ...] = MASKS) -> str:
-    """SQL for array<struct<pos, seed>> of an array of word hashes: the seeds of all masks at all positions.
+    """SQL for array<array<seed>> of an array of word hashes: for each mask its seeds at all positions, in order.
 
-    An array shorter than a mask gives one seed of it, from the positions that it has.
+    An array shorter than a mask gives none of it.
     """
     parts = []
     for number, mask in enumerate(masks):
-        picked = [j for j, c in enumerate(mask) if c == "1"]
-        many = f"transform(sequence(0, size(h) - {len(mask)}), i -> named_struct('pos', i, 'seed', xxhash64({number}, {', '.join(f'h[i + {j}]' for j in picked)})))"
-        parts.append(f"if(size(h) >= {len(mask)}, {many}, cast(array() as array<struct<pos: int, seed: bigint>>))")
-    return f"transform(array({hashes}), h -> concat({', '.join(parts)}))[0]"
+        many = f"transform(sequence(0, size(h) - {len(mask)}), i -> xxhash64({number}, {', '.join(_terms(mask))}))"
+        parts.append(f"if(size(h) >= {len(mask)}, {many}, cast(array() as array<bigint>))")
+    pairs = "transform(sequence(0, size(h) - 2), i -> xxhash64(h[i], h[i + 1]))"
+    whole = f"transform(array(if(size(h) >= 2, {pairs}, array())), p -> array({', '.join(parts)}))[0]"
+    return f"transform(array({hashes}), h -> {whole})[0]"
 
 
 def seeds(rows: DataFrame, key: str) -> DataFrame:
     """(key, pos, seed) of the column text of every row."""
-    found = rows.select(key, "text").where("text is not null").selectExpr(key, f"{seeds_sql(f'transform({WORDS}, w -> xxhash64(w))')} as s")
-    return found.selectExpr(key, "inline(s)")
+    found = rows.select(key, "text").where("text is not null").selectExpr(key, f"explode({seeds_sql(f'transform({WORDS}, w -> xxhash64(w))')}) as s")
+    return found.selectExpr(key, "posexplode(s) as (pos, seed)")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
