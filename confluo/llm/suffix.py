@@ -130,14 +130,29 @@ def anchor_rows(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gra
 ROWS = "key long, around long, doc_id long, start long, n int, back int"
 
 
+def repeats_here(ids: np.ndarray, first: np.ndarray, key: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """Whether an anchor with the same surroundings stands earlier among these."""
+    order = np.lexsort((first, ids, around, key))
+    later = np.zeros(len(order), bool)
+    later[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (around[order[1:]] == around[order[:-1]])
+    return later
+
+
 def anchored(docs: DataFrame, length: int) -> DataFrame:
-    """One row per anchor of every text: its hash, that of its surroundings, and the strings it has."""
+    """One row per anchor of every text: its hash, that of its surroundings, and the strings it has.
+
+    Where a slice of texts holds several with the same surroundings, only the first is dealt by its hash. The others are
+    settled already; they have back = -1 and are dealt at random, so that a frequent passage does not gather in one task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, end, data, offsets in text_slices(batch.column(1)):
                 row, first, count, back, key, around = anchor_rows(data, offsets, length)
                 ids = batch.column(0).slice(start, end - start).take(pa.array(row))
+                later = repeats_here(ids.to_numpy(), first, key, around)
+                key[later] = mix(around[later] + first[later].astype(_U) + ids.to_numpy()[later].astype(_U) * _U(0x9E3779B97F4A7C15))
+                back[later] = -1
                 cols = [pa.array(key.view(np.int64)), pa.array(around.view(np.int64)), ids, pa.array(first), pa.array(count.astype(np.int32)), pa.array(back.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, names=["key", "around", "doc_id", "start", "n", "back"])
 
@@ -183,11 +198,13 @@ def settled(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = _Groups()
         for batch in batches:
-            if batch.num_rows:
-                for again, found in zip((True, False), groups.step(batch)):
-                    for b in found:
-                        if b.num_rows:
-                            yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), b.column(4), b.column(5), b.column(0), pa.array([again] * b.num_rows)], names=["doc_id", "start", "n", "back", "key", "again"])
+            done = batch.column(5).to_numpy() < 0
+            rest = batch.take(pa.array(np.flatnonzero(~done)))
+            again, firsts = groups.step(rest) if rest.num_rows else ([], [])
+            for again, found in ((True, [batch.take(pa.array(np.flatnonzero(done))), *again]), (False, firsts)):
+                for b in found:
+                    if b.num_rows:
+                        yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), b.column(4), b.column(5), b.column(0), pa.array([again] * b.num_rows)], names=["doc_id", "start", "n", "back", "key", "again"])
 
     dealt = rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "around", "doc_id", "start")
     return dealt.mapInArrow(run, SETTLED)
