@@ -424,6 +424,12 @@ class Codec:
         return n, ids.hexdigest(), decoded.hexdigest()
 
 
+@functools.lru_cache(maxsize=2)
+def codec_of(path: str) -> Codec:
+    """One for each Python worker, which keeps its words from task to task."""
+    return Codec(path)
+
+
 ROUND_TRIP = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -436,7 +442,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for batch in batches:
             rows = [codec.digest(t or "") for t in batch.column(1).to_pylist()]
             cols = list(zip(*rows)) if rows else [(), (), ()]
@@ -453,7 +459,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for batch in batches:
             rows = [np.frombuffer(b"".join(raw for raw, _ in codec.spans(t or "")), "<u4").astype(np.int32) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "ids"])

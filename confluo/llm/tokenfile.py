@@ -17,6 +17,7 @@ import hashlib
 import json
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,6 +28,7 @@ import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import byte_alphabet
 from .common import partitions, shared_dir, tune
 
 MAGIC = b"CFTOKEN1"
@@ -59,11 +61,14 @@ class LibraryEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = spec["pre_tokenizer"].get("pretokenizers", [])
-        self.lower = any(n["type"] == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
-        self.by_word = any(p["type"] == "Split" and p["invert"] and p["behavior"] == "Removed" and r"\s" in p["pattern"].get("Regex", "") for p in steps)
+        normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        known = normal == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in steps] == ["Split", "ByteLevel"]
+        self.by_word = known and any(p["type"] == "Split" and p["invert"] and p["behavior"] == "Removed" and r"\s" in p["pattern"].get("Regex", "") for p in steps)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.letter = "H" if self.width == 2 else "I"
-        self.cache: dict[bytes, bytes] = {}
+        self.words = _Words(self)
+        alphabet = byte_alphabet()
+        self.shown = {b: alphabet[b] for b in range(256)}
 
     def _pack(self, texts: list[str]) -> list[bytes]:
         return [self._bytes(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -71,40 +76,55 @@ class LibraryEncoder:
     def _bytes(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
-    def _fill(self, words: list[bytes]) -> None:
-        """Encode words into the cache; lower-case ASCII words are one piece, which the library's model takes as it is."""
-        plain = [w for w in words if w.isalpha()] if self.lower else []
-        tokenize = self.library.model.tokenize
-        self.cache.update((w, self._bytes([t.id for t in tokenize(w.decode())])) for w in plain)
-        rest = [w for w in words if not w.isalpha()] if self.lower else words
-        for at in range(0, len(rest), 1024):
-            some = rest[at : at + 1024]
-            self.cache.update(zip(some, self._pack([w.decode() for w in some])))
+    def word(self, word: bytes) -> bytes:
+        """The ids of one word in lower case (ASCII).
+
+        A letter and one closing mark after it are separate tokens, so such a word is put together from both. A run of
+        Latin letters is one piece: the library's model takes it with its bytes written as characters. Other words go
+        through the whole library.
+        """
+        if word.isalpha():
+            return self._bytes([t.id for t in self.library.model.tokenize(word.decode())])
+        if word[-1:] in CLOSING and len(word) > 1:
+            stem = word[:-1]
+            last = "" if stem.isalpha() else stem.decode()[-1]
+            if not last or (last.isalpha() and last.lower().isalpha()):
+                return self.words[stem] + self.words[word[-1:]]
+        text = word.decode()
+        small = "".join(c.lower() for c in unicodedata.normalize("NFC", text)) if max(text) < "\u0250" else ""
+        if small.isalpha():
+            shown = small.encode().decode("latin-1").translate(self.shown)
+            return self._bytes([t.id for t in self.library.model.tokenize(shown)])
+        return self._pack([text])[0]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian integers of ``width`` bytes."""
-        if not self.by_word:
+        raw = text.encode()
+        if not self.by_word or b"<" in raw:  # marks keep their case
             return self._pack([text])[0]
-        raw, cache = text.encode(), self.cache
-        if b"<" in raw or not self.lower:  # marks keep their case
-            return self._pack([text])[0]
-        words = raw.lower().split()
-        fresh = set(words).difference(cache)
-        if fresh:
-            if len(cache) > CACHE_ENTRIES:
-                cache.clear()
-                fresh = set(words)
-            # a letter and one closing mark after it are separate tokens, so such words are put together from both
-            stems = {w: w[:-1] for w in fresh if w[-1:] in CLOSING and w[:-1] and w[:-1].decode()[-1].isalpha()}
-            alone = list((fresh.difference(stems) | {*stems.values(), *(w[-1:] for w in stems)}).difference(cache))
-            self._fill(alone)
-            for w, stem in stems.items():
-                cache[w] = cache[stem] + cache[w[-1:]]
-        out = b"".join(map(cache.__getitem__, words))
-        for w in fresh:
-            if len(w) > CACHED_BYTES:
-                cache.pop(w, None)
-        return out
+        return b"".join(map(self.words.__getitem__, raw.lower().split()))
+
+
+class _Words(dict):
+    """Ids of the words that came; starts anew when it is full."""
+
+    def __init__(self, encoder: LibraryEncoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.encoder.word(word)
+        if len(word) <= CACHED_BYTES:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+@functools.lru_cache(maxsize=2)
+def library_encoder(path: str) -> LibraryEncoder:
+    """One for each Python worker, which keeps its words from task to task."""
+    return LibraryEncoder(path)
 
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
@@ -114,7 +134,7 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, samples = LibraryEncoder(path), []
+        encoder, samples = library_encoder(path), []
         for batch in batches:
             samples += [encoder.encode(t) for t in batch.column(0).to_pylist()]
         try:
@@ -213,7 +233,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None) ->
     points = np.array(split_points(docs.select("doc_id"), "doc_id", partitions(spark)), np.int64)
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = LibraryEncoder(path)
+        encoder = library_encoder(path)
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         zstd = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
         end = b"" if end_id is None else end_id.to_bytes(encoder.width, "little")
@@ -229,7 +249,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None) ->
             yield pa.RecordBatch.from_arrays(cols, names=["bucket", "doc_id", "n_tokens", "frame"])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width, writer, made = LibraryEncoder(path).width, None, []
+        width, writer, made = library_encoder(path).width, None, []
         for batch in batches:
             for bucket, doc_id, n, frame in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if writer is None or bucket != writer.bucket:

@@ -43,3 +43,13 @@ def test_one_document_by_index(spark, tmp_path):
         k = len(file) // 2
         assert file.ids(k).tolist() == library.encode(f"word{file.index['doc_id'][k]} and more words", add_special_tokens=False).ids
         file.close()
+
+
+def test_words_same_as_library():
+    import random
+
+    library, ours, rng = Tokenizer.from_file(PATH), tokenfile.LibraryEncoder(PATH), random.Random(3)
+    alphabet = "abcXYZéÉßñÜ'.,;!?|<>09µªİΣe\u0301\u00a0\u3000"
+    for _ in range(3000):
+        text = " ".join("".join(rng.choices(alphabet, k=rng.randint(1, 9))) for _ in range(rng.randint(1, 4)))
+        assert np.frombuffer(ours.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, text
