@@ -107,3 +107,22 @@ def edges(rows: DataFrame, source: str, predicate: str, target: Column, key: Col
     out = rows.select(F.col(source).alias("from_id"), F.lit(predicate).alias("predicate"), target.alias("to_id"), key.alias("key"))
     out = out.withColumn("state", F.when(F.col("to_id").isNull(), "unresolved").otherwise("resolved"))
     return out.dropDuplicates(["from_id", "predicate", "key"]) if distinct else out
+
+
+def derived_places(unresolved: DataFrame) -> DataFrame:
+    """New places (key, name, sessions) from unresolved rows (key, name, lat, address): those with coordinates or an address."""
+    usable = unresolved.where("lat is not null or address is not null")
+    return usable.groupBy("key").agg(F.min_by("name", F.struct(F.length("name"), "name")).alias("name"), F.count("*").alias("sessions"))
+
+
+def preferred_names(names: DataFrame) -> DataFrame:
+    """(id, name): of several names (id, name, has_page, sessions) one with a page, then an official owner, the formal spelling, most sessions."""
+    order = (F.desc("has_page"), F.desc(F.rlike("name", F.lit("^(國立|市立|縣立)"))), F.desc(F.contains("name", F.lit("臺"))), F.desc("sessions"), "name")
+    return names.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(*order))).where("r = 1").select("id", "name")
+
+
+def merged_groups(groups: DataFrame, merges: DataFrame) -> DataFrame:
+    """(group, members): groups (group, member) after manual merges (group, into)."""
+    into = merges.select("group", F.col("into").alias("_into"))
+    rows = groups.join(into, "group", "left").select(F.coalesce("_into", "group").alias("group"), "member")
+    return rows.groupBy("group").agg(F.array_sort(F.collect_set("member")).alias("members"))

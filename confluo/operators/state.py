@@ -113,3 +113,30 @@ def saved_items(items: DataFrame, toggles: DataFrame, now: Column, most: int = 5
     kept = items.join(toggles, ["kind", "slug"], "left_anti").unionByName(add).where(F.col("end_at").isNull() | (F.col("end_at") >= now))
     rank = F.row_number().over(W.orderBy(F.desc("saved_at"), "kind", "slug"))  # one user's list
     return kept.withColumn("position", rank).where(F.col("position") <= most)
+
+
+def recency_gate(pages: DataFrame, upcoming: DataFrame, near: DataFrame) -> DataFrame:
+    """(path, gated): venues without upcoming events, and heritage with nothing here or near and without visit information.
+
+    pages: path, kind, visit (boolean); upcoming and near: path.
+    """
+    up = upcoming.select("path").distinct().withColumn("up", F.lit(True))
+    by = near.select("path").distinct().withColumn("by", F.lit(True))
+    rows = pages.join(up, "path", "left").join(by, "path", "left")
+    here, around = F.coalesce("up", F.lit(False)), F.coalesce("by", F.lit(False))
+    gated = F.when(F.col("kind") == "venue", ~here).when(F.col("kind") == "heritage", ~here & ~around & ~F.coalesce("visit", F.lit(False))).otherwise(False)
+    return rows.select("path", gated.alias("gated"))
+
+
+def policy(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows (source, bucket, kind) with the policy (bucket, kind, interval_ms); a null kind of the table holds for all kinds."""
+    exact = table.where("kind is not null").withColumnRenamed("interval_ms", "i1")
+    general = table.where("kind is null").select("bucket", F.col("interval_ms").alias("i2"))
+    return rows.join(F.broadcast(exact), ["bucket", "kind"], "left").join(F.broadcast(general), "bucket", "left").select("source", "bucket", "kind", F.coalesce("i1", "i2").alias("interval_ms"))
+
+
+def refreshed(rules: DataFrame, fetched: DataFrame, today: Column) -> DataFrame:
+    """Curated rules (id, value, stale_since) after a refresh (id, value, ok): failures keep the old value and their first day."""
+    f = fetched.selectExpr("id", "value as new", "ok")
+    good = F.coalesce("ok", F.lit(True))
+    return rules.join(f, "id", "left").select("id", F.when(F.col("ok"), F.col("new")).otherwise(F.col("value")).alias("value"), F.when(F.coalesce("ok", F.lit(False)), None).when(~good, F.coalesce("stale_since", today)).otherwise(F.col("stale_since")).alias("stale_since"))
