@@ -25,8 +25,8 @@ from .common import tune
 
 #: Words up to so many characters go through the caches.
 CACHED_CHARS = 64
-#: Entries of the caches before they start anew.
-WORDS, PIECES = 400_000, 250_000
+#: Entries of the caches before they start anew; workers keep them between tasks, so they must stay small.
+WORDS, PIECES = 100_000, 100_000
 
 
 @functools.lru_cache(maxsize=1)

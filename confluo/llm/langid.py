@@ -25,7 +25,7 @@ TRAIN_RUNS = 40_000
 EPOCHS = 5
 HIDDEN = 16
 SEGMENT = 24
-CACHE_RUNS = 400_000
+CACHE_RUNS = 200_000
 UNKNOWN = "und"
 
 
