@@ -26,7 +26,9 @@ from .common import tune
 #: Words up to so many characters go through the caches.
 CACHED_CHARS = 64
 #: Entries of the caches before they start anew; workers keep them between tasks, so they must stay small.
-WORDS, PIECES = 100_000, 100_000
+WORDS, PIECES = 100_000, 150_000
+#: Marks that are tokens of their own behind an ASCII letter, under the pattern of words, digits and other characters.
+CLOSING = frozenset(bytes([c]) for c in b".,;:!?|")
 
 
 @functools.lru_cache(maxsize=1)
@@ -380,6 +382,9 @@ class Codec:
         self.vocab = vocabulary(path)
         self.pieces = _Cache(self._piece, PIECES)
         self.words = _Cache(self._word, WORDS)
+        # runs of letters, and marks behind them, are matches of their own; words come in lower case if it matters
+        matches = self.vocab.pattern.findall
+        self.simple = self.vocab.lower and all(matches(f"ab{c.decode()}") == ["ab", c.decode()] for c in CLOSING)
 
     def _both(self, ids: list[int]) -> tuple[bytes, bytes]:
         return np.array(ids, "<u4").tobytes(), StreamingDecoder(self.vocab).feed(ids).encode()
@@ -388,6 +393,12 @@ class Codec:
         return self._both(piece_ids(self.vocab, piece))
 
     def _word(self, word: bytes) -> tuple[bytes, bytes]:
+        if self.simple and len(word) <= CACHED_CHARS and word.islower():
+            if word.isalpha():
+                return self.pieces[word.decode()]
+            if word[-1:] in CLOSING and word[:-1].isalpha():
+                stem, mark = self.pieces[word[:-1].decode()], self.pieces[word[-1:].decode()]
+                return stem[0] + mark[0], stem[1] + self.between + mark[1]
         text = word.decode()
         if len(text) > CACHED_CHARS or (self.vocab.marks and "<" in text):
             stream = StreamingEncoder(self.vocab)
