@@ -25,8 +25,8 @@ from .common import tune
 
 #: Words up to so many characters go through the caches.
 CACHED_CHARS = 64
-#: Entries of the caches before they start anew; workers keep them between tasks, so they must stay small.
-WORDS, PIECES = 100_000, 150_000
+#: Entries of the caches before they start anew.
+WORDS, PIECES = 200_000, 150_000
 #: Marks that are tokens of their own behind an ASCII letter, under the pattern of words, digits and other characters.
 CLOSING = frozenset(bytes([c]) for c in b".,;:!?|")
 
@@ -435,12 +435,6 @@ class Codec:
         return n, ids.hexdigest(), decoded.hexdigest()
 
 
-@functools.lru_cache(maxsize=2)
-def codec_of(path: str) -> Codec:
-    """One for each Python worker, which keeps its words from task to task."""
-    return Codec(path)
-
-
 ROUND_TRIP = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -453,7 +447,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(path)
+        codec = Codec(path)
         for batch in batches:
             rows = [codec.digest(t or "") for t in batch.column(1).to_pylist()]
             cols = list(zip(*rows)) if rows else [(), (), ()]
@@ -470,7 +464,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(path)
+        codec = Codec(path)
         for batch in batches:
             rows = [np.frombuffer(b"".join(raw for raw, _ in codec.spans(t or "")), "<u4").astype(np.int32) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "ids"])

@@ -26,7 +26,6 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.union(now.selectExpr("v as u", "u as v"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) as m")
         large = both.where("v > u").join(low, "u").selectExpr("v as u", "m as v").union(now.join(low, "u").selectExpr("u", "m as v").where("u <> v")).where("u <> v").distinct()
-        large = written(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").selectExpr("v as u", "m as v").where("u <> v").union(least.selectExpr("u", "m as v")).distinct()
         now = written(small, "small-star")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, mix, partitions, text_slices, tune, word_spans, written
+from .common import LOWER, Rolling, kept, mix, partitions, text_slices, tune, word_spans, written
 from .graph import components
 
 _U = np.uint64
@@ -268,21 +268,21 @@ def linked(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     shares the component. A null doc_id gives a row with a null component. Other columns are ignored.
     """
     tune(docs.sparkSession)
-    found = written(lists(keyed(docs.where("doc_id is not null"), k, percent)), "lists")
+    found = kept(lists(keyed(docs.where("doc_id is not null"), k, percent)))
     whole = found.where("whole").selectExpr("doc_id", "n", "case when n = 0 then doc_id else first end as rep")
     members = found.where("not whole").select("key", "doc_id", "n", "first")
     # equal sets are represented by one of them
     same = whole.where("doc_id <> rep").select("doc_id", "rep").distinct()
     members = members.join(same.withColumnRenamed("rep", "r"), "doc_id", "left").selectExpr("key", "coalesce(r, doc_id) as doc_id", "n").distinct()
-    members = written(_centred(members), "members")
-    sets = written(sets_of(docs, members.select("doc_id").distinct(), k).dropDuplicates(["doc_id"]), "sets")
+    members = kept(_centred(members))
+    sets = kept(sets_of(docs, members.select("doc_id").distinct(), k).dropDuplicates(["doc_id"]))
 
     # round one: each document with the most central of the centres of its lists
     centres = members.where("doc_id <> centre").groupBy("doc_id").agg(F.max(F.struct("score", "centre")).alias("c"))
     tested = written(_pairs(centres.selectExpr("c.centre as a", "doc_id as b")), "pairs")
     links = written(verified(tested, sets, percent), "links")
     for last in (False, True):
-        labels = written(components(links), "labels")
+        labels = components(links)
         now = _open(members, labels)
         if not last:  # each document with the centres of all its lists that are not connected
             pairs = now.where("label <> centre_label").selectExpr("centre as a", "doc_id as b")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import Rolling, mix, one_per_id, partitions, text_slices, tune, written
+from .common import Rolling, kept, mix, one_per_id, partitions, text_slices, tune
 
 LENGTH = 100
 GRAM = 24
@@ -296,10 +296,10 @@ def duplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Earlier means in a smaller doc_id, or in the same document further left. Expects one row for each doc_id.
     """
-    found = written(settled(anchored(docs, length)), "anchors")
+    found = kept(settled(anchored(docs, length)))
     again = found.where("again").select("doc_id", "start", "n")
     pieces = surroundings(docs, found.where("not again"), length)
-    strings = written(suffix_sorted(pieces, length), "sorted")
+    strings = kept(suffix_sorted(pieces, length))
     light = strings.where("hash is null").select("doc_id", "start", "n")
     heavy = strings.where("hash is not null").select("doc_id", "start", "hash")
     firsts = heavy.groupBy("hash").agg(F.min(F.struct("doc_id", "start")).alias("first"))
