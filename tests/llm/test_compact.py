@@ -80,3 +80,10 @@ def test_places_in_two_distant_halves():
     gap = rng.integers(1 << 30, 1 << 31, 500).astype(np.uint32)
     assert compact.alike(a, np.concatenate([a[:50], gap, a[50:]]), 60) == []
     assert compact.alike(a, np.concatenate([gap, a]), 60) == [(0, 100, 500, 600)]
+
+
+def test_few_windows_of_one_hash_all_meet(spark):
+    rows = [(7, 1 + d // 5, d, 0, 0 if d % 2 else 60, 60, 120 if d % 2 == 0 else 60) for d in range(10)]
+    df = spark.createDataFrame(rows, compact.ROWS)
+    got = {(r["src"], r["dst"]) for r in compact.joined(df, 46).collect()}
+    assert got == {(a, b) for a in range(10) for b in range(a + 1, 10) if (a - b) % 2 == 0}
