@@ -87,3 +87,32 @@ def test_few_windows_of_one_hash_all_meet(spark):
     df = spark.createDataFrame(rows, compact.ROWS)
     got = {(r["src"], r["dst"]) for r in compact.joined(df, 46).collect()}
     assert got == {(a, b) for a in range(10) for b in range(a + 1, 10) if (a - b) % 2 == 0}
+
+
+@pytest.mark.parametrize("size", [30, 40])
+def test_frequent_line_inside_pairwise_passages(spark, size):
+    rng = random.Random(size)
+    line = words(rng, size)
+    rows = [(d, " ".join(words(rng, 60) + line + words(rng, 60))) for d in range(100, 500)]
+    want = {d: d for d, _ in rows}
+    for g in range(50):  # 55 words around the line that only two documents share
+        left = rng.randint(0, 55 - size)
+        passage = words(rng, left) + line + words(rng, 55 - size - left)
+        for d in (1000 + g, 2000 + g):
+            rows.append((d, " ".join(words(rng, 40) + passage + words(rng, 40))))
+            want[d] = 1000 + g
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["class_id"] for r in compact.classes(df).collect()} == want
+
+
+def test_phrase_with_passages_on_either_side_in_one_slice(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for g in range(40):
+        phrase, right = words(rng, 40), words(rng, 14)
+        left = " ".join(words(rng, 60) + phrase + words(rng, 3))
+        both = [" ".join(words(rng, 40) + phrase + right + words(rng, 40)) for _ in range(2)]
+        rows += [(3 * g + k, t) for k, t in enumerate([left, *both])]
+        want |= {3 * g: 3 * g, 3 * g + 1: 3 * g + 1, 3 * g + 2: 3 * g + 1}
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"]: r["class_id"] for r in compact.classes(df).collect()} == want
