@@ -152,6 +152,15 @@ def same_place(spark, sf_dir):
     return relations.same_place(rows, rows, 20_000)
 
 
+@query("j07_same_place_all")
+def same_place_all(spark, sf_dir):
+    """j07_same_place over every row of embeddings; SQL would compare all rows of a key with each other."""
+    e, i = F.col("embedding"), F.col("vec_id")
+    lat = F.when(i % 3 > 0, 24 + e[0].cast("double"))
+    rows = table(spark, sf_dir, "embeddings").select(i.alias("id"), (i % 20).alias("key"), (i % 2).alias("city"), lat.alias("lat"), (121 + e[1].cast("double")).alias("lng"), (i % 7).alias("house"))
+    return relations.same_place(rows, rows, 20_000)
+
+
 @query("j08_suffix_keys", "WITH n AS (SELECT DISTINCT p_name AS name FROM part), r AS (SELECT DISTINCT substr(p_name, position(' ' IN p_name) + 1) AS key FROM part WHERE p_partkey % 3 = 0), s AS (SELECT name, key, length(key) AS l FROM n JOIN r ON ends_with(name, key) AND length(name) - length(key) >= 2 AND length(key) >= 4) SELECT name, arg_max(key, l) AS id FROM s GROUP BY 1")
 def suffix_keys(spark, sf_dir):
     part = table(spark, sf_dir, "part")
@@ -315,6 +324,15 @@ def saved(spark, sf_dir):
     return state.saved_items(make(c.where("c_custkey < 400"), 10), make(c.where("c_custkey between 300 and 700"), 20), F.lit(0)).select("slug", "position")
 
 
+@query("x16_saved_items_all", """WITH i AS (SELECT c_custkey AS slug, c_custkey * 10 AS saved FROM customer WHERE c_custkey % 3 < 2), t AS (SELECT c_custkey AS slug, c_custkey * 20 AS saved FROM customer WHERE c_custkey % 3 > 0),
+    k AS (SELECT * FROM i WHERE slug NOT IN (SELECT slug FROM t) UNION ALL SELECT * FROM t WHERE slug NOT IN (SELECT slug FROM i)) SELECT slug, CAST(p AS INTEGER) AS position FROM (SELECT *, row_number() OVER (ORDER BY saved DESC, slug) AS p FROM k) WHERE p <= 500""")
+def saved_all(spark, sf_dir):
+    """x16_saved_items with items and toggles from all customers; the list's own limit of 500 stays."""
+    c = table(spark, sf_dir, "customer")
+    make = lambda rows, f: rows.select(F.lit("event").alias("kind"), F.col("c_custkey").alias("slug"), (F.col("c_custkey") * f).alias("saved_at"), F.lit(None).cast("long").alias("end_at"))
+    return state.saved_items(make(c.where("c_custkey % 3 < 2"), 10), make(c.where("c_custkey % 3 > 0"), 20), F.lit(0)).select("slug", "position")
+
+
 @query("q13_editor_picks", f"WITH {SESSIONS}, l AS (SELECT DISTINCT slug FROM s WHERE e >= {TODAY}) SELECT position, o_orderkey AS slug FROM (SELECT o_orderkey, o_orderkey % 10 AS position FROM orders WHERE o_orderkey < 200) JOIN l ON slug = o_orderkey")
 def editor_picks(spark, sf_dir):
     picks = table(spark, sf_dir, "orders").where("o_orderkey < 200").select(F.lit("1997-W24").alias("week"), (F.col("o_orderkey") % 10).alias("position"), F.col("o_orderkey").alias("slug"))
@@ -322,6 +340,13 @@ def editor_picks(spark, sf_dir):
     return discovery.editor_picks(picks, live, F.lit("1997-W24")).select("position", "slug")
 
 
+@query("q13_editor_picks_all", f"WITH {SESSIONS}, l AS (SELECT DISTINCT slug FROM s WHERE e >= {TODAY}) SELECT position, o_orderkey AS slug FROM (SELECT o_orderkey, o_orderkey % 10 AS position FROM orders) JOIN l ON slug = o_orderkey")
+def editor_picks_all(spark, sf_dir):
+    picks = table(spark, sf_dir, "orders").select(F.lit("1997-W24").alias("week"), (F.col("o_orderkey") % 10).alias("position"), F.col("o_orderkey").alias("slug"))
+    live = sessions(spark, sf_dir).where(calendar.not_ended(TODAY))
+    return discovery.editor_picks(picks, live, F.lit("1997-W24")).select("position", "slug")
+
+
 @query("q16_here_past_near", f"WITH {SESSIONS} SELECT venue, slug, CASE WHEN e >= {TODAY} THEN 'here' ELSE 'past' END AS part FROM (SELECT *, row_number() OVER (PARTITION BY venue, e >= {TODAY} ORDER BY CASE WHEN e >= {TODAY} THEN start_s ELSE -start_s END, slug) AS r FROM s) WHERE r <= 3")
 def here_past(spark, sf_dir):
     live = calendar.end_of() >= TODAY

@@ -25,6 +25,13 @@ def map_points(spark, sf_dir):
     return discovery.map_points(rows, 0).selectExpr("slug", "start as start_s")
 
 
+@query("q27_map_points_all", f"WITH {POINTS} SELECT id AS slug, min(id) AS start_s FROM p GROUP BY 1")
+def map_points_all(spark, sf_dir):
+    """q27_map_points with every point: each has a slug of its own, and the days are so many that all starts lie within."""
+    rows = points(spark, sf_dir).selectExpr("id as slug", "id as start", "cast(null as long) as end", "lat", "lng")
+    return discovery.map_points(rows, 0, days=1 << 40).selectExpr("slug", "start as start_s")
+
+
 @query("q15_nearby_events")
 def nearby_events(spark, sf_dir):
     """Events of the same venue and city for the pages of the first orders, with caps on venue and series."""
