@@ -350,6 +350,12 @@ def unnest(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.slice(F.split("text", " "), 1, 3)).alias("word"))
 
 
+@query("m10_unnest_all", "SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word FROM conversations")
+def unnest_all(spark, sf_dir):
+    """m10_unnest with every word of a text."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.split("text", " ")).alias("word"))
+
+
 @query("m11_keep_first", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1")
 def keep_first(spark, sf_dir):
     best = F.max_by("doc_id", F.struct("n_chars", (-F.col("doc_id")).alias("i")))

@@ -153,6 +153,17 @@ def multi_key_sort(spark, sf_dir):
     return top.select("c_custkey", F.row_number().over(W.orderBy("c_nationkey", F.desc("c_acctbal"), "c_custkey")).cast("long").alias("place"))
 
 
+@query("t01_multi_key_sort_all", "SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_nationkey, c_acctbal DESC, c_custkey) AS BIGINT) AS place FROM customer")
+def multi_key_sort_all(spark, sf_dir):
+    """t01_multi_key_sort with a place for every customer: within its nation, after all nations before; no task sorts all rows."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    per = rows.groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(W.orderBy("c_nationkey").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a nation
+    within = F.row_number().over(W.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey"))
+    placed = rows.join(F.broadcast(per.select(F.col("c_nationkey").alias("nation"), ahead.alias("ahead"))), F.col("c_nationkey").eqNullSafe(F.col("nation")))
+    return placed.select("c_custkey", (F.col("ahead") + within).cast("long").alias("place"))
+
+
 @query("t02_top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 def top_n(spark, sf_dir):
     return table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25).select("o_orderkey", "o_totalprice")

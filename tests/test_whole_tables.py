@@ -40,3 +40,12 @@ def test_every_point_and_order(spark):
     assert max(r["slug"] for r in QUERIES["q13_editor_picks_all"](spark, DIR).collect()) >= 200
     top = max(r["c_custkey"] for r in table(spark, DIR, "customer").select("c_custkey").collect())
     assert max(r["slug"] for r in QUERIES["x16_saved_items_all"](spark, DIR).collect()) >= top - 2
+
+
+def test_every_word_and_customer(spark):
+    rows = table(spark, DIR, "conversations").collect()
+    assert QUERIES["m10_unnest_all"](spark, DIR).count() == sum(len(r["text"].split(" ")) for r in rows if r["text"] is not None)
+    rows = table(spark, DIR, "customer").collect()
+    want = sorted(rows, key=lambda r: (r["c_nationkey"], -r["c_acctbal"], r["c_custkey"]))
+    got = {r["place"]: r["c_custkey"] for r in QUERIES["t01_multi_key_sort_all"](spark, DIR).collect()}
+    assert len(want) > 50 and [got[k + 1] for k in range(len(got))] == [r["c_custkey"] for r in want]
