@@ -19,15 +19,19 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in which the network sees a language: those without text or without a letter go."""
+    """Drop documents without text or without a letter, whose prediction is UNKNOWN; the network's output rejects none."""
     found = langid.with_prediction(docs, langid.train(docs), names=("_lang_pred", "_score"))
     return found.where(F.col("_lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each component of documents that share 85 % of their 4-word shingles."""
+    """Keep the smallest doc_id of each component of documents that share 85 % of their 4-word shingles.
+
+    Rows without a doc_id are of no component and stay.
+    """
     keep = ngram_join.linked(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    kept = docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    return kept.union(docs.where("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,3 +60,12 @@ def test_empty_and_extra_columns(spark, tmp_path):
         assert isinstance(spark.read.parquet(str(top / "documents.parquet")).schema, T.StructType)
         got = pipeline.run(spark, str(top)).collect()
         assert len(got) <= n
+
+
+def test_rows_without_id_stay(spark):
+    rows = [(1, "some words of a text", "aa", "s", 20), (2, "some words of a text", "aa", "s", 20), (None, "some words of a text", "aa", "s", 20), (None, None, None, "s", 0)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    got = pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect() if r["doc_id"]) == [(1, rows[0][1])]
+    assert sorted(str(r["text"]) for r in got.collect() if r["doc_id"] is None) == ["None", rows[0][1]]
