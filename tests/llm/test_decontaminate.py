@@ -44,3 +44,21 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.overlaps(docs, none).count() == 0 and decontaminate.clean(docs, none).count() == 1
     assert decontaminate.overlaps(docs.limit(0), spark.createDataFrame([(1, "a")], "item_id long, text string")).count() == 0
+
+
+def test_misses_only_what_no_seed_hits(spark):
+    rng = random.Random(3)
+    items = [["i%dn%d" % (k, j) for j in range(n)] for k, n in enumerate([12, 15, 20, 25, 30] * 8)]
+    docs, near, hit = [], set(), set()
+    for k, item in enumerate(items):
+        n = len(item)
+        bad = set(rng.sample(range(n), n - -(-7 * n // 10)))
+        docs.append((k, " ".join("x%dn%d" % (k, j) if j in bad else w for j, w in enumerate(item))))
+        if n - len(bad) >= decontaminate.COVERAGE * n:  # what comparing every diagonal finds
+            near.add(k)
+            free = lambda m, i: all(m[j] == "0" or i + j not in bad for j in range(len(m)))
+            if any(free(m, i) for m in decontaminate.MASKS for i in range(n - len(m) + 1)):
+                hit.add(k)
+    got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string"))
+    found = {r["doc_id"] for r in got.collect()}
+    assert found == hit and len(near - found) > 0  # the sensitivity that the README states
