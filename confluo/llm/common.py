@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,12 +28,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@functools.lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="confluo-")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which driver and executors share; a local one only where that is unset."""
+    """A fresh folder under spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset, a session of one local process gets a temporary folder; on a cluster that is an error.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = tempfile.mkdtemp(prefix="confluo-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        if not spark.conf.get("spark.master", "").startswith("local") or "cluster" in spark.conf.get("spark.master", ""):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        top = _own_dir()
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -48,17 +58,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def repeats_ids(docs: DataFrame) -> bool:
+    """Whether rows share a doc_id; a scan of the ids tells."""
+    n, distinct = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    return n != distinct
+
+
 def one_per_id(docs: DataFrame) -> DataFrame:
     """Rows with a doc_id, one for each: where several rows share one, the row of the smallest text stands for them.
 
-    A scan of the ids tells whether that is needed at all.
+    Rows of equal texts are told apart by the other columns that can be ordered. Nothing is shuffled if no id repeats.
     """
     docs = docs.where("doc_id is not null")
-    n, distinct = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    if n == distinct:
+    if not repeats_ids(docs):
         return docs
-    columns = ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
-    return docs.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("r")).select("doc_id", "r.*").select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    ordered = ["text", *(c for c in others if "map<" not in docs.schema[c].dataType.simpleString() and "variant" not in docs.schema[c].dataType.simpleString())]
+    row = F.struct("text", *others)
+    return docs.groupBy("doc_id").agg(F.min_by(row, F.struct(*ordered)).alias("r")).select("doc_id", "r.*").select(*docs.columns)
 
 
 def held_out() -> "F.Column":

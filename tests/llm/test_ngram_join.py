@@ -80,8 +80,9 @@ def test_table_cases(spark):
 @pytest.mark.parametrize("percent", [50, 80, 85, 95])
 def test_qualifying_pairs_share_a_key(percent):
     rng = random.Random(percent)
-    plan = ngram_join.Plan(percent)
+    plans = [ngram_join.Plan(percent, light) for light in (0, 3, 6, 9)]
     for _ in range(600):
+        plan = rng.choice(plans)
         n = rng.randint(1, 60)
         base = np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64))
         other = set(base.tolist())
@@ -98,16 +99,55 @@ def test_qualifying_pairs_share_a_key(percent):
 
 def test_lists_over_batch_borders(spark):
     rng = random.Random(4)
-    rows = [(rng.randrange(40), k, 1, rng.random() < 0.1) for k in range(300)]
+    rows = [(rng.randrange(150), k, 1) for k in range(300)]
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     try:
         for size in ("1", "2", "7", "1000"):
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
-            got = sorted(map(tuple, ngram_join.lists(spark.createDataFrame(rows, "key long, doc_id long, n long, whole boolean")).collect()))
+            got = sorted(map(tuple, ngram_join.lists(spark.createDataFrame(rows, "key long, doc_id long, n int")).collect()))
             by = {}
             for r in rows:
                 by.setdefault(r[0], []).append(r)
-            want = sorted((*r, min(x[1] for x in own)) for own in by.values() for r in own if len(own) > 1 or r[3])
-            assert got == want
+            assert got == sorted(r for own in by.values() for r in own if len(own) > 1)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_odd_sketches_count_differences(spark):
+    """Sketches of different lengths never overstate the difference, and come close to it within the threshold."""
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64))
+    rows, want = [], {}
+    for k, d in enumerate([0, 1, 5, 40, 100, 300]):
+        other = np.unique(np.concatenate([base[d:], rng.integers(0, 1 << 63, d).astype(np.uint64)]))
+        want[k] = len(np.setxor1d(base, other))
+        rows.append((k, ngram_join.odd_sketch(base, 64).tolist(), ngram_join.odd_sketch(other, 128).tolist()))
+        rows.append((k, ngram_join.odd_sketch(base).tolist(), ngram_join.odd_sketch(other).tolist()))
+    got = spark.createDataFrame(rows, "k int, a array<long>, b array<long>").selectExpr("k", "size(b) as n", f"{ngram_join.differing_sql('a', 'b')} as d").collect()
+    for r in got:
+        assert r["d"] <= want[r["k"]] and (r["n"] == 16 or r["d"] >= 0.8 * want[r["k"]])
+
+
+def test_group_of_near_copies_without_a_centre(spark):
+    """Many edits of one text: most pairs fall short, some link, and whoever links with anyone is found."""
+    rng = random.Random(9)
+    base = ["w%d" % k for k in range(150)]
+    rows = [(k, " ".join(edited(rng, base, rng.randint(2, 9)))) for k in range(150)]
+    rows += [(1000 + k, rows[k][1] + " end") for k in range(0, 40, 2)] + [(2000 + k, rows[k][1]) for k in range(30)]
+    assert sorted(map(tuple, ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
+
+
+def test_repeated_ids_with_other_texts(spark):
+    rows = [(1, "z y x w v u"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "z y x w v u"), (4, None), (4, "")]
+    got = sorted(map(tuple, ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 3, 3), (4, 0, 4), (4, 0, 4)]
+
+
+def test_boundary_follows_the_sets(spark):
+    """Many small sets without copies are enumerated; the boundary never leaves the range weighed."""
+    def boundary(rows):
+        return ngram_join.cheapest_boundary(ngram_join.sizes(spark.createDataFrame(rows, "doc_id long, text string"), 4), 85)
+
+    few = [(k, " ".join("w%d" % (k * 20 + j) for j in range(5 + k % 10))) for k in range(60)]
+    assert 0 < boundary(few) <= ngram_join.MOST_LIGHT
+    assert boundary([(1, None)]) == 0
