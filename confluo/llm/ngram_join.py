@@ -36,8 +36,8 @@ from .graph import components
 
 _U = np.uint64
 _ODD = mix(np.arange(101, 165, dtype=_U)) | _U(1)
-#: Candidate ids are broadcast up to this number, and shuffled beyond it.
-BROADCAST_IDS = 1_000_000
+#: Rows of ids (and a digest) are broadcast up to this number, and shuffled beyond it.
+BROADCAST_IDS = 500_000
 #: The largest boundary that is weighed: the number of subsets grows faster than any power of the size.
 MOST_LIGHT = 24
 #: 64-bit words of an odd sketch: for sets that may differ in up to 128 elements, and SKETCH_BITS for each element beyond.
@@ -337,7 +337,8 @@ def linked(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     nodes = written(sizes(one, k), "nodes") if several else sized.where("doc_id is not null")
     # equal sets are represented by the smallest of their doc_ids
     alike = nodes.where("n > 0").groupBy("whole").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("whole", "rep")
-    copies = written(nodes.join(alike, "whole").where("doc_id <> rep").select("doc_id", "rep"), "copies")
+    alike = written(alike, "alike")  # a plain table on either side, so that a digest of many rows can be split or broadcast
+    copies = written(nodes.join(_small(alike), "whole").where("doc_id <> rep").select("doc_id", "rep"), "copies")
     one = one.join(_small(copies.select("doc_id")), "doc_id", "left_anti")
     plan = Plan(percent, cheapest_boundary(nodes, percent))
     members = written(_centred(written(lists(keyed(one, k, plan)), "lists")), "members")
