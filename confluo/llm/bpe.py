@@ -2,8 +2,9 @@
 
 The merge list alone bounds how far the text to the right of a position can change the tokens to its left.
 ``sufficient_lookahead`` computes that bound, so an encoder keeps a window of constant size and emits tokens once no
-continuation can change them. A word that fits into the window is stable when it ends; longer words are emitted piece by
-piece. Results of short words are kept in a bounded cache; that only saves time.
+continuation can change them. White space ends a word and makes all its tokens stable; within a longer word tokens leave
+piece by piece. Texts are fed in pieces, the ids that come out are fed to the decoder at once, and neither keeps more than
+its window. What the transducer gives for a short word is kept in a bounded cache; that only saves time.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .common import tune
 
 #: Words up to so many characters go through the caches.
 CACHED_CHARS = 64
+#: Characters of a text that are fed at once.
+PIECE = 1 << 16
 #: Entries of the caches before they start anew.
 WORDS, PIECES = 200_000, 150_000
 #: Marks that are tokens of their own behind an ASCII letter, under the pattern of words, digits and other characters.
@@ -66,10 +69,47 @@ def sufficient_lookahead(merges: list[tuple[str, str]], length: dict[str, int])
     return reach
 
 
+@functools.lru_cache(maxsize=1)
+def characters() -> dict:
+    """What the tokenizers library takes for letters, numbers and white space, and where its tables of case and composition
+    differ from Python's; its Unicode version is its own.
+
+    Classes are strings of ranges for a pattern. About a second's work, done once and sent to the workers.
+    """
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+
+    def ranges(pattern: str) -> str:
+        found = pre_tokenizers.Split(Regex(pattern + "+"), "removed", invert=True).pre_tokenize_str("".join(every))
+        return "".join(f"{regex.escape(run[0], special_only=False)}-{regex.escape(run[-1], special_only=False)}" for piece, _ in found for run in _runs(piece))
+
+    def differing(normalizer, own) -> dict[int, str]:
+        plain = [c for c in every if c != "\n"]
+        return {ord(c): got for c, got in zip(plain, normalizer.normalize_str("\n".join(plain)).split("\n")) if got != own(c)}
+
+    return {
+        r"\p{L}": ranges(r"\p{L}"), r"\p{N}": ranges(r"\p{N}"), r"\s": ranges(r"\s"), "lower": differing(normalizers.Lowercase(), str.lower),
+        "nfc": differing(normalizers.NFC(), lambda c: unicodedata.normalize("NFC", c)),
+    }
+
+
+def _runs(piece: str) -> Iterator[str]:
+    """Stretches of consecutive code points."""
+    codes = np.frombuffer(piece.encode("utf-32-le"), np.uint32)
+    cuts = np.flatnonzero(np.diff(codes) != 1) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(piece)]):
+        yield piece[a:b]
+
+
 class Vocabulary:
-    """The parts of a tokenizer file that encoding needs: ids, ranked merges, marks and special tokens."""
+    """The parts of a tokenizer file that encoding needs: ids, ranked merges, marks and special tokens.
 
-    def __init__(self, path: str):
+    It also holds the caches of what the transducer gave for short words.
+    """
+
+    def __init__(self, path: str, classes: dict | None = None):
+        self.classes = classes or characters()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -92,18 +132,87 @@ class Vocabulary:
         split = next(p for p in spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]]) if p["type"] == "Split")
         if not split["invert"] or split["behavior"] != "Removed":
             raise ValueError("the splitter must keep what its pattern matches")
-        self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.pattern = regex.compile(self.with_classes(split["pattern"]["Regex"]))
+        self.letter, self.letters, self.others = (regex.compile(self.with_classes(x)) for x in (r"[\p{L}]", r"[\p{L}]+", r"[^\s\p{L}\p{N}]+"))
         marks = sorted(map(regex.escape, self.special), key=len, reverse=True)
         self.marks = regex.compile("|".join(marks)) if marks else None
         decoder = spec.get("decoder") or {}
         self.byte_decoder = decoder.get("type") == "ByteLevel"
         if decoder and not self.byte_decoder:
             raise ValueError("only byte-level decoders, or none, are supported")
+        self.pieces = _Cache(self._piece, PIECES)
+        self.words = _Cache(self._word, WORDS)
+        # runs of letters, and marks behind them, are matches of their own; words come in lower case if it matters
+        matches = self.pattern.findall
+        self.simple = self.lower and all(matches(f"ab{c.decode()}") == ["ab", c.decode()] for c in CLOSING)
+
+    def with_classes(self, pattern: str) -> str:
+        """The pattern with its classes written out; a class outside brackets gets brackets."""
+        out, inside, at = [], False, 0
+        while at < len(pattern):
+            name = next((n for n in (r"\p{L}", r"\p{N}", r"\s") if pattern.startswith(n, at)), None)
+            if name:
+                out.append(self.classes[name] if inside else f"[{self.classes[name]}]")
+                at += len(name)
+                continue
+            size = 2 if pattern[at] == "\\" else 1
+            inside = pattern[at] == "[" or inside and pattern[at] != "]"
+            out.append(pattern[at : at + size])
+            at += size
+        return "".join(out)
+
+    def normal(self, text: str) -> str:
+        """NFC and lower case character by character, without rules that look at the neighbours, where the file asks for them."""
+        if self.nfc and not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+            if self.classes["nfc"]:
+                text = text.translate(self.classes["nfc"])
+        if not self.lower:
+            return text
+        if text.isascii():
+            return text.lower()
+        special = self.classes["lower"]
+        if "\u03a3" in text or any(ord(c) in special for c in text):
+            return "".join(special.get(ord(c)) or c.lower() for c in text)
+        return text.lower()
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of one match, through the transducer."""
+        word = WordTransducer(self)
+        return packed(word.push(piece.encode()) + word.finish())
+
+    def _word(self, word: bytes) -> bytes:
+        """The ids of what stands between ASCII white space: its matches, each stable as it ends."""
+        if self.simple and len(word) <= CACHED_CHARS and word.islower():
+            if word.isalpha():
+                return self.pieces[word.decode()]
+            if word[-1:] in CLOSING and word[:-1].isalpha():
+                return self.pieces[word[:-1].decode()] + self.pieces[word[-1:].decode()]
+        text = word.decode()
+        if len(text) > CACHED_CHARS or (self.marks and "<" in text):
+            stream = StreamingEncoder(self)
+            return stream.slowly(text) + stream.slowly("", True)
+        return b"".join([self.pieces[p] for p in self.pattern.findall(self.normal(text))])
 
 
 @functools.lru_cache(maxsize=4)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def _vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path, _sent.get("classes"))
+
+
+#: The classes that came with a task, so that a worker need not ask the library.
+_sent: dict[str, dict] = {}
+
+
+def vocabulary(path: str, classes: dict | None = None) -> Vocabulary:
+    """One for each process and file."""
+    if classes:
+        _sent.setdefault("classes", classes)
+    return _vocabulary(path)
+
+
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
 
 
 class Ranks(dict):
@@ -223,7 +332,7 @@ class StreamingEncoder:
     """Text in pieces of any size in, ids out as soon as they are stable; memory does not grow with the text.
 
     ``feed`` returns the ids that are certain so far, ``finish`` the rest. The ids are those of encoding the whole text at
-    once, however it was cut.
+    once, however it was cut. Only a run of combining marks has to be held whole, since composition sorts it.
     """
 
     #: Characters that may wait before a cut inside a word is looked for.
@@ -231,56 +340,72 @@ class StreamingEncoder:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.pending = ""  # raw text not yet normalised
+        self.waiting: list[str] = []  # raw text without a place to cut at
+        self.size, self.limit = 0, self.PENDING
         self.open = ""  # normalised text in which a match may still grow or start
         self.word: WordTransducer | None = None  # an endless match
         self.same: regex.Pattern | None = None
         self.longest = max(map(len, vocab.special), default=0)
 
     def feed(self, text: str) -> list[int]:
-        out: list[int] = []
-        for at in range(0, len(text), self.PENDING):
-            self.pending += text[at : at + self.PENDING]
-            cut = self._cut()
-            if cut:
-                ready, self.pending = self.pending[:cut], self.pending[cut:]
-                out += self._take(ready)
-        return out
+        return np.frombuffer(self.push(text), "<u4").tolist()
 
     def finish(self) -> list[int]:
-        ready, self.pending = self.pending, ""
-        return self._take(ready) + self._flush()
-
-    def _cut(self) -> int:
-        """Up to where the waiting text can be normalised alone: at white space, or inside a word where nothing joins."""
-        space = max(self.pending.rfind(c) for c in " \n\t")
-        if space >= 0:
-            return space + 1
-        if len(self.pending) < self.PENDING:
-            return 0
-        joins = _joins_left()
-        for at in range(len(self.pending) - self.longest, 0, -1):
-            inside = self.longest and any(m.start() < at < m.end() for m in self.vocab.marks.finditer(self.pending, max(0, at - self.longest), at + self.longest))
-            if self.pending[at] not in joins and not inside:
-                return at
-        return 0
-
-    def _take(self, raw: str) -> list[int]:
-        if self.vocab.marks is None:
-            return self._plain(raw)
+        return np.frombuffer(self.end(), "<u4").tolist()
+
+    def push(self, text: str) -> bytes:
+        """As ``feed``, with the ids as little-endian unsigned 32-bit integers."""
+        out = []
+        for at in range(0, len(text), PIECE):
+            piece = text[at : at + PIECE]
+            space = max(piece.rfind(c) for c in " \n\t")
+            if space >= 0:
+                out.append(self._words("".join([*self.waiting, piece[: space + 1]])))
+                self.waiting, piece, self.limit = [], piece[space + 1 :], self.PENDING
+                self.size = 0
+            if piece:
+                self.waiting.append(piece)
+                self.size += len(piece)
+            if self.size >= self.limit:
+                out.append(self._inside())
+        return b"".join(out)
+
+    def end(self) -> bytes:
+        rest, self.waiting, self.size = "".join(self.waiting), [], 0
+        return self._words(rest) if self.word is None and not self.open else self.slowly(rest, True)
+
+    def _words(self, text: str) -> bytes:
+        """The ids of text that ends with white space, or with the whole text."""
+        out = []
+        if self.word is not None or self.open:  # the end of a word that is emitted piece by piece
+            space = min((k for k in map(text.find, " \n\t") if k >= 0), default=len(text))
+            out.append(self.slowly(text[:space], True))
+            text = text[space:]
+        raw = text.encode()
+        if self.vocab.lower and not (self.vocab.marks and b"<" in raw):  # the case of marks counts
+            raw = raw.lower()
+        out += map(self.vocab.words.__getitem__, raw.split())
+        return b"".join(out)
+
+    def _inside(self) -> bytes:
+        """The ids up to a cut inside a word, where nothing joins; if there is none, the next try waits for twice the text."""
+        text, joins = "".join(self.waiting), _joins_left()
+        for at in range(len(text) - max(1, self.longest), 0, -1):
+            inside = self.longest and any(m.start() + max(0, at - self.longest) < at < m.end() + max(0, at - self.longest) for m in self.vocab.marks.finditer(text[max(0, at - self.longest) : at + self.longest]))
+            if text[at] not in joins and not inside:
+                self.waiting, self.size, self.limit = [text[at:]], len(text) - at, self.PENDING + len(text) - at
+                return self.slowly(text[:at])
+        self.waiting, self.limit = [text], 2 * len(text)
+        return b""
+
+    def slowly(self, raw: str, final: bool = False) -> bytes:
+        """Raw text whose ends nothing joins, match by match; ``final`` says that no match goes on behind it."""
         out, at = [], 0
-        for m in self.vocab.marks.finditer(raw):
-            out += self._plain(raw[at : m.start()]) + self._flush()
+        for m in self.vocab.marks.finditer(raw) if self.vocab.marks else ():
+            out += self._match(self.vocab.normal(raw[at : m.start()]), True)
             out.append(self.vocab.special[m[0]])
             at = m.end()
-        return out + self._plain(raw[at:])
-
-    def _plain(self, raw: str) -> list[int]:
-        text = unicodedata.normalize("NFC", raw) if self.vocab.nfc else raw
-        return self._match(lowered(text) if self.vocab.lower else text, False)
-
-    def _flush(self) -> list[int]:
-        return self._match("", True)
+        return packed(out + self._match(self.vocab.normal(raw[at:]), final))
 
     def _match(self, text: str, final: bool) -> list[int]:
         out: list[int] = []
@@ -293,7 +418,6 @@ class StreamingEncoder:
             out += self.word.finish()
             self.word, text = None, text[end:]
         text, self.open = self.open + text, ""
-        at = 0
         for m in self.vocab.pattern.finditer(text):
             if m.end() > len(text) - 4 and not final:  # it may grow, or be another alternative
                 self.open = text[m.start() :]
@@ -302,30 +426,13 @@ class StreamingEncoder:
                     out += self.word.push(self.open.encode())
                     self.open = ""
                 return out
-            out += piece_ids(self.vocab, m[0])
-            at = m.end()
+            out += np.frombuffer(self.vocab.pieces[m[0]], "<u4").tolist()
         return out
 
     def _start(self) -> None:
         """A match that is this long is a run of letters, or of neither letters, digits nor white space."""
         self.word = WordTransducer(self.vocab)
-        letters = regex.match(r"\p{L}", self.open)
-        self.same = regex.compile(r"\p{L}+" if letters else r"[^\s\p{L}\p{N}]+")
-
-
-def lowered(text: str) -> str:
-    """Lower case character by character, without rules that look at the neighbours."""
-    return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-
-
-def piece_ids(vocab: Vocabulary, piece: str) -> list[int]:
-    raw = piece.encode()
-    if len(raw) <= vocab.lookahead:  # the whole piece fits into the window and is stable as it ends
-        symbols = [vocab.symbol[b] for b in raw]
-        symbols[-1] = vocab.last_symbol[raw[-1]]
-        return merge(symbols, vocab.ranks)
-    word = WordTransducer(vocab)
-    return word.push(raw) + word.finish()
+        self.same = self.vocab.letters if self.vocab.letter.match(self.open) else self.vocab.others
 
 
 class StreamingDecoder:
@@ -344,8 +451,8 @@ class StreamingDecoder:
     def feed(self, ids: Iterable[int]) -> str:
         token = self.vocab.token_of
         if self.vocab.byte_decoder:
-            return "".join(self.bytes.decode(bytes(self.value[c] for c in token[i])) for i in ids)
-        text = " ".join(token[i] for i in ids)
+            return self.bytes.decode(b"".join(bytes(self.value[c] for c in token[i]) for i in ids))
+        text = " ".join(map(token.__getitem__, ids))
         if not text:
             return ""
         text, self.first = (text if self.first else " " + text), False
@@ -376,62 +483,26 @@ class _Cache(dict):
 
 
 class Codec:
-    """Encodes and decodes whole documents word by word; both directions run over the same stream of words."""
+    """Runs texts through the encoder, and what it emits through the decoder, piece by piece."""
 
-    def __init__(self, path: str):
-        self.vocab = vocabulary(path)
-        self.pieces = _Cache(self._piece, PIECES)
-        self.words = _Cache(self._word, WORDS)
-        # runs of letters, and marks behind them, are matches of their own; words come in lower case if it matters
-        matches = self.vocab.pattern.findall
-        self.simple = self.vocab.lower and all(matches(f"ab{c.decode()}") == ["ab", c.decode()] for c in CLOSING)
-
-    def _both(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return np.array(ids, "<u4").tobytes(), StreamingDecoder(self.vocab).feed(ids).encode()
-
-    def _piece(self, piece: str) -> tuple[bytes, bytes]:
-        return self._both(piece_ids(self.vocab, piece))
-
-    def _word(self, word: bytes) -> tuple[bytes, bytes]:
-        if self.simple and len(word) <= CACHED_CHARS and word.islower():
-            if word.isalpha():
-                return self.pieces[word.decode()]
-            if word[-1:] in CLOSING and word[:-1].isalpha():
-                stem, mark = self.pieces[word[:-1].decode()], self.pieces[word[-1:].decode()]
-                return stem[0] + mark[0], stem[1] + self.between + mark[1]
-        text = word.decode()
-        if len(text) > CACHED_CHARS or (self.vocab.marks and "<" in text):
-            stream = StreamingEncoder(self.vocab)
-            return self._both(stream.feed(text) + stream.finish())
-        if self.vocab.nfc and not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        found = [self.pieces[p] for p in self.vocab.pattern.findall(lowered(text) if self.vocab.lower else text)]
-        if len(found) == 1:
-            return found[0]
-        return b"".join([f[0] for f in found]), self.between.join([f[1] for f in found])
-
-    @property
-    def between(self) -> bytes:
-        return b"" if self.vocab.byte_decoder else b" "
+    def __init__(self, path: str, classes: dict | None = None):
+        self.vocab = vocabulary(path, classes)
 
     def spans(self, text: str) -> Iterator[tuple[bytes, bytes]]:
-        """(ids as little-endian unsigned 32-bit integers, decoded text) of the text's words, many words at a time."""
-        raw = text.encode()
-        if self.vocab.lower and b"<" not in raw:  # the case of marks counts
-            raw = raw.lower()
-        words = raw.split()  # at ASCII white space, which no token crosses
-        for at in range(0, len(words), 4096):
-            got = list(map(self.words.__getitem__, words[at : at + 4096]))
-            yield b"".join([g[0] for g in got]), self.between.join([g[1] for g in got if g[1]])
+        """(ids as little-endian unsigned 32-bit integers, decoded text in UTF-8), as they become certain."""
+        encoder, decoder = StreamingEncoder(self.vocab), StreamingDecoder(self.vocab)
+        for at in range(0, len(text), PIECE):
+            raw = encoder.push(text[at : at + PIECE])
+            yield raw, decoder.feed(np.frombuffer(raw, "<u4").tolist()).encode()
+        raw = encoder.end()
+        yield raw, (decoder.feed(np.frombuffer(raw, "<u4").tolist()) + decoder.finish()).encode()
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        ids, decoded, n, first = hashlib.sha256(), hashlib.sha256(), 0, True
-        for raw, words in self.spans(text):
+        ids, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
+        for raw, shown in self.spans(text):
             ids.update(raw)
+            decoded.update(shown)
             n += len(raw) // 4
-            if words:
-                decoded.update(words if first else self.between + words)
-                first = False
         return n, ids.hexdigest(), decoded.hexdigest()
 
 
@@ -445,9 +516,10 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     repeated rows, a null doc_id stays null and an empty table gives an empty result. Other columns are ignored.
     """
     tune(docs.sparkSession)
+    classes = characters()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = Codec(path, classes)
         for batch in batches:
             rows = [codec.digest(t or "") for t in batch.column(1).to_pylist()]
             cols = list(zip(*rows)) if rows else [(), (), ()]
@@ -460,11 +532,15 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and the ids of every text as an array of integers; null and empty texts have empty arrays."""
+    """doc_id and the ids of every text as an array of integers; null and empty texts have empty arrays.
+
+    Each row stands for itself; a null doc_id stays null and other columns are ignored.
+    """
     tune(docs.sparkSession)
+    classes = characters()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = Codec(path, classes)
         for batch in batches:
             rows = [np.frombuffer(b"".join(raw for raw, _ in codec.spans(t or "")), "<u4").astype(np.int32) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "ids"])

@@ -101,3 +101,59 @@ def test_table_cases(spark):
     empty = hashlib.sha256(b"").hexdigest()
     assert len(got) == 4 and (2, 0, empty, empty) in got and (None, 0, empty, empty) in got
     assert bpe.round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_every_code_point_same_as_library(library):
+    """Between letters, and alone behind white space."""
+    codec = bpe.Codec(PATH)
+    texts = [f"A{chr(c)}b {chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(texts), 40_000):
+        some = texts[at : at + 40_000]
+        want = [e.ids for e in library.encode_batch_fast(some, add_special_tokens=False)]
+        bad = [t for t, ids in zip(some, want) if np.frombuffer(b"".join(r for r, _ in codec.spans(t)), "<u4").tolist() != ids]
+        assert not bad, [hex(ord(t[1])) for t in bad[:20]]
+
+
+def test_memory_stays_constant_over_a_long_text():
+    """50 MB, fed and decoded in pieces: spaced text, an endless word, and both in turn."""
+    import tracemalloc
+
+    vocab = bpe.vocabulary(PATH)
+    spaced, endless = "some words of a long text, and more; " * 1700, "abcdefghij" * 400
+    stream, decoder = bpe.StreamingEncoder(vocab), bpe.StreamingDecoder(vocab)
+    n = fed = 0
+    for ids in (stream.feed(spaced), stream.feed(endless)):  # fills the caches
+        decoder.feed(ids)
+    tracemalloc.start()
+    for k in range(800):
+        piece = spaced if k % 40 else endless
+        ids = stream.feed(piece)
+        fed += len(piece)
+        n += len(ids)
+        decoder.feed(ids)
+    n += len(stream.finish())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert fed > 45_000_000 and n > fed / 10 and peak < 16 << 20
+
+
+def test_run_of_combining_marks(library):
+    """Nothing can be cut there: the run waits, without being looked at again and again."""
+    text = "a" + "\u0301\u0323" * 30_000 + " b"
+    stream = bpe.StreamingEncoder(bpe.vocabulary(PATH))
+    got = [i for at in range(0, len(text), 1000) for i in stream.feed(text[at : at + 1000])] + stream.finish()
+    assert got == library.encode(text, add_special_tokens=False).ids
+
+
+def test_decoder_over_cuts(library):
+    """The emitted ids are decoded in pieces as the library decodes them at once."""
+    rng = random.Random(2)
+    vocab = bpe.vocabulary(PATH)
+    for text in TEXTS:
+        ids = library.encode(text, add_special_tokens=False).ids
+        decoder, got, at = bpe.StreamingDecoder(vocab), "", 0
+        while at < len(ids):
+            k = rng.randint(1, 9)
+            got += decoder.feed(ids[at : at + k])
+            at += k
+        assert got + decoder.finish() == library.decode(ids, skip_special_tokens=False)
