@@ -1,11 +1,12 @@
 """Language ID: a bidirectional gated recurrent network over bytes that labels every position.
 
-Two GRUs read each run of bytes between white space (A-Z in lower case, cut after SEGMENT bytes, between two blanks), one
-from either side; a softmax over both states gives the languages' probabilities at each position. A document's
-probabilities are the mean over all its positions. States start anew with each run, so equal runs give equal positions:
-each distinct run is computed once per slice of texts and weighted with how often it occurs.
+Two GRUs read a text (A-Z in lower case) from either side, across words; a softmax over both states gives the languages'
+probabilities at each position. A document's probabilities are the mean over all its positions but white space. States
+start anew every BLOCK bytes or a little earlier, behind white space, so that the blocks of long and short texts are read
+side by side; a text of up to BLOCK bytes is read in one go.
 
-The network is trained in numpy by backpropagation through time on runs from at most TRAIN_ROWS labelled documents.
+The network is trained in numpy by backpropagation through time on pieces of at most TRAIN_ROWS labelled documents of each
+language.
 """
 
 from __future__ import annotations
@@ -16,16 +17,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.types import StructType
 
-from .common import LOWER, Rolling, held_out, text_slices, tune, word_spans
-
-TRAIN_ROWS = 1_500
-TRAIN_RUNS = 40_000
-EPOCHS = 5
-HIDDEN = 16
-SEGMENT = 24
-CACHE_RUNS = 200_000
+from .common import LOWER, WHITESPACE, held_out, text_slices, tune
+
+#: Documents of each language that the network is trained on, and pieces of so many bytes, spread over each of them.
+TRAIN_ROWS = 400
+TRAIN_PIECES = 8
+TRAIN_BYTES = 96
+#: Pieces of each language for one epoch: drawn with replacement where there are fewer or more.
+TRAIN_SHARE = 3_000
+EPOCHS = 3
+HIDDEN = 8
+#: Bytes that are read in one go, and how much earlier white space may end a block.
+BLOCK, SLACK = 256, 32
+#: Blocks that are read side by side.
+SIDE_BY_SIDE = 2048
 UNKNOWN = "und"
 
 
@@ -118,8 +126,8 @@ class Network:
             batches = []
             for n, own in by_length.items():
                 order = rng.permutation(len(own))
-                batches += [(n, order[at : at + 256]) for at in range(0, len(own), 256)]
-            rate = 0.012 * (1 - epoch / EPOCHS)
+                batches += [(n, order[at : at + 128]) for at in range(0, len(own), 128)]
+            rate = 0.02 * (1 - epoch / EPOCHS)
             for i in rng.permutation(len(batches)):
                 n, some = batches[i]
                 step += 1
@@ -130,57 +138,57 @@ class Network:
                     self.p[k] -= rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)
 
 
-def runs_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes, and row, start and end of every run; runs longer than SEGMENT are cut."""
-    lower = LOWER[data]
-    starts, ends, counts = word_spans(lower, offsets)
-    row = np.repeat(np.arange(len(counts)), counts)
-    long = ends - starts > SEGMENT
-    if long.any():
-        parts = -(-(ends - starts) // SEGMENT)
-        row, first = np.repeat(row, parts), np.repeat(starts, parts)
-        last = np.repeat(ends, parts)
-        step = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
-        starts = first + step * SEGMENT
-        ends = np.minimum(starts + SEGMENT, last)
-    return lower, row, starts, ends
-
-
-def codes_of(lower: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Runs of one length as rows of bytes, between two blanks."""
-    codes = np.full((len(starts), length + 2), 0x20, np.uint8)
-    codes[:, 1:-1] = lower[starts[:, None] + np.arange(length)]
-    return codes
-
-
-class Labeller:
-    """Sums of the position probabilities for runs, kept for runs that come again."""
-
-    def __init__(self, network: Network):
-        self.network = network
-        self.known: dict[int, int] = {}
-        self.sums = np.zeros((CACHE_RUNS, len(network.languages)), np.float32)
-
-    def of(self, lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """(runs, languages): the sum over the positions of each run."""
-        hashes, first, back = np.unique(Rolling(lower).of(starts, ends), return_index=True, return_inverse=True)
-        at = np.fromiter(map(lambda h: self.known.get(h, -1), hashes.tolist()), np.int64, len(hashes))
-        out = np.empty((len(hashes), self.sums.shape[1]), np.float32)
-        out[at >= 0] = self.sums[at[at >= 0]]
-        fresh = np.flatnonzero(at < 0)
-        size = (ends - starts)[first]
-        for length in np.unique(size[fresh]).tolist():
-            own = fresh[size[fresh] == length]
-            for k in range(0, len(own), 4096):
-                some = own[k : k + 4096]
-                out[some] = self.network.positions(codes_of(lower, starts[first[some]], length))[1:-1].sum(0)
-        if len(self.known) + len(fresh) > CACHE_RUNS:
-            self.known.clear()
-        if len(fresh) <= CACHE_RUNS:
-            n = len(self.known)
-            self.sums[n : n + len(fresh)] = out[fresh]
-            self.known.update(zip(hashes[fresh].tolist(), range(n, n + len(fresh))))
-        return out[back]
+def blocks_of(lower: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the blocks of all rows, in order."""
+    size = np.diff(offsets)
+    many = -(-size // BLOCK)
+    row = np.repeat(np.arange(len(size)), many)
+    starts = offsets[row] + BLOCK * (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many))
+    if not len(starts):
+        return starts, starts
+    inner = starts > offsets[row]
+    space = np.maximum.accumulate(np.where(WHITESPACE[lower], np.arange(len(lower)), -BLOCK))[np.maximum(starts - 1, 0)]
+    starts = np.where(inner & (starts - 1 - space < SLACK), space + 1, starts)
+    return starts, np.r_[np.where(row[1:] == row[:-1], starts[1:], offsets[row[:-1] + 1]), offsets[row[-1] + 1]]
+
+
+def labelled(network: Network, lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Probabilities (bytes, languages) at every position of the blocks.
+
+    Blocks are read side by side, longest first, so that those not yet at their end are always the first ones.
+    """
+    logits = np.zeros((len(lower), len(network.languages)), np.float32)
+    order = np.argsort(starts - ends, kind="stable")
+    for at in range(0, len(order), SIDE_BY_SIDE):
+        some = order[at : at + SIDE_BY_SIDE]
+        first, last = starts[some], ends[some] - 1
+        steps = np.searchsorted(-(last + 1 - first), -np.arange(int(last[0] + 1 - first[0])))  # blocks longer than t
+        for side, begin, way in (("f", first, 1), ("b", last, -1)):
+            x, u, out = network.p[f"x{side}"], network.p[f"u{side}"], network.p[f"o{side}"]
+            h = u.shape[0]
+            gates_u, new_u = np.ascontiguousarray(u[:, : 2 * h]), np.ascontiguousarray(u[:, 2 * h :])
+            state = np.zeros((len(some), h), np.float32)
+            for t, k in enumerate(steps.tolist()):
+                place = begin[:k] + way * t
+                inp, own = x.take(lower[place], axis=0), state[:k]
+                gates = own @ gates_u
+                gates += inp[:, : 2 * h]
+                gates *= 0.5
+                np.tanh(gates, out=gates)
+                gates += 1
+                gates *= 0.5  # the logistic of the sum
+                new = (gates[:, h:] * own) @ new_u
+                new += inp[:, 2 * h :]
+                np.tanh(new, out=new)
+                new -= own
+                new *= gates[:, :h]
+                own += new
+                logits[place] += own @ out
+    logits += network.p["bias"]
+    logits -= logits.max(1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(1, keepdims=True)
+    return logits
 
 
 def has_letter(text: bytes) -> bool:
@@ -188,25 +196,38 @@ def has_letter(text: bytes) -> bool:
 
 
 def train(docs: DataFrame) -> Network:
-    """Train on documents with text and language whose doc_id is not held out: the TRAIN_ROWS with the smallest hashes."""
-    known = docs.selectExpr("cast(doc_id as long) as doc_id", "lang", "text").where("doc_id is not null and lang is not null and text is not null").where(~held_out())
-    chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    rows = sorted(map(tuple, known.join(F.broadcast(chosen), "doc_id").collect()))
-    languages = sorted({lang for _, lang, _ in rows})
+    """Train on documents with text and language whose doc_id is not held out: of each language the TRAIN_ROWS with the
+    smallest hashes of doc_id.
+
+    What reaches the driver is bounded by language: TRAIN_PIECES pieces of TRAIN_BYTES, spread evenly over each document.
+    Rows of one doc_id and language are ordered by text.
+    """
+    tune(docs.sparkSession)
+    known = docs.selectExpr("cast(doc_id as long) as doc_id", "lang", "text").where("doc_id is not null and lang is not null and length(text) > 0").where(~held_out())
+    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    chosen = known.select("*", F.row_number().over(first).alias("_rank")).where(F.col("_rank") <= TRAIN_ROWS).select("lang", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, piece = [], []
+            for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                raw = LOWER[np.frombuffer(text.encode(), np.uint8)].tobytes()
+                most = max(0, len(raw) - TRAIN_BYTES)
+                for at in sorted({most * k // (TRAIN_PIECES - 1) for k in range(TRAIN_PIECES)}):
+                    lang.append(own)
+                    piece.append(raw[at : at + TRAIN_BYTES])
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(piece, pa.binary())], names=["lang", "piece"])
+
+    rows = sorted((lang, bytes(piece)) for lang, piece in chosen.mapInArrow(run, "lang string, piece binary").collect())
+    languages = sorted({lang for lang, _ in rows})
     network = Network(languages)
     if len(languages) < 2:
         return network
     rng = np.random.default_rng(1)
     runs, target = [], []
-    share = -(-TRAIN_RUNS // len(languages))
     for k, lang in enumerate(languages):
-        own: list[bytes] = []
-        for _, its, text in rows:
-            if its == lang:
-                raw = np.frombuffer(text.encode(), np.uint8)
-                lower, _, starts, ends = runs_of(raw, np.array([0, len(raw)]))
-                own += [b" " + lower[s:e].tobytes() + b" " for s, e in zip(starts.tolist(), ends.tolist())]
-        some = rng.choice(len(own), share) if own else []
+        own = [piece for its, piece in rows if its == lang]
+        some = rng.permutation(len(own))[:TRAIN_SHARE] if len(own) >= TRAIN_SHARE else rng.choice(len(own), TRAIN_SHARE)
         runs += [own[i] for i in some]
         target += [k] * len(some)
     network.fit(runs, np.array(target))
@@ -233,29 +254,28 @@ def with_prediction(docs: DataFrame, network: Network, column: str = "text", nam
     at = docs.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(network)
         for batch in batches:
             for start, end, data, offsets in text_slices(batch.column(at)):
-                lower, row, starts, ends = runs_of(data, offsets)
-                sums = np.zeros((end - start, max(1, len(network.languages))))
-                n = np.zeros(end - start)
-                if len(row) and network.languages:
-                    found = labeller.of(lower, starts, ends)
+                lower, many = LOWER[data], end - start
+                sums, n = np.zeros((many, max(1, len(network.languages)))), np.zeros(many)
+                if len(lower) and network.languages:
+                    found = labelled(network, lower, *blocks_of(lower, offsets))
+                    black = np.flatnonzero(~WHITESPACE[lower])
+                    row = np.repeat(np.arange(many), np.diff(offsets))[black]
+                    n = np.bincount(row, minlength=many)
                     for k in range(found.shape[1]):
-                        sums[:, k] = np.bincount(row, found[:, k], end - start)
-                    n = np.bincount(row, ends - starts, end - start)
+                        sums[:, k] = np.bincount(row, found[black, k], many)
                 best = sums.argmax(1)
-                score = sums[np.arange(end - start), best] / np.maximum(n, 1)
+                score = sums[np.arange(many), best] / np.maximum(n, 1)
                 letters = (lower >= 0x61) & (lower <= 0x7A)
-                seen = np.concatenate([[0], np.cumsum(letters)])[offsets]
-                sure = np.diff(seen) > 0
+                sure = np.diff(np.concatenate([[0], np.cumsum(letters)])[offsets]) > 0
                 found_names = []
-                for k in range(end - start):
+                for k in range(many):
                     ok = network.languages and n[k] and (sure[k] or has_letter(data[offsets[k] : offsets[k + 1]].tobytes()))
                     found_names.append(network.languages[best[k]] if ok else UNKNOWN)
                     if not ok:
                         score[k] = 0
-                kept = [c.slice(start, end - start) for c in batch.columns]
+                kept = [c.slice(start, many) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(found_names, pa.string()), pa.array(np.clip(score, 0, 1))], names=[*batch.schema.names, *names])
 
     schema = StructType(list(docs.schema)).add(names[0], "string").add(names[1], "double")
@@ -263,4 +283,5 @@ def with_prediction(docs: DataFrame, network: Network, column: str = "text", nam
 
 
 def language_id(docs: DataFrame) -> DataFrame:
+    """``predicted`` by a network trained on the documents themselves; an empty table gives no rows."""
     return predicted(docs, train(docs))

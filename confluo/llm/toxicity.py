@@ -4,8 +4,9 @@ Terms (runs of letters, digits and apostrophes, A-Z in lower case) are hashed in
 logistic of w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j with x_i = 1 where the text has term i; the pair weights
 come from factors of rank RANK, so that pairs such as an insult with the mention of a group count beyond their parts.
 
-It is fitted in numpy on at most TRAIN_ROWS labelled rows, those with the smallest hashes of doc_id. The terms whose
-frequencies differ most between the labels keep weights; all terms of all texts are looked up when scoring.
+It is fitted in numpy on at most TRAIN_ROWS labelled rows, those with the smallest hashes of doc_id. Every bucket that
+LEAST_TEXTS of them hold has a weight and factors, whatever its share in either label, so that terms which only matter
+together are learned as well. All terms of all texts are looked up when scoring.
 """
 
 from __future__ import annotations
@@ -20,12 +21,19 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, NOT_TERM, Rolling, held_out, text_slices, tune, word_spans
 
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 20_000
 BUCKET_BITS = 20
-TERMS = 1024
+LEAST_TEXTS = 4
 RANK = 6
-STEPS = 1500
+STEPS = 1000
 BATCH = 256
+#: See ``paces``: the number of texts that makes a term common, and the standard deviations that make its gap sure.
+COMMON, SURE = 400, 8
+RATE = 0.05
+#: Sum of squared gradients that every term starts with: rare terms learn slowly, as they would learn texts by heart.
+START = 1e-5
+#: Decay of weights and factors, for each step in which their term occurs.
+DECAY = (1e-5, 1e-4)
 THRESHOLD = 0.3
 
 
@@ -46,17 +54,44 @@ class Machine:
     weights: np.ndarray
     factors: np.ndarray
 
-    def score(self, present: np.ndarray) -> np.ndarray:
-        """Probabilities for rows of a 0/1 matrix (rows, terms)."""
-        return 1 / (1 + np.exp(-_margin(present, self.bias, self.weights, self.factors)))
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Probabilities for rows given by the slots of their distinct terms, row after row, and how many each has."""
+        return _logistic(_margin(terms, counts, self.bias, self.weights, self.factors)[0])
 
 
-def _margin(x: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return bias + x @ w + 0.5 * (((x @ v) ** 2).sum(1) - x @ (v**2).sum(1))
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums over the consecutive rows of so many values each; an empty row sums to zero."""
+    total = np.zeros((len(counts), *values.shape[1:]), np.float32)
+    filled = counts > 0
+    if filled.any():
+        total[filled] = np.add.reduceat(values, (np.cumsum(counts) - counts)[filled], axis=0)
+    return total
+
+
+def _margin(terms: np.ndarray, counts: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The margins of the rows, the factors of their terms and the sums of these."""
+    own = v[terms]
+    sums = _sums(own, counts)
+    return bias + _sums(w[terms], counts) + 0.5 * ((sums**2).sum(1) - _sums((own**2).sum(1), counts)), own, sums
+
+
+def paces(a: np.ndarray, b: np.ndarray, p: int, q: int) -> np.ndarray:
+    """How fast (up to 1) a term learns that a of p texts with label 1 and b of q others hold.
+
+    Terms of a few texts would learn these by heart. At full pace learn those that COMMON texts hold, and those whose shares
+    differ between the labels beyond chance; no term stands still.
+    """
+    share = (a + b) / (p + q)
+    gap = np.abs(a / p - b / q) / np.sqrt(share * (1 - share) * (1 / p + 1 / q) + 1e-12)
+    return np.maximum(np.minimum(1, (a + b) / COMMON) ** 3, np.minimum(1, gap / SURE) ** 4).astype(np.float32)
 
 
 def fit(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Machine:
-    """Fit on the distinct buckets of each training text and its label (0 or 1).
+    """Fit on the distinct buckets of each training text and its label (0 or 1), by AdaGrad over minibatches of sparse rows.
 
     Without both labels the score is the (smoothed) share of label 1.
     """
@@ -67,37 +102,39 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Machine:
     if not 0 < toxic.sum() < n:
         return Machine(slot, bias, np.zeros(1, np.float32), np.zeros((1, RANK), np.float32))
     every = np.concatenate(rows)
-    each = np.repeat(np.arange(n), [len(r) for r in rows])
-    of = toxic[each] == 1
-    a, b = np.bincount(every[of], minlength=size), np.bincount(every[~of], minlength=size)
-    p, q = toxic.sum(), n - toxic.sum()
-    pooled = (a + b + 0.5) / (n + 1)
-    gap = np.abs(a / p - b / q) / np.sqrt(pooled * (1 - pooled) * (1 / p + 1 / q))
-    gap[a + b < 4] = 0
-    best = np.argsort(-gap, kind="stable")[:TERMS]
-    best = best[gap[best] > 2]
-    slot[best] = np.arange(len(best))
-    x = np.zeros((n, max(1, len(best))), np.float32)
-    known = slot[every] >= 0
-    x[each[known], slot[every[known]]] = 1
+    each = np.repeat(toxic == 1, [len(r) for r in rows])
+    a, b = np.bincount(every[each], minlength=size), np.bincount(every[~each], minlength=size)
+    often = np.flatnonzero(a + b >= LEAST_TEXTS)
+    pace = paces(a[often], b[often], int(toxic.sum()), int(n - toxic.sum()))
+    slot[often] = np.arange(len(often))
+    known = [slot[r] for r in rows]
+    known = [r[r >= 0] for r in known]
+    each = np.array([len(r) for r in known], np.int64)
 
     rng = np.random.default_rng(seed)
-    w = np.zeros(x.shape[1], np.float32)
-    v = rng.normal(0, 0.01, (x.shape[1], RANK)).astype(np.float32)
+    w = np.zeros(max(1, len(often)), np.float32)
+    v = rng.normal(0, 0.01, (len(w), RANK)).astype(np.float32)
     y = toxic.astype(np.float32)
-    state = [np.full_like(w, 1e-6), np.full_like(v, 1e-6)]
+    seen_w, seen_v = np.full_like(w, START), np.full_like(v, START)
     for _ in range(-(-STEPS * BATCH // n)):
         order = rng.permutation(n)
         for at in range(0, n, BATCH):
             some = order[at : at + BATCH]
-            xs = x[some]
-            err = (1 / (1 + np.exp(-_margin(xs, bias, w, v))) - y[some]) / len(some)
-            gw = xs.T @ err + 2e-3 * w / np.sqrt(n)
-            gv = xs.T @ (err[:, None] * (xs @ v)) - (xs.T @ err)[:, None] * v + 1e-2 * v / np.sqrt(n)
+            terms, counts = np.concatenate([known[i] for i in some]), each[some]
+            margin, own, sums = _margin(terms, counts, bias, w, v)
+            err = (_logistic(margin) - y[some]) / len(some)
             bias -= 0.5 * float(err.sum())
-            for value, grad, sums in ((w, gw, state[0]), (v, gv, state[1])):
-                sums += grad**2
-                value -= 0.08 * grad / np.sqrt(sums)
+            if not len(terms):
+                continue
+            # gradients of the terms in the batch, each once
+            by = np.argsort(terms, kind="stable")
+            new = np.flatnonzero(np.r_[True, np.diff(terms[by]) > 0])
+            term, row = terms[by[new]], np.repeat(np.arange(len(some)), counts)
+            gw = np.add.reduceat(err[row][by], new) + DECAY[0] * w[term]
+            gv = np.add.reduceat((err[row][:, None] * (sums[row] - own))[by], new) + DECAY[1] * v[term]
+            for value, grad, seen, own_pace in ((w, gw, seen_w, pace[term]), (v, gv, seen_v, pace[term, None])):
+                seen[term] += grad**2
+                value[term] -= RATE * own_pace * grad / np.sqrt(seen[term])
     return Machine(slot, bias, w, v)
 
 
@@ -138,9 +175,9 @@ def scored(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> D
             for start, end, data, offsets in text_slices(batch.column(2)):
                 row, bucket = term_rows(data, offsets)
                 term = machine.slot[bucket]
-                present = np.zeros((end - start, len(machine.weights)), np.float32)
-                present[row[term >= 0], term[term >= 0]] = 1
-                score = machine.score(present).astype(np.float64)
+                pairs = np.unique(row[term >= 0] << BUCKET_BITS | term[term >= 0])
+                counts = np.bincount(pairs >> BUCKET_BITS, minlength=end - start)
+                score = machine.score(pairs & (1 << BUCKET_BITS) - 1, counts).astype(np.float64)
                 cols = [batch.column(0).slice(start, end - start), batch.column(1).slice(start, end - start), pa.array(score), pa.array((score >= threshold).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "score", "predicted"])
 
@@ -149,4 +186,9 @@ def scored(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> D
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``scored`` by a machine fitted on ``labels``.
+
+    A doc_id that ``labels`` or ``docs`` repeat is a training row for each pair of its rows; labels without a text, without
+    a doc_id or without a value teach nothing.
+    """
     return scored(docs, train(docs, labels))

@@ -51,15 +51,57 @@ def test_language_of_held_out_documents(spark):
     assert langid.language_id(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
 
 
-def test_every_position_is_labelled_and_pooled():
+def naive(net, raw):
+    """Probabilities at every position of one block, byte by byte."""
+    h, states = net.p["uf"].shape[0], {}
+    for side, way in (("f", 1), ("b", -1)):
+        state, own = np.zeros(h), []
+        for byte in raw[::way]:
+            inp, u = net.p[f"x{side}"][byte].astype(float), net.p[f"u{side}"].astype(float)
+            z, r = np.split(1 / (1 + np.exp(-(inp[: 2 * h] + state @ u[:, : 2 * h]))), 2)
+            state = state + z * (np.tanh(inp[2 * h :] + (r * state) @ u[:, 2 * h :]) - state)
+            own.append(state @ net.p[f"o{side}"])
+        states[side] = np.array(own)[::way]
+    logits = np.exp(states["f"] + states["b"] + net.p["bias"])
+    return logits / logits.sum(1, keepdims=True)
+
+
+def test_every_position_is_labelled_across_words():
+    """The ragged pass gives what reading each block byte by byte gives, and blocks cover every byte once."""
+    net = langid.Network(["a", "b", "c"])
+    texts = [b"one two  one ", b"", b"x" * 700, b"some words " * 60, "äöü ".encode() * 90, b"z"]
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.r_[0, np.cumsum([len(t) for t in texts])]
+    starts, ends = langid.blocks_of(raw, offsets)
+    assert np.array_equal(np.concatenate([np.arange(a, b) for a, b in zip(starts, ends)]), np.arange(len(raw)))
+    assert (ends - starts).max() <= langid.BLOCK + langid.SLACK and set(offsets[:-1][np.diff(offsets) > 0]) <= set(starts)
+    got = langid.labelled(net, raw, starts, ends)
+    for a, b in zip(starts, ends):
+        assert np.allclose(got[a:b], naive(net, raw[a:b]), atol=1e-4)
+    assert not np.allclose(got[4:7], got[9:12], atol=1e-3)  # the same word in other company
+
+
+def test_document_scores_are_means_over_positions(spark):
     net = langid.Network(["a", "b"])
-    raw = np.frombuffer(b"one two  one " + b"x" * 60, np.uint8)
-    lower, row, starts, ends = langid.runs_of(raw, np.array([0, len(raw)]))
-    assert (ends - starts).sum() == sum(c != 0x20 for c in raw.tolist()) and (ends - starts).max() <= langid.SEGMENT
-    sums = langid.Labeller(net).of(lower, starts, ends)
-    assert np.allclose(sums.sum(1), ends - starts, atol=1e-3) and np.allclose(sums[0], sums[2])
-    direct = net.positions(langid.codes_of(lower, starts[1:2], 3))[1:-1, 0].sum(0)
-    assert np.allclose(direct, sums[1], atol=1e-5)
+    texts = ["one two  one", "x" * 900, "Some Words " * 40, None, "", "12 34"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in langid.predicted(rows, net).collect():
+        text = (texts[r["doc_id"]] or "").lower()
+        if not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        raw = np.frombuffer(text.encode(), np.uint8)
+        probs = np.concatenate([naive(net, raw[a:b]) for a, b in zip(*langid.blocks_of(raw, np.array([0, len(raw)])))])
+        mean = probs[raw != 0x20].mean(0)
+        assert r["lang_pred"] == net.languages[mean.argmax()] and abs(r["score"] - mean.max()) < 1e-4
+
+
+def test_rare_languages_are_learned(spark):
+    """A language of few documents among many others can be predicted."""
+    rng = random.Random(5)
+    rows = [(k, words(rng, "abcdefg", 30), "aa") for k in range(900)] + [(5000 + k, words(rng, "uvwxyz", 30), "bb") for k in range(12)]
+    got = langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r["lang_pred"] == ("bb" if r["doc_id"] >= 5000 else "aa") for r in got)
 
 
 def test_toxicity_on_held_out_documents(spark):
@@ -90,12 +132,43 @@ def test_pairs_beyond_single_terms():
         rows.append(np.array([1] * int(a) + [2] * int(b) + [3 + int(rng.integers(50))], np.int32))
         y.append(int(a and b) if rng.random() < 0.98 else 0)
     machine = toxicity.fit(rows, np.array(y))
-    x = np.zeros((4, len(machine.weights)), np.float32)
-    for k, own in enumerate([[], [1], [2], [1, 2]]):
-        for t in own:
-            x[k, machine.slot[t]] = 1
-    score = machine.score(x)
-    assert score[3] > 0.8 and score[:3].max() < 0.2 and np.abs(machine.factors).max() > 0.1
+    score = [scored(machine, own) for own in ([], [1], [2], [1, 2])]
+    assert score[3] > 0.8 and max(score[:3]) < 0.2 and np.abs(machine.factors).max() > 0.1
+
+
+def scored(machine, own):
+    terms = machine.slot[np.array(own, np.int64)]
+    terms = terms[terms >= 0]
+    return float(machine.score(terms, np.array([len(terms)]))[0])
+
+
+def test_terms_that_only_matter_together():
+    """Exactly one of two terms is toxic: neither differs by label alone, and only a pair weight tells them apart."""
+    rng = np.random.default_rng(4)
+    rows, y = [], []
+    for _ in range(6000):
+        a, b = rng.random(2) < 0.5
+        rows.append(np.unique(np.r_[[1] * int(a) + [2] * int(b), 3 + rng.integers(0, 400, 12)]).astype(np.int32))
+        y.append(int(a != b))
+    machine = toxicity.fit(rows[:5000], np.array(y[:5000]))
+    guess = np.array([scored(machine, r) >= 0.5 for r in rows[5000:]])
+    assert (guess == np.array(y[5000:])).mean() > 0.95
+
+
+def test_scores_are_those_of_the_formula(spark):
+    """Whole texts, long ones too, against the sum over all pairs; terms that come again count once."""
+    rng = np.random.default_rng(1)
+    size = 1 << toxicity.BUCKET_BITS
+    machine = toxicity.Machine(np.arange(size, dtype=np.int32), -1.0, rng.normal(0, 0.1, size).astype(np.float32), rng.normal(0, 0.05, (size, toxicity.RANK)).astype(np.float32))
+    texts = ["", None, "One two one TWO three", " ".join(f"w{k % 700}" for k in range(300_000)), "it's  it's"]
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), machine).collect()}
+    for k, text in enumerate(texts):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        terms = np.unique(toxicity.term_rows(raw, np.array([0, len(raw)]))[1])
+        assert len(terms) >= len(set((text or "").lower().split())) - 2  # terms of one bucket are one term
+        w, v = machine.weights[terms].astype(float), machine.factors[terms].astype(float)
+        pairs = (v @ v.T)[np.triu_indices(len(terms), 1)].sum()
+        assert abs(got[k] - 1 / (1 + np.exp(1 - w.sum() - pairs))) < 1e-3
 
 
 def test_toxicity_without_labels(spark):
