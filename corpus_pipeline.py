@@ -18,16 +18,25 @@ from confluo.llm.queries import tokenizer_path
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: Least mean probability of a document's language over its positions.
+LEAST_SCORE = 0.5
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without text or without a letter, whose prediction is UNKNOWN; the network's output rejects none."""
+    """Drop documents in which the network sees no language: none has LEAST_SCORE of the probability, or there is no letter.
+
+    Null and empty texts go. Every row is judged by its own text, so repeated rows stay or go together, and rows without a
+    doc_id are judged as well. With fewer than two languages in the table only texts without a letter go.
+    """
     found = langid.with_prediction(docs, langid.train(docs), names=("_lang_pred", "_score"))
-    return found.where(F.col("_lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    return found.where((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each component of documents that share 85 % of their 4-word shingles.
 
-    Rows without a doc_id are of no component and stay.
+    Rows without a doc_id are of no component and stay; so do documents without a word. Rows that share a doc_id stay or go
+    together, by the one with the smallest text.
     """
     keep = ngram_join.linked(docs).where("component_id = doc_id").select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
@@ -37,7 +46,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut every byte of strings of 100 bytes that stand earlier too; half characters at the cuts go as well.
 
-    Documents of which nothing but white space is left go.
+    Documents of which nothing but white space is left go. Rows without a doc_id are kept whole; of rows that share one,
+    that with the smallest text stays. Whole texts, with null ones, keep their n_chars; those cut get the new length.
     """
     rows = suffix.without_repeats(docs, prefix="_cut_")
     whole = F.col("_cut_n_removed") == 0
@@ -47,12 +57,18 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item or much of one."""
+    """Drop documents that hold a benchmark item or much of one.
+
+    Null texts hold none. Rows without a doc_id are judged by no item and stay; rows that share one go together.
+    """
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode and decode what is left: doc_id, n_tokens and the digests of ids and decoded text."""
+    """Encode and decode what is left: doc_id, n_tokens and the digests of ids and decoded text, for every row.
+
+    Null texts have no tokens.
+    """
     return bpe.round_trip(docs, tokenizer_path())
 
 

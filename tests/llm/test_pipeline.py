@@ -69,3 +69,13 @@ def test_rows_without_id_stay(spark):
     assert got.columns == docs.columns
     assert sorted((r["doc_id"], r["text"]) for r in got.collect() if r["doc_id"]) == [(1, rows[0][1])]
     assert sorted(str(r["text"]) for r in got.collect() if r["doc_id"] is None) == ["None", rows[0][1]]
+
+
+def test_the_network_decides_on_languages(spark):
+    """A text in turn of three languages has letters, but the network gives none of them half of it."""
+    rng = random.Random(6)
+    letters = {"aa": "abcdef", "bb": "mnopqr", "cc": "uvwxyz"}
+    rows = [(k, words(rng, letters[lang], 40), lang, "s", 1) for k in range(150) for lang in [["aa", "bb", "cc"][k % 3]]]
+    mixed = [(900 + k, " ".join(words(rng, x, 1) for _ in range(60) for x in letters.values()), None, "s", 1) for k in (0, 1)]
+    got = {r["doc_id"] for r in pipeline.language(spark, spark.createDataFrame([*rows, *mixed, (None, mixed[0][1], "aa", "s", 1)], COLUMNS), "").collect()}
+    assert got == {r[0] for r in rows}
