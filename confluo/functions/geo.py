@@ -115,57 +115,47 @@ def normalize_city(value: Column, allow_bare: bool = False) -> Column:
 
 # --- addresses -----------------------------------------------------------------------------------------------------------
 
-ADDRESS = "city string, district string, address string, precision string"
-_POSTCODE = re.compile(r"^(?:\d{6}|\d{5}|\d{3})[\s-]*(?=[一-鿿])")
-_DISTRICT_END = re.compile(r"[區鄉鎮市]$")
-_HAN = re.compile(r"^[一-鿿]+$")
-_STREET = re.compile(r"[0-9０-９]+\s*(號|樓)|[路街道巷弄]")
+# Post codes, what ends a district, and what only street addresses have.
+POSTCODE = r"^(?:\d{6}|\d{5}|\d{3})[\s-]*(?=[一-鿿])"
+DISTRICT = "^[一-鿿]{1,3}[區鄉鎮市]$"
+STREET = "[0-9０-９]+\\s*(?:號|樓)|[路街道巷弄]"
 
 
 def address_parser(districts: dict[str, list[str]] | None = None):
-    """A UDF (raw, city hint, district hint) -> struct of city, district, address and its precision.
+    """A function of columns (raw, city hint, district hint) -> struct of city, district, address and its precision.
 
-    ``districts`` lists the districts of each city; it decides between candidates of two to four characters and completes
-    names without suffix. Precision is street, district, city or venue-name-only, and null without any location.
+    ``districts`` is a gazetteer: the districts of each city. What follows the city is a district if two to four characters
+    end like one; the gazetteer decides between several, else the shortest counts, and it completes a hint without its
+    ending. Precision is street, district, city or venue-name-only, and null without any location.
     """
-    gazetteer = {c: set(d) for c, d in (districts or {}).items()}
-    ordered = dict(districts or {})
     names = {c: c for c in CITIES} | CITY_ALIAS
-
-    def city_of(text: str) -> str | None:
-        if text in names:
-            return names[text] or None
-        return next((full or None for name, full in names.items() if name in text), None)
-
-    def parse(raw: str | None, city_hint: str | None, district_hint: str | None) -> dict:
-        text = _POSTCODE.sub("", (raw or "").strip())
-        city = city_of(city_hint.strip()) if city_hint and city_hint.strip() else None
-        rest = text
-        for name, full in names.items():
-            at = text.find(name)
-            if at >= 0:
-                city, rest = full or None, text[at + len(name) :]
-                break
-        rest = rest.lstrip()
-        district = (district_hint or "").strip()
-        options = [rest[:n] for n in (2, 3, 4) if len(rest) >= n and _DISTRICT_END.search(rest[:n]) and _HAN.match(rest[:n])]
-        if options:
-            known = gazetteer.get(city or "", set())
-            district = next((o for o in options if o in known), options[0])
-            rest = rest[len(district) :]
-        if district and not _DISTRICT_END.search(district):
-            district = next((d for d in ordered.get(city or "", []) if d.startswith(district)), "")
-        out = {"city": city, "district": district or None, "address": text or None, "precision": None}
-        if text or city or district:
-            street = bool(text and city and _STREET.search(rest))
-            out["precision"] = "street" if street else "district" if district else "city" if city else "venue-name-only"
-        return out
-
-    @F.pandas_udf(ADDRESS)
-    def run(raw: pd.Series, city: pd.Series, district: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse(*row) for row in zip(raw, city, district)], columns=["city", "district", "address", "precision"])
-
-    return run
+    gazetteer = F.create_map(*(x for c, d in districts.items() for x in (F.lit(c), F.array(*map(F.lit, d))))) if districts else None
+    none = F.array().cast("array<string>")
+
+    def known_in(city: Column) -> Column:
+        return F.coalesce(F.element_at(gazetteer, city), none) if gazetteer is not None else none
+
+    def parse(raw: Column, city_hint: Column, district_hint: Column) -> Column:
+        text = F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), POSTCODE, "")
+        # the first name of the list that the text holds, and what stands behind it
+        cuts = [F.when(F.contains(text, F.lit(n)), F.struct(F.lit(full or None).cast("string").alias("city"), F.substr(text, F.locate(n, text) + len(n)).alias("rest"))) for n, full in names.items()]
+        hint = F.trim(F.coalesce(city_hint, F.lit("")))
+        place = F.coalesce(*cuts, F.struct(normalize_city(F.when(hint != "", hint)).alias("city"), text.alias("rest")))
+        return F.transform(F.array(F.struct(text.alias("text"), place.alias("place"))), lambda v: _located(v["text"], v["place"]["city"], F.ltrim(v["place"]["rest"]), F.trim(F.coalesce(district_hint, F.lit("")))))[0]
+
+    def _located(text: Column, city: Column, rest: Column, hint: Column) -> Column:
+        heads = F.array(*(F.substring(rest, 1, n) for n in (2, 3, 4)))
+        heads = F.filter(F.array_distinct(heads), lambda h: F.rlike(h, F.lit(DISTRICT)))
+        whole = F.coalesce(F.get(F.filter(known_in(city), lambda d: F.startswith(d, hint)), F.lit(0)), F.lit(""))
+        hinted = F.when((hint == "") | F.rlike(hint, F.lit("[區鄉鎮市]$")), hint).otherwise(whole)
+        found = F.coalesce(F.get(F.filter(heads, lambda h: F.array_contains(known_in(city), h)), F.lit(0)), F.get(heads, F.lit(0)))
+        district = F.coalesce(found, hinted)
+        behind = F.when(found.isNotNull(), F.substr(rest, F.length(found) + 1)).otherwise(rest)
+        street = (text != "") & city.isNotNull() & F.rlike(behind, F.lit(STREET))
+        precision = F.when(street, "street").when(district != "", "district").when(city.isNotNull(), "city").when(text != "", "venue-name-only")
+        return F.struct(city.alias("city"), F.nullif(district, F.lit("")).alias("district"), F.nullif(text, F.lit("")).alias("address"), precision.alias("precision"))
+
+    return parse
 
 
 _DIGITS = {c: n for n, c in enumerate("〇一二三四五六七八九")} | {"零": 0}

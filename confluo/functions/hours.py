@@ -1,69 +1,131 @@
-"""Opening hours: text in a strict grammar to array<struct<days, opens, closes>>, null when any part does not fit."""
+"""Opening hours: text in a strict grammar to array<struct<days, opens, closes>>, null when any part does not fit.
+
+Every line is cut into tokens and must be one of three sentences: days and times, times alone, or days that are closed.
+Times alone hold for the days that no other line names, and only where some line says when it is closed. A wrong time is
+worse than none, so a word that the grammar does not know makes the whole text null.
+"""
 
 from __future__ import annotations
 
 import functools
 import re
-import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HOURS = "array<struct<days: array<string>, opens: string, closes: string>>"
-# Week days.
+# Week days, spellings, and the words that may stand in a line about closed days.
 DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
-HAN_DAYS = "一二三四五六日"
-EVERY_DAY = r"每日|每天|全年無休|全年"
-CLOSED = r"休館|休息|公休|不開放|休園"
-_TIME = r"(\d{1,2}):(\d{2})"
-_SPAN = re.compile(rf"{_TIME}\s*[-~至]\s*{_TIME}")
-_RANGE = re.compile(r"(?:週|星期|周)?([一二三四五六日天])\s*[-~至]\s*(?:週|星期|周)?([一二三四五六日天])")
-_SINGLE = re.compile(r"(?:週|星期|周)([一二三四五六日天](?:[、,及和]?\s*(?:週|星期|周)?[一二三四五六日天])*)")
+HAN_DAYS = {"一": 0, "二": 1, "三": 2, "四": 3, "五": 4, "六": 5, "日": 6, "天": 6}
+SPELLINGS = {"週": "周|星期|禮拜", "-": "[～~〜－—–]", ":": "：", "": "\r", " ": "[ \t　]+"}
+CLOSED = "休館日?|公休|不開放|閉館"
+HOLIDAYS = "國定假日|民俗節日|春節|除夕|選舉日"
+EVERY = "每週|每逢|逢"
+TOKENS = {
+    "time": r"\d{1,2}:\d{2}", "holiday": HOLIDAYS, "closed": CLOSED, "every": EVERY, "weekday": "週[一二三四五六日天]", "to": "[-至到]", "and": "[.、,，與和及]", "filler": "[:暨以為]", "bare": "[一二三四五六日天]",
+}
+_TOKEN = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in TOKENS.items()) + r"|(?P<other>\S)")
+_LINE_END = re.compile("[\n;；。]")
+_BULLET = re.compile(r"^\s*(?:\d+[.、]|[■※*・])\s*")
+
+
+class _Line:
+    """The tokens of a line and a place in them."""
+
+    def __init__(self, line: str):
+        self.tokens = [(m.lastgroup, m[0]) for m in _TOKEN.finditer(line)]
+        self.at = 0
+
+    def kind(self, ahead: int = 0) -> str | None:
+        return self.tokens[self.at + ahead][0] if self.at + ahead < len(self.tokens) else None
+
+    def take(self) -> str:
+        self.at += 1
+        return self.tokens[self.at - 1][1]
+
+    def days(self) -> list[int] | None:
+        """One day, or a range of days that does not run backwards."""
+        first = last = HAN_DAYS[self.take()[-1]]
+        if self.kind() == "to" and self.kind(1) in ("weekday", "bare"):
+            self.take()
+            last = HAN_DAYS[self.take()[-1]]
+        return list(range(first, last + 1)) or None
+
+    def spans(self) -> list[tuple[str, str]] | None:
+        """One or two times from - to up to the end of the line, in order."""
+        found: list[tuple[str, str]] = []
+        while [self.kind(k) for k in range(3)] == ["time", "to", "time"]:
+            opens, _, closes = (self.take().rjust(5, "0") for _ in range(3))
+            if not (opens < closes <= "24:00") or (found and opens < found[-1][1]):
+                return None
+            found.append((opens, closes))
+            if len(found) < 2 and self.kind() == "and" and self.tokens[self.at][1] in ".、,，" and self.kind(1) == "time":
+                self.take()
+        return found if found and self.kind() is None else None
 
 
-def _index(han: str) -> int:
-    return HAN_DAYS.index("日" if han == "天" else han)
+def _closed(line: _Line) -> set[int] | None:
+    days: set[int] = set()
+    while line.kind():
+        if line.kind() == "weekday":
+            days.update(line.days() or [])
+        elif line.kind() in ("closed", "holiday", "every", "and", "filler"):
+            line.take()
+        else:
+            return None
+    return days
 
 
-def _days(text: str) -> tuple[list[int] | None, str]:
-    """Days that a text names, and the text without them."""
-    if m := re.search(EVERY_DAY, text):
-        return list(range(7)), text.replace(m[0], "", 1)
-    if m := _RANGE.search(text):
-        a, b = _index(m[1]), _index(m[2])
-        return [k % 7 for k in range(a, b + 1 if b >= a else b + 8)], text.replace(m[0], "", 1)
-    if m := _SINGLE.search(text):
-        return [_index(c) for c in m[1] if c in HAN_DAYS + "天"], text.replace(m[0], "", 1)
-    return None, text
+def _open(line: _Line) -> tuple[list[int], list[tuple[str, str]]] | None:
+    """The days of a line (none: not said) and its times."""
+    days: list[int] = []
+    if line.kind() == "weekday":
+        while line.kind() in ("weekday", "bare"):
+            own = line.days()
+            if own is None:
+                return None
+            days += own
+            if line.kind() == "and" and line.kind(1) in ("weekday", "bare"):
+                line.take()
+            else:
+                break
+        if line.kind() == "filler" and line.tokens[line.at][1] == ":":
+            line.take()
+    spans = line.spans()
+    return None if spans is None else (days, spans)
 
 
 def parse_hours(text: str | None) -> list[dict] | None:
-    if not text or not text.strip():
-        return None
-    s = unicodedata.normalize("NFKC", text).replace("–", "-").replace("—", "-").replace("～", "~")
+    s = text or ""
+    for plain, spelling in SPELLINGS.items():
+        s = re.sub(spelling, plain, s)
+    lines = [x for x in (_BULLET.sub("", part).strip() for part in _LINE_END.split(s)) if x]
+    hours: dict[int, list[tuple[str, str]]] = {}
+    others: list[tuple[str, str]] | None = None
     closed: set[int] = set()
-    found: list[tuple[list[int], str, str]] = []
-    for part in re.split(r"[;；。\n]|[,，](?=\s*(?:週|星期|周|每))", s):
-        part = part.strip(" ,，、:()")
-        if not part:
-            continue
-        if re.search(CLOSED, part):
-            days, rest = _days(part)
-            if days is None or re.sub(rf"{CLOSED}|[\s:,，、()為]", "", rest):
+    for line in map(_Line, lines):
+        if any(kind == "closed" for kind, _ in line.tokens):
+            days = _closed(line)
+            if days is None:
                 return None
-            closed |= set(days)
+            closed |= days
             continue
-        days, rest = _days(part)
-        spans = _SPAN.findall(rest)
-        if not spans or re.sub(r"[\s:,，、()]|開放(?:時間)?", "", _SPAN.sub("", rest)):
+        found = _open(line)
+        if found is None or (not found[0] and others is not None):
             return None
-        for h1, m1, h2, m2 in spans:
-            a, b = int(h1) * 60 + int(m1), int(h2) * 60 + int(m2)
-            if not (a < b <= 1440 and int(m1) < 60 and int(m2) < 60):
-                return None
-            found.append((days if days is not None else list(range(7)), f"{int(h1):02d}:{m1}", f"{int(h2):02d}:{m2}"))
-    rows = [{"days": [DAYS[d] for d in days if d not in closed], "opens": a, "closes": b} for days, a, b in found]
-    return [r for r in rows if r["days"]] or None
+        if found[0]:
+            hours.update(dict.fromkeys(found[0], found[1]))
+        else:
+            others = found[1]
+    if others is not None:
+        if not closed:
+            return None
+        hours = {d: hours.get(d, others) for d in range(7)}
+    groups: dict[tuple[str, str], list[str]] = {}
+    for d in range(7):
+        for span in hours.get(d, []) if d not in closed else []:
+            groups.setdefault(span, []).append(DAYS[d])
+    return [{"days": days, "opens": a, "closes": b} for (a, b), days in groups.items()] or None
 
 
 @functools.lru_cache(maxsize=1)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DAY = 86_400
+ZONE_SECONDS = 8 * 3600
 
 
 def end_of(rows_end: str = "end", rows_start: str = "start") -> Column:
@@ -66,12 +67,33 @@ def live_events(rows: DataFrame, now: int) -> DataFrame:
     return rows.groupBy("slug").agg(F.min("start").alias("start"), F.max(end_of()).alias("end"), nxt.alias("next"), F.count_distinct("city").alias("cities"), shown.alias("title")).where(F.col("end") >= now)
 
 
-def city_months(rows: DataFrame, least: int = 5, most_days: int = 366) -> DataFrame:
-    """(city, month, events) with enough distinct slugs; a row counts in every month that it spans."""
-    first = F.trunc(F.timestamp_seconds("start").cast("date"), "month")
-    last = F.trunc(F.timestamp_seconds(F.least(end_of(), F.col("start") + most_days * DAY)).cast("date"), "month")
-    months = rows.select("city", "slug", F.explode(F.sequence(first, F.greatest(first, last), F.expr("interval 1 month"))).alias("month"))
-    return months.groupBy("city", "month").agg(F.count_distinct("slug").alias("events")).where(F.col("events") >= least)
+def local_day(seconds: Column) -> Column:
+    """The day in UTC+8, whatever the session's zone."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor((seconds + ZONE_SECONDS) / DAY).cast("int"))
+
+
+def local_month(seconds: Column) -> Column:
+    """The first day of the month in UTC+8."""
+    return F.trunc(local_day(seconds), "month")
+
+
+def city_months(rows: DataFrame, today: int, first_month: str, least: int = 5) -> DataFrame:
+    """(city, month, events, ongoing, past): the pages of a city's months, by the month in which a row starts.
+
+    From the month of ``today`` to a year ahead count rows that have not ended. In this month and the next, rows that
+    started before it and still run in it count as ongoing; both together must reach ``least``. Earlier months stay from
+    ``first_month`` on, with any row. Rows without a city count nowhere.
+    """
+    now, this = F.lit(today).cast("long"), local_month(F.lit(today).cast("long"))
+    rows = rows.where("city is not null").withColumns({"month": local_month(F.col("start")), "last_day": local_day(end_of())})
+    past = F.col("month") < this
+    alive = F.col("last_day") >= local_day(now)
+    shown = rows.where(F.when(past, F.col("month") >= F.lit(first_month).cast("date")).otherwise((F.col("month") <= F.add_months(this, 12)) & alive))
+    starts = shown.select("city", "month", F.lit(1).alias("events"), F.lit(0).alias("ongoing"), past.alias("past"))
+    soon = rows.where(F.col("end").isNotNull() & alive).withColumn("page", F.explode(F.array(this, F.add_months(this, 1))))
+    runs = soon.where("month < page and last_day >= page").selectExpr("city", "page as month", "0 as events", "1 as ongoing", "false as past")
+    counted = starts.union(runs).groupBy("city", "month").agg(F.sum("events").alias("events"), F.sum("ongoing").alias("ongoing"), F.bool_or("past").alias("past"))
+    return counted.where(F.col("past") | (F.col("events") + F.col("ongoing") >= least))
 
 
 def showings(rows: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from .ranking import capped
 from .relations import contained
 
 DAY = 86_400
@@ -39,18 +38,49 @@ def map_points(rows: DataFrame, now: int, days: int = 30, cat: str | None = None
     return rows.groupBy("slug").agg(F.min(F.struct("start", "lat", "lng")).alias("p")).select("slug", "p.*")
 
 
-def nearby_events(centre: DataFrame, rows: DataFrame, cap: int = 2, limit: int = 6) -> DataFrame:
-    """For each page (page, venue, city, slug): other events, those of its venue first, then of its city.
+#: Rows of a city that are looked at for all its pages at once; pages that need more are filled from the whole city.
+CITY_ROWS = 64
 
-    At most ``cap`` of one venue and of one series. rows: slug, venue, city, series, start.
+
+def nearby_events(centre: DataFrame, rows: DataFrame, today: int, cap: int = 2, limit: int = 6) -> DataFrame:
+    """(page, slug, tier, place) for each page (page, venue, city, slug): other events, of its venue first, then of its city.
+
+    rows: slug, venue, city, series, start and end of events that have not ended; coming ones stand before running ones,
+    both by their sort. Events of the venue (tier 0) are not capped; of the city (tier 1) at most ``cap`` of one venue and of
+    one series stand on the page, with those of tier 0 counted. Where a slug has several rows, its first one stands for it.
     """
-    own = centre.selectExpr("page", "venue as pv", "city as pc", "slug as ps")
-    same = own.join(rows, F.col("pv") == F.col("venue")).where("slug <> ps").withColumn("tier", F.lit(0))
-    city = own.join(rows, F.col("pc") == F.col("city")).where("slug <> ps and not (pv <=> venue)").withColumn("tier", F.lit(1))
-    every = same.unionByName(city).groupBy("page", "slug").agg(F.min(F.struct("tier", "start")).alias("o"), F.first("venue").alias("venue"), F.first("series").alias("series"))
-    order = F.row_number().over(W.partitionBy("page").orderBy("o.tier", "o.start", "slug"))
-    ranked = every.select("page", "slug", F.coalesce(F.col("venue").cast("string"), F.col("slug").cast("string")).alias("venue"), F.coalesce(F.col("series").cast("string"), F.col("slug").cast("string")).alias("series"), order.alias("place"))
-    return capped(ranked, "page", "place", "venue", "series", cap, limit)
+    coming = F.when(F.col("start") >= today, 0).otherwise(1)
+    rows = rows.where(F.coalesce("end", "start") >= today).withColumn("_o", F.struct(coming.alias("band"), F.when(coming == 0, F.col("start")).otherwise(F.coalesce("end", "start")).alias("sort"), "slug"))
+    entry = F.struct("_o", "slug", F.coalesce(F.col("venue").cast("string"), F.lit("")).alias("venue"), F.coalesce(F.col("series").cast("string"), F.lit("")).alias("series"))
+
+    def lists(key: str, most: int | None) -> DataFrame:
+        """The first rows of each venue or city, one for each slug, as an array in order."""
+        one = rows.where(F.col(key).isNotNull()).groupBy(key, "slug").agg(F.min_by(entry, "_o").alias("e"))
+        if most is not None:  # ranked in each task before the shuffle
+            one = one.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("e._o"))).where(F.col("_r") <= most)
+        return one.groupBy(key).agg(F.sort_array(F.collect_list("e")).alias(f"{key}_list"))
+
+    # a page's own slug is all that a venue's list may lose
+    pages = centre.select("page", "venue", "city", "slug").join(lists("venue", limit + 1), "venue", "left")
+    own = F.slice(F.filter(F.coalesce("venue_list", F.array().cast("array<" + rows.select(entry.alias("e")).schema["e"].dataType.simpleString() + ">")), lambda e: e["slug"] != F.col("slug")), 1, limit)
+    pages = pages.select("page", "city", "slug", own.alias("own"))
+
+    def filled(pages: DataFrame, lists: DataFrame) -> DataFrame:
+        def step(done: Column, e: Column) -> Column:
+            def full(key: str) -> Column:
+                return (e[key] != "") & (F.size(F.filter(done, lambda d: d[key] == e[key])) >= cap)
+
+            return F.when((F.size(done) >= limit) | full("venue") | full("series") | (e["slug"] == F.col("slug")) | F.exists(done, lambda d: d["slug"] == e["slug"]), done).otherwise(F.concat(done, F.array(e)))
+
+        joined = pages.join(lists, "city", "left")
+        return joined.withColumn("out", F.when(F.col("city_list").isNull(), F.col("own")).otherwise(F.aggregate("city_list", F.col("own"), step)))
+
+    first = filled(pages, lists("city", CITY_ROWS))
+    short = (F.size("out") < limit) & (F.size("city_list") >= CITY_ROWS)
+    done = first.where(~F.coalesce(short, F.lit(False))).select("page", "own", "out")
+    rest = filled(first.where(short).select("page", "city", "slug", "own"), lists("city", None)).select("page", "own", "out")
+    every = done.unionByName(rest).select("page", F.size("own").alias("n"), F.posexplode("out").alias("at", "e"))
+    return every.select("page", F.col("e.slug").alias("slug"), F.when(F.col("at") < F.col("n"), 0).otherwise(1).alias("tier"), (F.col("at") + 1).alias("place"))
 
 
 def similar_events(centre: DataFrame, rows: DataFrame, limit: int = 6) -> DataFrame:

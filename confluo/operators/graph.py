@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from .storage import written
 
 MOST_ROUNDS = 50
+#: A join side of ids is broadcast up to so many rows, which are counted.
+SMALL_ROWS = 200_000
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -48,20 +50,27 @@ def eject_blocked(components: DataFrame, blocked: DataFrame) -> DataFrame:
 def inherit_ids(members: DataFrame, previous: DataFrame) -> DataFrame:
     """(component, stable_id) from the members (id, component, forced) of this run and (id, stable_id) of the last.
 
-    Each old id goes to one component: the one that has its old seed (the smallest member), then the one that keeps most
-    members, then the smallest. A component takes the best of the ids it is offered; ejected members never inherit. The
-    others are named after their smallest member, with a number if that name is taken.
+    A component asks for the old id of its first member that had one; an ejected member (forced) asks for none. Of the
+    components that ask for one id, that with the id's old seed (its smallest member) gets it, then the one that keeps most
+    of its members, then the smallest. The others are named after their smallest member, with the first number that makes
+    the name free among the ids in use, where it is taken.
     """
     seeds = previous.groupBy("stable_id").agg(F.min("id").alias("seed"))
-    meets = members.where("not forced").join(previous, "id").groupBy("component", "stable_id").agg(F.count("*").alias("kept"), F.collect_set("id").alias("ids")).join(seeds, "stable_id")
-    offers = meets.selectExpr("component", "stable_id", "kept", "array_contains(ids, seed) as has_seed")
-    by_id = W.partitionBy("stable_id").orderBy(F.desc("has_seed"), F.desc("kept"), "component")
-    by_component = W.partitionBy("component").orderBy(F.desc("has_seed"), F.desc("kept"), "stable_id")
-    won = offers.withColumn("r", F.row_number().over(by_id)).where("r = 1").withColumn("r", F.row_number().over(by_component)).where("r = 1").select("component", "stable_id")
+    known = members.where("not forced").join(previous, "id")
+    asked = known.groupBy("component").agg(F.min_by("stable_id", "id").alias("stable_id"))
+    meets = known.join(asked, ["component", "stable_id"]).join(F.broadcast(seeds) if seeds.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else seeds, "stable_id")
+    offers = meets.groupBy("component", "stable_id").agg(F.count("*").alias("kept"), F.max(F.col("id") == F.col("seed")).alias("has_seed"))
+    order = W.partitionBy("stable_id").orderBy(F.desc("has_seed"), F.desc("kept"), "component")
+    won = offers.withColumn("r", F.row_number().over(order)).where("r = 1").selectExpr("component", "cast(stable_id as string) as stable_id")
     fresh = members.select("component").distinct().join(won, "component", "left_anti").withColumn("base", F.col("component").cast("string"))
-    taken = previous.select(F.col("stable_id").cast("string").alias("base")).distinct().withColumn("taken", F.lit(1))
-    named = fresh.join(taken, "base", "left").selectExpr("component", "if(taken is null, base, concat(base, '-2')) as stable_id")
-    return won.selectExpr("component", "cast(stable_id as string) as stable_id").unionByName(named)
+    # the numbers in use behind each name: its own counts as 1
+    used = won.select("stable_id").union(fresh.select("base")).withColumn("n", F.regexp_extract("stable_id", "-([0-9]+)$", 1).try_cast("int"))
+    numbered = used.where("n >= 2").select(F.regexp_replace("stable_id", "-[0-9]+$", "").alias("base"), "n")
+    plain = won.selectExpr("stable_id as base", "1 as n")
+    numbers = numbered.union(plain).groupBy("base").agg(F.collect_set("n").alias("used"))
+    free = F.array_min(F.array_except(F.sequence(F.lit(2), F.size("used") + 2), F.col("used")))
+    name = F.when(F.array_contains("used", 1), F.concat("base", F.lit("-"), free.cast("string"))).otherwise(F.col("base"))
+    return won.unionByName(fresh.join(numbers, "base", "left").select("component", F.coalesce(name, F.col("base")).alias("stable_id")))
 
 
 def assign_slugs(rows: DataFrame, registry: DataFrame) -> DataFrame:

@@ -72,13 +72,33 @@ def due(rows: DataFrame, now: Column, everything: bool = False) -> DataFrame:
     return rows.where(F.coalesce("forced", F.lit(False)) | (~F.coalesce("skip", F.lit(False)) & (F.lit(everything) | F.col("next_due").isNull() | (F.col("next_due") <= now))))
 
 
+# The buckets of declared update frequencies, in the order in which their patterns are tried.
+FREQUENCIES = [
+    ("undeclared", r"^\s*$|^(?i:UNVERIFIED)"),
+    ("irregular", r"不定期"),
+    ("daily", r"(?i)每\s*1?\s*日|每天|unittime=日|\bdaily?\b"),
+    ("monthly", r"每\s*\d*\s*月|每季|半年"),
+    ("yearly", r"(?i)每\s*\d*\s*年|\byearly?\b|\bannually\b|\d+\s*年"),
+]
+HOUR = 3_600_000
+# First, least and longest time between fetches, in hours, by frequency and kind.
+POLICIES = {
+    ("daily", "event"): (3, 1, 12), ("irregular", "event"): (6, 3, 24), ("undeclared", "event"): (6, 3, 24), ("monthly", "event"): (72, 24, 168), ("yearly", "event"): (168, 72, 336),
+    ("daily", "directory"): (24, 12, 72), ("irregular", "directory"): (24, 12, 72), ("undeclared", "directory"): (24, 12, 72), ("monthly", "directory"): (168, 72, 336), ("yearly", "directory"): (336, 168, 720),
+}
+
+
 def freq_bucket(text: Column) -> Column:
-    """Declared update frequency as a bucket; the first pattern that fits."""
-    rules = [("hourly", "時|即時"), ("daily", "日|天"), ("weekly", "週|周"), ("monthly", "月"), ("quarterly", "季"), ("yearly", "年")]
-    out = F.lit("irregular")
-    for name, pattern in reversed(rules):
-        out = F.when(F.rlike(text, F.lit(pattern)), name).otherwise(out)
-    return F.when(text.isNull(), "unknown").otherwise(out)
+    """A declared update frequency as undeclared, irregular, daily, monthly or yearly; what no pattern fits is undeclared."""
+    said = F.coalesce(text, F.lit(""))
+    return F.coalesce(*(F.when(F.rlike(said, F.lit(pattern)), name) for name, pattern in FREQUENCIES), F.lit("undeclared"))
+
+
+def scheduled(bucket: Column, entity: Column) -> Column:
+    """struct<interval_ms, min_ms, max_ms>: the policy of a frequency for events, or for anything else."""
+    kind = F.when(entity == "event", "event").otherwise("directory")
+    times = lambda hours: F.struct(*(F.lit(h * HOUR).alias(n) for n, h in zip(("interval_ms", "min_ms", "max_ms"), hours)))
+    return F.coalesce(*(F.when((bucket == b) & (kind == k), times(hours)) for (b, k), hours in POLICIES.items()))
 
 
 def shrunk(count: Column, previous: Column) -> Column:
@@ -86,17 +106,27 @@ def shrunk(count: Column, previous: Column) -> Column:
     return F.coalesce((previous > 0) & (count < previous * 0.5), F.lit(False))
 
 
+#: Shares of the former peak, or of a rolling window, below which a source fails or is warned of; days without a change.
+SHRINK_FAIL, SHRINK_WARN, STALE_DAYS = 0.5, 0.8, 90
+
+
 def health(counts: DataFrame) -> DataFrame:
-    """Verdict for each source (source, live, gone, ended, peak, age_days, rolling): ok, warn or fail."""
-    ratio = F.col("live") / F.nullif(F.col("peak"), F.lit(0))
-    verdict = (
-        F.when(F.col("live") + F.col("gone") == 0, "fail")
-        .when(~F.col("rolling") & (ratio < 0.5), "fail")
-        .when(~F.col("rolling") & (ratio < 0.8), "warn")
-        .when(F.col("age_days") >= 90, "warn")
-        .otherwise("ok")
-    )
-    return counts.withColumn("ratio", F.round(ratio, 6)).withColumn("verdict", verdict)
+    """Problems and verdict (ok, warn or fail, the worst of them) of each source.
+
+    counts: source, live, gone, first_days and changed_days (days since the first observation and the last change), rolling
+    (rows that a rolling list holds, null for others) and fetched (rows of its last fetch). Rows that went after their end
+    count as neither live nor gone. A rolling list is judged by its last fetch alone, and is never stale; another source is
+    stale after STALE_DAYS without a change, if it has been observed for as long. problems has one entry for each problem,
+    as level:name.
+    """
+    total = F.col("live") + F.col("gone")
+    ratio = F.when(F.col("rolling").isNull(), F.col("live") / F.nullif(total, F.lit(0))).otherwise(F.col("fetched") / F.col("rolling"))
+    shrunken = F.when(ratio < SHRINK_FAIL, "fail:shrunk").when(ratio < SHRINK_WARN, "warn:shrunk")
+    stale = F.when(F.col("rolling").isNull() & (F.col("first_days") >= STALE_DAYS) & (F.col("changed_days") >= STALE_DAYS), "warn:stale")
+    unknown = F.when(F.col("rolling").isNotNull() & F.col("fetched").isNull(), "warn:unknown")
+    problems = F.when(total == 0, F.array(F.lit("fail:empty"))).otherwise(F.array_compact(F.array(shrunken, unknown, stale)))
+    worst = F.array_min(F.transform(problems, lambda p: F.substring_index(p, ":", 1)))  # fail sorts before warn
+    return counts.withColumn("ratio", F.round(ratio, 6)).withColumn("problems", problems).withColumn("verdict", F.coalesce(worst, F.lit("ok")))
 
 
 def source_status(fetched: Column, failed: Column, rejected: Column, changed: Column) -> Column:

@@ -103,11 +103,11 @@ def weekend_by_city(spark, sf_dir):
     return rows.groupBy("city").agg(F.count_distinct("slug").alias("n"))
 
 
-@query("q09_year_table", f"WITH {SESSIONS} SELECT strftime(to_timestamp(start_s) AT TIME ZONE 'UTC', '%Y-%m') AS month, e < {TODAY} AS past, count(*) AS n FROM s WHERE start_s < 883612800 AND e >= 852076800 AND e - start_s <= 366 * 86400 GROUP BY 1, 2")
+@query("q09_year_table", f"WITH {SESSIONS} SELECT strftime(make_timestamp((start_s + 28800) * 1000000), '%Y-%m') AS month, e < {TODAY} AS past, count(*) AS n FROM s WHERE start_s < 883612800 AND e >= 852076800 AND e - start_s <= 366 * 86400 GROUP BY 1, 2")
 def year_table(spark, sf_dir):
     lo, hi = 852_076_800, 883_612_800  # 1997
     rows = sessions(spark, sf_dir).where((F.col("start") < hi) & (calendar.end_of() >= lo) & (calendar.end_of() - F.col("start") <= 366 * DAY))
-    return rows.groupBy(F.date_format(F.timestamp_seconds("start"), "yyyy-MM").alias("month"), (calendar.end_of() < TODAY).alias("past")).agg(F.count("*").alias("n"))
+    return rows.groupBy(F.date_format(calendar.local_day(F.col("start")), "yyyy-MM").alias("month"), (calendar.end_of() < TODAY).alias("past")).agg(F.count("*").alias("n"))
 
 
 @query("q10_soon_or_later", f"WITH {SESSIONS} SELECT slug, min(greatest(start_s, {TODAY})) AS at, min(greatest(start_s, {TODAY})) < {TODAY + 30 * DAY} AS soon FROM s WHERE e >= {TODAY} AND popularity < 50000 GROUP BY slug")
@@ -142,11 +142,13 @@ def newly_listed(spark, sf_dir):
     return calendar.newly_listed(first, F.lit("1995-06-01").cast("date")).select("o_custkey", "listed_at")
 
 
-@query("q20_city_months", f"""WITH {SESSIONS}, m AS (SELECT city, slug, unnest(generate_series(date_trunc('month', to_timestamp(start_s) AT TIME ZONE 'UTC'),
-    date_trunc('month', to_timestamp(greatest(start_s, least(e, start_s + 366 * 86400))) AT TIME ZONE 'UTC'), INTERVAL 1 MONTH)) AS month FROM s)
-    SELECT city, CAST(month AS DATE) AS month, count(DISTINCT slug) AS events FROM m GROUP BY 1, 2 HAVING count(DISTINCT slug) >= 5""")
+@query("q20_city_months", f"""WITH {SESSIONS}, d AS (SELECT city, end_s, date_trunc('month', make_timestamp((start_s + 28800) * 1000000)) AS month, make_timestamp((e + 28800) * 1000000)::DATE AS last_day FROM s),
+    p AS (SELECT city, month, 1 AS events, 0 AS ongoing FROM d WHERE CASE WHEN month < DATE '1997-06-01' THEN month >= DATE '1997-01-01' ELSE month <= DATE '1998-06-01' AND last_day >= DATE '1997-06-15' END
+    UNION ALL SELECT city, page, 0, 1 FROM d, (VALUES (DATE '1997-06-01'), (DATE '1997-07-01')) m(page) WHERE end_s IS NOT NULL AND month < page AND last_day >= page AND last_day >= DATE '1997-06-15')
+    SELECT city, CAST(month AS DATE) AS month, CAST(sum(events) AS BIGINT) AS events, CAST(sum(ongoing) AS BIGINT) AS ongoing, month < DATE '1997-06-01' AS past FROM p GROUP BY city, month
+    HAVING month < DATE '1997-06-01' OR sum(events) + sum(ongoing) >= 5""")
 def city_months(spark, sf_dir):
-    return calendar.city_months(sessions(spark, sf_dir))
+    return calendar.city_months(sessions(spark, sf_dir), TODAY, "1997-01-01")
 
 
 @query("q22_category_city", f"WITH {SESSIONS} SELECT cat, city, count(DISTINCT slug) AS n FROM s GROUP BY 1, 2 HAVING count(DISTINCT slug) >= 20")
@@ -154,9 +156,9 @@ def category_city(spark, sf_dir):
     return sessions(spark, sf_dir).groupBy("cat", "city").agg(F.count_distinct("slug").alias("n")).where("n >= 20")
 
 
-@query("q24_calendar_grid", f"WITH {EVENTS}, d AS (SELECT start_s // 86400 AS day, count(*) AS n FROM ev GROUP BY 1) SELECT day, n, max(n) OVER () AS most FROM d")
+@query("q24_calendar_grid", f"WITH {EVENTS}, d AS (SELECT (start_s + 28800) // 86400 AS day, count(*) AS n FROM ev GROUP BY 1) SELECT day, n, max(n) OVER () AS most FROM d")
 def calendar_grid(spark, sf_dir):
-    days = event_rows(spark, sf_dir).groupBy(F.floor(F.col("start") / DAY).alias("day")).agg(F.count("*").alias("n"))
+    days = event_rows(spark, sf_dir).groupBy(F.floor((F.col("start") + calendar.ZONE_SECONDS) / DAY).alias("day")).agg(F.count("*").alias("n"))
     return days.crossJoin(F.broadcast(days.agg(F.max("n").alias("most"))))  # a row for each day, and one row
 
 

@@ -242,11 +242,17 @@ def day_gap(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.day_gap(start, F.lit(883_612_800)).alias("days"))
 
 
-@query("f28_frequency_bucket", "SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'daily' WHEN 1 THEN 'monthly' WHEN 2 THEN 'irregular' ELSE 'unknown' END AS bucket FROM nation")
+@query("f28_frequency_bucket", """SELECT n_nationkey, ['daily', 'monthly', 'irregular', 'undeclared', 'irregular', 'monthly', 'monthly', 'yearly', 'undeclared', 'daily', 'yearly'][n_nationkey % 11 + 1] AS bucket FROM nation""")
 def frequency(spark, sf_dir):
-    k = F.col("n_nationkey") % 4
-    said = F.when(k == 0, "每日").when(k == 1, "每月").when(k == 2, "不定")
-    return table(spark, sf_dir, "nation").select("n_nationkey", state.freq_bucket(said).alias("bucket"))
+    said = F.array(*map(F.lit, ["每日", "每2月", "不定期更新（每年）", "", "不定期", "每季", "半年", "每1年", "UNVERIFIED 每日", "updated daily", "3 年"]))
+    return table(spark, sf_dir, "nation").select("n_nationkey", state.freq_bucket(F.get(said, F.col("n_nationkey") % 11)).alias("bucket"))
+
+
+@query("x07_schedule", """SELECT n_nationkey, [3, 72, 6, 6, 168][n_nationkey % 5 + 1] * 3600000 * (CASE WHEN n_regionkey % 2 = 0 THEN 1 ELSE [8, 7 / 3, 4, 4, 2][n_nationkey % 5 + 1] END) // 1 AS interval_ms FROM nation""")
+def schedule(spark, sf_dir):
+    bucket = F.get(F.array(*map(F.lit, ["daily", "monthly", "irregular", "undeclared", "yearly"])), F.col("n_nationkey") % 5)
+    kind = F.when(F.col("n_regionkey") % 2 == 0, "event").otherwise("venue")
+    return table(spark, sf_dir, "nation").select("n_nationkey", state.scheduled(bucket, kind)["interval_ms"].cast("double").alias("interval_ms"))
 
 
 @query("f29_durations", "SELECT p_partkey, CASE WHEN p_size % 24 = 0 THEN (p_size // 24) || 'd' ELSE p_size || 'h' END AS shown FROM part")

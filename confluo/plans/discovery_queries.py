@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import discovery, spatial
+from ..operators import calendar, discovery, spatial
 from ..sources import sinks
 from .calendar_queries import DAY, SESSIONS, TODAY, sessions
 from .entity_queries import METRES, POINTS, points
@@ -34,10 +34,10 @@ def map_points_all(spark, sf_dir):
 
 @query("q15_nearby_events")
 def nearby_events(spark, sf_dir):
-    """Events of the same venue and city for the pages of the first orders, with caps on venue and series."""
-    rows = sessions(spark, sf_dir).withColumn("series", F.col("cat"))
-    centre = rows.where("slug < 50").select(F.col("slug").alias("page"), "venue", "city", "slug")
-    return discovery.nearby_events(centre, rows).select("page", "slug", F.col("place").cast("long").alias("place"))
+    """Events of the same venue and then of the city for every order's page, with caps on venue and series in the city."""
+    rows = calendar.upcoming(sessions(spark, sf_dir), TODAY).withColumn("series", F.col("cat"))
+    centre = sessions(spark, sf_dir).select(F.col("slug").alias("page"), "venue", "city", "slug")
+    return discovery.nearby_events(centre, rows, TODAY).select("page", "slug", "tier", F.col("place").cast("long").alias("place"))
 
 
 @query("q18_similar_events", f"""WITH {SESSIONS}, c AS (SELECT * FROM s WHERE slug < 100), r AS (SELECT c.slug AS page, s.slug, row_number() OVER (PARTITION BY c.slug ORDER BY CASE WHEN s.city = c.city THEN 0 ELSE 1 END, s.popularity DESC, s.slug) AS rank
@@ -90,12 +90,12 @@ def mood_rotation(spark, sf_dir):
     return discovery.mood_rotation(rows, 5).select(F.col("slug").alias("p_partkey"), "mood", F.col("place").cast("long").alias("place"))
 
 
-@query("q37_hub_matrix", f"""WITH {SESSIONS}, h AS (SELECT slug, city, unnest(list_filter([CASE WHEN start_s < {TODAY + DAY} AND e >= {TODAY - DAY} THEN 'weekend' END, CASE WHEN popularity < 20000 THEN 'free' END, 'year-' || year(to_timestamp(start_s) AT TIME ZONE 'UTC')], lambda x: x IS NOT NULL)) AS hub FROM s)
+@query("q37_hub_matrix", f"""WITH {SESSIONS}, h AS (SELECT slug, city, unnest(list_filter([CASE WHEN start_s < {TODAY + DAY} AND e >= {TODAY - DAY} THEN 'weekend' END, CASE WHEN popularity < 20000 THEN 'free' END, 'year-' || year(make_timestamp((start_s + 28800) * 1000000))], lambda x: x IS NOT NULL)) AS hub FROM s)
     SELECT hub, city, count(DISTINCT slug) AS n FROM h GROUP BY 1, 2 HAVING count(DISTINCT slug) >= 5 UNION ALL SELECT hub, 'all', count(DISTINCT slug) FROM h GROUP BY 1 HAVING count(DISTINCT slug) >= 5""")
 def hub_matrix(spark, sf_dir):
     rows = sessions(spark, sf_dir)
     weekend = (F.col("start") < TODAY + DAY) & (F.coalesce("end", "start") >= TODAY - DAY)
-    flagged = rows.select("slug", "city", weekend.alias("weekend"), (F.col("popularity") < 20000).alias("free"), F.year(F.timestamp_seconds("start")).alias("year"))
+    flagged = rows.select("slug", "city", weekend.alias("weekend"), (F.col("popularity") < 20000).alias("free"), F.year(calendar.local_day(F.col("start"))).alias("year"))
     return discovery.hub_matrix(flagged)
 
 

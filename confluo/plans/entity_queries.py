@@ -52,6 +52,32 @@ def match_ladder(spark, sf_dir):
     return part_pairs(spark, sf_dir).withColumn("decision", matching.decision(F.col("confidence")))
 
 
+#: Records made of parts for the ladder of rules: what each field is, in both languages.
+RECORD = {"source": "p_partkey % 4", "kind": "CASE WHEN p_size % 2 = 0 THEN 'event' ELSE 'venue' END", "norm_name_count": "p_partkey % 2 + 1", "start_day": "p_partkey % 10", "end_day": "p_partkey % 10 + 4"}
+
+
+@query("j02_rules", f"""WITH r AS (SELECT p_partkey AS id, p_type || '/' || p_size AS key, p_brand, p_partkey % 50 AS venue, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 7 END AS step,
+      {", ".join(f"{v} AS {k}" for k, v in RECORD.items())} FROM part),
+    p AS (SELECT a.id AS a, b.id AS b, a.kind AS kind, a.source = b.source AS one_source, a.norm_name_count AS n, a.p_brand = b.p_brand AS city, a.venue = b.venue AS venue, a.step IS NOT NULL AND b.step IS NOT NULL AS located,
+      abs(a.step - b.step) AS steps, a.start_day <= b.end_day AND b.start_day <= a.end_day AS overlap FROM r a JOIN r b ON a.key = b.key AND a.id < b.id),
+    m AS (SELECT a, b, CASE WHEN kind = 'event' THEN CASE WHEN NOT overlap THEN NULL WHEN venue THEN 'title+date+venue' WHEN located AND steps <= 2 THEN 'title+date+geo' WHEN city THEN 'title+date+city' ELSE 'title-only' END
+      WHEN located AND steps > 0 THEN 'name+far-geo' WHEN located AND NOT one_source THEN 'name+geo' WHEN located AND n = 2 THEN 'name+geo/dup-row' WHEN located THEN 'name+geo/shared-label'
+      WHEN NOT city THEN 'name-only' WHEN one_source THEN 'name+city/same-source' ELSE 'name+city/cross-source' END AS rule FROM p)
+    SELECT a, b, rule, CAST(map {{'title+date+venue': 0.9, 'title+date+geo': 0.85, 'title+date+city': 0.6, 'title-only': 0.3, 'name+far-geo': 0.3, 'name+geo': 0.85, 'name+geo/dup-row': 0.85, 'name+geo/shared-label': 0.3,
+      'name-only': 0.3, 'name+city/same-source': 0.4, 'name+city/cross-source': 0.8}}[rule] AS DOUBLE) AS confidence FROM m WHERE rule IS NOT NULL""")
+def rules(spark, sf_dir):
+    """The ladder itself over pairs of parts of one type and size, made up as records of events and places."""
+    part = table(spark, sf_dir, "part")
+    made = part.selectExpr(
+        "p_partkey as id", "concat(p_type, '/', p_size) as key", "array(p_brand) as city", "array(concat('v', lpad(p_partkey % 50, 4, '0'))) as venue", "if(p_partkey % 3 = 0, 25 + (p_partkey % 7) * 0.002d, null) as lat",
+        "if(p_partkey % 3 = 0, 121.5d, null) as lng", "cast(map() as map<string, string>) as external", "array(lower(p_type)) as variants", *(f"{v} as {k}" for k, v in RECORD.items()),
+    )
+    fields = [c for c in made.columns if c not in ("id", "key")]
+    a, b = (made.selectExpr("key", f"id as {n}", *(f"{c} as {n}_{c}" for c in fields)) for n in "ab")
+    rule = matching.match_rule({c: F.col(f"a_{c}") for c in fields}, {c: F.col(f"b_{c}") for c in fields})
+    return a.join(b, "key").where("a < b").select("a", "b", rule.alias("m")).where("m is not null").select("a", "b", "m.rule", "m.confidence")
+
+
 CLOSURE = f"""e AS (SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON a.key = b.key AND a.id < b.id AND {LADDER} >= 0.8),
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(id, r) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT reach.id, both_ways.b FROM reach JOIN both_ways ON reach.r = both_ways.a),
@@ -81,10 +107,10 @@ def cannot_link(spark, sf_dir):
 
 
 @query("g03_stable_ids", f"""WITH RECURSIVE {BRANDS}, {CLOSURE}, old AS (SELECT id, 'c' || min(id) OVER (PARTITION BY component, id % 2) AS stable_id, min(id) OVER (PARTITION BY component, id % 2) AS seed FROM cc WHERE id % 3 <> 0),
-    meets AS (SELECT component, stable_id, count(*) AS kept, bool_or(id = seed) AS has_seed FROM cc JOIN old USING (id) GROUP BY 1, 2),
-    r1 AS (SELECT *, row_number() OVER (PARTITION BY stable_id ORDER BY has_seed DESC, kept DESC, component) AS r FROM meets),
-    r2 AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY has_seed DESC, kept DESC, stable_id) AS q FROM r1 WHERE r = 1)
-    SELECT component, stable_id FROM r2 WHERE q = 1 UNION ALL SELECT DISTINCT component, CAST(component AS VARCHAR) FROM cc WHERE component NOT IN (SELECT component FROM r2)""")
+    asked AS (SELECT component, arg_min(stable_id, id) AS stable_id FROM cc JOIN old USING (id) GROUP BY 1),
+    meets AS (SELECT component, stable_id, count(*) AS kept, bool_or(id = seed) AS has_seed FROM cc JOIN old USING (id) JOIN asked USING (component, stable_id) GROUP BY 1, 2),
+    r1 AS (SELECT *, row_number() OVER (PARTITION BY stable_id ORDER BY has_seed DESC, kept DESC, component) AS r FROM meets)
+    SELECT component, stable_id FROM r1 WHERE r = 1 UNION ALL SELECT DISTINCT component, CAST(component AS VARCHAR) FROM cc WHERE component NOT IN (SELECT component FROM r1 WHERE r = 1)""")
 def stable_ids(spark, sf_dir):
     from pyspark.sql import Window as W
 
@@ -437,12 +463,16 @@ def shrink(spark, sf_dir):
     return counts.select("user_id", state.shrunk(F.col("a"), F.col("b")).alias("shrunk"))
 
 
-@query("x13_health", """WITH c AS (SELECT source, count(*) FILTER (doc_id % 3 <> 0) AS live, count(*) FILTER (doc_id % 3 = 0) AS gone, count(*) AS peak FROM documents GROUP BY 1)
-    SELECT source, round(live / peak, 6) AS ratio, CASE WHEN live / peak < 0.5 THEN 'fail' WHEN live / peak < 0.8 THEN 'warn' ELSE 'ok' END AS verdict FROM c""")
+@query("x13_health", """WITH c AS (SELECT source, count(*) FILTER (doc_id % 3 <> 0) AS live, count(*) FILTER (doc_id % 3 = 0) AS gone, CAST(substr(source, 4) AS INTEGER) AS k, min(doc_id) % 200 AS f FROM documents GROUP BY 1),
+    r AS (SELECT *, CASE WHEN k % 4 = 1 THEN CASE WHEN k % 8 = 5 THEN NULL ELSE k % 10 / 8 END ELSE live / (live + gone) END AS ratio, k % 4 = 1 AND k % 8 = 5 AS unknown, k % 4 <> 1 AND f >= 90 AND f // 2 >= 90 AS stale FROM c)
+    SELECT source, round(ratio, 6) AS ratio, CASE WHEN ratio < 0.5 THEN 'fail' WHEN ratio < 0.8 OR unknown OR stale THEN 'warn' ELSE 'ok' END AS verdict,
+    CAST(CASE WHEN ratio < 0.8 THEN 1 ELSE 0 END + CASE WHEN unknown OR stale THEN 1 ELSE 0 END AS INTEGER) AS n_problems FROM r""")
 def health(spark, sf_dir):
-    gone = F.col("doc_id") % 3 == 0
-    counts = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.when(~gone, 1)).alias("live"), F.count(F.when(gone, 1)).alias("gone"), F.count("*").alias("peak"))
-    return state.health(counts.withColumn("age_days", F.lit(0)).withColumn("rolling", F.lit(False))).select("source", "ratio", "verdict")
+    gone, k = F.col("doc_id") % 3 == 0, F.substring("source", 4, 9).cast("int")
+    counts = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.when(~gone, 1)).alias("live"), F.count(F.when(gone, 1)).alias("gone"), (F.min("doc_id") % 200).alias("first_days"))
+    rolling, fetched = F.when(k % 4 == 1, 8), F.when(k % 8 != 5, k % 10)
+    rows = counts.withColumns({"changed_days": F.floor(F.col("first_days") / 2), "rolling": rolling, "fetched": fetched})
+    return state.health(rows).select("source", "ratio", "verdict", F.size("problems").alias("n_problems"))
 
 
 @query("x15_first_write_wins", "SELECT n_regionkey AS key, 'old' AS v FROM nation WHERE n_regionkey < 2 GROUP BY 1 UNION ALL SELECT r_regionkey, 'new' FROM region WHERE r_regionkey NOT IN (SELECT n_regionkey FROM nation WHERE n_regionkey < 2)")

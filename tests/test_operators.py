@@ -35,6 +35,9 @@ def test_match_ladder(spark):
     assert rule_of(spark, t, {"title": "完全不同的東西", "source": "s2"}, forced=True) == ("manual", 1.0)
     assert rule_of(spark, t | {"external": {"a": "1"}}, o | {"external": {"a": "2"}}) is None
     assert rule_of(spark, t | {"external": {"a": "1"}}, {"title": "x", "external": {"a": "1"}}) == ("external-id", 1.0)
+    assert rule_of(spark, t | {"kind": "venue", "external": {"a": "1"}}, o | {"external": {"a": "1"}}) == ("external-id", 1.0)
+    assert rule_of(spark, t | {"venue": ["館"]}, o | {"venue": ["館"], "city": []}) == ("title+date+venue", 0.9)
+    assert rule_of(spark, t | {"venue": ["館"]}, o | {"venue": ["大館"]}) == ("title+date+city", 0.6)
     assert rule_of(spark, t | {"kind": "venue"}, o) is None
     assert rule_of(spark, t | {"kind": "person"}, o | {"kind": "person"}) is None
     assert rule_of(spark, t, {"title": "完全不同的東西"}) is None
@@ -42,7 +45,7 @@ def test_match_ladder(spark):
     assert rule_of(spark, t | {"venue": ["國家音樂廳"]}, o | {"venue": ["國家音樂廳演奏廳"]}) == ("title+date+venue", 0.9)
     assert rule_of(spark, t | {"lat": 25.0, "lng": 121.5}, o | {"lat": 25.001, "lng": 121.5}) == ("title+date+geo", 0.85)
     assert rule_of(spark, t, o) == ("title+date+city", 0.6)
-    assert rule_of(spark, t, o | {"city": ["高雄市"]}) == ("title+date-only", 0.3)
+    assert rule_of(spark, t, o | {"city": ["高雄市"]}) == ("title-only", 0.3)
     longer = {"title": "春季古典音樂之夜特輯"}
     assert rule_of(spark, t, longer) == ("title~/same-source-subevent", 0.3)
     assert rule_of(spark, t | {"venue": ["大劇院"]}, longer | {"source": "s2", "venue": ["大劇院"]}) == ("title~+date+venue", 0.85)
@@ -188,3 +191,75 @@ def test_calendar(spark):
     assert [r[0] for r in df.select(calendar.series_key(F.col("t"))).collect()] == [None, None, None]
     df = spark.createDataFrame([("2026 臺北國際音樂節 第3屆",)], "t string")
     assert df.select(calendar.series_key(F.col("t"))).first()[0] == "臺北國際音樂節"
+
+
+def test_ids_follow_the_first_member(spark):
+    kind = "id int, component int, forced boolean"
+    members = spark.createDataFrame([(1, 1, False), (2, 1, False), (3, 3, False), (4, 3, False)], kind)
+    previous = spark.createDataFrame([(1, "X"), (2, "Y"), (3, "Y")], "id int, stable_id string")
+    assert rows(graph.inherit_ids(members, previous)) == [(1, "X"), (3, "Y")]
+    # 5 and 5-2 are in use, so the new component counts on
+    members = spark.createDataFrame([(1, 1, False), (2, 2, False), (5, 5, False)], kind)
+    previous = spark.createDataFrame([(1, "5"), (2, "5-2")], "id int, stable_id string")
+    assert rows(graph.inherit_ids(members, previous)) == [(1, "5"), (2, "5-2"), (5, "5-3")]
+    # a number of an old id that nobody holds now is free
+    assert rows(graph.inherit_ids(members.where("id <> 2"), previous)) == [(1, "5"), (5, "5-2")]
+
+
+def test_health(spark):
+    kind = "source string, live int, gone int, first_days int, changed_days int, rolling int, fetched int"
+    data = [("ok", 9, 1, 10, 0, None, None), ("warn", 7, 3, 10, 0, None, None), ("fail", 4, 6, 200, 100, None, None), ("stale", 9, 0, 200, 90, None, None), ("young", 9, 0, 80, 80, None, None), ("empty", 0, 0, 0, 0, None, None)]
+    data += [("rolls", 1, 99, 200, 200, 50, 50), ("few", 50, 0, 9, 0, 50, 24), ("fewer", 50, 0, 9, 0, 50, 39), ("unknown", 50, 0, 9, 0, 50, None)]
+    got = {r["source"]: (r["verdict"], r["problems"]) for r in state.health(spark.createDataFrame(data, kind)).collect()}
+    assert got["ok"] == got["young"] == got["rolls"] == ("ok", []) and got["warn"] == ("warn", ["warn:shrunk"]) and got["fail"] == ("fail", ["fail:shrunk", "warn:stale"])
+    assert got["stale"] == ("warn", ["warn:stale"]) and got["empty"] == ("fail", ["fail:empty"]) and got["few"][0] == "fail" and got["fewer"][0] == got["unknown"][0] == "warn"
+
+
+def test_frequencies(spark):
+    cases = {"不定期更新（每年）": "irregular", "": "undeclared", None: "undeclared", "每季": "monthly", "半年": "monthly", "每1日": "daily", "每天": "daily", "每3月": "monthly", "每年": "yearly", "annually": "yearly", "UNVERIFIED: 每日": "undeclared", "每週": "undeclared"}
+    found = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string").select("i", state.freq_bucket(F.col("c")).alias("b")).orderBy("i").collect()
+    assert [r["b"] for r in found] == list(cases.values())
+
+
+def test_city_months_are_local(spark):
+    at = lambda s: int(dt.datetime.fromisoformat(s).timestamp())
+    today = at("2026-07-15T00:00:00+08:00")
+    data = [(k, "a", at("2026-08-01T03:00:00+08:00"), None) for k in range(5)] + [(9, "a", at("2026-01-01T10:00:00+08:00"), at("2026-08-02T00:00:00+08:00")), (10, "a", at("2026-06-30T23:00:00+08:00"), None), (11, None, today, None)]
+    df = spark.createDataFrame(data, "slug int, city string, start long, end long")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Taipei"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = rows(calendar.city_months(df, today, "2026-06-01").selectExpr("city", "cast(month as string)", "events", "ongoing", "past"))
+            assert got == [("a", "2026-06-01", 1, 0, True), ("a", "2026-08-01", 5, 1, False)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_nearby_events_same_as_plain_loop(spark):
+    import random
+
+    from confluo.operators import discovery
+
+    rng = random.Random(3)
+    data = [(rng.randrange(260), rng.choice([None, *range(9)]), rng.choice("ab"), rng.choice([None, *range(6)]), rng.randrange(100), rng.choice([None, 100, 200])) for _ in range(320)] + [(1000 + k, 50, "c", 7, 60 + k, None) for k in range(90)] + [(2000, 51, "c", 8, 400, None)]
+    kind = "slug int, venue int, city string, series int, start int, end int"
+    df = spark.createDataFrame(data, kind)
+    pages = [(k, k % 9, "ab"[k % 2], k) for k in range(40)] + [(1000, 50, "c", 1000), (3000, None, "c", 3000)]
+    got = {}
+    for r in discovery.nearby_events(spark.createDataFrame(pages, "page int, venue int, city string, slug int"), df, 50).collect():
+        got.setdefault(r["page"], []).append((r["place"], r["slug"], r["tier"]))
+    live = sorted((r for r in data if (r[5] if r[5] is not None else r[4]) >= 50), key=lambda r: (r[4] < 50, r[4] if r[4] >= 50 else r[5], r[0]))
+    for page, venue, city, slug in pages:
+        out, seen, held = [], {slug}, {}
+        for tier, match in ((0, lambda r: venue is not None and r[1] == venue), (1, lambda r: r[2] == city)):
+            for r in live:
+                if len(out) < 6 and match(r) and r[0] not in seen:
+                    keys = [("v", r[1]), ("s", r[3])]
+                    if tier and any(held.get(k, 0) >= 2 for k in keys if k[1] is not None):
+                        continue
+                    seen.add(r[0])
+                    for k in keys:
+                        held[k] = held.get(k, 0) + 1
+                    out.append((r[0], tier))
+        assert [(s, t) for _, s, t in sorted(got.get(page, []))] == out, page

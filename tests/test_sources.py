@@ -86,12 +86,19 @@ def test_quirks(spark):
 
 
 def test_opening_hours(spark):
-    cases = ["每日 09:00-17:00", "週二至週日 09:00~17:00；週一休館", "週一至週五09:00-12:00,13:30-17:00", "依公告", "週一至週五 25:00-26:00", "每日09:00-17:00（除夕休館）", None]
+    mon, tue, wed, thu, fri, sat, sun = hours.DAYS
+    cases = {
+        "1.週二至週日:08:00-18:00\n2.週一.國定假日休館": [(hours.DAYS[1:], "08:00", "18:00")],
+        "週三、五~日9:00~17:00\n週二、四9:00~19:00": [([tue, thu], "09:00", "19:00"), ([wed, fri, sat, sun], "09:00", "17:00")],
+        "週二至週日10：00～18：00": [(hours.DAYS[1:], "10:00", "18:00")],
+        "09:00 ~ 17:00\n休館：週一及民俗節日": [(hours.DAYS[1:], "09:00", "17:00")],
+        "星期一至星期五 8:30-12:30、13:30-17:30；週六與週日 10:00至16:00": [(hours.DAYS[:5], "08:30", "12:30"), (hours.DAYS[:5], "13:30", "17:30"), ([sat, sun], "10:00", "16:00")],
+        "08:30-17:30": None, "每日 09:00-17:00": None, "週六至週二 09:00-17:00": None, "": None, None: None, "依公告": None, "週一至週五 25:00-26:00": None,
+        "1.週二至週五:08:00-21:00\n2.週六.週日:08:00-17:00\n3.週一.國定假日.月末週五休館": None, "1.週二:09:00-17:00-僅開放自修室": None, "週六08:00-12:00.12:30-4:30": None,
+        "配合演出活動時間開放(春節及保養日不開放)": None,
+    }
     rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string").select("i", hours.parse_opening_hours(F.col("c")).alias("h")).orderBy("i").collect()
-    found = [r["h"] for r in rows]
-    assert found[0][0]["days"] == hours.DAYS and found[0][0]["opens"] == "09:00"
-    assert found[1][0]["days"] == hours.DAYS[1:] and len(found[2]) == 2 and found[2][1]["closes"] == "17:00"
-    assert found[3:] == [None] * 4
+    assert [r["h"] and [(list(x["days"]), x["opens"], x["closes"]) for x in r["h"]] for r in rows] == list(cases.values())
 
 
 def test_sinks(spark, tmp_path):
