@@ -84,10 +84,22 @@ def nearby_events(centre: DataFrame, rows: DataFrame, today: int, cap: int = 2,
 
 
 def similar_events(centre: DataFrame, rows: DataFrame, limit: int = 6) -> DataFrame:
-    """For each page (page, cat, city, slug) the best rows (slug, cat, city, score) of its category, its city first."""
-    both = centre.selectExpr("page", "cat", "city as pc", "slug as ps").join(rows, "cat").where("slug <> ps")
-    order = W.partitionBy("page").orderBy(F.when(F.col("city") == F.col("pc"), 0).otherwise(1), F.desc("score"), "slug")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("page", "slug", "rank")
+    """For each page (page, cat, city, slug) the best rows (slug, cat, city, score) of its category, its city first.
+
+    A page sees at most ``limit`` rows of its city and the best of the category elsewhere, and leaves out itself; so the best
+    limit + 1 of each city, and the best 2 limit + 2 of these in the category, hold all that any page can show.
+    """
+    entry = F.struct((-F.col("score")).alias("low"), "slug", "city").alias("e")
+    rank = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy("e"))
+    listed = lambda rows, name, *keys: rows.groupBy(*keys).agg(F.sort_array(F.collect_list("e")).alias(name))
+    best = rows.where("cat is not null").select("cat", "city", entry).withColumn("_r", rank("cat", "city")).where(F.col("_r") <= limit + 1)
+    top = best.withColumn("_r", rank("cat")).where(F.col("_r") <= 2 * limit + 2)
+    pages = centre.join(listed(best, "here", "cat", "city"), ["cat", "city"], "left").join(listed(top, "anywhere", "cat"), "cat")
+    other = lambda e: e["slug"] != F.col("slug")
+    here = F.coalesce(F.slice(F.filter("here", other), 1, limit), F.filter("anywhere", lambda e: F.lit(False)))
+    elsewhere = F.filter("anywhere", lambda e: other(e) & ~F.coalesce(e["city"] == F.col("city"), F.lit(False)))
+    shown = F.posexplode(F.slice(F.concat(here, elsewhere), 1, limit)).alias("at", "e")
+    return pages.select("page", shown).select("page", F.col("e.slug").alias("slug"), (F.col("at") + 1).alias("rank"))
 
 
 def nearby_venues(near: DataFrame, venues: DataFrame, limit: int = 10) -> DataFrame:

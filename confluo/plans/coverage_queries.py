@@ -142,19 +142,9 @@ def name_head(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.nullif(head, F.lit("")).alias("head"))
 
 
-@query("j07_same_place", """WITH p AS (SELECT vec_id AS id, vec_id % 20 AS key, vec_id % 2 AS city, 24 + CAST(embedding[1] AS DOUBLE) AS lat, 121 + CAST(embedding[2] AS DOUBLE) AS lng, vec_id % 7 AS house FROM embeddings WHERE vec_id < 300)
-    SELECT a.id AS a_id, b.id AS b_id FROM p a JOIN p b ON a.key = b.key AND a.id <> b.id WHERE CASE WHEN a.id % 3 > 0 AND b.id % 3 > 0 THEN a.city = b.city AND
-    2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))) <= 20000 ELSE a.house = b.house END""")
-def same_place(spark, sf_dir):
-    e, i = F.col("embedding"), F.col("vec_id")
-    lat = F.when(i % 3 > 0, 24 + e[0].cast("double"))
-    rows = table(spark, sf_dir, "embeddings").where("vec_id < 300").select(i.alias("id"), (i % 20).alias("key"), (i % 2).alias("city"), lat.alias("lat"), (121 + e[1].cast("double")).alias("lng"), (i % 7).alias("house"))
-    return relations.same_place(rows, rows, 20_000)
-
-
-@query("j07_same_place_all")
+@query("j07_same_place")
 def same_place_all(spark, sf_dir):
-    """j07_same_place over every row of embeddings; SQL would compare all rows of a key with each other."""
+    """Every row of embeddings; SQL would compare all rows of a key with each other."""
     e, i = F.col("embedding"), F.col("vec_id")
     lat = F.when(i % 3 > 0, 24 + e[0].cast("double"))
     rows = table(spark, sf_dir, "embeddings").select(i.alias("id"), (i % 20).alias("key"), (i % 2).alias("city"), lat.alias("lat"), (121 + e[1].cast("double")).alias("lng"), (i % 7).alias("house"))
@@ -322,31 +312,16 @@ def refresh(spark, sf_dir):
     return state.refreshed(rules, fetched, _date())
 
 
-@query("x16_saved_items", """WITH i AS (SELECT c_custkey AS slug, c_custkey * 10 AS saved FROM customer WHERE c_custkey < 400), t AS (SELECT c_custkey AS slug, c_custkey * 20 AS saved FROM customer WHERE c_custkey BETWEEN 300 AND 700),
-    k AS (SELECT * FROM i WHERE slug NOT IN (SELECT slug FROM t) UNION ALL SELECT * FROM t WHERE slug NOT IN (SELECT slug FROM i)) SELECT slug, CAST(p AS INTEGER) AS position FROM (SELECT *, row_number() OVER (ORDER BY saved DESC, slug) AS p FROM k) WHERE p <= 500""")
-def saved(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    make = lambda rows, f: rows.select(F.lit("event").alias("kind"), F.col("c_custkey").alias("slug"), (F.col("c_custkey") * f).alias("saved_at"), F.lit(None).cast("long").alias("end_at"))
-    return state.saved_items(make(c.where("c_custkey < 400"), 10), make(c.where("c_custkey between 300 and 700"), 20), F.lit(0)).select("slug", "position")
-
-
-@query("x16_saved_items_all", """WITH i AS (SELECT c_custkey AS slug, c_custkey * 10 AS saved FROM customer WHERE c_custkey % 3 < 2), t AS (SELECT c_custkey AS slug, c_custkey * 20 AS saved FROM customer WHERE c_custkey % 3 > 0),
+@query("x16_saved_items", """WITH i AS (SELECT c_custkey AS slug, c_custkey * 10 AS saved FROM customer WHERE c_custkey % 3 < 2), t AS (SELECT c_custkey AS slug, c_custkey * 20 AS saved FROM customer WHERE c_custkey % 3 > 0),
     k AS (SELECT * FROM i WHERE slug NOT IN (SELECT slug FROM t) UNION ALL SELECT * FROM t WHERE slug NOT IN (SELECT slug FROM i)) SELECT slug, CAST(p AS INTEGER) AS position FROM (SELECT *, row_number() OVER (ORDER BY saved DESC, slug) AS p FROM k) WHERE p <= 500""")
 def saved_all(spark, sf_dir):
-    """x16_saved_items with items and toggles from all customers; the list's own limit of 500 stays."""
+    """Items and toggles from all customers; the list's own limit of 500 stays."""
     c = table(spark, sf_dir, "customer")
     make = lambda rows, f: rows.select(F.lit("event").alias("kind"), F.col("c_custkey").alias("slug"), (F.col("c_custkey") * f).alias("saved_at"), F.lit(None).cast("long").alias("end_at"))
     return state.saved_items(make(c.where("c_custkey % 3 < 2"), 10), make(c.where("c_custkey % 3 > 0"), 20), F.lit(0)).select("slug", "position")
 
 
-@query("q13_editor_picks", f"WITH {SESSIONS}, l AS (SELECT DISTINCT slug FROM s WHERE e >= {TODAY}) SELECT position, o_orderkey AS slug FROM (SELECT o_orderkey, o_orderkey % 10 AS position FROM orders WHERE o_orderkey < 200) JOIN l ON slug = o_orderkey")
-def editor_picks(spark, sf_dir):
-    picks = table(spark, sf_dir, "orders").where("o_orderkey < 200").select(F.lit("1997-W24").alias("week"), (F.col("o_orderkey") % 10).alias("position"), F.col("o_orderkey").alias("slug"))
-    live = sessions(spark, sf_dir).where(calendar.not_ended(TODAY))
-    return discovery.editor_picks(picks, live, F.lit("1997-W24")).select("position", "slug")
-
-
-@query("q13_editor_picks_all", f"WITH {SESSIONS}, l AS (SELECT DISTINCT slug FROM s WHERE e >= {TODAY}) SELECT position, o_orderkey AS slug FROM (SELECT o_orderkey, o_orderkey % 10 AS position FROM orders) JOIN l ON slug = o_orderkey")
+@query("q13_editor_picks", f"WITH {SESSIONS}, l AS (SELECT DISTINCT slug FROM s WHERE e >= {TODAY}) SELECT position, o_orderkey AS slug FROM (SELECT o_orderkey, o_orderkey % 10 AS position FROM orders) JOIN l ON slug = o_orderkey")
 def editor_picks_all(spark, sf_dir):
     picks = table(spark, sf_dir, "orders").select(F.lit("1997-W24").alias("week"), (F.col("o_orderkey") % 10).alias("position"), F.col("o_orderkey").alias("slug"))
     live = sessions(spark, sf_dir).where(calendar.not_ended(TODAY))

@@ -19,15 +19,9 @@ def radius_search(spark, sf_dir):
     return discovery.radius_search(rows, 24.0, 121.0, 10_000, 0).select("slug", F.round("metres").cast("long").alias("metres"))
 
 
-@query("q27_map_points", f"WITH {POINTS} SELECT id % 97 AS slug, min(id) AS start_s FROM p WHERE id < 400 GROUP BY 1")
-def map_points(spark, sf_dir):
-    rows = points(spark, sf_dir).where("id < 400").selectExpr("id % 97 as slug", "id as start", "cast(null as long) as end", "lat", "lng")
-    return discovery.map_points(rows, 0).selectExpr("slug", "start as start_s")
-
-
-@query("q27_map_points_all", f"WITH {POINTS} SELECT id AS slug, min(id) AS start_s FROM p GROUP BY 1")
+@query("q27_map_points", f"WITH {POINTS} SELECT id AS slug, min(id) AS start_s FROM p GROUP BY 1")
 def map_points_all(spark, sf_dir):
-    """q27_map_points with every point: each has a slug of its own, and the days are so many that all starts lie within."""
+    """Every point: each has a slug of its own, and the days are so many that all starts lie within."""
     rows = points(spark, sf_dir).selectExpr("id as slug", "id as start", "cast(null as long) as end", "lat", "lng")
     return discovery.map_points(rows, 0, days=1 << 40).selectExpr("slug", "start as start_s")
 
@@ -40,11 +34,11 @@ def nearby_events(spark, sf_dir):
     return discovery.nearby_events(centre, rows, TODAY).select("page", "slug", "tier", F.col("place").cast("long").alias("place"))
 
 
-@query("q18_similar_events", f"""WITH {SESSIONS}, c AS (SELECT * FROM s WHERE slug < 100), r AS (SELECT c.slug AS page, s.slug, row_number() OVER (PARTITION BY c.slug ORDER BY CASE WHEN s.city = c.city THEN 0 ELSE 1 END, s.popularity DESC, s.slug) AS rank
+@query("q18_similar_events", f"""WITH {SESSIONS}, c AS (SELECT * FROM s), r AS (SELECT c.slug AS page, s.slug, row_number() OVER (PARTITION BY c.slug ORDER BY CASE WHEN s.city = c.city THEN 0 ELSE 1 END, s.popularity DESC, s.slug) AS rank
     FROM c JOIN s ON c.cat = s.cat AND c.slug <> s.slug) SELECT page, slug, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 6""")
 def similar_events(spark, sf_dir):
     rows = sessions(spark, sf_dir).withColumn("score", F.col("popularity"))
-    return discovery.similar_events(rows.where("slug < 100").select(F.col("slug").alias("page"), "cat", "city", "slug"), rows.select("slug", "cat", "city", "score"))
+    return discovery.similar_events(rows.select(F.col("slug").alias("page"), "cat", "city", "slug"), rows.select("slug", "cat", "city", "score"))
 
 
 @query("q19_nearby_venues", f"""WITH {POINTS}, d AS (SELECT a.id AS l_id, b.id AS r_id, {METRES} AS m FROM p a JOIN p b ON a.id <> b.id AND abs(a.lat - b.lat) < 0.03 WHERE {METRES} <= 2000),

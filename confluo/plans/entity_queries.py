@@ -371,14 +371,8 @@ def nested(spark, sf_dir):
     return rows.select("conv_id", F.col("role").alias("first_role"), F.size("sessions").cast("long").alias("turns"), chars.alias("chars"))
 
 
-@query("m10_unnest", "SELECT conv_id, turn, unnest(string_split(text, ' ')[1:3]) AS word FROM conversations")
-def unnest(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.slice(F.split("text", " "), 1, 3)).alias("word"))
-
-
-@query("m10_unnest_all", "SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word FROM conversations")
+@query("m10_unnest", "SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word FROM conversations")
 def unnest_all(spark, sf_dir):
-    """m10_unnest with every word of a text."""
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.split("text", " ")).alias("word"))
 
 
