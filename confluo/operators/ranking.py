@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .storage import written
+
 
 def top_per_group(rows: DataFrame, groups: list[str], k: int, *order) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(*groups).orderBy(*order))).where(F.col("rank") <= k)
@@ -59,10 +61,14 @@ def rotated(rows: DataFrame, order: str, seed: int, *groups: str) -> DataFrame:
 def floor_quantiles(rows: DataFrame, value: str, shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """One row: min, the values at index floor(n share) of the sorted column, and max.
 
-    A count per distinct value is aggregated first, and running sums over the distinct values find the places.
+    A count per distinct value is aggregated first. Running sums over the distinct values find the places: within ranges of
+    values, each sorted by its own task, behind the sum of the ranges before.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(W.orderBy(value))).crossJoin(F.broadcast(counts.agg(F.sum("c").alias("n"))))
+    ranged = written(counts.repartitionByRange(value).withColumn("_p", F.spark_partition_id()), "quantiles")
+    sums = ranged.groupBy("_p").agg(F.sum("c").alias("s"))  # one row for each range
+    before = sums.select("_p", (F.sum("s").over(W.orderBy("_p")) - F.col("s")).alias("_before"), F.sum("s").over(W.partitionBy()).alias("n"))
+    upto = ranged.join(F.broadcast(before), "_p").withColumn("upto", F.col("_before") + F.sum("c").over(W.partitionBy("_p").orderBy(value)))
     at = [F.min(F.when(F.col("upto") > F.floor(F.col("n") * s), F.col(value))).alias(f"p{round(s * 100)}") for s in shares]
     return upto.agg(F.min(value).alias("min"), *at, F.max(value).alias("max"))
 

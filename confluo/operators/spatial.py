@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from .graph import connected_components
+from .storage import written
 
 
 def degrees_for(metres: float, latitude: float = 27.0) -> float:
@@ -62,10 +63,19 @@ def building_name(names: Column, least: int = 3) -> Column:
     return F.when(F.length(head) >= least, head).otherwise(shortest)
 
 
-def reach_tier(distances: DataFrame, tiers: tuple[float, ...] = (3000.0, 8000.0, 20000.0), enough: int = 3) -> DataFrame:
-    """(l_id, tier): the smallest radius that holds enough neighbours, else the largest."""
-    counts = [F.count(F.when(F.col("metres") <= t, 1)) for t in tiers]
-    tier = F.lit(tiers[-1])
-    for t, n in reversed(list(zip(tiers, counts))):
-        tier = F.when(n >= enough, F.lit(t)).otherwise(tier)
-    return distances.groupBy("l_id").agg(tier.alias("tier"))
+def reach_tiers(points: DataFrame, tiers: tuple[float, ...] = (3000.0, 8000.0, 20000.0), enough: int = 3) -> DataFrame:
+    """(l_id, tier) of points (id, lat, lng): the smallest radius that holds enough neighbours.
+
+    Points without enough within the largest radius get that radius, and null if none is within it. Only points that a
+    radius leaves without enough are looked at with the next one, so that dense places meet their nearest neighbours alone.
+    """
+    rest, right = points.withColumnRenamed("id", "l_id"), points.withColumnRenamed("id", "r_id")
+    found = None
+    for tier in tiers:
+        near = radius_join(rest, right, tier).where("l_id <> r_id").groupBy("l_id").agg(F.count("*").alias("n"))
+        counted = written(rest.join(near, "l_id", "left"), "reach")
+        last = tier == tiers[-1]
+        done = counted.where(F.lit(True) if last else F.col("n") >= enough).select("l_id", F.when(F.col("n") > 0, F.lit(tier)).alias("tier"))
+        found = done if found is None else found.unionByName(done)
+        rest = counted.where(F.coalesce("n", F.lit(0)) < enough).drop("n")
+    return found

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, text
+from ..operators.storage import shared_dir
 from ..operators import calendar, discovery, fusion, relations, spatial, state
 from ..sources import readers
 from .calendar_queries import SESSIONS, TODAY, sessions
@@ -25,8 +25,7 @@ def _date(day: str = "2024-02-01") -> F.Column:
 
 
 def _folder(spark, name: str) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="confluo-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("s01_ndjson_round_trip", "SELECT conv_id, turn, role, CAST(length(text) AS BIGINT) AS chars FROM conversations")

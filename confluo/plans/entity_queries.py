@@ -223,8 +223,7 @@ def single_link(spark, sf_dir):
 @query("t07_reach_tier", f"WITH {POINTS}, d AS (SELECT a.id AS l_id, {METRES} AS m FROM p a JOIN p b ON a.id <> b.id AND abs(a.lat - b.lat) < 0.2 WHERE {METRES} <= 20000) SELECT l_id, CAST(CASE WHEN count(*) FILTER (m <= 3000) >= 3 THEN 3000 WHEN count(*) FILTER (m <= 8000) >= 3 THEN 8000 ELSE 20000 END AS DOUBLE) AS tier FROM d GROUP BY 1")
 def reach(spark, sf_dir):
     p = points(spark, sf_dir)
-    near = spatial.radius_join(p.withColumnRenamed("id", "l_id"), p.withColumnRenamed("id", "r_id"), 20_000).where("l_id <> r_id")
-    return spatial.reach_tier(near)
+    return spatial.reach_tiers(p).where("tier is not null")
 
 
 @query("j12_left_join_default", "SELECT doc_id, coalesce(toxic, 0) <> 1 AS indexable FROM documents LEFT JOIN labels USING (doc_id)")
@@ -240,11 +239,11 @@ def semi_join(spark, sf_dir):
     return customer.join(large, customer["c_custkey"] == large["o_custkey"], "left_semi").select("c_custkey")
 
 
-@query("j19_series", "WITH t AS (SELECT o_custkey AS k, year(o_orderdate) AS y, o_orderkey AS slug FROM orders WHERE o_orderpriority = '1-URGENT') SELECT DISTINCT a.slug, b.slug AS other FROM t a JOIN t b ON a.k = b.k AND a.y <> b.y AND a.slug <> b.slug")
+@query("j19_series", "WITH t AS (SELECT o_custkey AS k, year(o_orderdate) AS y, o_orderkey AS slug FROM orders) SELECT DISTINCT a.slug, b.slug AS other FROM t a JOIN t b ON a.k = b.k AND a.y <> b.y AND a.slug <> b.slug")
 def series(spark, sf_dir):
     from ..operators.calendar import series_pairs
 
-    rows = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("series_key"), F.year("o_orderdate").alias("year"), F.col("o_orderkey").alias("slug"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("series_key"), F.year("o_orderdate").alias("year"), F.col("o_orderkey").alias("slug"))
     return series_pairs(rows)
 
 
@@ -337,13 +336,16 @@ def recycled(spark, sf_dir):
 
 
 @query("m05_title_dice", """WITH p AS (SELECT p_partkey AS id, lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) AS t, p_brand, p_type FROM part),
-    g AS (SELECT id, t, p_brand, p_type, list_distinct([substr(t, i, 2) FOR i IN range(1, length(t))]) AS g FROM p)
-    SELECT a.id AS a, b.id AS b, round(2 * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)), 6) AS dice FROM g a JOIN g b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.id < b.id""")
+    g AS (SELECT id, t, p_brand, p_type, list_distinct([substr(t, i, 2) FOR i IN range(1, length(t))]) AS g FROM p),
+    d AS (SELECT a.id AS a, b.id AS b, round(2 * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)), 6) AS dice FROM g a JOIN g b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.id < b.id)
+    SELECT * FROM d WHERE dice >= 0.5""")
 def title_dice(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", F.lower(F.regexp_replace("p_name", "[^A-Za-z0-9]", "")).alias("t"))
-    a = rows.select("p_brand", "p_type", F.col("p_partkey").alias("a"), F.col("t").alias("t1"))
-    b = rows.select("p_brand", "p_type", F.col("p_partkey").alias("b"), F.col("t").alias("t2"))
-    return a.join(b, ["p_brand", "p_type"]).where("a < b").select("a", "b", F.round(text.dice(F.col("t1"), F.col("t2")), 6).alias("dice"))
+    """Pairs of similar names within brand and type: bigrams are made once for each name, and only similar pairs leave the join."""
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_type", "p_partkey", text.bigrams(F.lower(F.regexp_replace("p_name", "[^A-Za-z0-9]", ""))).alias("g"))
+    dealt = rows.repartition("p_brand", "p_type")  # the arrays are made before the join
+    a, b = (dealt.selectExpr("p_brand", "p_type", f"p_partkey as {n}", f"g as g{n}") for n in "ab")
+    dice = F.round(2 * F.size(F.array_intersect("ga", "gb")) / (F.size("ga") + F.size("gb")), 6)
+    return a.join(b, ["p_brand", "p_type"]).where("a < b").select("a", "b", dice.alias("dice")).where("dice >= 0.5")
 
 
 @query("m06_content_key_ids", """WITH r AS (SELECT p_partkey, p_type || '|' || p_size AS k, row_number() OVER (PARTITION BY p_type || '|' || p_size ORDER BY p_partkey) AS n FROM part)

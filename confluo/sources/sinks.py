@@ -11,8 +11,8 @@ from ..operators.storage import written
 
 
 def write_observations(rows: DataFrame, path: str) -> None:
-    """Partitioned by source, sorted by id within each file."""
-    rows.repartition("source").sortWithinPartitions("source", "id").write.mode("overwrite").partitionBy("source").json(path)
+    """Partitioned by source, sorted by id within each file; a large source is several files, one for each range of ids."""
+    rows.repartitionByRange("source", "id").sortWithinPartitions("source", "id").write.mode("overwrite").partitionBy("source").json(path)
 
 
 def serving_index(events: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
