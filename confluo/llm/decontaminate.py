@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-MASKS = ("11011011", "1101010011", "10110100011")
+#: Of every item of LEAST_WORDS words and more that keeps COVERAGE of its words in place, at least one window of these masks
+#: is whole, and at least two of an item of SURE_WORDS and more; tests try all substitutions of the short ones.
+MASKS = ("1101", "10011")
+LEAST_WORDS, SURE_WORDS = 5, 11
 #: Share of an item's words, or number of them, that must match.
 COVERAGE = 0.7
 LONG_MATCH = 20
-#: A join side is broadcast up to so many rows, after counting; beyond, both sides are shuffled.
-BROADCAST_ROWS = 200_000
+#: A join side is broadcast up to so many bytes, after counting; beyond, both sides are shuffled.
+BROADCAST_BYTES = 32 << 20
 
 #: Words are the runs of letters and digits, in lower case.
 WORDS = "filter(split(lower(text), '[^\\\\p{L}\\\\p{N}]+'), w -> w <> '')"
@@ -54,35 +57,42 @@ def seeds(rows: DataFrame, key: str) -> DataFrame:
     return found.selectExpr(key, "posexplode(s) as (pos, seed)")
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, matched (distinct item words found in place), item_words, first_word and covered.
 
     One row for each document and item whose matched words are at least COVERAGE of the item's words, or LONG_MATCH of
-    them. Items of fewer words than the shortest mask cannot be found. Null texts and ids match nothing; repeated rows of a
-    document or item count once. Other columns are ignored. The benchmark's seeds are broadcast if a count shows that they
-    are few; no pairs of documents arise, so a frequent passage costs as many rows as documents hold it.
+    them. The words of a diagonal count if one seed hits there, or two for items of SURE_WORDS words and more. Items of fewer
+    than LEAST_WORDS words are not looked for: most texts hold them by chance. Null texts and ids match nothing; repeated
+    rows of a document or item count once. Other columns are ignored; an empty table gives no rows. The benchmark's seeds are
+    broadcast if they are counted to be few; no pairs of documents arise, so a frequent passage costs as many rows as
+    documents hold it.
     """
     docs = docs.selectExpr("cast(doc_id as long) as doc_id", "text").where("doc_id is not null")
     items = benchmark.selectExpr("cast(item_id as long) as item_id", "text").where("item_id is not null and text is not null").distinct()
+    items = written(items.selectExpr("item_id", "text", f"{WORDS} as item").where(f"size(item) >= {LEAST_WORDS}"), "items")
     keys = seeds(items, "item_id").withColumnRenamed("pos", "item_pos").distinct()
-    hits = seeds(docs, "doc_id").join(_small(keys, keys.count()), "seed")
-    diagonals = hits.selectExpr("doc_id", "item_id", "pos - item_pos as shift").distinct()
+    needed = items.groupBy("item_id").agg(F.when(F.max(F.size("item")) >= SURE_WORDS, 2).otherwise(1).alias("needed"))
+    n_keys, n_items, n_words = keys.count(), *items.agg(F.count("*"), F.coalesce(F.sum(F.size("item")), F.lit(0))).first()
+    hits = seeds(docs, "doc_id").join(_small(keys, 24 * n_keys), "seed").selectExpr("doc_id", "item_id", "pos - item_pos as shift")
+    counted = hits.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("n"))  # counted in each task before the shuffle
+    diagonals = counted.join(_small(needed, 16 * n_items), "item_id").where("n >= needed").select("doc_id", "item_id", "shift")
     diagonals = written(diagonals, "diagonals")
     n = diagonals.count()
-    words = docs.join(_small(diagonals.select("doc_id").distinct(), n), "doc_id", "left_semi").selectExpr("doc_id", f"{WORDS} as words")
-    lines = words.join(_small(diagonals, n), "doc_id").join(_small(items.selectExpr("item_id", f"{WORDS} as item"), items.count()), "item_id")
-    same = "filter(sequence(greatest(0, -shift), least(size(item), size(words) - shift) - 1), i -> words[i + shift] = item[i])"
-    found = lines.where("least(size(item), size(words) - shift) > greatest(0, -shift)").selectExpr("doc_id", "item_id", "size(item) as item_words", "shift", f"explode({same}) as at")
-    rows = found.groupBy("doc_id", "item_id", "item_words").agg(F.count_distinct("at").alias("matched"), F.min(F.col("at") + F.col("shift")).alias("first_word"))
+    # what each diagonal asks of the document, word by word, and the words of the documents that are asked
+    asked = diagonals.join(_small(items.selectExpr("item_id", "size(item) as item_words", "item"), 32 * n_words), "item_id")
+    asked = asked.selectExpr("doc_id", "item_id", "item_words", "shift", "posexplode(item) as (at, word)").selectExpr("doc_id", "item_id", "item_words", "at", "shift + at as pos", "word").where("pos >= 0")
+    words = docs.join(_small(diagonals.select("doc_id").distinct(), 8 * n), "doc_id", "left_semi").selectExpr("doc_id", f"posexplode({WORDS}) as (pos, word)")
+    found = asked.join(words, ["doc_id", "pos", "word"]).select("doc_id", "item_id", "item_words", "at", "pos")
+    rows = found.groupBy("doc_id", "item_id", "item_words").agg(F.count_distinct("at").alias("matched"), F.min("pos").alias("first_word"))
     rows = rows.where(f"matched >= {COVERAGE} * item_words or matched >= {LONG_MATCH}")
     return rows.selectExpr("doc_id", "item_id", "cast(matched as long) as matched", "cast(item_words as long) as item_words", "cast(first_word as long) as first_word", "round(matched / item_words, 6) as covered")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without an overlap, with all their columns."""
+    """The documents without an overlap, with all their columns; rows without a doc_id are kept."""
     bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("_leaked_doc_id")).distinct()
     return docs.join(bad, F.col("doc_id").cast("long") == F.col("_leaked_doc_id"), "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .decontaminate import COVERAGE, LONG_MATCH, MASKS
+from .decontaminate import COVERAGE, LEAST_WORDS, LONG_MATCH, MASKS, SURE_WORDS
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -59,9 +59,9 @@ _WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lam
 
 LEAKS = f"""
 WITH d AS (SELECT DISTINCT doc_id, {_WORDS} AS ws FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-b AS (SELECT DISTINCT item_id, {_WORDS} AS ws FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+b AS (SELECT DISTINCT item_id, {_WORDS} AS ws FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL AND len({_WORDS}) >= {LEAST_WORDS}),
 ds AS ({_seeds("doc_id", "d")}), bs AS ({_seeds("item_id", "b")}),
-diagonals AS (SELECT DISTINCT doc_id, item_id, ds.pos - bs.pos AS shift FROM ds JOIN bs ON ds.seed = bs.seed),
+diagonals AS (SELECT doc_id, item_id, ds.pos - bs.pos AS shift FROM ds JOIN bs ON ds.seed = bs.seed JOIN b USING (item_id) GROUP BY ALL HAVING count(*) >= max(CASE WHEN len(b.ws) >= {SURE_WORDS} THEN 2 ELSE 1 END)),
 pairs AS (SELECT doc_id, item_id, shift, len(b.ws) AS item_words, d.ws AS dw, b.ws AS bw, unnest(range(0, len(b.ws))) AS i FROM diagonals JOIN d USING (doc_id) JOIN b USING (item_id)),
 same AS (SELECT * FROM pairs WHERE i + shift >= 0 AND i + shift < len(dw) AND dw[i + shift + 1] = bw[i + 1]),
 found AS (SELECT doc_id, item_id, item_words, count(DISTINCT i) AS matched, min(i + shift) AS first_word FROM same GROUP BY 1, 2, 3)

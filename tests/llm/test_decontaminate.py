@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -46,19 +47,38 @@ def test_empty_tables(spark):
     assert decontaminate.overlaps(docs.limit(0), spark.createDataFrame([(1, "a")], "item_id long, text string")).count() == 0
 
 
-def test_misses_only_what_no_seed_hits(spark):
+def windows(n):
+    return [frozenset(i + j for j, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for i in range(n - len(m) + 1)]
+
+
+@pytest.mark.parametrize("n", range(decontaminate.LEAST_WORDS, 19))
+def test_no_substitution_hides_an_item(n):
+    """All ways to change as many words of a short item as the threshold allows leave the windows that are needed."""
+    needed = 2 if n >= decontaminate.SURE_WORDS else 1
+    most = max(k for k in range(n) if n - k >= decontaminate.COVERAGE * n)
+    for bad in itertools.combinations(range(n), most):
+        assert sum(w.isdisjoint(bad) for w in windows(n)) >= needed
+
+
+def test_same_as_comparing_every_diagonal(spark):
+    """Items of all lengths with as many substitutions as allowed, and one more, against a comparison without seeds."""
     rng = random.Random(3)
-    items = [["i%dn%d" % (k, j) for j in range(n)] for k, n in enumerate([12, 15, 20, 25, 30] * 8)]
-    docs, near, hit = [], set(), set()
+    items = [["i%dn%d" % (k, j) for j in range(n)] for k, n in enumerate([5, 6, 7, 8, 9, 10, 12, 15, 20, 25, 30, 45] * 6)]
+    docs, want = [], {}
     for k, item in enumerate(items):
         n = len(item)
-        bad = set(rng.sample(range(n), n - -(-7 * n // 10)))
-        docs.append((k, " ".join("x%dn%d" % (k, j) if j in bad else w for j, w in enumerate(item))))
-        if n - len(bad) >= decontaminate.COVERAGE * n:  # what comparing every diagonal finds
-            near.add(k)
-            free = lambda m, i: all(m[j] == "0" or i + j not in bad for j in range(len(m)))
-            if any(free(m, i) for m in decontaminate.MASKS for i in range(n - len(m) + 1)):
-                hit.add(k)
+        most = max(c for c in range(n) if n - c >= decontaminate.COVERAGE * n)
+        bad = set(rng.sample(range(n), most + (k % 3 == 0)))
+        docs.append((k, " ".join(["p"] * rng.randrange(5) + ["x%dn%d" % (k, j) if j in bad else w for j, w in enumerate(item)] + ["q"] * rng.randrange(5))))
+        if n - len(bad) >= decontaminate.COVERAGE * n or n - len(bad) >= decontaminate.LONG_MATCH:
+            want[k] = n - len(bad)
     got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string"))
-    found = {r["doc_id"] for r in got.collect()}
-    assert found == hit and len(near - found) > 0  # the sensitivity that the README states
+    assert {r["doc_id"]: r["matched"] for r in got.collect()} == want
+
+
+def test_very_long_and_repetitive_texts(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    docs = [(1, "same " * 60_000), (2, "w1 w2 w3 " * 40_000 + item + " tail" * 10_000), (3, "x" * 500_000)]
+    bench = [(1, item), (2, "same same same same same"), (3, "same " * 30)]
+    got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["matched"], r["first_word"]) for r in got) == [(1, 2, 5, 0), (1, 3, 30, 0), (2, 1, 12, 120_000)]
