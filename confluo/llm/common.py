@@ -58,6 +58,42 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of input, as Spark estimates them, of one range; rows where it has no estimate.
+RANGE_BYTES, RANGE_ROWS = 128 << 20, 100_000
+
+
+def ranges(df: DataFrame) -> int:
+    """Into how many ranges a table is cut that is sorted range by range: by its size, and no fewer than shuffle partitions."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = -(-size // RANGE_BYTES) if 0 <= size < 1 << 55 else -(-df.count() // RANGE_ROWS)
+    return max(partitions(df.sparkSession), int(wanted))
+
+
+def split_points(df: DataFrame, column: str, n: int) -> list[int]:
+    """At most n - 1 increasing values that cut the column into ranges of about equal counts."""
+    if n < 2:
+        return []
+    shares = ",".join(str(k / n) for k in range(1, n))
+    found = df.selectExpr(f"percentile_approx({column}, array({shares}), {max(10_000, 4 * n)}) as p").first()[0]
+    return sorted(set(found or []))
+
+
+def range_of(column: str, points: list[int]) -> "F.Column":
+    """The number of points up to a value, found by halving; null values are in range 0."""
+    if not points:
+        return F.lit(0)
+    values = F.split(F.lit(",".join(map(str, points))), ",").cast("array<bigint>")  # folded into one literal
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(points)).alias("hi"))
+
+    def halve(s: "F.Column", _: "F.Column") -> "F.Column":
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        up = (s["lo"] < s["hi"]) & (F.get(values, mid) <= F.col(column))
+        lo, hi = F.when(up, mid + 1).otherwise(s["lo"]), F.when(up | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid)
+        return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(points).bit_length())), start, halve)["lo"]
+
+
 def repeats_ids(docs: DataFrame) -> bool:
     """Whether rows share a doc_id; a scan of the ids tells."""
     n, distinct = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()

@@ -27,16 +27,19 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .common import partitions, shared_dir, tune
+from .common import ranges, shared_dir, split_points, tune
 
 MAGIC = b"CFTOKEN1"
 HEADER = struct.Struct("<8sB32s")
 FOOTER = struct.Struct("<QQ8s")
 INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("size", "<u8"), ("n_tokens", "<u8")])
-#: The dictionary is trained on so many texts at most; it decides sizes only.
+#: The dictionary is trained on so many texts at most, those with the smallest hashes of doc_id, and on so many bytes from
+#: the middle of each one's ids; it decides sizes only.
 DICTIONARY_TEXTS = 600
+SAMPLE_BYTES = 16 << 10
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 CACHED_BYTES = 64
@@ -130,33 +133,35 @@ def library_encoder(path: str) -> LibraryEncoder:
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
     """A zstandard dictionary from the serialised ids of at most DICTIONARY_TEXTS texts; empty if they are too few.
 
-    It is trained in one task, so that only the dictionary reaches the driver.
+    The texts are picked by hash from the whole table and encoded where they lie; one task gets SAMPLE_BYTES of each and
+    trains, so that only the dictionary reaches the driver.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, samples = library_encoder(path), []
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = library_encoder(path)
         for batch in batches:
-            samples += [encoder.encode(t) for t in batch.column(0).to_pylist()]
+            found = []
+            for t in batch.column(0).to_pylist():
+                ids = encoder.encode(t)
+                at = max(0, (len(ids) - SAMPLE_BYTES) // 2) // encoder.width * encoder.width
+                found.append(ids[at : at + SAMPLE_BYTES])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["ids"])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        samples = sorted(x for batch in batches for x in batch.column(0).to_pylist())
         try:
             found = zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
         except zstandard.ZstdError:
             found = b""
         yield pa.RecordBatch.from_arrays([pa.array([found], pa.binary())], names=["dictionary"])
 
-    sample = docs.select("text").where("length(text) > 0").limit(DICTIONARY_TEXTS).coalesce(1)
-    found = sample.mapInArrow(run, "dictionary binary").collect()
+    known = docs.where("doc_id is not null and text <> ''")
+    chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_TEXTS)
+    texts = known.join(F.broadcast(chosen), "doc_id", "left_semi").select("text")  # at most DICTIONARY_TEXTS ids
+    found = texts.mapInArrow(sample, "ids binary").repartition(1).mapInArrow(train, "dictionary binary").collect()
     return bytes(found[0][0]) if found else b""
 
 
-def split_points(df: DataFrame, column: str, n: int) -> list[int]:
-    """At most n - 1 increasing values that cut the column into ranges of about equal counts."""
-    if n < 2:
-        return []
-    shares = ",".join(str(k / n) for k in range(1, n))
-    found = df.selectExpr(f"percentile_approx({column}, array({shares}), 10000) as p").first()[0]
-    return sorted(set(found or []))
-
-
 class TokenFile:
     """Random access to one file: only the footer, the index and the wanted frames are read."""
 
@@ -218,9 +223,10 @@ MANIFEST = "bucket int, path string, n_docs long, n_tokens long, n_bytes long"
 def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None) -> list[dict]:
     """Write all texts as token files into ``folder``, in ascending order of doc_id over all files; return the manifest.
 
-    Ranges of doc_id are cut at approximate quantiles; each range is one file, written by one task in order. Rows without
-    doc_id come first; rows of equal doc_id are ordered by their ids. A null text counts as empty. A repeated attempt of a
-    task writes under another name, and only the files of the manifest count.
+    Ranges of doc_id are cut at approximate quantiles, as many as the size of the table asks for; each range is one file,
+    written by its own task in order. Rows without doc_id come first, dealt to as many files by a hash; rows of equal doc_id,
+    and those without, are ordered by their frames. A null text counts as empty. A repeated attempt of a task writes under
+    another name, and only the files of the manifest count.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -230,7 +236,9 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None) ->
     fs.create_dir(top, recursive=True)
     with fs.open_output_stream(f"{top}/{digest.hex()}.zdict") as f:
         f.write(dictionary)
-    points = np.array(split_points(docs.select("doc_id"), "doc_id", partitions(spark)), np.int64)
+    n = ranges(docs)
+    points = np.array(split_points(docs.select("doc_id"), "doc_id", n), np.int64)
+    ahead = n if docs.where("doc_id is null").limit(1).count() else 0  # files for rows without doc_id
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(path)
@@ -243,8 +251,9 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None) ->
                 raw = encoder.encode(t or "") + end
                 frames.append(zstd.compress(raw))
                 counts.append(len(raw) // encoder.width)
-            bucket = np.searchsorted(points, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right") + 1
-            bucket[np.asarray(ids.is_null())] = 0
+            bucket = np.searchsorted(points, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right") + ahead
+            for k in np.flatnonzero(np.asarray(ids.is_null())).tolist():
+                bucket[k] = zlib.crc32(frames[k]) % ahead
             cols = [pa.array(bucket.astype(np.int32)), ids, pa.array(counts, pa.int64()), pa.array(frames, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["bucket", "doc_id", "n_tokens", "frame"])
 
@@ -264,7 +273,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None) ->
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["bucket", "path", "n_docs", "n_tokens", "n_bytes"])
 
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(compress, "bucket int, doc_id long, n_tokens long, frame binary")
-    dealt = rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "doc_id", "frame")
+    dealt = rows.repartitionById(ahead + len(points) + 1, "bucket").sortWithinPartitions("bucket", "doc_id", "frame")
     found = sorted((r.asDict() for r in dealt.mapInArrow(store, MANIFEST).collect()), key=lambda r: r["bucket"])
     start = 0
     for r in found:

@@ -53,3 +53,19 @@ def test_words_same_as_library():
     for _ in range(3000):
         text = " ".join("".join(rng.choices(alphabet, k=rng.randint(1, 9))) for _ in range(rng.randint(1, 4)))
         assert np.frombuffer(ours.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_many_rows_without_id(spark):
+    rows = [(None, f"word{k % 7} and more") for k in range(60)] + [(k, "x") for k in range(5)]
+    got = sorted(map(tuple, tokenfile.written_and_read(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), PATH).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None] * 60 + list(range(5))
+    assert [r[1] for r in got] == [sum(x[2] for x in got[:k]) for k in range(len(got))]
+    assert sorted(r[2:] for r in got) == sorted(r[2:] for r in brute(rows))
+
+
+def test_dictionary_is_drawn_from_the_whole_table(spark, monkeypatch):
+    """The texts of smallest hash train it, wherever they stand."""
+    monkeypatch.setattr(tokenfile, "DICTIONARY_TEXTS", 40)
+    df = spark.createDataFrame([(k, f"some words of text {k} that come again and again {k % 9} " * 20) for k in range(400)], "doc_id long, text string")
+    a, b = tokenfile.train_dictionary(df.orderBy("doc_id").repartition(7), PATH), tokenfile.train_dictionary(df.orderBy("doc_id", ascending=False).repartition(2), PATH)
+    assert a and a == b
