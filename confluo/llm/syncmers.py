@@ -12,12 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import one_per_id, partitions
-from .tokenfile import split_points
+from .common import one_per_id, range_of, ranges, split_points
 
 K, S, SKETCH = 5, 2, 64
-#: Ranges of doc_id that are sorted separately.
-LEAST_RANGES, MOST_RANGES = 64, 1000
 #: Words are the runs of characters other than ASCII white space.
 SPLIT = r"[ \t\n\x0B\f\r]+"
 
@@ -65,6 +62,20 @@ def anchors(docs: DataFrame) -> DataFrame:
     return found.selectExpr("doc_id", "inline(a)")
 
 
+def passages(docs: DataFrame, other: DataFrame) -> DataFrame:
+    """(doc_id, other_id, shift, n, first_pos): where anchors of two tables of texts match in position.
+
+    Anchors of equal hash whose places differ by the same shift belong to one alignment; n counts them, from first_pos on.
+    Repeated anchors of a text are matched in turn, the k-th with the k-th, so a repetitive text makes no more rows than it
+    has anchors. Meant for a bounded set of searched texts, or pairs found before: a hash that many texts of both tables
+    hold pairs them all. Null ids match nothing.
+    """
+    turn = W.partitionBy("doc_id", "hash").orderBy("pos")
+    mine, theirs = (anchors(d.where("doc_id is not null").select("doc_id", "text").distinct()).withColumn("turn", F.row_number().over(turn)) for d in (docs, other))
+    both = mine.join(theirs.selectExpr("doc_id as other_id", "pos as other_pos", "hash", "turn"), ["hash", "turn"])
+    return both.groupBy("doc_id", "other_id", (F.col("other_pos") - F.col("pos")).alias("shift")).agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars and the sketch of every row (null text: as the empty one)."""
     return docs.selectExpr("cast(doc_id as long) as doc_id", "coalesce(text, '') as text").selectExpr("doc_id", "length(text) as n", f"{sketch_sql('text')} as sketch")
@@ -75,17 +86,16 @@ def with_next(rows: DataFrame, made: dict[str, str], columns: list[str]) -> Data
 
     After the largest doc_id follows the smallest.
 
-    Ids are cut at approximate quantiles into ranges, which are sorted separately. The first row of each range is also put
-    behind the end of the range before it; these are as many rows as ranges.
+    Ids are cut at approximate quantiles into ranges, as many as the table's size asks for, each dealt to its own task. The
+    first row of each range is also put behind the end of the range before it; these are as many rows as ranges.
     """
-    spark = rows.sparkSession
-    points = split_points(rows.select("doc_id"), "doc_id", min(MOST_RANGES, max(LEAST_RANGES, partitions(spark))))
-    part = f"size(filter(array({', '.join(f'{p}L' for p in points)}), p -> p <= doc_id))" if points else "0"
-    heads = rows.select("doc_id").selectExpr("doc_id", f"{part} as part").groupBy("part").agg(F.min("doc_id").alias("doc_id"))
-    before = heads.selectExpr("doc_id", "coalesce(lag(part) over (order by part), max(part) over ()) as part")  # at most MOST_RANGES rows
+    points = split_points(rows.select("doc_id"), "doc_id", ranges(rows))
+    part = range_of("doc_id", points).cast("int")
+    heads = rows.select("doc_id").withColumn("part", part).groupBy("part").agg(F.min("doc_id").alias("doc_id"))
+    before = heads.selectExpr("doc_id", "coalesce(lag(part) over (order by part), max(part) over ()) as part")  # a row for each range
     extra = rows.join(F.broadcast(before), "doc_id").withColumn("_extra", F.lit(True))
-    every = rows.withColumn("part", F.expr(part)).withColumn("_extra", F.lit(False)).unionByName(extra)
-    dealt = every.repartition(partitions(spark), "part")  # the texts are shuffled once, without what is made of them
+    every = rows.withColumn("part", part).withColumn("_extra", F.lit(False)).unionByName(extra)
+    dealt = every.repartitionById(len(points) + 1, "part")  # the texts are shuffled once, without what is made of them
     for name, sql in made.items():
         dealt = dealt.withColumn(name, F.expr(sql))
     order = W.partitionBy("part").orderBy("_extra", "doc_id")

@@ -58,3 +58,63 @@ def test_table_cases(spark):
     assert syncmers.edited(df.limit(0)).count() == 0
     one = syncmers.edited(spark.createDataFrame([(7, "a b c d e f")], "doc_id long, text string")).first()
     assert one["near_next"] == 1
+
+
+def brute(text, h, pair, five):
+    """Sorted smallest distinct hashes of the closed syncmers of a text."""
+    words = (text or "").split()
+    if len(words) < 5:
+        return None
+    m = [pair[p] for p in zip(words, words[1:])]
+    chosen = [i for i in range(len(words) - 4) if min(m[i : i + 4]) in (m[i], m[i + 3])]
+    return sorted({(five[tuple(words[i : i + 5])] % (1 << 64)) >> 16 for i in chosen})[: syncmers.SKETCH]
+
+
+def test_fingerprints_and_likeness_same_as_brute_force(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(40)}" for _ in range(400)]
+    rows = [(k, " ".join(base[a:b])) for k, (a, b) in enumerate([(0, 300), (10, 310), (100, 400), (0, 40), (5, 45), (0, 5), (200, 400)])]
+    texts = [t for _, t in rows]
+    halves = [t[: len(t) - len(t) // 2] + texts[(k + 1) % len(texts)][: len(t) // 2] for k, t in enumerate(texts)]
+    words = [t.split() for t in texts + halves]
+    df = spark.createDataFrame([(w,) for w in sorted({w for own in words for w in own})], "w string")
+    h = dict(map(tuple, df.selectExpr("w", "xxhash64(w)").collect()))
+    df = spark.createDataFrame([(a, b, h[a], h[b]) for a, b in sorted({p for own in words for p in zip(own, own[1:])})], "a string, b string, x long, y long")
+    pair = {(r[0], r[1]): r[2] for r in df.selectExpr("a", "b", "xxhash64(x, y)").collect()}
+    df = spark.createDataFrame([(list(g), [h[w] for w in g]) for g in sorted({tuple(own[i : i + 5]) for own in words for i in range(len(own) - 4)})], "g array<string>, x array<long>")
+    five = {tuple(r[0]): r[1] for r in df.selectExpr("g", "xxhash64(x[0], x[1], x[2], x[3], x[4])").collect()}
+
+    def likeness(a, b):
+        union = sorted(set(a) | set(b))[: syncmers.SKETCH]
+        return len(set(union) & set(a) & set(b)) / len(union)
+
+    got = run(spark, rows)
+    prints = [brute(t, h, pair, five) for t in texts]
+    for k, t in enumerate(texts):
+        edited = brute(halves[k], h, pair, five)
+        assert got[k]["fingerprint"] == "".join(f"{x:012x}" for x in prints[k])
+        assert got[k]["edited_fingerprint"] == "".join(f"{x:012x}" for x in edited)
+        assert abs(got[k]["near_edited"] - likeness(prints[k], edited)) < 1e-9 and abs(got[k]["near_next"] - likeness(prints[k], prints[(k + 1) % len(prints)])) < 1e-9
+
+
+def test_positional_matching(spark):
+    passage = text(5, 60)
+    docs = spark.createDataFrame([(1, "a b c " + passage + " tail"), (2, text(6, 80)), (None, passage), (4, None)], "doc_id long, text string")
+    found = syncmers.passages(spark.createDataFrame([(9, passage)], "doc_id long, text string"), docs).collect()
+    best = max(found, key=lambda r: r["n"])
+    assert (best["doc_id"], best["other_id"], best["shift"]) == (9, 1, 3) and best["n"] > 15
+    assert all(r["other_id"] == 1 for r in found)
+
+
+def test_ranges_are_found_by_halving(spark):
+    from confluo.llm.common import range_of
+
+    for points in ([], [5], [1, 5, 9], list(range(0, 900, 7))):
+        got = spark.range(-3, 1000).select("id", range_of("id", points).alias("r")).collect()
+        assert all(r["r"] == sum(p <= r["id"] for p in points) for r in got)
+
+
+def test_very_long_texts(spark):
+    rows = [(1, text(1, 60_000)), (2, "x" * 400_000), (3, "same " * 80_000)]
+    got = run(spark, rows)
+    assert [got[k]["n_chars"] for k in (1, 2, 3)] == [len(t) for _, t in rows] and len(got[1]["fingerprint"]) == 12 * syncmers.SKETCH
