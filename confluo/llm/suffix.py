@@ -4,7 +4,8 @@ Which suffixes have to be sorted together is decided by content, without loss: e
 its k-gram of GRAM bytes with the smallest hash (the leftmost of equal ones). Equal strings have equal anchors, so strings
 whose anchor occurs once are unique, and all others fall into independent groups by anchor. Within a group, anchors with
 equal surroundings are settled at once: the first keeps its strings, the others repeat them. What is left, the distinct
-surroundings of anchors that occur in several, is dealt to tasks by anchor and suffix-sorted there by the difference cover
+surroundings of anchors that occur in several, is dealt to tasks by anchor (those of a frequent anchor by a second anchor of
+each string, under another hash) and suffix-sorted there by the difference cover
 modulo 3: sort the sampled triples, recurse on their names until they are distinct, sort the remaining suffixes by first
 byte and following rank, and merge both. Suffixes that share LENGTH bytes are then neighbours, and comparing adjacent
 prefixes gives the groups of equal strings; all but the first of each are removed.
@@ -25,9 +26,15 @@ from .common import Rolling, mix, one_per_id, partitions, text_slices, tune, wri
 
 LENGTH = 100
 GRAM = 24
-#: Bytes of surroundings that one suffix sort takes; a group beyond HEAVY bytes is settled by hashed strings instead.
+#: Bytes of surroundings that one suffix sort takes. A group beyond HEAVY_BYTES is cut by further anchors, LEVELS times at
+#: most; strings that agree in all of these are compared by hash.
 SORT_BYTES = 1 << 20
 HEAVY_BYTES = 24 << 20
+LEVELS = 6
+#: An anchor with more distinct surroundings than this is cut by second anchors before it is dealt.
+HOT_ROWS = 1_000
+#: So many of these anchors are broadcast, after counting.
+HOT_KEYS = 500_000
 
 _U = np.uint64
 
@@ -94,10 +101,11 @@ def repeated(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
 # --- anchors -----------------------------------------------------------------------------------------------------------
 
 
-def anchor_rows(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+def anchor_rows(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, level: int = 0):
     """For each anchor: row, first string's start in its row, number of strings, anchor's distance, hash, surroundings' hash.
 
-    The strings of ``length`` bytes that an anchor has start one after another; a row shorter than that has none.
+    The strings of ``length`` bytes that an anchor has start one after another; a row shorter than that has none. Each level
+    picks anchors by another hash.
     """
     n = len(data)
     none = np.zeros(0, np.int64)
@@ -105,7 +113,8 @@ def anchor_rows(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gra
         return none, none, none, none, none.astype(_U), none.astype(_U)
     rolling = Rolling(data)
     at = np.arange(n - gram + 1)
-    low = (rolling.of(at, at + gram) >> _U(28) << _U(28)) | at.astype(_U)
+    grams = rolling.of(at, at + gram)
+    low = ((mix(grams ^ _U(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if level else grams) >> _U(28) << _U(28)) | at.astype(_U)
     window, width = length - gram + 1, 1
     while width * 2 <= window:
         low = np.minimum(low[:-width], low[width:])
@@ -210,20 +219,47 @@ def settled(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, SETTLED)
 
 
+PIECES = "key long, doc_id long, start long, n int, bytes binary"
+
+
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [()] * 5
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["key", "doc_id", "start", "n", "bytes"])
+
+
+def divided(rows: list[tuple], length: int, level: int) -> list[tuple]:
+    """Pieces (key, doc, start, n, bytes) cut by the anchors of their strings under another hash.
+
+    Equal strings have equal anchors, so they meet under equal keys again; the key keeps what it said before.
+    """
+    if not rows:
+        return []
+    offsets = np.r_[0, np.cumsum([len(r[4]) for r in rows])]
+    row, first, count, _, key, _ = anchor_rows(np.frombuffer(b"".join(r[4] for r in rows), np.uint8), offsets, length, GRAM, level)
+    before = np.array([r[0] for r in rows], np.int64).view(_U)[row]
+    keys = mix(before ^ mix(key + _U(level))).view(np.int64)
+    return [(k, rows[i][1], rows[i][2] + a, n, rows[i][4][a : a + n - 1 + length]) for k, i, a, n in zip(keys.tolist(), row.tolist(), first.tolist(), count.tolist())]
+
+
 def surroundings(docs: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
-    """(key, doc_id, start, n, bytes): the bytes that hold all strings of each of the anchors ``firsts``."""
+    """(key, doc_id, start, n, bytes): the bytes that hold all strings of each of the anchors ``firsts``.
+
+    Those of anchors with more than HOT_ROWS distinct surroundings are cut by second anchors.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                raw, anchors = (batch.column(1)[k].as_py() or "").encode(), batch.column(2)[k].as_py()
-                some = [raw[a["start"] : a["start"] + a["n"] - 1 + length] for a in anchors]
-                cols = [pa.array([a[c] for a in anchors], t) for c, t in (("key", pa.int64()), ("start", pa.int64()), ("n", pa.int32()))]
-                ids = pa.array([batch.column(0)[k].as_py()] * len(anchors), pa.int64())
-                yield pa.RecordBatch.from_arrays([cols[0], ids, cols[1], cols[2], pa.array(some, pa.binary())], names=["key", "doc_id", "start", "n", "bytes"])
+                raw, doc, anchors = (batch.column(1)[k].as_py() or "").encode(), batch.column(0)[k].as_py(), batch.column(2)[k].as_py()
+                rows = [(a["key"], doc, a["start"], a["n"], raw[a["start"] : a["start"] + a["n"] - 1 + length], a["hot"]) for a in anchors]
+                yield _pieces([r[:5] for r in rows if not r[5]] + divided([r[:5] for r in rows if r[5]], length, 1))
 
-    own = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("anchors"))
-    return docs.select("doc_id", "text").join(own, "doc_id").mapInArrow(run, "key long, doc_id long, start long, n int, bytes binary")
+    hot = firsts.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT_ROWS).select("key", F.lit(True).alias("hot"))
+    hot = written(hot, "hot")
+    flagged = firsts.join(F.broadcast(hot) if hot.count() <= HOT_KEYS else hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    own = flagged.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n", "hot")).alias("anchors"))
+    return docs.select("doc_id", "text").join(own, "doc_id").mapInArrow(run, PIECES)
 
 
 def sort_batch(doc_ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,30 +276,33 @@ def sort_batch(doc_ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, text
     return doc[again], start[again]
 
 
-SORTED = "doc_id long, start long, n int, hash long"
+SORTED = f"hash long, {PIECES}"
 
 
-def suffix_sorted(rows: DataFrame, length: int) -> DataFrame:
-    """(doc_id, start, n = 1, hash): strings that repeat an earlier one; with a hash, strings of groups too large to sort.
+def suffix_sorted(rows: DataFrame, length: int, level: int) -> DataFrame:
+    """(doc_id, start, n = 1) of strings that repeat an earlier one, and what is left of groups too large to sort.
 
-    Rows are dealt by anchor, and several groups share a sort. Only a group beyond HEAVY_BYTES of distinct surroundings
-    leaves as hashed strings.
+    Rows are dealt by anchor, and several groups share a sort. A group beyond HEAVY_BYTES of distinct surroundings leaves in
+    pieces (bytes) cut by the anchors of the next level, or as hashed strings behind the last one.
     """
 
     def out(doc: np.ndarray, start: np.ndarray, hashes: np.ndarray | None) -> pa.RecordBatch:
-        ones = pa.array(np.ones(len(doc), np.int32))
         kept = pa.nulls(len(doc), pa.int64()) if hashes is None else pa.array(hashes.view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), ones, kept], names=["doc_id", "start", "n", "hash"])
+        cols = [kept, pa.nulls(len(doc), pa.int64()), pa.array(doc), pa.array(start), pa.array(np.ones(len(doc), np.int32)), pa.nulls(len(doc), pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["hash", "key", "doc_id", "start", "n", "bytes"])
 
     def sort(rows: list[tuple]) -> pa.RecordBatch:
-        doc, start, n, texts = zip(*rows)
+        _, doc, start, n, texts = zip(*rows)
         return out(*sort_batch(np.array(doc), np.array(start), np.array(n), list(texts), length), None)
 
-    def hashed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        for doc, start, n, text in rows:
-            raw = np.frombuffer(text, np.uint8)
+    def left(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if level < LEVELS:
+            batch = _pieces(divided(rows, length, level + 1))
+            yield pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), *batch.columns], names=["hash", *batch.schema.names])
+            return
+        for _, doc, start, n, text in rows:
             at = np.arange(n)
-            yield out(np.full(n, doc), start + at, Rolling(raw).of(at, at + length))
+            yield out(np.full(n, doc), start + at, Rolling(np.frombuffer(text, np.uint8)).of(at, at + length))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[tuple] = []
@@ -271,21 +310,24 @@ def suffix_sorted(rows: DataFrame, length: int) -> DataFrame:
         group: list[tuple] = []
         last, heavy = None, False
         flat = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
-        for key, doc, start, n, text in itertools.chain(flat, [(None, 0, 0, 0, b"")]):
+        for row in itertools.chain(flat, [(None, 0, 0, 0, b"")]):
+            key = row[0]
             if key != last:
-                if group and not heavy:
+                if heavy:
+                    yield from left(group)
+                else:
                     ready += group
                     ready_size += size
                 if ready and (ready_size > SORT_BYTES or key is None):
                     yield sort(ready)
                     ready, ready_size = [], 0
                 group, size, last, heavy = [], 0, key, False
-            group.append((doc, start, n, text))
-            size += len(text)
-            if heavy or size > HEAVY_BYTES:
+            group.append(row)
+            size += len(row[4])
+            if size > HEAVY_BYTES or (heavy and len(group) >= 4096):
                 heavy = True
-                yield from hashed(group)
-                group = []
+                yield from left(group)
+                group, size = [], 0
 
     dealt = rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, SORTED)
@@ -298,9 +340,14 @@ def duplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     found = written(settled(anchored(docs, length)), "anchors")
     again = found.where("again").select("doc_id", "start", "n")
-    pieces = surroundings(docs, found.where("not again"), length)
-    strings = written(suffix_sorted(pieces, length), "sorted")
-    light = strings.where("hash is null").select("doc_id", "start", "n")
+    pieces, light, heavy = surroundings(docs, found.where("not again"), length), None, None
+    for level in range(1, LEVELS + 1):
+        strings = written(suffix_sorted(pieces, length, level), "sorted")
+        some = strings.where("hash is null and key is null").select("doc_id", "start", "n")
+        light = some if light is None else light.union(some)
+        pieces = strings.where("key is not null").select("key", "doc_id", "start", "n", "bytes")
+        if pieces.limit(1).count() == 0:
+            break
     heavy = strings.where("hash is not null").select("doc_id", "start", "hash")
     firsts = heavy.groupBy("hash").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     late = heavy.join(firsts, "hash").where("struct(doc_id, start) > first").selectExpr("doc_id", "start", "1 as n")

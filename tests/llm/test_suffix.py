@@ -67,11 +67,11 @@ def test_heavy_groups_give_the_same(spark, monkeypatch):
     run = suffix.suffix_sorted
     source = {}
 
-    def small(rows_, length):
+    def small(rows_, length, level):
         # the closures travel by value, so the limit is set where they are made
         suffix.HEAVY_BYTES = 500
         try:
-            source["df"] = run(rows_, length)
+            source["df"] = run(rows_, length, level)
             return source["df"]
         finally:
             pass
@@ -79,6 +79,24 @@ def test_heavy_groups_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(suffix, "HEAVY_BYTES", suffix.HEAVY_BYTES)
     monkeypatch.setattr(suffix, "suffix_sorted", small)
     assert sorted(map(tuple, suffix.digests(df).collect())) == want
+    monkeypatch.setattr(suffix, "HOT_ROWS", 3)
+    for levels in (1, 2):  # strings that no anchor tells apart are compared by hash
+        monkeypatch.setattr(suffix, "LEVELS", levels)
+        assert sorted(map(tuple, suffix.digests(df).collect())) == want
+
+
+def test_division_keeps_equal_strings_together():
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("abcd", k=30)) + "0123456789" * 9 + "".join(rng.choices("abcd", k=30)) for _ in range(40)]
+    rows = [(5, k, 0, len(t) - 99, t.encode()) for k, t in enumerate(texts + texts[:9])]
+    strings, keys = {}, {}
+    for key, doc, start, n, raw in suffix.divided(rows, 100, 1):
+        assert raw == rows[doc][4][start : start + n + 99]
+        for j in range(n):
+            strings.setdefault(raw[j : j + 100], set()).add(key)
+            keys.setdefault((doc, start + j), []).append(key)
+    assert all(len(k) == 1 for k in strings.values()) and all(len(k) == 1 for k in keys.values())
+    assert sum(len(t) - 99 for t in texts + texts[:9]) == len(keys)
 
 
 def test_groups_over_batch_borders():
