@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -116,3 +117,51 @@ def test_phrase_with_passages_on_either_side_in_one_slice(spark):
         want |= {3 * g: 3 * g, 3 * g + 1: 3 * g + 1, 3 * g + 2: 3 * g + 1}
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     assert {r["doc_id"]: r["class_id"] for r in compact.classes(df).collect()} == want
+
+
+def passage_pairs(rows, words=50):
+    """Pairs of documents whose best aligned passage of ``words`` words keeps 0.8 of its 5-word shingles, by brute force over shifts."""
+    shingles = {d: [tuple(w[i : i + 5]) for i in range(len(w) - 4)] for d, t in rows for w in [t.split()]}
+    n, pairs = words - 4, set()
+    for (a, x), (b, y) in itertools.combinations(sorted(shingles.items()), 2):
+        common = set(x) & set(y)
+        if 9 * len(common) < 8 * n // 2:
+            continue
+        for s in {j - i for i, g in enumerate(x) if g in common for j, h in enumerate(y) if g == h}:
+            same = [0 <= i + s < len(y) and x[i] == y[i + s] for i in range(len(x))]
+            if any(9 * sum(same[i : i + n]) >= 8 * n and 0 <= i + s and i + s + n <= len(y) for i in range(len(x) - n + 1)):
+                pairs.add((a, b))
+                break
+    return pairs
+
+
+def recall(spark, rows):
+    """Share of the pairs found by brute force whose documents are of one class, and of classes that hold no such pair."""
+    pairs = passage_pairs(rows)
+    got = {r["doc_id"]: r["class_id"] for r in compact.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    return sum(got[a] == got[b] for a, b in pairs) / len(pairs), got, pairs
+
+
+def test_recall_in_a_large_group_of_edited_passages(spark):
+    """Two hundred documents share a passage of 60 words, each with one word changed."""
+    rng = random.Random(12)
+    passage, rows = ["p%d" % k for k in range(60)], []
+    for d in range(200):
+        own = list(passage)
+        own[rng.randrange(60)] = "edit%d" % d
+        rows.append((d, " ".join(["a%dx%d" % (d, k) for k in range(rng.randrange(10, 40))] + own + ["z%dx%d" % (d, k) for k in range(rng.randrange(10, 40))])))
+    found, _, _ = recall(spark, rows)
+    assert found >= 0.9, found
+
+
+def test_recall_of_pairs_around_a_frequent_line(spark):
+    """All documents hold one line of 30 words; some pairs share the words around it as well."""
+    rng = random.Random(13)
+    line, rows = ["line%d" % k for k in range(30)], []
+    for d in range(300):
+        pair = d // 2 if d < 80 else 1000 + d
+        a, b = ["l%dx%d" % (pair, k) for k in range(13)], ["r%dx%d" % (pair, k) for k in range(13)]
+        rows.append((d, " ".join(["s%dx%d" % (d, k) for k in range(rng.randrange(5, 30))] + a + line + b + ["t%dx%d" % (d, k) for k in range(rng.randrange(5, 30))])))
+    found, got, pairs = recall(spark, rows)
+    assert len(pairs) == 40 and found >= 0.9, found
+    assert all(got[d] == d for d in range(80, 300))
