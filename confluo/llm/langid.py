@@ -35,6 +35,8 @@ BLOCK, SLACK = 256, 32
 #: Blocks that are read side by side.
 SIDE_BY_SIDE = 2048
 UNKNOWN = "und"
+#: The ids of the training documents are broadcast up to so many, and shuffled beyond it.
+BROADCAST_IDS = 500_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -200,12 +202,20 @@ def train(docs: DataFrame) -> Network:
     smallest hashes of doc_id.
 
     What reaches the driver is bounded by language: TRAIN_PIECES pieces of TRAIN_BYTES, spread evenly over each document.
-    Rows of one doc_id and language are ordered by text.
+    Equal rows count once for the choice. A language of fewer documents is learned from all it has.
     """
     tune(docs.sparkSession)
     known = docs.selectExpr("cast(doc_id as long) as doc_id", "lang", "text").where("doc_id is not null and lang is not null and length(text) > 0").where(~held_out())
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    chosen = known.select("*", F.row_number().over(first).alias("_rank")).where(F.col("_rank") <= TRAIN_ROWS).select("lang", "text")
+    # hashes below a language's share are a few more than TRAIN_ROWS, so that no task ranks more than that
+    counts = known.groupBy("lang").agg(F.count("*").alias("_n"))
+    ids = known.select("lang", "doc_id", F.xxhash64("text").alias("_text")).join(counts, "lang")
+    share = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 62) - 1)) / float(1 << 62)).alias("_share")
+    ids = ids.select("*", share).where(F.col("_share") <= (TRAIN_ROWS + 8 * TRAIN_ROWS**0.5) / F.col("_n"))
+    first = W.partitionBy("lang").orderBy("_share", "doc_id", "_text")
+    ids = ids.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= TRAIN_ROWS).select("lang", "doc_id", "_text").distinct()
+    if counts.count() * TRAIN_ROWS <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    chosen = known.withColumn("_text", F.xxhash64("text")).join(ids, ["lang", "doc_id", "_text"], "left_semi").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
