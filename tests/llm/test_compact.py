@@ -84,7 +84,8 @@ def test_places_in_two_distant_halves():
 
 
 def test_few_windows_of_one_hash_all_meet(spark):
-    rows = [(7, 1 + d // 5, d, 0, 0 if d % 2 else 60, 60, 120 if d % 2 == 0 else 60) for d in range(10)]
+    # centre 60, with 60 places on one side of it
+    rows = [(7, (1 + d // 5) << 32 | (60 << 16 if d % 2 else 60), d, 60) for d in range(10)]
     df = spark.createDataFrame(rows, compact.ROWS)
     got = {(r["src"], r["dst"]) for r in compact.joined(df, 46).collect()}
     assert got == {(a, b) for a in range(10) for b in range(a + 1, 10) if (a - b) % 2 == 0}
