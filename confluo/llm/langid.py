@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import StructType
 
-from .common import LOWER, WHITESPACE, held_out, text_slices, tune
+from .common import LOWER, WHITESPACE, held_out, text_slices, tune, written
 
 #: Documents of each language that the network is trained on, and pieces of so many bytes, spread over each of them.
 TRAIN_ROWS = 400
@@ -207,13 +207,14 @@ def train(docs: DataFrame) -> Network:
     tune(docs.sparkSession)
     known = docs.selectExpr("cast(doc_id as long) as doc_id", "lang", "text").where("doc_id is not null and lang is not null and length(text) > 0").where(~held_out())
     # hashes below a language's share are a few more than TRAIN_ROWS, so that no task ranks more than that
-    counts = known.groupBy("lang").agg(F.count("*").alias("_n"))
-    ids = known.select("lang", "doc_id", F.xxhash64("text").alias("_text")).join(counts, "lang")
+    counts = written(known.groupBy("lang").agg(F.count("*").alias("_n")), "languages")
+    few = counts.count() * TRAIN_ROWS <= BROADCAST_IDS
+    ids = known.select("lang", "doc_id", F.xxhash64("text").alias("_text")).join(F.broadcast(counts) if few else counts, "lang")
     share = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 62) - 1)) / float(1 << 62)).alias("_share")
     ids = ids.select("*", share).where(F.col("_share") <= (TRAIN_ROWS + 8 * TRAIN_ROWS**0.5) / F.col("_n"))
     first = W.partitionBy("lang").orderBy("_share", "doc_id", "_text")
     ids = ids.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= TRAIN_ROWS).select("lang", "doc_id", "_text").distinct()
-    if counts.count() * TRAIN_ROWS <= BROADCAST_IDS:
+    if few:
         ids = F.broadcast(ids)
     chosen = known.withColumn("_text", F.xxhash64("text")).join(ids, ["lang", "doc_id", "_text"], "left_semi").select("lang", "text")
 
