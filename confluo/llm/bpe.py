@@ -146,6 +146,12 @@ class Vocabulary:
         matches = self.pattern.findall
         self.simple = self.lower and all(matches(f"ab{c.decode()}") == ["ab", c.decode()] for c in CLOSING)
 
+    def forget(self) -> None:
+        """Empty the caches, so that a worker that goes on to other work does not keep them."""
+        for cache in (self.words, self.pieces):
+            cache.clear()
+            cache.old = {}
+
     def with_classes(self, pattern: str) -> str:
         """The pattern with its classes written out; a class outside brackets gets brackets."""
         out, inside, at = [], False, 0
@@ -527,6 +533,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 [batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        codec.vocab.forget()
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, ROUND_TRIP)
 
@@ -544,5 +551,6 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             rows = [np.frombuffer(b"".join(raw for raw, _ in codec.spans(t or "")), "<u4").astype(np.int32) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        codec.vocab.forget()
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")

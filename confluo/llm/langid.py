@@ -32,6 +32,8 @@ EPOCHS = 3
 HIDDEN = 8
 #: Bytes that are read in one go, and how much earlier white space may end a block.
 BLOCK, SLACK = 256, 32
+#: Bytes of texts that are worked on at once.
+READ_BYTES = 1 << 20
 #: Blocks that are read side by side.
 SIDE_BY_SIDE = 2048
 UNKNOWN = "und"
@@ -266,16 +268,17 @@ def with_prediction(docs: DataFrame, network: Network, column: str = "text", nam
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, end, data, offsets in text_slices(batch.column(at)):
+            for start, end, data, offsets in text_slices(batch.column(at), READ_BYTES):
                 lower, many = LOWER[data], end - start
                 sums, n = np.zeros((many, max(1, len(network.languages)))), np.zeros(many)
                 if len(lower) and network.languages:
-                    found = labelled(network, lower, *blocks_of(lower, offsets))
+                    found = labelled(network, lower, *blocks_of(lower, offsets))  # a row for each byte of the slice
                     black = np.flatnonzero(~WHITESPACE[lower])
                     row = np.repeat(np.arange(many), np.diff(offsets))[black]
                     n = np.bincount(row, minlength=many)
                     for k in range(found.shape[1]):
                         sums[:, k] = np.bincount(row, found[black, k], many)
+                    del found, black, row
                 best = sums.argmax(1)
                 score = sums[np.arange(many), best] / np.maximum(n, 1)
                 letters = (lower >= 0x61) & (lower <= 0x7A)
