@@ -79,8 +79,20 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import digests
+
+    return digests(documents(spark, sf_dir))
+
+
+def op13_branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .branch_merge import digests, merge
+
+    return digests(merge(documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_fm, op2_bpe_stream, op3_compact_windows, op4_token_files, op5_warc_archives, op6_syncmer_fingerprints, op7_ngram_jaccard, op8_language_id, op9_suffix_dedup, op10_spaced_seeds)}
+    return {f.__name__: f for f in (op1_toxicity_fm, op2_bpe_stream, op3_compact_windows, op4_token_files, op5_warc_archives, op6_syncmer_fingerprints, op7_ngram_jaccard, op8_language_id, op9_suffix_dedup, op10_spaced_seeds, op12_fill_in_middle, op13_branch_merge)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -91,4 +103,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_ngram_jaccard": oracles.JACCARD,
         "op9_suffix_dedup": oracles.REPEATS,
         "op10_spaced_seeds": oracles.LEAKS,
+        "op12_fill_in_middle": oracles.FILL_MIDDLE,
+        "op13_branch_merge": oracles.MERGE,
     }
