@@ -388,9 +388,11 @@ class StreamingEncoder:
             out.append(self.slowly(text[:space], True))
             text = text[space:]
         raw = text.encode()
+        words = raw.split()
         if self.vocab.lower and not (self.vocab.marks and b"<" in raw):  # the case of marks counts
-            raw = raw.lower()
-        out += map(self.vocab.words.__getitem__, raw.split())
+            # a mark behind a capital may compose with its small letter only, which comes after composition
+            words = raw.lower().split() if raw.isascii() else [w.lower() if w.isascii() else w for w in words]
+        out += map(self.vocab.words.__getitem__, words)
         return b"".join(out)
 
     def _inside(self) -> bytes:

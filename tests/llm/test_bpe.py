@@ -157,3 +157,21 @@ def test_decoder_over_cuts(library):
             got += decoder.feed(ids[at : at + k])
             at += k
         assert got + decoder.finish() == library.decode(ids, skip_special_tokens=False)
+
+
+def test_letters_with_marks_same_as_library(library):
+    """Capitals that only compose with a mark in lower case: composition comes first."""
+    import random
+    import unicodedata
+
+    from confluo.llm import tokenfile
+
+    files = tokenfile.LibraryEncoder(PATH)
+    marks = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.combining(chr(c))]
+    letters = [chr(c) for c in [*range(65, 91), *range(97, 123)]]
+    pick = random.Random(11)
+    pool = letters + marks[:200] + list(" \n.,'<|>é漢ÀİΣßÅ1")
+    texts = [" ".join(f"a{x}{m}b {x}{m}" for x in letters) for m in marks] + ["".join(pick.choices(pool, k=pick.randrange(1, 30))) for _ in range(4000)]
+    for text, want in zip(texts, library.encode_batch_fast(texts, add_special_tokens=False)):
+        assert ours(text) == want.ids, ascii(text)
+        assert np.frombuffer(files.encode(text), f"<u{files.width}").tolist() == want.ids, ascii(text)
