@@ -79,6 +79,12 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import token_counts
+
+    return token_counts(documents(spark, sf_dir), tokenizer_path())
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fill_middle import digests
 
@@ -92,7 +98,7 @@ def op13_branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_fm, op2_bpe_stream, op3_compact_windows, op4_token_files, op5_warc_archives, op6_syncmer_fingerprints, op7_ngram_jaccard, op8_language_id, op9_suffix_dedup, op10_spaced_seeds, op12_fill_in_middle, op13_branch_merge)}
+    return {f.__name__: f for f in (op1_toxicity_fm, op2_bpe_stream, op3_compact_windows, op4_token_files, op5_warc_archives, op6_syncmer_fingerprints, op7_ngram_jaccard, op8_language_id, op9_suffix_dedup, op10_spaced_seeds, op11_token_counts, op12_fill_in_middle, op13_branch_merge)}
 
 
 def oracle_sql() -> dict[str, str]:
