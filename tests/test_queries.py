@@ -11,7 +11,7 @@ from confluo.plans import load_all
 from confluo.plans.registry import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 load_all()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 
