@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import calendar
+from ..operators import calendar, intervals
 from .registry import query, table
 
 DAY = 86_400
@@ -172,9 +172,22 @@ def showings(spark, sf_dir):
     ON a.venue = b.venue AND a.slug < b.slug AND a.start_s <= b.e AND b.start_s <= a.e""")
 def interval_overlap(spark, sf_dir):
     """Pairs of intervals of one venue that overlap."""
-    rows = sessions(spark, sf_dir).withColumn("e", calendar.end_of())
-    a, b = rows.selectExpr("venue", "slug as a", "start as s1", "e as e1"), rows.selectExpr("venue", "slug as b", "start as s2", "e as e2")
-    return a.join(b, "venue").where("a < b and s1 <= e2 and s2 <= e1").select("a", "b")
+    rows = sessions(spark, sf_dir).withColumn("end", calendar.end_of())
+    return intervals.overlapping_pairs(rows.selectExpr("slug as id", "start", "end", "venue"), ["venue"])
+
+
+#: Sales and lines as intervals: from the sale to its arrival, and the week before a line is shipped.
+STAYS = """l AS (SELECT sale_id AS id, client_id % 50 AS place, CAST(floor(epoch(sold_at)) AS BIGINT) AS s, CAST(floor(epoch(arrived_at)) AS BIGINT) AS e FROM sales WHERE sold_at IS NOT NULL AND arrived_at IS NOT NULL),
+    r AS (SELECT sale_id AS id, line_no, item_id % 50 AS place, CAST(floor(epoch(shipped_at)) AS BIGINT) - 3600 AS s, CAST(floor(epoch(shipped_at)) AS BIGINT) AS e FROM sale_lines WHERE shipped_at IS NOT NULL)"""
+
+
+@query("j17_two_tables", f"WITH {STAYS} SELECT l.id AS sale_id, r.id AS line_sale, r.line_no FROM l JOIN r ON l.place = r.place AND l.s <= r.e AND r.s <= l.e")
+def overlap_of_two_tables(spark, sf_dir):
+    """Sales on their way while a line of the same shelf leaves."""
+    seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    sales = table(spark, sf_dir, "sales").select(F.col("sale_id").alias("id"), seconds("sold_at").alias("start"), seconds("arrived_at").alias("end"), (F.col("client_id") % 50).alias("place"))
+    lines = table(spark, sf_dir, "sale_lines").select(F.struct("sale_id", "line_no").alias("id"), (seconds("shipped_at") - 3600).alias("start"), seconds("shipped_at").alias("end"), (F.col("item_id") % 50).alias("place"))
+    return intervals.overlap_join(sales, lines, ["place"]).select(F.col("l_id").alias("sale_id"), F.col("r_id.sale_id").alias("line_sale"), F.col("r_id.line_no"))
 
 
 @query("f14_parse_dates", """SELECT o_orderkey, CAST(strftime(o_orderdate, '%Y-%m-%d') AS VARCHAR) AS iso, CAST(strftime(o_orderdate, '%Y-%m-%d') AS VARCHAR) AS compact, CAST(strftime(o_orderdate, '%Y-%m-%d') AS VARCHAR) AS roc,
