@@ -1,7 +1,8 @@
 """Names inside names, and the venues that are heritage sites.
 
 Strings that contain others are found by an equi-join on substrings: each needle is looked up under that one of its
-substrings which the fewest haystacks have, so frequent words cost nothing where a needle has a rarer part. Rows with the
+substrings which the fewest haystacks have, so frequent words cost nothing where a needle has a rarer part. Substrings have
+four characters, or as many as a shorter needle has. Rows with the
 same key meet once, as one key.
 """
 
@@ -28,12 +29,16 @@ def contained_keys(needles: DataFrame, haystacks: DataFrame, least: int = GRAM)
 
     ``needles`` and ``haystacks`` have a column ``key``; nulls and empty keys meet nothing, repeated keys count once.
     """
-    size = max(1, min(least, GRAM))
-    hay = haystacks.where("key <> ''").select(F.col("key").alias("haystack")).distinct().withColumn("gram", F.explode(grams(F.col("haystack"), size)))
     short = needles.where(F.length("key") >= max(1, least)).select(F.col("key").alias("needle")).distinct()
+    size = F.least(F.length("needle"), F.lit(GRAM))
+    sizes = sorted(r.n for r in short.select(size.alias("n")).distinct().collect())  # numbers from 1 to GRAM
+    none = F.array().cast("array<string>")
+    parts = F.concat(none, *(grams(F.col("haystack"), n) for n in sizes))
+    hay = haystacks.where("key <> ''").select(F.col("key").alias("haystack")).distinct().withColumn("gram", F.explode(parts))
     counted = hay.groupBy("gram").agg(F.count("*").alias("n"))
-    parts = short.withColumn("gram", F.explode(grams(F.col("needle"), size))).join(counted, "gram", "left")
-    rarest = parts.groupBy("needle").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count(F.when(F.col("n").isNull(), 1)).alias("lost"))
+    own = F.coalesce(*(F.when(size == n, grams(F.col("needle"), n)) for n in sizes), none)
+    looked_up = short.withColumn("gram", F.explode(own)).join(counted, "gram", "left")
+    rarest = looked_up.groupBy("needle").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count(F.when(F.col("n").isNull(), 1)).alias("lost"))
     return rarest.where("lost = 0").select("needle", "gram").join(hay, "gram").where(F.contains("haystack", "needle")).select("needle", "haystack")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import geo, text
+from ..functions import geo
 from .relations import contained
 
 DAY = 86_400
@@ -110,20 +110,6 @@ def nearby_venues(near: DataFrame, venues: DataFrame, limit: int = 10) -> DataFr
     return groups.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("l_id", "venue", "metres", "rank")
 
 
-def search(rows: DataFrame, query: str, aliases: DataFrame | None = None, limit: int = 40) -> DataFrame:
-    """Rows (slug, title, venue, city, rank) whose folded text holds every word of the query, or of one of its aliases."""
-    words = [w for w in query.split() if w]
-    hay = text.fold(F.concat_ws(" ", "title", "venue", "city"))
-    ok = F.lit(True)
-    for w in words:
-        ok = ok & F.contains(hay, text.fold(F.lit(w)))
-    if aliases is not None:
-        spell = [r[0] for r in aliases.where(F.array_contains("aliases", query)).select(F.explode("aliases")).limit(100).collect()]
-        for a in spell:
-            ok = ok | F.contains(hay, text.fold(F.lit(a)))
-    return rows.where(ok).orderBy("rank", "slug").limit(limit)
-
-
 def editor_picks(picks: DataFrame, live: DataFrame, week: Column) -> DataFrame:
     """Picks (week, position, slug, note) of a week that are still live, in order."""
     return picks.where(F.col("week") == week).join(live.select("slug"), "slug", "left_semi").orderBy("position")
@@ -178,3 +164,49 @@ def first_rule(value: Column, rules: list[tuple[str, str]]) -> Column:
     for pattern, result in reversed(rules):
         out = F.when(F.rlike(value, F.lit(pattern)), F.lit(result)).otherwise(out)
     return out
+
+
+def first_of_group(pages: DataFrame, venues: DataFrame, group: str, most: int) -> DataFrame:
+    """(page, venue): for each page (page, group) the first venues (venue, group) of its group other than itself.
+
+    Only the first ``most`` + 1 of a group can be such, so a group is cut to them before it meets its pages.
+    """
+    first = venues.where(F.col(group).isNotNull()).withColumn("r", F.row_number().over(W.partitionBy(group).orderBy("venue"))).where(F.col("r") <= most + 1)
+    pairs = pages.join(first, group).where("page <> venue")
+    return pairs.withColumn("k", F.row_number().over(W.partitionBy("page").orderBy("venue"))).where(F.col("k") <= most).select("page", "venue")
+
+
+def heritage_page(sessions: DataFrame, venues: DataFrame, today: int, keep: DataFrame | None = None, here: int = 20, near: int = 8, per_venue: int = 2) -> DataFrame:
+    """(page, part, rank, slug, venue, start): what a heritage page lists at its own venues and around.
+
+    ``venues`` (page, venue, part) names a page's own venues ('site') and those nearby ('near'); sessions are (slug, venue, start,
+    end). ``here`` are events at its own venues that have not ended, running ones by their end before coming ones by start, or
+    else, as ``past``, the latest. ``near`` are coming, then running events of nearby venues that are not listed here, each once, at
+    its first place, and at most ``per_venue`` of a venue; ``keep`` (slug) says which may be listed there.
+
+    In order, a row of ``near`` is taken as long as its venue has fewer than ``per_venue``: the rows taken of a venue are its first,
+    so places within venue and page decide, and no list is walked. Sessions meet pages as one row for each venue and slug. Rows
+    without a venue, a slug or a start are at no page; empty tables give an empty result.
+    """
+    end = F.coalesce("end", "start")
+    live, running = end >= today, F.col("start") < today
+    own = F.struct(F.when(~live, 2).when(running, 0).otherwise(1).alias("band"), F.when(~live, -F.col("start")).when(running, end).otherwise(F.col("start")).alias("at"), "start")
+    around = F.when(live, F.struct(F.when(running, 1).otherwise(0).alias("band"), F.when(running, end).otherwise(F.col("start")).alias("at"), "start"))
+    events = sessions.where("venue is not null and slug is not null and start is not null").groupBy("venue", "slug").agg(F.min(own).alias("own"), F.min(around).alias("around"))
+    pages = venues.select("page", "venue", "part").distinct()
+
+    def first_of_slug(part: str, order: str) -> DataFrame:
+        rows = pages.where(F.col("part") == part).join(events.where(F.col(order).isNotNull()), "venue")
+        place = F.struct(F.col(f"{order}.band").alias("band"), F.col(f"{order}.at").alias("at"), "slug", "venue", F.col(f"{order}.start").alias("start"))
+        return rows.groupBy("page", "slug").agg(F.min(place).alias("o"))
+
+    at_page = W.partitionBy("page").orderBy("o")
+    sites = first_of_slug("site", "own").withColumn("first", F.min("o.band").over(W.partitionBy("page"))).where((F.col("o.band") < 2) | (F.col("first") == 2))
+    listed = sites.withColumn("rank", F.row_number().over(at_page)).where(F.col("rank") <= here)
+    others = first_of_slug("near", "around").join(listed.select("page", "slug"), ["page", "slug"], "left_anti")
+    if keep is not None:
+        others = others.join(keep.select("slug").distinct(), "slug", "left_semi")
+    others = others.withColumn("v", F.row_number().over(W.partitionBy("page", "o.venue").orderBy("o"))).where(F.col("v") <= per_venue)
+    others = others.withColumn("rank", F.row_number().over(at_page)).where(F.col("rank") <= near)
+    shown = lambda df, part: df.select("page", part.alias("part"), "rank", "slug", F.col("o.venue").alias("venue"), F.col("o.start").alias("start"))
+    return shown(listed, F.when(F.col("first") == 2, "past").otherwise("here")).unionByName(shown(others, F.lit("near")))

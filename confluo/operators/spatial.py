@@ -79,3 +79,46 @@ def reach_tiers(points: DataFrame, tiers: tuple[float, ...] = (3000.0, 8000.0, 2
         found = done if found is None else found.unionByName(done)
         rest = counted.where(F.coalesce("n", F.lit(0)) < enough).drop("n")
     return found
+
+
+#: Cells of the finest grid for ``nearest_in_rings`` have this edge in degrees, about eleven metres; each level doubles it.
+FINEST, LEVELS = 1e-4, 22
+
+
+def nearest_in_rings(left: DataFrame, right: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """(l_id, r_id, metres, rank): the k nearest rows of right (r_id, lat, lng, keys) for each of left (l_id, lat, lng, keys), whatever the distance.
+
+    Each left row looks for the finest cell around it that holds k rows of its keys; all of them are nearer than the cell's
+    diagonal, so the k nearest lie in the three by three cells of twice the edge. Dense places are met in small cells, empty
+    ones in large cells, and of rows at one point only the first k by id count. Exact for latitudes up to 45 degrees, away from
+    the 180th meridian. Rows without a place, or a key, have no neighbours. Ties go by r_id.
+    """
+    at_point = W.partitionBy(*keys, "lat", "lng").orderBy("r_id")
+    points = right.where("lat is not null and lng is not null").select("r_id", "lat", "lng", *keys).distinct()
+    points = written(points.withColumn("_r", F.row_number().over(at_point)).where(F.col("_r") <= k).drop("_r"), "ring-points")
+
+    def cells(lat: str, lng: str, level: Column) -> tuple[Column, Column]:
+        edge = F.lit(FINEST) * F.pow(F.lit(2.0), level)
+        return F.floor(F.col(lat) / edge), F.floor(F.col(lng) / edge)
+
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level")
+    grid = points.select("*", levels)
+    y, x = cells("lat", "lng", F.col("level"))
+    full = grid.groupBy(*keys, "level", y.alias("y"), x.alias("x")).agg(F.count("*").alias("n")).where(F.col("n") >= k).drop("n")
+    seekers = written(left.where("lat is not null and lng is not null").select("l_id", F.col("lat").alias("la"), F.col("lng").alias("lo"), *keys), "ring-seekers")
+    own_y, own_x = cells("la", "lo", F.col("level"))
+    level = seekers.select("l_id", "la", "lo", *keys, levels).withColumn("y", own_y).withColumn("x", own_x).join(full, [*keys, "level", "y", "x"])
+    level = level.groupBy("l_id", "la", "lo", *keys).agg(F.min("level").alias("level"))
+    # where no cell holds k rows, the coarsest level is one cell for a hemisphere and its neighbours
+    chosen = seekers.join(level, ["l_id", "la", "lo", *keys], "left").withColumn("level", F.least(F.coalesce("level", F.lit(LEVELS)) + 1, F.lit(LEVELS)))
+    own_y, own_x = cells("la", "lo", F.col("level"))
+    around = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
+    asked = chosen.withColumn("y", own_y).withColumn("x", own_x).withColumn("o", F.explode(around))
+    asked = asked.select("l_id", "la", "lo", *keys, "level", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
+    wanted = asked.select("level").distinct()
+    held = grid.join(F.broadcast(wanted), "level", "left_semi")  # at most LEVELS + 1 numbers
+    y, x = cells("lat", "lng", F.col("level"))
+    near = asked.join(held.withColumn("y", y).withColumn("x", x), [*keys, "level", "y", "x"])
+    near = near.withColumn("metres", geo.haversine_m(F.col("la"), F.col("lo"), F.col("lat"), F.col("lng")))
+    order = W.partitionBy("l_id").orderBy("metres", "r_id")
+    return near.select("l_id", "r_id", "metres").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

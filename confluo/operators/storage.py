@@ -25,8 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return top.rstrip("/")
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
