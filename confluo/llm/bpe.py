@@ -102,6 +102,11 @@ def _runs(piece: str) -> Iterator[str]:
         yield piece[a:b]
 
 
+def has_marks(raw: bytes) -> bool:
+    """Whether UTF-8 holds a character from U+0300 to U+037F, as all marks are that compose with ASCII letters."""
+    return b"\xcc" in raw or b"\xcd" in raw
+
+
 class Vocabulary:
     """The parts of a tokenizer file that encoding needs: ids, ranked merges, marks and special tokens.
 
@@ -388,10 +393,11 @@ class StreamingEncoder:
             out.append(self.slowly(text[:space], True))
             text = text[space:]
         raw = text.encode()
-        words = raw.split()
-        if self.vocab.lower and not (self.vocab.marks and b"<" in raw):  # the case of marks counts
-            # a mark behind a capital may compose with its small letter only, which comes after composition
-            words = raw.lower().split() if raw.isascii() else [w.lower() if w.isascii() else w for w in words]
+        folds = self.vocab.lower and not (self.vocab.marks and b"<" in raw)  # the case of special tokens counts
+        if folds and not has_marks(raw):
+            words = raw.lower().split()
+        else:  # a mark behind a capital may compose with its small letter only; composition comes before lower case
+            words = [w.lower() if folds and w.isascii() else w for w in raw.split()]
         out += map(self.vocab.words.__getitem__, words)
         return b"".join(out)
 
