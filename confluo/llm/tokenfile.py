@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import byte_alphabet
+from .bpe import byte_alphabet, has_marks
 from .common import ranges, shared_dir, split_points, tune
 
 MAGIC = b"CFTOKEN1"
@@ -80,7 +80,7 @@ class LibraryEncoder:
         return struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
     def word(self, word: bytes) -> bytes:
-        """The ids of one word, in lower case if it is ASCII.
+        """The ids of one word, in lower case (ASCII) unless it holds marks.
 
         A letter and one closing mark after it are separate tokens, so such a word is put together from both. A run of
         Latin letters is one piece: the library's model takes it with its bytes written as characters. Other words go
@@ -105,8 +105,8 @@ class LibraryEncoder:
         raw = text.encode()
         if not self.by_word or b"<" in raw:  # marks keep their case
             return self._pack([text])[0]
-        # composition comes before lower case, so only words without marks and accents may be lower-cased here
-        words = raw.lower().split() if raw.isascii() else [w.lower() if w.isascii() else w for w in raw.split()]
+        # a mark behind a capital may compose with its small letter only; composition comes before lower case
+        words = [w.lower() if w.isascii() else w for w in raw.split()] if has_marks(raw) else raw.lower().split()
         return b"".join(map(self.words.__getitem__, words))
 
 
