@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, tune, written
+from .tokenfile import library_encoder
 
 SCHEMA = "content binary, n_tokens long, tokenizer string"
 #: Tokens above which a text is marked as too long for a context.
@@ -99,13 +100,19 @@ class Cache:
 
 @functools.lru_cache(maxsize=2)
 def _library(path: str):
-    """Texts -> numbers of tokens, by the file's own library; one for each worker."""
+    """Texts -> numbers of tokens, by the file's own library; one for each worker.
+
+    Where white space separates tokens, words that come again keep their ids; they are encoded by the library's model.
+    """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: [len(ids) for ids in model.encode(texts, num_threads=1)]
+    if version(path).folds:
+        words = library_encoder(path)
+        return lambda texts: [len(words.encode(t)) // words.width for t in texts]
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
