@@ -5,12 +5,13 @@ from __future__ import annotations
 import functools
 import math
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, trim_space
+from .text import SPACE, nfkc, trim_space
 
 EARTH_M = 6_371_000.0
 
@@ -37,6 +38,13 @@ def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colum
     return 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), s)))
 
 
+def metres(lat1: float, lng1: float, lat2: float, lng2: float) -> float:
+    """The same for numbers."""
+    a, b = math.radians(lat1), math.radians(lat2)
+    s = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(lng2 - lng1) / 2) ** 2
+    return 2 * EARTH_M * math.asin(min(1.0, math.sqrt(s)))
+
+
 def lat_lng(lat: Column, lng: Column) -> Column:
     """struct<lat, lng> within Taiwan, exchanged when that puts it there; null otherwise."""
     a, b = lat.try_cast("double"), lng.try_cast("double")
@@ -161,22 +169,30 @@ def address_parser(districts: dict[str, list[str]] | None = None):
 _DIGITS = {c: n for n, c in enumerate("〇一二三四五六七八九")} | {"零": 0}
 
 
-def _number(han: str) -> int:
-    """A Chinese numeral below one hundred, or digits in sequence."""
-    if "十" in han:
-        tens, _, ones = han.partition("十")
-        return (_DIGITS[tens] if tens else 1) * 10 + (_DIGITS[ones] if ones else 0)
-    return int("".join(str(_DIGITS[c]) for c in han))
+def _number(han: str) -> str:
+    """A Chinese numeral below one hundred, or digits in sequence; what is neither stays."""
+    if "十" not in han:
+        return str(int("".join(str(_DIGITS[c]) for c in han)))
+    tens, _, ones = han.partition("十")
+    if len(tens) > 1 or len(ones) > 1:
+        return han
+    return str((_DIGITS[tens] if tens else 1) * 10 + (_DIGITS[ones] if ones else 0))
 
 
 def house_number_form(t: str | None) -> str | None:
+    """An address up to its house number, for comparing; null without one."""
     if t is None:
         return None
-    t = re.sub(rf"[{SPACE}]", "", t).replace("台", "臺").translate({0xFF10 + k: str(k) for k in range(10)})
-    t = re.sub(r"([〇零一二三四五六七八九十]+)(?=[段巷弄號樓])", lambda m: str(_number(m[1])), t)
-    t = re.sub(r"[一-鿿]{1,3}里(?=\d*鄰|[一-鿿])|\d+鄰", "", t)
-    m = re.search(r"^.*?號", t)
-    return m[0] if m else t
+    t = "".join(c for c in unicodedata.normalize("NFKC", t).replace("台", "臺") if not c.isspace() and unicodedata.category(c)[0] not in "PS")
+    t = re.sub(r"([〇零一二三四五六七八九十]+)(?=[段巷弄號樓])", lambda m: _number(m[1]), t)
+    t = re.sub(r"\d+鄰", "", t)
+    for m in re.finditer("里", t):  # the first village behind a district, unless a road is named after it
+        head = re.search(r"[區鄉鎮市]([^\d區鄉鎮市路街道段巷弄號]{1,3})$", t[: m.start()])
+        if head and t[m.end() : m.end() + 1] not in ("路", "街", "道"):
+            t = t[: head.start(1)] + t[m.end() :]
+            break
+    end = re.search(r"\d(?:之\d+)?號", t)
+    return t[: end.end()] if end else None
 
 
 @functools.lru_cache(maxsize=1)
@@ -189,15 +205,19 @@ def norm_address(address: Column) -> Column:
     return _address_udf()(address)
 
 
-# Owners and cities in front of venue names.
-OWNER_HEAD = "國立|市立|縣立|私立|國家"
+# Owners in front of venue names; a city stands there by its first two characters.
+OWNERS = ["國立", "市立", "縣立", "私立"]
 
 
 def venue_identity_key(name: Column) -> Column:
-    """Venue name without punctuation, symbols and up to three leading cities or owners."""
-    s = F.regexp_replace(F.translate(F.coalesce(name, F.lit("")), "台", "臺"), rf"[\p{{P}}\p{{S}}{SPACE}]", "")
-    head = "^(?:" + "|".join([*CITIES, *(c[:-1] for c in CITIES), OWNER_HEAD]) + ")"
+    """Venue name without punctuation, symbols, white space, and up to three times a city and an owner in front; lower case.
+
+    A city that is part of an owner, as in a city's own museum, stays in front.
+    """
+    s = F.regexp_replace(F.translate(nfkc(F.coalesce(name, F.lit(""))), "台", "臺"), rf"[\p{{P}}\p{{S}}{SPACE}]", "")
+    s = F.lower(s)
+    cities = "|".join(dict.fromkeys(c[:2] for c in CITIES))
     for _ in range(3):
-        cut = F.regexp_replace(s, head, "")
-        s = F.when(F.length(cut) >= 2, cut).otherwise(s)
-    return F.lower(s)
+        s = F.regexp_replace(s, f"^(?:{cities})[市縣]?(?![市縣]?立)", "")
+        s = F.regexp_replace(s, f"^(?:{'|'.join(OWNERS)})", "")
+    return s

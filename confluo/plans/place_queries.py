@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import containment
+from ..operators import containment, resolution
 from .registry import query, table
 
 #: A client as a place: those of the central system are heritage sites, those of other sources venues. Names, districts and
@@ -52,3 +52,23 @@ def heritage_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     decided = lambda rule: clients.where(rule).selectExpr("master_id as heritage_id", "client_id as venue_id")
     return containment.heritage_sites(rows(HERITAGE).where("source = 'crm'"), rows(VENUE).where("source <> 'crm'"), decided("client_id % 10 = 3"), decided("client_id % 6 = 0 and source <> 'crm'"))
+
+
+@query("g15_whole_cascade")
+def whole_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sale names the place of its client; the registry is made of the central system's clients.
+
+    One walk in order is beyond SQL; tests compare the operator with such a walk.
+    """
+    columns = _spark(PLACE).split(", ")
+    address = "CASE WHEN client_id % 3 < 2 THEN city || '路' || (master_id % 20) || '號' END as address"
+    precision = "CASE WHEN client_id % 2 = 0 THEN 'street' END as precision"
+    clients = table(spark, sf_dir, "clients")
+    registry = clients.where("source = 'crm'").selectExpr("client_id as id", "client_id as ord", f"{_spark(HERITAGE)} as name", *columns, address, precision, "client_id % 3 as sources")
+    places = clients.where("source <> 'crm'").selectExpr("client_id", f"{_spark(VENUE)} as name", *columns, address, precision)
+    sessions = table(spark, sf_dir, "sales").selectExpr("client_id", "sale_id as position").join(places, "client_id").drop("client_id")
+    aliases = clients.where("client_id % 40 = 3").selectExpr(f"{_spark(VENUE)} as alias", "name as target")
+    rejected = clients.where("client_id % 50 = 7").selectExpr(f"{_spark(VENUE)} as name")
+    spellings = clients.where("source = 'crm' and client_id % 9 = 0").selectExpr("client_id as id", "city || name as name")
+    found = resolution.resolve(sessions, registry, spellings, aliases, rejected)
+    return found.select("key", "sessions", "place", "state", "method", "confidence")
