@@ -72,14 +72,11 @@ def due(rows: DataFrame, now: Column, everything: bool = False) -> DataFrame:
     return rows.where(F.coalesce("forced", F.lit(False)) | (~F.coalesce("skip", F.lit(False)) & (F.lit(everything) | F.col("next_due").isNull() | (F.col("next_due") <= now))))
 
 
-# The buckets of declared update frequencies, in the order in which their patterns are tried.
-FREQUENCIES = [
-    ("undeclared", r"^\s*$|^(?i:UNVERIFIED)"),
-    ("irregular", r"不定期"),
-    ("daily", r"(?i)每\s*1?\s*日|每天|unittime=日|\bdaily?\b"),
-    ("monthly", r"每\s*\d*\s*月|每季|半年"),
-    ("yearly", r"(?i)每\s*\d*\s*年|\byearly?\b|\bannually\b|\d+\s*年"),
-]
+# Words of declared update frequencies; a number may stand between the parts of those in PERIODS.
+NOT_CHECKED, IRREGULAR = "unverified", "不定期"
+WORDS = {"daily": ["dail", "daily"], "monthly": [], "yearly": ["yearl", "yearly", "annually"]}
+PHRASES = {"daily": ["每日", "每1日", "每天", "unittime=日"], "monthly": ["每季", "半年"], "yearly": []}
+PERIODS = {"monthly": "每月", "yearly": "每年"}
 HOUR = 3_600_000
 # First, least and longest time between fetches, in hours, by frequency and kind.
 POLICIES = {
@@ -89,9 +86,26 @@ POLICIES = {
 
 
 def freq_bucket(text: Column) -> Column:
-    """A declared update frequency as undeclared, irregular, daily, monthly or yearly; what no pattern fits is undeclared."""
-    said = F.coalesce(text, F.lit(""))
-    return F.coalesce(*(F.when(F.rlike(said, F.lit(pattern)), name) for name, pattern in FREQUENCIES), F.lit("undeclared"))
+    """A declared update frequency as undeclared, irregular, daily, monthly or yearly; what says none of these is undeclared.
+
+    It says a bucket by one of its words or phrases, or by its period; a number of years says yearly.
+    """
+    said = F.lower(F.coalesce(text, F.lit("")))
+    tight = F.regexp_replace(said, r"\s", "")
+    words, periods = F.split(said, "[^a-z0-9_]+"), F.regexp_replace(tight, "[0-9]", "")
+
+    def says(bucket: str) -> Column:
+        found = F.arrays_overlap(words, F.array(*map(F.lit, WORDS[bucket]))) if WORDS[bucket] else F.lit(False)
+        for phrase in PHRASES[bucket]:
+            found = found | F.contains(tight, F.lit(phrase))
+        if bucket in PERIODS:
+            found = found | F.contains(periods, F.lit(PERIODS[bucket]))
+        return found | F.rlike(tight, F.lit("[0-9]年")) if bucket == "yearly" else found
+
+    bucket = F.when((tight == "") | F.startswith(said, F.lit(NOT_CHECKED)), "undeclared").when(F.contains(said, F.lit(IRREGULAR)), "irregular")
+    for name in ("daily", "monthly", "yearly"):
+        bucket = bucket.when(says(name), name)
+    return bucket.otherwise("undeclared")
 
 
 def scheduled(bucket: Column, entity: Column) -> Column:
