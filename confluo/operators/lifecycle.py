@@ -123,6 +123,7 @@ def changes(previous: DataFrame, current: DataFrame, key: str) -> tuple[DataFram
     return current.join(same, key, "left_anti"), previous.select(key).join(current.select(key), key, "left_anti")
 
 
-def first_write_wins(registry: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Append rows whose key is not registered yet."""
-    return registry.unionByName(rows.dropDuplicates([key]).join(registry.select(key), key, "left_anti"))
+def first_write_wins(registry: DataFrame, rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """Append rows whose key is not registered yet: of several with one key the first by ``order``, then by all columns."""
+    single = rows.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*rows.columns), F.struct(*order, *rows.columns)).alias("r")).select("r.*")
+    return registry.unionByName(single.join(registry.select(key), key, "left_anti"))

@@ -155,8 +155,9 @@ def saved_items(items: DataFrame, toggles: DataFrame, now: Column, most: int = 5
     """Saved items (kind, slug, saved_at, end_at) after toggles: one of an item removes, of another adds; newest first."""
     add = toggles.join(items, ["kind", "slug"], "left_anti").select(*items.columns)
     kept = items.join(toggles, ["kind", "slug"], "left_anti").unionByName(add).where(F.col("end_at").isNull() | (F.col("end_at") >= now))
-    rank = F.row_number().over(W.orderBy(F.desc("saved_at"), "kind", "slug"))  # one user's list
-    return kept.withColumn("position", rank).where(F.col("position") <= most)
+    order = [F.desc("saved_at"), F.asc("kind"), F.asc("slug")]
+    first = kept.orderBy(*order).limit(most)  # each task keeps so many at most before they meet
+    return first.withColumn("position", F.row_number().over(W.orderBy(*order)))
 
 
 def recency_gate(pages: DataFrame, upcoming: DataFrame, near: DataFrame) -> DataFrame:
@@ -176,7 +177,7 @@ def policy(rows: DataFrame, table: DataFrame) -> DataFrame:
     """Rows (source, bucket, kind) with the policy (bucket, kind, interval_ms); a null kind of the table holds for all kinds."""
     exact = table.where("kind is not null").withColumnRenamed("interval_ms", "i1")
     general = table.where("kind is null").select("bucket", F.col("interval_ms").alias("i2"))
-    return rows.join(F.broadcast(exact), ["bucket", "kind"], "left").join(F.broadcast(general), "bucket", "left").select("source", "bucket", "kind", F.coalesce("i1", "i2").alias("interval_ms"))
+    return rows.join(exact, ["bucket", "kind"], "left").join(general, "bucket", "left").select("source", "bucket", "kind", F.coalesce("i1", "i2").alias("interval_ms"))
 
 
 def refreshed(rules: DataFrame, fetched: DataFrame, today: Column) -> DataFrame:

@@ -164,15 +164,24 @@ def redirect_chain(spark, sf_dir):
 
 # --- J03 - J10: joins -------------------------------------------------------------------------------------------------
 
-NAMES = "n AS (SELECT DISTINCT p_type AS name FROM part), r AS (SELECT DISTINCT p_brand AS id, p_type AS key FROM part WHERE p_size > 48)"
+#: Every part names its kind, size and name; a seventh of them in a way that the registry, made of all parts, does not know.
+NAMES = "n AS (SELECT DISTINCT p_type || '/' || p_size || '/' || p_name || CASE WHEN p_partkey % 7 = 0 THEN '?' ELSE '' END AS name FROM part), r AS (SELECT DISTINCT p_brand AS id, p_type || '/' || p_size || '/' || p_name AS key FROM part)"
+
+
+def _part_key() -> F.Column:
+    return F.concat_ws("/", "p_type", F.col("p_size").cast("string"), "p_name")
+
+
+def _part_names(part: DataFrame) -> DataFrame:
+    return part.select(F.concat(_part_key(), F.when(F.col("p_partkey") % 7 == 0, "?").otherwise("")).alias("name")).distinct()
 
 
 @query("j03_unique_or_ambiguous", f"""WITH {NAMES} SELECT name, CASE WHEN count(DISTINCT id) = 1 THEN 'resolved' WHEN count(DISTINCT id) > 1 THEN 'ambiguous' ELSE 'unresolved' END AS state, CASE WHEN count(DISTINCT id) = 1 THEN min(id) END AS id, count(DISTINCT id) AS n
     FROM n LEFT JOIN r ON key = name GROUP BY name""")
 def unique_or_ambiguous(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    names = part.select(F.col("p_type").alias("name"), F.col("p_type").alias("key")).distinct()
-    return relations.resolve_exact(names, part.where("p_size > 48").select(F.col("p_type").alias("key"), F.col("p_brand").alias("id"))).select("name", "state", "id", "n")
+    names = _part_names(part).withColumn("key", F.col("name"))
+    return relations.resolve_exact(names, part.select(_part_key().alias("key"), F.col("p_brand").alias("id"))).select("name", "state", "id", "n")
 
 
 @query("j04_alias", "SELECT n_name AS name, coalesce(CASE WHEN n_nationkey % 4 = 0 THEN 'alias-' || n_nationkey END, lower(n_name)) AS key FROM nation")
@@ -252,8 +261,8 @@ def series(spark, sf_dir):
     CAST(CASE WHEN one.id IS NOT NULL THEN 1.0 WHEN many.id IS NOT NULL THEN 0.6 END AS DOUBLE) AS confidence FROM n LEFT JOIN one USING (name) LEFT JOIN many USING (name)""")
 def cascade(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    names = part.select(F.col("p_type").alias("name")).distinct()
-    per = part.where("p_size > 48").groupBy(F.col("p_type").alias("name")).agg(F.count_distinct("p_brand").alias("n"), F.min("p_brand").alias("id"))
+    names = _part_names(part)
+    per = part.groupBy(_part_key().alias("name")).agg(F.count_distinct("p_brand").alias("n"), F.min("p_brand").alias("id"))
     return relations.cascade(names, ("exact", 1.0, per.where("n = 1")), ("ambiguous", 0.6, per)).select("name", "id", "method", "confidence")
 
 
@@ -328,10 +337,10 @@ def validation(spark, sf_dir):
 
 @query("m04_recycled_ids")
 def recycled(spark, sf_dir):
-    """Part names of one brand as successive titles of one source id."""
+    """Names of ten parts as successive titles of one source id, whose log has the first of them."""
     part = table(spark, sf_dir, "part")
     old = part.where("p_partkey % 10 = 0").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("title"))
-    new = part.where("p_partkey % 5 = 0").select(F.concat(F.lit("p:"), (F.col("p_partkey") - F.col("p_partkey") % 10).cast("string")).alias("base"), (F.col("p_partkey") % 10).cast("int").alias("seq"), F.col("p_name").alias("title"))
+    new = part.select(F.concat(F.lit("p:"), (F.col("p_partkey") - F.col("p_partkey") % 10).cast("string")).alias("base"), (F.col("p_partkey") % 10).cast("int").alias("seq"), F.col("p_name").alias("title"))
     return lifecycle.recycled_ids(old, new)
 
 
