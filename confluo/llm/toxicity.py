@@ -25,7 +25,9 @@ TRAIN_ROWS = 20_000
 BUCKET_BITS = 20
 LEAST_TEXTS = 4
 RANK = 6
+#: Minibatches of few rows at least; passes over many rows at least, so that what a share of them shows is seen as often.
 STEPS = 1000
+EPOCHS = 40
 BATCH = 256
 #: See ``paces``: the number of texts that makes a term common, and the standard deviations that make its gap sure.
 COMMON, SURE = 400, 8
@@ -83,7 +85,8 @@ def paces(a: np.ndarray, b: np.ndarray, p: int, q: int) -> np.ndarray:
     """How fast (up to 1) a term learns that a of p texts with label 1 and b of q others hold.
 
     Terms of a few texts would learn these by heart. At full pace learn those that COMMON texts hold, and those whose shares
-    differ between the labels beyond chance; no term stands still.
+    differ between the labels beyond chance; no term stands still. Without the second rule the held-out AUC of 15,000 texts
+    falls from 0.9997 to between 0.92 and 0.995.
     """
     share = (a + b) / (p + q)
     gap = np.abs(a / p - b / q) / np.sqrt(share * (1 - share) * (1 / p + 1 / q) + 1e-12)
@@ -116,7 +119,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Machine:
     v = rng.normal(0, 0.01, (len(w), RANK)).astype(np.float32)
     y = toxic.astype(np.float32)
     seen_w, seen_v = np.full_like(w, START), np.full_like(v, START)
-    for _ in range(-(-STEPS * BATCH // n)):
+    for _ in range(max(-(-STEPS * BATCH // n), EPOCHS)):
         order = rng.permutation(n)
         for at in range(0, n, BATCH):
             some = order[at : at + BATCH]

@@ -155,6 +155,22 @@ def test_terms_that_only_matter_together():
     assert (guess == np.array(y[5000:])).mean() > 0.95
 
 
+def test_pairs_are_learned_from_as_many_rows_as_are_taken():
+    """A hundred texts with two terms among 20,000 rows, four times as many with either alone: the pair counts, the parts do not."""
+    rng = np.random.default_rng(0)
+    share = 1 / np.arange(1, 5001)
+    background = lambda: set((rng.choice(5000, 30, p=share / share.sum()) + 100).tolist())
+    rows = [background() | ({1, 2} if i < 100 else {1} if i < 500 else {2} if i < 900 else set()) for i in range(toxicity.TRAIN_ROWS)]
+    machine = toxicity.fit([np.array(sorted(r), np.int32) for r in rows], (np.arange(len(rows)) < 100).astype(np.int64))
+
+    def median(extra):
+        known = [machine.slot[np.array(sorted(background() | extra))] for _ in range(200)]
+        known = [k[k >= 0] for k in known]
+        return np.median(machine.score(np.concatenate(known), np.array([len(k) for k in known])))
+
+    assert median({1, 2}) > 0.8 and median({1}) < 0.05 and median({2}) < 0.05 and median(set()) < 0.01
+
+
 def test_scores_are_those_of_the_formula(spark):
     """Whole texts, long ones too, against the sum over all pairs; terms that come again count once."""
     rng = np.random.default_rng(1)
