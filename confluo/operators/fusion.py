@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import nested
 
 
 def freshness(age_days: Column) -> Column:
@@ -19,7 +19,7 @@ def scored(candidates: DataFrame) -> DataFrame:
 
     score = base x freshness x (1 + 0.2 for each further member with the same canonical value).
     """
-    rows = candidates.where("base > 0 and value is not null").withColumn("canon", text.canon(F.col("value")))
+    rows = candidates.where("base > 0 and value is not null").withColumn("canon", nested.canonical(candidates.schema["value"].dataType, F.col("value")))
     agree = F.count("*").over(W.partitionBy("entity", "field", "canon"))
     return rows.withColumn("agree", agree).withColumn("score", F.round(F.col("base") * F.col("fresh") * (1 + 0.2 * (F.col("agree") - 1)), 9))
 
@@ -35,7 +35,7 @@ def fused(candidates: DataFrame, cut: int = 120) -> DataFrame:
 
 def conflicts(candidates: DataFrame) -> DataFrame:
     """(entity, conflicts): fields with several canonical values from several sources (source)."""
-    per = candidates.withColumn("canon", text.canon(F.col("value"))).groupBy("entity", "field").agg(F.count_distinct("canon").alias("v"), F.count_distinct("source").alias("s"))
+    per = candidates.withColumn("canon", nested.canonical(candidates.schema["value"].dataType, F.col("value"))).groupBy("entity", "field").agg(F.count_distinct("canon").alias("v"), F.count_distinct("source").alias("s"))
     return per.groupBy("entity").agg(F.count(F.when((F.col("v") > 1) & (F.col("s") > 1), 1)).alias("conflicts"))
 
 

@@ -85,3 +85,39 @@ def last_n(rows: DataFrame, n: int, *order: Column) -> DataFrame:
     """The last rows in an order given as columns, still in that order."""
     reverse = [o.desc() for o in order]
     return rows.orderBy(*reverse).limit(n).orderBy(*[o.asc() for o in order])
+
+
+#: A value is frequent if more than one of so many rows has it; there are fewer frequent values than that.
+FREQUENT = 1000
+
+
+def tie_last_places(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, value, c, upto, n): of each value of a group how many rows have it, have at most it, and are in the group.
+
+    Rows are counted for each value first. The counts are cut into ranges of (group, value), summed within each, and put behind
+    the sums of the ranges before, so a group with most of all rows is many tasks. Null groups and values are left out.
+    """
+    counts = rows.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
+    ranged = written(counts.repartitionByRange(group, value).withColumn("_p", F.spark_partition_id()), "places")
+    sums = ranged.groupBy(group, "_p").agg(F.sum("c").alias("s"))  # a row for each range that a group is in
+    in_order = W.partitionBy(group).orderBy("_p")
+    before = sums.select(group, "_p", (F.sum("s").over(in_order) - F.col("s")).alias("_before"), F.sum("s").over(W.partitionBy(group)).alias("n"))
+    upto = F.col("_before") + F.sum("c").over(W.partitionBy("_p", group).orderBy(value))
+    return ranged.join(before, [group, "_p"]).select(group, value, "c", upto.alias("upto"), "n")
+
+
+def notability(rows: DataFrame, group: str = "source", value: str = "popularity", sources: str = "n_sources") -> DataFrame:
+    """Rows with score: the sources beyond the first, plus the place of their popularity among those of their source, 0 to 1.
+
+    Of equal values all take the last place. Without a popularity, or alone in their source, rows have place 0. Frequent values,
+    fewer than FREQUENT, are joined by a broadcast, the others by a shuffle.
+    """
+    total = rows.count()
+    places = written(tie_last_places(rows, group, value).withColumn("_place", F.when(F.col("n") > 1, (F.col("upto") - 1) / (F.col("n") - 1)).otherwise(0.0)), "notability")
+    hot = F.broadcast(places.where(F.col("c") * FREQUENT > total).select(group, value, F.col("_place").alias("_hot")))
+    rest = places.where(F.col("c") * FREQUENT <= total).select(group, value, "_place")
+    first = rows.join(hot, [group, value], "left")
+    settled = first.where(F.col("_hot").isNotNull() | F.col(group).isNull() | F.col(value).isNull()).withColumn("_place", F.coalesce("_hot", F.lit(0.0)))
+    others = first.where(F.col("_hot").isNull() & F.col(group).isNotNull() & F.col(value).isNotNull()).join(rest, [group, value], "left")
+    score = F.greatest(F.coalesce(F.col(sources), F.lit(1)) - 1, F.lit(0)) + F.coalesce("_place", F.lit(0.0))
+    return settled.unionByName(others).withColumn("score", score).select(*rows.columns, "score")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import containment, resolution
+from ..functions import text
+from ..operators import containment, matching, resolution
 from .registry import query, table
 
 #: A client as a place: those of the central system are heritage sites, those of other sources venues. Names, districts and
@@ -72,3 +74,29 @@ def whole_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     spellings = clients.where("source = 'crm' and client_id % 9 = 0").selectExpr("client_id as id", "city || name as name")
     found = resolution.resolve(sessions, registry, spellings, aliases, rejected)
     return found.select("key", "sessions", "place", "state", "method", "confidence")
+
+
+#: Clients as records whose true identity is their master: events or venues, where and when their row says.
+RECORDS = f"""SELECT source, CASE WHEN master_id % 2 = 0 THEN 'event' ELSE 'venue' END AS kind, name, CAST(epoch(updated_at) AS BIGINT) // 86400 AS start_day, CAST(epoch(updated_at) AS BIGINT) // 86400 + 40 AS end_day,
+    city, segment, CAST({LAT} AS DOUBLE) AS lat, CAST(CASE WHEN ({LAT}) IS NOT NULL THEN 121.0 END AS DOUBLE) AS lng, master_id FROM clients"""
+TITLE = "lower(regexp_replace(coalesce({}, ''), '[^0-9A-Za-zÀ-ÿ]', '', 'g'))"
+MEANING = "length(regexp_replace({}, '[^a-z]', '', 'g'))"
+
+REMATCH = f"""WITH r AS ({RECORDS}), c AS (SELECT *, {TITLE.format("name")} AS t FROM r WHERE source IS NOT NULL),
+p AS (SELECT a.source AS "left", b.source AS "right", a.kind, a.t = b.t AS same, CASE WHEN a.t = b.t THEN CASE WHEN a.t <> '' AND {MEANING.format("a.t")} >= 2 THEN 'exact' END
+        WHEN contains(a.t, b.t) AND length(b.t) >= 4 AND {MEANING.format("b.t")} >= 4 THEN 'contains' WHEN contains(b.t, a.t) AND length(a.t) >= 4 AND {MEANING.format("a.t")} >= 4 THEN 'contains' END AS alike,
+        a.lat IS NOT NULL AND b.lat IS NOT NULL AS located, {METRES.replace("v.", "b.").replace("h.", "a.").replace("round(", "(", 1)} AS metres, coalesce(a.city = b.city, false) AS city,
+        coalesce(a.start_day <= b.end_day AND b.start_day <= a.end_day, false) AS meets, coalesce(a.segment = b.segment OR (length(a.segment) >= 3 AND length(b.segment) >= 3 AND (contains(a.segment, b.segment) OR contains(b.segment, a.segment))), false) AS venue
+      FROM c a JOIN c b ON a.master_id = b.master_id AND a.source < b.source)
+SELECT "left", "right", kind, count(*) AS pairs, CAST(count(*) FILTER (same) AS BIGINT) AS same_title, CAST(count(*) FILTER (CASE WHEN alike IS NULL THEN false
+    WHEN kind = 'event' THEN meets AND (venue OR (located AND metres < 500)) WHEN alike = 'contains' THEN false WHEN located THEN metres <= 100 ELSE city END) AS BIGINT) AS auto FROM p GROUP BY ALL"""
+
+
+@query("g17_strip_and_rematch", REMATCH)
+def strip_and_rematch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs of clients of one master the rules join without knowing the master."""
+    days = "floor(unix_seconds(cast(updated_at as timestamp)) / 86400)"
+    rows = table(spark, sf_dir, "clients").selectExpr(
+        "source", "case when master_id % 2 = 0 then 'event' else 'venue' end as kind", "name", "1 as norm_name_count", "array_compact(array(city)) as city", "array_compact(array(segment)) as venue",
+        f"{days} as start_day", f"{days} + 40 as end_day", f"cast({LAT} as double) as lat", f"cast(case when ({LAT}) is not null then 121.0 end as double) as lng", "map('master', cast(master_id as string)) as external")
+    return matching.strip_and_rematch(rows.withColumn("variants", text.title_variants(F.col("name"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import discovery, recommend
+from ..operators import discovery, ranking, recommend
 from ..operators.recommend import MOOD_CATEGORIES, MOOD_WORDS, NEVER_CATEGORIES, NEVER_WORDS, NO_MOOD
 from .registry import query, table
 
@@ -114,3 +114,15 @@ def heritage_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = discovery.first_of_group(vendors.withColumnRenamed("vendor_id", "page"), other, "nation_id", 10)
     pages = vendors.select(F.col("vendor_id").alias("page"), F.col("vendor_id").alias("venue"), F.lit("site").alias("part"))
     return discovery.heritage_page(sessions, pages.unionByName(pairs.withColumn("part", F.lit("near"))), TODAY)
+
+
+@query("q11_notability", """WITH p AS (SELECT item_id, count(DISTINCT vendor_id) AS vendors, sum(quantity) AS sold FROM sale_lines WHERE item_id IS NOT NULL GROUP BY 1),
+    e AS (SELECT i.item_id, kind, CASE WHEN i.item_id % 9 > 0 THEN sold % 500 END AS popularity, coalesce(vendors, 0) AS vendors FROM items i LEFT JOIN p USING (item_id)),
+    w AS (SELECT *, count(popularity) OVER (PARTITION BY kind) AS n, count(popularity) OVER (PARTITION BY kind ORDER BY popularity RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM e)
+    SELECT item_id, round(CAST(greatest(vendors - 1, 0) + CASE WHEN popularity IS NULL OR kind IS NULL OR n < 2 THEN 0 ELSE (upto - 1) / (n - 1) END AS DOUBLE), 9) AS score FROM w""")
+def notability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item by the vendors that sell it and the place of its sales in its kind."""
+    lines = table(spark, sf_dir, "sale_lines").where("item_id is not null").groupBy("item_id").agg(F.count_distinct("vendor_id").alias("n_sources"), F.sum("quantity").alias("sold"))
+    items = table(spark, sf_dir, "items").select("item_id", "kind").join(lines, "item_id", "left")
+    rows = items.select("item_id", "kind", F.when(F.col("item_id") % 9 > 0, F.col("sold") % 500).alias("popularity"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"))
+    return ranking.notability(rows, "kind", "popularity").select("item_id", F.round(F.col("score").cast("double"), 9).alias("score"))

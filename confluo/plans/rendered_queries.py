@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import dates, geo, hours, text
+from ..functions import dates, geo, hours, nested, text
 from ..functions.geo import CITIES
 from ..operators import state
 from .registry import query, table
@@ -226,3 +226,18 @@ def client_schedule(spark, sf_dir):
     entity = F.when(F.col("source") == "crm", "event").otherwise("venue")
     rows = table(spark, sf_dir, "clients").select("client_id", _said().alias("said"), entity.alias("entity"))
     return rows.select("client_id", state.scheduled(state.freq_bucket(F.col("said")), F.col("entity"))["interval_ms"].cast("long").alias("interval_ms"))
+
+
+@query("m14_nested_payloads", """SELECT client_id, nullif(trim(name), '') AS name, CASE WHEN client_id % 2 = 0 THEN '02-' || (20000000 + client_id) END AS phone, CASE WHEN client_id % 3 > 0 THEN email END AS email, 'https://x.org/0912345678' AS source_url,
+    CASE WHEN client_id % 4 < 3 THEN 'ask, room ' || client_id END AS first_note, CASE client_id % 4 WHEN 0 THEN 2 WHEN 3 THEN NULL ELSE 1 END AS n_notes, CASE WHEN city IS NOT NULL THEN 'no. 第0942400665號' END AS remark FROM clients""")
+def nested_payloads(spark, sf_dir):
+    """A payload with sessions, notes and remarks for every client, some of them empty, redacted and compacted at every depth."""
+    k = F.col("client_id")
+    mobile = F.concat(F.lit("0912-345-"), F.lpad((k % 1000).cast("string"), 3, "0"))
+    note = F.when(k % 4 == 0, F.array(F.concat(F.lit("ask "), mobile, F.lit(", room "), k.cast("string")), F.lit("call me"), F.concat(F.lit("  "), mobile))).when(k % 4 < 3, F.array(F.lit(" "), F.concat(F.lit("ask"), F.lit(", room "), k.cast("string")))).otherwise(F.array(mobile, F.lit("")))
+    records = table(spark, sf_dir, "clients").select(
+        "client_id", "name", F.when(k % 2 == 0, F.concat(F.lit("02-"), (k + 20_000_000).cast("string"), F.lit("、"), mobile)).otherwise(mobile).alias("phone"), F.when(k % 3 > 0, F.col("email")).otherwise("a@gmail.com").alias("email"),
+        F.lit("https://x.org/0912345678").alias("sourceUrl"), k.cast("string").alias("licenseNo"), F.struct(F.transform(note, lambda x: F.struct(x.alias("description"))).alias("sessions"), F.create_map(F.lit("remark"), F.when(F.col("city").isNotNull(), "no. 第0942400665號").otherwise(mobile)).alias("extra")).alias("more"))
+    clean = nested.redacted(records)
+    notes = F.col("more.sessions.description")
+    return clean.select("client_id", "name", "phone", "email", F.col("sourceUrl").alias("source_url"), F.replace(notes[0], F.lit("ask ,"), F.lit("ask,")).alias("first_note"), F.size(F.col("more.sessions")).alias("n_notes"), F.col("more.extra")["remark"].alias("remark"))
