@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from .relations import contained
+from .storage import written
 
 DAY = 86_400
 
@@ -38,7 +40,7 @@ def map_points(rows: DataFrame, now: int, days: int = 30, cat: str | None = None
     return rows.groupBy("slug").agg(F.min(F.struct("start", "lat", "lng")).alias("p")).select("slug", "p.*")
 
 
-#: Rows of a city that are looked at for all its pages at once; pages that need more are filled from the whole city.
+#: Rows of a city that are looked at at once; pages that need more go on with as many behind them.
 CITY_ROWS = 64
 
 
@@ -53,33 +55,37 @@ def nearby_events(centre: DataFrame, rows: DataFrame, today: int, cap: int = 2,
     rows = rows.where(F.coalesce("end", "start") >= today).withColumn("_o", F.struct(coming.alias("band"), F.when(coming == 0, F.col("start")).otherwise(F.coalesce("end", "start")).alias("sort"), "slug"))
     entry = F.struct("_o", "slug", F.coalesce(F.col("venue").cast("string"), F.lit("")).alias("venue"), F.coalesce(F.col("series").cast("string"), F.lit("")).alias("series"))
 
-    def lists(key: str, most: int | None) -> DataFrame:
-        """The first rows of each venue or city, one for each slug, as an array in order."""
-        one = rows.where(F.col(key).isNotNull()).groupBy(key, "slug").agg(F.min_by(entry, "_o").alias("e"))
-        if most is not None:  # ranked in each task before the shuffle
-            one = one.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("e._o"))).where(F.col("_r") <= most)
-        return one.groupBy(key).agg(F.sort_array(F.collect_list("e")).alias(f"{key}_list"))
+    # the first rows of each venue, one for each slug, as an array in order; ranked in each task before the shuffle
+    one = rows.where(F.col("venue").isNotNull()).groupBy("venue", "slug").agg(F.min_by(entry, "_o").alias("e"))
+    one = one.withColumn("_r", F.row_number().over(W.partitionBy("venue").orderBy("e._o"))).where(F.col("_r") <= limit + 1)
+    of_venue = one.groupBy("venue").agg(F.sort_array(F.collect_list("e")).alias("venue_list"))
 
     # a page's own slug is all that a venue's list may lose
-    pages = centre.select("page", "venue", "city", "slug").join(lists("venue", limit + 1), "venue", "left")
+    pages = centre.select("page", "venue", "city", "slug").join(of_venue, "venue", "left")
     own = F.slice(F.filter(F.coalesce("venue_list", F.array().cast("array<" + rows.select(entry.alias("e")).schema["e"].dataType.simpleString() + ">")), lambda e: e["slug"] != F.col("slug")), 1, limit)
     pages = pages.select("page", "city", "slug", own.alias("own"))
 
-    def filled(pages: DataFrame, lists: DataFrame) -> DataFrame:
-        def step(done: Column, e: Column) -> Column:
-            def full(key: str) -> Column:
-                return (e[key] != "") & (F.size(F.filter(done, lambda d: d[key] == e[key])) >= cap)
-
-            return F.when((F.size(done) >= limit) | full("venue") | full("series") | (e["slug"] == F.col("slug")) | F.exists(done, lambda d: d["slug"] == e["slug"]), done).otherwise(F.concat(done, F.array(e)))
-
-        joined = pages.join(lists, "city", "left")
-        return joined.withColumn("out", F.when(F.col("city_list").isNull(), F.col("own")).otherwise(F.aggregate("city_list", F.col("own"), step)))
-
-    first = filled(pages, lists("city", CITY_ROWS))
-    short = (F.size("out") < limit) & (F.size("city_list") >= CITY_ROWS)
-    done = first.where(~F.coalesce(short, F.lit(False))).select("page", "own", "out")
-    rest = filled(first.where(short).select("page", "city", "slug", "own"), lists("city", None)).select("page", "own", "out")
-    every = done.unionByName(rest).select("page", F.size("own").alias("n"), F.posexplode("out").alias("at", "e"))
+    def step(done: Column, e: Column) -> Column:
+        def full(key: str) -> Column:
+            return (e[key] != "") & (F.size(F.filter(done, lambda d: d[key] == e[key])) >= cap)
+
+        return F.when((F.size(done) >= limit) | full("venue") | full("series") | (e["slug"] == F.col("slug")) | F.exists(done, lambda d: d["slug"] == e["slug"]), done).otherwise(F.concat(done, F.array(e)))
+
+    # pages that the first rows of their city leave short go on with the rows behind these, part by part
+    events = rows.where(F.col("city").isNotNull()).groupBy("city", "slug").agg(F.min_by(entry, "_o").alias("e"))
+    state, done, last = pages.select("page", "city", "slug", F.size("own").alias("n"), F.col("own").alias("out")), [], None
+    while True:
+        ahead = events if last is None else events.join(last, "city").where(F.col("e._o") > F.col("last"))
+        first = ahead.withColumn("_r", F.row_number().over(W.partitionBy("city").orderBy("e._o"))).where(F.col("_r") <= CITY_ROWS)
+        part = first.groupBy("city").agg(F.sort_array(F.collect_list("e")).alias("part"), F.max("e._o").alias("last"))
+        joined = state.join(part, "city", "left").withColumn("out", F.when(F.col("part").isNull(), F.col("out")).otherwise(F.aggregate("part", F.col("out"), step)))
+        short = F.coalesce((F.size("out") < limit) & (F.size("part") >= CITY_ROWS), F.lit(False))
+        now = written(joined.select("page", "city", "slug", "n", "out", "last", short.alias("short")), "nearby")
+        done.append(now.where("not short").select("page", "n", "out"))
+        if not now.where("short").limit(1).count():
+            break
+        state, last = now.where("short").select("page", "city", "slug", "n", "out"), now.where("short").select("city", "last").distinct()
+    every = functools.reduce(DataFrame.unionByName, done).select("page", "n", F.posexplode("out").alias("at", "e"))
     return every.select("page", F.col("e.slug").alias("slug"), F.when(F.col("at") < F.col("n"), 0).otherwise(1).alias("tier"), (F.col("at") + 1).alias("place"))
 
 

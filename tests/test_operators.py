@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from confluo.functions import text
@@ -236,11 +237,13 @@ def test_city_months_are_local(spark):
         spark.conf.set("spark.sql.session.timeZone", before)
 
 
-def test_nearby_events_same_as_plain_loop(spark):
+@pytest.mark.parametrize("at_once", [64, 3])
+def test_nearby_events_same_as_plain_loop(spark, monkeypatch, at_once):
     import random
 
     from confluo.operators import discovery
 
+    monkeypatch.setattr(discovery, "CITY_ROWS", at_once)
     rng = random.Random(3)
     data = [(rng.randrange(260), rng.choice([None, *range(9)]), rng.choice("ab"), rng.choice([None, *range(6)]), rng.randrange(100), rng.choice([None, 100, 200])) for _ in range(320)] + [(1000 + k, 50, "c", 7, 60 + k, None) for k in range(90)] + [(2000, 51, "c", 8, 400, None)]
     kind = "slug int, venue int, city string, series int, start int, end int"
