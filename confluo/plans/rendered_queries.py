@@ -241,3 +241,25 @@ def nested_payloads(spark, sf_dir):
     clean = nested.redacted(records)
     notes = F.col("more.sessions.description")
     return clean.select("client_id", "name", "phone", "email", F.col("sourceUrl").alias("source_url"), F.replace(notes[0], F.lit("ask ,"), F.lit("ask,")).alias("first_note"), F.size(F.col("more.sessions")).alias("n_notes"), F.col("more.extra")["remark"].alias("remark"))
+
+
+POINTS_OF_CLIENTS = f"""SELECT client_id, ['A', 'D', 'N', 'H'][CAST(client_id % 4 AS INTEGER) + 1] AS t, {_listed(CITIES)}[CAST(client_id % 22 AS INTEGER) + 1] AS c, nullif(trim(name), '') AS name, client_id % 3 AS form FROM clients"""
+
+
+@query("s11_map_points", f"""WITH p AS ({POINTS_OF_CLIENTS}) SELECT 'moc-emap-poi:' || t || '-' || client_id AS id, CASE t WHEN 'A' THEN 'heritage' WHEN 'D' THEN 'organization' ELSE 'venue' END AS entity_kind, name,
+    CASE WHEN client_id % 5 = 0 THEN '自訂' ELSE ['文化資產', '社區', '工藝工作室', '博物館'][CAST(client_id % 4 AS INTEGER) + 1] END AS category_raw, c AS city, CASE form WHEN 2 THEN 'city' ELSE 'street' END AS address_precision,
+    CASE WHEN form < 2 THEN 23.5 END AS lat, CASE WHEN form < 2 THEN 120.5 END AS lng FROM p""")
+def map_points(spark, sf_dir):
+    """A point of the culture map for every client: addresses with and without their city, coordinates in either order or far away."""
+    from ..sources import mappings
+
+    k = F.col("client_id")
+    city = F.get(F.array(*map(F.lit, CITIES)), (k % 22).cast("int"))
+    form = (k % 3).cast("int")
+    road = F.concat(F.lit("民生路"), k.cast("string"), F.lit("號"))
+    bronze = table(spark, sf_dir, "clients").select(
+        F.get(F.array(*map(F.lit, "ADNH")), (k % 4).cast("int")).alias("_typeId"), k.cast("string").alias("mainTypePk"), "name", F.lit(" ").alias("intro"), F.lit("").alias("representImage"), F.when(k % 5 == 0, "自訂").otherwise("").alias("groupTypeName"),
+        F.when(form == 1, "").otherwise(city).alias("cityName"), F.get(F.array(road, F.concat(city, road), F.lit("")), form).alias("address"), F.get(F.array(F.lit("23.5"), F.lit("120.5"), F.lit("35.9")), form).alias("latitude"), F.get(F.array(F.lit("120.5"), F.lit("23.5"), F.lit("0")), form).alias("longitude"),
+        *[F.lit(None).cast("string").alias(c) for c in ("openTime", "phone", "email", "website", "srcWebsite")], F.lit(None).cast("double").alias("hitRate"))
+    found = mappings.observations("moc-emap-poi", bronze, F.lit("2024-06-01").cast("date"))
+    return found.select("id", "entity_kind", "name", "category_raw", "city", "address_precision", "lat", "lng")
