@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import tune
+from .common import tidied, tune
 
 #: Words up to so many characters go through the caches.
 CACHED_CHARS = 64
@@ -543,7 +543,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             )
         codec.vocab.forget()
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, ROUND_TRIP)
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(tidied(run), ROUND_TRIP)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -561,4 +561,4 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "ids"])
         codec.vocab.forget()
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(tidied(run), "doc_id long, ids array<int>")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import StructType
 
-from .common import LOWER, WHITESPACE, held_out, text_slices, tune, written
+from .common import held_out, LOWER, text_slices, tidied, tune, WHITESPACE, written
 
 #: Documents of each language that the network is trained on, and pieces of so many bytes, spread over each of them.
 TRAIN_ROWS = 400
@@ -231,7 +231,7 @@ def train(docs: DataFrame) -> Network:
                     piece.append(raw[at : at + TRAIN_BYTES])
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(piece, pa.binary())], names=["lang", "piece"])
 
-    rows = sorted((lang, bytes(piece)) for lang, piece in chosen.mapInArrow(run, "lang string, piece binary").collect())
+    rows = sorted((lang, bytes(piece)) for lang, piece in chosen.mapInArrow(tidied(run), "lang string, piece binary").collect())
     languages = sorted({lang for lang, _ in rows})
     network = Network(languages)
     if len(languages) < 2:
@@ -293,7 +293,7 @@ def with_prediction(docs: DataFrame, network: Network, column: str = "text", nam
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(found_names, pa.string()), pa.array(np.clip(score, 0, 1))], names=[*batch.schema.names, *names])
 
     schema = StructType(list(docs.schema)).add(names[0], "string").add(names[1], "double")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def language_id(docs: DataFrame) -> DataFrame:

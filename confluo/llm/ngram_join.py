@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, mix, one_per_id, partitions, repeats_ids, text_slices, tune, word_spans, written
+from .common import LOWER, mix, one_per_id, partitions, repeats_ids, Rolling, text_slices, tidied, tune, word_spans, written
 from .graph import components
 
 _U = np.uint64
@@ -169,7 +169,7 @@ def sizes(docs: DataFrame, k: int) -> DataFrame:
                 small = pa.array([g.tobytes() if len(g) <= MOST_LIGHT else None for g in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), n, whole, small], names=["doc_id", "n", "whole", "grams"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, whole binary, grams binary")
+    return _texts(docs).mapInArrow(tidied(run), "doc_id long, n long, whole binary, grams binary")
 
 
 def cheapest_boundary(sized: DataFrame, percent: int) -> int:
@@ -187,7 +187,7 @@ def cheapest_boundary(sized: DataFrame, percent: int) -> int:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, _U), *keys]).view(np.int64)), pa.array(n)], names=["key", "n"])
 
     small = sized.where("n > 0 and grams is not null")
-    rows = small.select("n", "grams").mapInArrow(run, "key long, n long").groupBy("key", "n").agg(F.count("*").alias("own"))
+    rows = small.select("n", "grams").mapInArrow(tidied(run), "key long, n long").groupBy("key", "n").agg(F.count("*").alias("own"))
     lists = rows.groupBy("key").agg(F.sum("own").alias("size"))
     scans = dict(rows.join(lists, "key").groupBy("n").agg(F.sum(F.col("own") * F.col("size"))).collect())
     counts = dict(small.groupBy("n").count().collect())
@@ -210,7 +210,7 @@ def keyed(docs: DataFrame, k: int, plan: Plan) -> DataFrame:
                 n = np.repeat(np.array([len(g) for g in sets], np.int32), many)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), ids.take(at), pa.array(n)], names=["key", "doc_id", "n"])
 
-    return _texts(docs).mapInArrow(run, "key long, doc_id long, n int")
+    return _texts(docs).mapInArrow(tidied(run), "key long, doc_id long, n int")
 
 
 def lists(rows: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def lists(rows: DataFrame) -> DataFrame:
 
     n = partitions(rows.sparkSession)
     dealt = rows.repartition(n, "key").sortWithinPartitions("key", "doc_id")
-    return dealt.mapInArrow(run, "key long, doc_id long, n int")
+    return dealt.mapInArrow(tidied(run), "key long, doc_id long, n int")
 
 
 def sketch_words(differ: int) -> int:
@@ -270,7 +270,7 @@ def sketches(sets: DataFrame, plan: Plan) -> DataFrame:
             odd = [odd_sketch(g, sketch_words(plan.may_differ(len(g)))) for g in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "odd"])
 
-    return sets.select("doc_id", "grams").mapInArrow(run, "doc_id long, odd array<long>")
+    return sets.select("doc_id", "grams").mapInArrow(tidied(run), "doc_id long, odd array<long>")
 
 
 def differing_sql(a: str, b: str) -> str:
@@ -295,7 +295,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 found = pa.array([g.tobytes() for g in gram_sets(data, offsets, k)], pa.binary())
                 yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), found], names=["doc_id", "grams"])
 
-    return _texts(docs).join(_small(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, grams binary")
+    return _texts(docs).join(_small(ids), "doc_id", "left_semi").mapInArrow(tidied(run), "doc_id long, grams binary")
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -317,7 +317,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.selectExpr("doc_id as src", "grams as a")
     right = sets.selectExpr("doc_id as dst", "grams as b")
-    return pairs.join(left, "src").join(right, "dst").select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
+    return pairs.join(left, "src").join(right, "dst").select("src", "dst", "a", "b").mapInArrow(tidied(run), "src long, dst long")
 
 
 def linked(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import Rolling, mix, one_per_id, partitions, text_slices, tune, written
+from .common import mix, one_per_id, partitions, Rolling, text_slices, tidied, tune, written
 
 LENGTH = 100
 GRAM = 24
@@ -165,7 +165,7 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
                 cols = [pa.array(key.view(np.int64)), pa.array(around.view(np.int64)), ids, pa.array(first), pa.array(count.astype(np.int32)), pa.array(back.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, names=["key", "around", "doc_id", "start", "n", "back"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, ROWS)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), ROWS)
 
 
 class _Groups:
@@ -216,7 +216,7 @@ def settled(rows: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), b.column(4), b.column(5), b.column(0), pa.array([again] * b.num_rows)], names=["doc_id", "start", "n", "back", "key", "again"])
 
     dealt = rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "around", "doc_id", "start")
-    return dealt.mapInArrow(run, SETTLED)
+    return dealt.mapInArrow(tidied(run), SETTLED)
 
 
 PIECES = "key long, doc_id long, start long, n int, bytes binary"
@@ -259,7 +259,7 @@ def surroundings(docs: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
     hot = written(hot, "hot")
     flagged = firsts.join(F.broadcast(hot) if hot.count() <= HOT_KEYS else hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     own = flagged.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n", "hot")).alias("anchors"))
-    return docs.select("doc_id", "text").join(own, "doc_id").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").join(own, "doc_id").mapInArrow(tidied(run), PIECES)
 
 
 def sort_batch(doc_ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -330,7 +330,7 @@ def suffix_sorted(rows: DataFrame, length: int, level: int) -> DataFrame:
                 group, size = [], 0
 
     dealt = rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, SORTED)
+    return dealt.mapInArrow(tidied(run), SORTED)
 
 
 def duplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -411,7 +411,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, prefix: str = "") ->
     schema = StructType(list(rows.drop("_strings").schema))
     for name, kind in zip(added, ("binary", "string", "long", "long", SPANS)):
         schema = schema.add(name, kind)
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
