@@ -40,10 +40,8 @@ LADDER = "CASE WHEN a.p_brand = b.p_brand AND abs(a.price - b.price) <= 20 THEN
 def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of parts of one type and size with a confidence."""
     part = table(spark, sf_dir, "part").withColumn("keys", F.array(F.concat_ws("/", "p_type", F.col("p_size").cast("string"))))
-    a = part.selectExpr("p_partkey as a", "p_brand as b1", "p_retailprice as r1")
-    b = part.selectExpr("p_partkey as b", "p_brand as b2", "p_retailprice as r2")
-    pairs = matching.blocked_pairs(part, "p_partkey", "keys").join(a, "a").join(b, "b")
-    near, brand = F.abs(F.col("r1") - F.col("r2")) <= 20, F.col("b1") == F.col("b2")
+    pairs = matching.blocked_pairs(part, "p_partkey", "keys", "p_brand", "p_retailprice")
+    near, brand = F.abs(F.col("a_p_retailprice") - F.col("b_p_retailprice")) <= 20, F.col("a_p_brand") == F.col("b_p_brand")
     return pairs.select("a", "b", F.when(brand & near, 0.9).when(brand, 0.6).when(near, 0.5).otherwise(0.3).alias("confidence"))
 
 
