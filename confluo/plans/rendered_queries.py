@@ -248,7 +248,7 @@ POINTS_OF_CLIENTS = f"""SELECT client_id, ['A', 'D', 'N', 'H'][CAST(client_id %
 
 @query("s11_map_points", f"""WITH p AS ({POINTS_OF_CLIENTS}) SELECT 'moc-emap-poi:' || t || '-' || client_id AS id, CASE t WHEN 'A' THEN 'heritage' WHEN 'D' THEN 'organization' ELSE 'venue' END AS entity_kind, name,
     CASE WHEN client_id % 5 = 0 THEN '自訂' ELSE ['文化資產', '社區', '工藝工作室', '博物館'][CAST(client_id % 4 AS INTEGER) + 1] END AS category_raw, c AS city, CASE form WHEN 2 THEN 'city' ELSE 'street' END AS address_precision,
-    CASE WHEN form < 2 THEN 23.5 END AS lat, CASE WHEN form < 2 THEN 120.5 END AS lng FROM p""")
+    CAST(CASE WHEN form < 2 THEN 23.5 END AS DOUBLE) AS lat, CAST(CASE WHEN form < 2 THEN 120.5 END AS DOUBLE) AS lng FROM p""")
 def map_points(spark, sf_dir):
     """A point of the culture map for every client: addresses with and without their city, coordinates in either order or far away."""
     from ..sources import mappings
