@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,6 +33,73 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+# Sparse links: all pairs of a rule over one number hold the same components as a few links for each row. Rows are (id, value,
+# keys); pairs are of one key, and rows without a key are in none. A value that is missing or not finite is near nothing and far
+# from all. Rows of one id are one node.
+
+
+def _finite(rows: DataFrame, value: str) -> DataFrame:
+    number = F.col(value).cast("double")
+    return rows.withColumn("_v", F.when(F.abs(number) < float("inf"), number))
+
+
+def _stars(rows: DataFrame, keys: list[str], order: WindowSpec, linked: Column) -> DataFrame:
+    """(a, b): the least id of each stretch of rows that are linked to the row before, with the others of the stretch."""
+    stretch = F.sum(F.when(linked, 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    first = F.min("id").over(W.partitionBy(*keys, "_stretch"))
+    return rows.withColumn("_stretch", stretch).select(first.alias("a"), F.col("id").alias("b")).where("a <> b")
+
+
+def near_links(rows: DataFrame, keys: list[str], value: str, within: float) -> DataFrame:
+    """(a, b) that connect what all pairs of one key with values at most ``within`` apart connect.
+
+    Rows no further than that behind the one before them make a stretch; its least id is linked to all others.
+    """
+    order = W.partitionBy(*keys).orderBy("_v", "id")
+    known = _finite(rows, value).where("_v is not null").dropna(subset=keys).withColumn("_gap", F.col("_v") - F.lag("_v").over(order))
+    return _stars(known, keys, order, F.col("_gap") <= within)
+
+
+def far_links(rows: DataFrame, keys: list[str], value: str, beyond: float) -> DataFrame:
+    """(a, b) that connect what all pairs of one key with values more than ``beyond`` apart connect.
+
+    What is far from any row of its key is far from the least or the largest value; a row without a value is far from all.
+    """
+    rows = _finite(rows, value).dropna(subset=keys)
+    ends = rows.groupBy(*keys).agg(
+        F.min(F.when(F.col("_v").isNotNull(), F.struct("_v", "id"))).alias("first"),
+        F.max(F.when(F.col("_v").isNotNull(), F.struct("_v", "id"))).alias("last"),
+        F.min(F.when(F.col("_v").isNull(), F.col("id"))).alias("none"),
+    )
+    met = rows.join(ends, keys)
+    hubs = F.array_compact(
+        F.array(
+            F.when(F.col("_v") - F.col("first._v") > beyond, F.col("first.id")),
+            F.when(F.col("last._v") - F.col("_v") > beyond, F.col("last.id")),
+            F.col("none"),
+            F.when(F.col("_v").isNull(), F.col("first.id")),
+        )
+    )
+    return met.select(F.explode(hubs).alias("a"), F.col("id").alias("b")).where("a <> b")
+
+
+def unlike_near_links(rows: DataFrame, keys: list[str], value: str, within: float, kind: str) -> DataFrame:
+    """(a, b) that connect what all pairs of one key, of values at most ``within`` apart and of two kinds connect.
+
+    What lies between the rows of such a pair is unlike one of them and near both, so components are stretches in the order of
+    values. A pair crosses the step to the next row if that row is near the last one before it of another kind, or the row
+    before it is near the first one behind of another kind. A missing kind is unlike all others.
+    """
+    kinds = F.coalesce(F.concat(F.lit("="), F.col(kind).cast("string")), F.concat(F.lit("?"), F.col("id").cast("string")))
+    known = _finite(rows, value).where("_v is not null").dropna(subset=keys).withColumn("_k", kinds)
+    order = W.partitionBy(*keys).orderBy("_v", "id", "_k")
+    for name, way in (("_back", order), ("_ahead", W.partitionBy(*keys).orderBy(F.desc("_v"), F.desc("id"), F.desc("_k")))):
+        known = known.withColumn(name, F.when(F.lag("_k").over(way) != F.col("_k"), F.lag("_v").over(way)))
+        known = known.withColumn(name, F.last(name, ignorenulls=True).over(way.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    known = known.withColumn("_gap", F.least(F.col("_v") - F.col("_back"), F.lag("_ahead").over(order) - F.lag("_v").over(order)))
+    return _stars(known, keys, order, F.col("_gap") <= within)
+
+
 def eject_blocked(components: DataFrame, blocked: DataFrame) -> DataFrame:
     """Take the larger id of each blocked pair (a, b) out of a shared component, as a component of its own.
 
@@ -87,7 +154,10 @@ def assign_slugs(rows: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def review_queue(pairs: DataFrame, low: float = 0.5, high: float = 0.8, most: int = 12) -> DataFrame:
-    """One decision for each component of the pairs (a, b, confidence) in [low, high): members, size and best confidence."""
+    """One decision for each component of the pairs (a, b, confidence) in [low, high): members, size and best confidence.
+
+    Links that connect the same rows, with the best confidence of a component among them, can stand for all of its pairs.
+    """
     open_pairs = pairs.where((F.col("confidence") >= low) & (F.col("confidence") < high))
     nodes = open_pairs.selectExpr("a as id").union(open_pairs.selectExpr("b as id")).distinct()
     labels = connected_components(nodes, open_pairs.select("a", "b"))
