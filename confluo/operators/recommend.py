@@ -81,17 +81,18 @@ def availability(items: DataFrame, sessions: DataFrame, when: list[Span]) -> Dat
 
     A session (slug, position, start, end, date_only) of a stated time is ``timed`` where it starts within the span, at its first
     start; one of a date only or of more than LONG_HOURS is ``open`` where it meets the span, until the end of the first by
-    position, but not at night. Timed goes before open. Heritage is a ``place`` by day, whatever its sessions. A missing end is
+    position, start and end (those without a position last), but not at night. Timed goes before open. Heritage is a ``place`` by day, whatever its sessions. A missing end is
     none; a session without a start counts for nothing.
     """
     end = F.when(F.col("end") != 0, F.col("end"))
     long = F.coalesce("date_only", F.lit(False)) | F.coalesce(end - F.col("start") > LONG_HOURS * HOUR, F.lit(False))
     until = F.coalesce(end, F.col("start") + DAY)
+    first = F.struct(F.col("position").isNull(), "position", "start", until)
     found = []
     for s in when:
         timed = ~long & (F.col("start") >= s.start) & (F.col("start") < s.end)
         open_ = long & (F.col("start") < s.end) & (until > s.start) & F.lit(not s.night)
-        found += [F.min(F.when(timed, F.col("start"))).alias(f"{s.name}_timed"), F.min_by(until, F.when(open_, F.struct("position", "start"))).alias(f"{s.name}_open")]
+        found += [F.min(F.when(timed, F.col("start"))).alias(f"{s.name}_timed"), F.min_by(until, F.when(open_, first)).alias(f"{s.name}_open")]
     per = sessions.where("start is not null").groupBy("slug").agg(*found)
     rows = items.select("slug", F.coalesce("heritage", F.lit(False)).alias("heritage")).join(per, "slug", "left")
     offers = []

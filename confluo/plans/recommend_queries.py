@@ -36,7 +36,7 @@ POOL = f"""i AS (SELECT item_id AS slug, item_id % 10 = 0 AS heritage, coalesce(
     m AS (SELECT *, CASE WHEN heritage THEN ['escape', 'solo'] WHEN {_in('cat', NEVER_CATEGORIES)} OR {_words('title', NEVER_WORDS)} THEN [] ELSE list_filter([{MOODS}], lambda x: x IS NOT NULL) END AS found, {_in('cat', NEVER_CATEGORIES)} OR {_words('title', NEVER_WORDS)} AS never FROM i),
     fit AS (SELECT *, unnest(list_append(CASE WHEN len(found) > 0 THEN found ELSE ['{NO_MOOD}'] END, 'now')) AS mood FROM m WHERE heritage OR NOT never),
     spans AS (SELECT * FROM (VALUES {", ".join(f"('{s.name}', {s.start}, {s.end}, {str(s.night).lower()})" for s in recommend.spans(NOW))}) AS t(span, lo, hi, night)),
-    offers AS (SELECT slug, span, min(CASE WHEN NOT long AND start >= lo AND start < hi THEN start END) AS timed, arg_min(until, {{'p': position, 's': start}}) FILTER (long AND start < hi AND until > lo AND NOT night) AS opens FROM l, spans GROUP BY 1, 2),
+    offers AS (SELECT slug, span, min(CASE WHEN NOT long AND start >= lo AND start < hi THEN start END) AS timed, arg_min(until, {{'n': position IS NULL, 'p': position, 's': start, 'u': until}}) FILTER (long AND start < hi AND until > lo AND NOT night) AS opens FROM l, spans GROUP BY 1, 2),
     matched AS (SELECT span, mood, f.slug, CASE WHEN f.heritage THEN 'place' WHEN timed IS NOT NULL THEN 'timed' ELSE 'open' END AS kind, CASE WHEN NOT f.heritage THEN coalesce(timed, opens) END AS moment, score, f.heritage, lat, lng
         FROM fit f JOIN offers o ON o.slug = f.slug WHERE NOT f.heritage AND coalesce(timed, opens) IS NOT NULL UNION ALL SELECT span, mood, slug, 'place', NULL, score, true, lat, lng FROM fit, spans WHERE heritage AND NOT night)"""
 

@@ -179,3 +179,13 @@ def test_empty_tables(spark):
     assert recommend.recommended(matched).count() == 0
     none = spark.createDataFrame([], "page int, venue string, part string")
     assert discovery.heritage_page(sessions.withColumn("venue", F.lit("v")), none, 0).count() == 0
+
+
+def test_sessions_without_a_position_stand_last(spark):
+    now = 1_709_690_400
+    span = recommend.Span("soon", now, now + 10_800)
+    items = spark.createDataFrame([(1, False), (2, False)], "slug long, heritage boolean")
+    rows = [(1, None, now - 5000, now + 900_000), (1, 3, now - 4000, now + 500_000), (2, 4, now - 5000, now + 700_000), (2, 4, now - 5000, now + 600_000)]
+    sessions = spark.createDataFrame([(*r, False) for r in rows], "slug long, position long, start long, end long, date_only boolean")
+    found = {r.slug: r.at for r in recommend.availability(items, sessions, [span]).collect()}
+    assert found == {1: now + 500_000, 2: now + 600_000}
