@@ -60,3 +60,17 @@ def test_weighed_pairs_count_all_pairs(spark):
     assert quality.true_pairs == len(list(pairs_of(plain, lambda like, near: like)))
     assert quality.found == quality.correct == len(list(pairs_of(plain, lambda like, near: like and near)))
     assert pairs.count() < quality.true_pairs / 2
+
+
+def test_blocked_pairs_arise_once_without_a_shuffle_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(matching, "CELL_ROWS", 3)
+    draw = random.Random(5)
+    rows = [(i, draw.sample("pqrst", draw.randrange(4)) + ([None] if i % 5 == 0 else []), i % 3) for i in range(60)]
+    table = spark.createDataFrame([*rows, rows[7], (8, ["q", "q"], 8 % 3)], "id long, keys array<string>, c int")
+    keys = {i: set(k) - {None} for i, k, _ in rows}
+    keys[8] |= {"q"}
+    pairs = matching.blocked_pairs(table, "id", "keys", "c")
+    want = sorted((a, b, a % 3, b % 3) for a, b in itertools.combinations(range(60), 2) if keys[a] & keys[b])
+    assert sorted(tuple(r) for r in pairs.collect()) == want
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.splitlines()[0].startswith("Project") and "Join" in plan.splitlines()[1]
