@@ -16,21 +16,32 @@ SMALL_ROWS = 200_000
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that undirected edges (a, b) reach, for every node (id).
 
-    Labels move to the smallest label next to them and then jump to the label of their label, so that the number of
-    rounds grows with the logarithm of the diameter. Each round is written; none collects neighbours.
+    Each round moves every node onto the one of it and its neighbours that stands first in an order of the round's own, and
+    its links with it, so that only what stood first somewhere is left. The order is a hash, so in the mean at least half of the
+    nodes with links go, whatever the shape of the graph: the number of rounds grows with the logarithm of the nodes, not with the
+    length of a chain. Moves are then followed back. Each round is written; none collects neighbours.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "cc-edges")
-    now = written(nodes.select("id").distinct().withColumn("label", F.col("id")), "cc-labels")
-    for _ in range(MOST_ROUNDS):
-        seen = both.join(now.selectExpr("id as b", "label as l"), "b").groupBy("a").agg(F.min("l").alias("l"))
-        hooked = now.join(seen.withColumnRenamed("a", "id"), "id", "left").selectExpr("id", "label as old", "least(label, coalesce(l, label)) as label")
-        jump = hooked.selectExpr("id as label", "label as to")
-        new = written(hooked.join(jump, "label", "left").selectExpr("id", "old", "least(label, coalesce(to, label)) as label"), "cc-labels")
-        changed = new.where("old <> label").limit(1).count()
-        now = new.select("id", "label")
-        if not changed:
-            return now.withColumnRenamed("label", "component")
-    raise RuntimeError("components did not settle")
+    now = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "cc-edges")
+    moves = []
+    while now.limit(1).count():
+        if len(moves) == MOST_ROUNDS:
+            raise RuntimeError("components did not settle")
+        place = lambda c: F.struct(F.xxhash64(F.lit(len(moves)), c), c)
+        first = now.groupBy("a").agg(F.min_by("b", place("b")).alias("b"))
+        moves.append(written(first.select("a", F.when(place("a") < place("b"), F.col("a")).otherwise(F.col("b")).alias("to")), "cc-moves"))
+        ends = [moves[-1].selectExpr(f"a as {c}", f"to as to_{c}") for c in "ab"]
+        now = now.join(ends[0], "a").join(ends[1], "b").selectExpr("to_a as a", "to_b as b").where("a <> b").distinct()
+        now = written(now, "cc-edges")
+    # (a, top): the one node that each node of a round ends on, from the last round to the first
+    tops = None
+    for move in reversed(moves):
+        tops = move.selectExpr("a", "to as top") if tops is None else move.join(tops.selectExpr("a as to", "top as up"), "to", "left").selectExpr("a", "coalesce(up, to) as top")
+        tops = written(tops, "cc-tops")
+    rows = nodes.select("id").distinct()
+    if tops is None:
+        return rows.select("id", F.col("id").alias("component"))
+    least = tops.groupBy("top").agg(F.min("a").alias("component"))
+    return written(rows.join(tops.join(least, "top").selectExpr("a as id", "component"), "id", "left").selectExpr("id", "coalesce(component, id) as component"), "cc-labels")
 
 
 # Sparse links: all pairs of a rule over one number hold the same components as a few links for each row. Rows are (id, value,

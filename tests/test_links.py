@@ -74,3 +74,13 @@ def test_blocked_pairs_arise_once_without_a_shuffle_of_pairs(spark, monkeypatch)
     assert sorted(tuple(r) for r in pairs.collect()) == want
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert plan.splitlines()[0].startswith("Project") and "Join" in plan.splitlines()[1]
+
+
+def test_components_of_a_long_chain(spark):
+    """Rounds do not grow with the length of a chain, in whatever order its ids stand."""
+    ids = list(range(400))
+    random.Random(5).shuffle(ids)
+    edges = spark.createDataFrame([*zip(ids, ids[1:]), (1000, 1001), (1001, 1001)], "a long, b long")
+    nodes = spark.createDataFrame([(i,) for i in [*ids, 1000, 1001, 2000]], "id long")
+    got = {r["id"]: r["component"] for r in graph.connected_components(nodes, edges).collect()}
+    assert got == dict.fromkeys(ids, 0) | {1000: 1000, 1001: 1000, 2000: 2000}
