@@ -20,3 +20,15 @@ def test_title_dice_of_copies(spark, tmp_path):
     assert {(r["a"], r["b"]): r["dice"] for r in found} == want and len(found) == len(want)
     compared = got._jdf.queryExecution().optimizedPlan().toString().split("array_intersect", 1)[1]
     assert "Aggregate [p_brand" in compared, "names are compared once for each brand and type, not once for each pair of parts"
+
+
+def test_rules_are_made_once_for_each_pair(spark, tmp_path):
+    parts = [(i, "n%d" % (i % 3), "b%d" % (i % 2), "steel" if i % 4 else "tin", i % 3) for i in range(60)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = queries()["j02_rules"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("name+far-geo") == 1
+    pairs = {(r["a"], r["b"]) for r in got.collect()}
+    agree = {(a[0], b[0]) for a, b in itertools.combinations(parts, 2) if a[3:] == b[3:]}
+    late = {(a, b) for a, b in agree if parts[a][4] % 2 == 0 and abs(a % 10 - b % 10) > 4}  # events that do not meet in time
+    assert pairs == agree - late
