@@ -1,8 +1,9 @@
-"""Free-text search of many queries at once over a written index of bigrams.
+"""Free-text search of many queries at once over a written index of substrings.
 
 Search texts are folded: no white space, lower case, one spelling of Taiwan's first character. A query finds what contains
-its folded text as a whole, or that text with an alias replaced by the formal name. Each wanted text is looked up under its
-rarest bigram, then compared. Rows with one text are one entry of the index, which keeps only those that can be shown.
+its folded text as a whole, or that text with an alias replaced by the formal name. Each wanted text is looked up under the
+rarest of its substrings of the largest indexed size that fits it, then compared: short substrings stand in a fixed share of
+all texts, so long wanted texts are not looked up under them. Rows with one text are one entry of the index, which keeps only those that can be shown.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from .containment import contained_keys, grams
 
 FIELDS = ("title", "venue", "city", "cat")
 SHOWN, VENUES_SHOWN = 40, 6
+#: Sizes of the substrings in the index; a text of n characters has at most n of each.
+SIZES = (1, 2, 4, 8, 12)
 
 
 def order_of(now: int) -> Column:
@@ -45,20 +48,23 @@ class Index:
         counted = rows.groupBy("hay").agg(F.count("*").alias("n"))
         counted.join(kept, "hay").select(F.xxhash64("hay").alias("id"), "hay", "n", "rows").write.parquet(f"{path}/texts")
         texts = spark.read.parquet(f"{path}/texts")
-        parts = F.array_distinct(F.concat(grams(F.col("hay"), 1), grams(F.col("hay"), 2)))
-        found = texts.select(F.explode(parts).alias("gram"), "id").distinct()
+        parts = F.concat(*(grams(F.col("hay"), n) for n in SIZES))  # distinct, as those of other sizes differ
+        found = texts.select(F.explode(parts).alias("gram"), "id")
         found.sort("gram", "id").write.parquet(f"{path}/grams")  # sorted, so that a few grams read a few row groups
         spark.read.parquet(f"{path}/grams").groupBy("gram").agg(F.count("*").alias("n")).write.parquet(f"{path}/counts")
         return cls(spark, path)
 
-    def holding(self, needles: DataFrame) -> DataFrame:
-        """(needle, id, hay): texts that contain a needle. Empty needles find nothing."""
+    def candidates(self, needles: DataFrame) -> DataFrame:
+        """(needle, id): texts that hold the rarest of a needle's largest indexed substrings; all that hold the needle are among them."""
         needles = needles.where("needle <> ''").select("needle").distinct()
-        size = F.least(F.length("needle"), F.lit(2))
-        parts = needles.withColumn("gram", F.explode(F.when(size == 1, F.array("needle")).otherwise(grams(F.col("needle"), 2))))
+        own = F.coalesce(*(F.when(F.length("needle") >= n, grams(F.col("needle"), n)) for n in reversed(SIZES)))
+        parts = needles.withColumn("gram", F.explode(own))
         known = parts.join(self.counts, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count(F.when(F.col("n").isNull(), 1)).alias("lost"))
-        candidates = known.where("lost = 0").select("needle", "gram").join(self.grams, "gram").select("needle", "id").distinct()
-        return candidates.join(self.texts.select("id", "hay"), "id").where(F.contains("hay", "needle")).select("needle", "id", "hay")
+        return known.where("lost = 0").select("needle", "gram").join(self.grams, "gram").select("needle", "id").distinct()
+
+    def holding(self, needles: DataFrame) -> DataFrame:
+        """(needle, id, hay): texts that contain a needle. Empty needles find nothing."""
+        return self.candidates(needles).join(self.texts.select("id", "hay"), "id").where(F.contains("hay", "needle")).select("needle", "id", "hay")
 
 
 def alias_pairs(names: DataFrame) -> DataFrame:

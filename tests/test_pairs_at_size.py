@@ -3,6 +3,7 @@
 import itertools
 
 from __spark_entry__ import queries
+from confluo.operators import recommend, search, spatial
 
 
 def test_title_dice_of_copies(spark, tmp_path):
@@ -32,3 +33,36 @@ def test_rules_are_made_once_for_each_pair(spark, tmp_path):
     agree = {(a[0], b[0]) for a, b in itertools.combinations(parts, 2) if a[3:] == b[3:]}
     late = {(a, b) for a, b in agree if parts[a][4] % 2 == 0 and abs(a % 10 - b % 10) > 4}  # events that do not meet in time
     assert pairs == agree - late
+
+
+def test_long_queries_are_looked_up_under_long_substrings(spark, tmp_path):
+    """Texts of a few syllables share their bigrams; a query of a whole text meets that text and not all others."""
+    texts = ["".join(p) for p in itertools.permutations(["ba", "de", "fi", "go", "ku"])]
+    rows = spark.createDataFrame([(i, t, "", "", "", i, None) for i, t in enumerate(texts)], "slug long, title string, venue string, city string, cat string, start long, end long")
+    index = search.Index.build(rows, f"{tmp_path}/index", 0)
+    asked = spark.createDataFrame([(t,) for t in [*texts, "a", "ba", "ade", "adefi", "xx"]], "needle string")
+    want = {(n, t) for n in [*texts, "a", "ba", "ade", "adefi"] for t in texts if n in t}
+    assert {(r["needle"], r["hay"]) for r in index.holding(asked).collect()} == want
+    long = asked.where("length(needle) = 10")
+    assert index.candidates(long).count() <= 2 * len(texts)
+
+
+def test_seen_items_are_not_broadcast(spark, tmp_path):
+    """Arrays that a projection makes of a number are far larger than Spark's estimate of them."""
+    path = f"{tmp_path}/people"
+    spark.range(1000).selectExpr("id as person").write.parquet(path)
+    people = spark.read.parquet(path).selectExpr("person", "transform(sequence(0L, 399L), k -> k * 3 + person % 3) as seen")
+    lists = spark.range(1000).selectExpr("id as person", "inline(array(struct(id % 5 as slug, 1 as rank), struct(id % 5 + 1 as slug, 2 as rank)))")
+    got = recommend.picked(lists, people, 7)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.where("slug >= 0").count() == 1000
+
+
+def test_exploded_levels_are_not_broadcast(spark, tmp_path):
+    places = spark.range(300).selectExpr("id as r_id", "23 + id % 17 * 0.01 as lat", "121 + id % 13 * 0.01 as lng", "id % 2 as list")
+    seekers = spark.range(50).selectExpr("id as l_id", "23.05 + id * 0.001 as lat", "121.05 as lng", "id % 2 as list")
+    got = spatial.nearest_in_rings(seekers, places, 3, ["list"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert joins and all("strategy=merge" in line for line in joins)
+    assert got.count() == 150
