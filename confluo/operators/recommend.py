@@ -94,7 +94,7 @@ def availability(items: DataFrame, sessions: DataFrame, when: list[Span]) -> Dat
         open_ = long & (F.col("start") < s.end) & (until > s.start) & F.lit(not s.night)
         found += [F.min(F.when(timed, F.col("start"))).alias(f"{s.name}_timed"), F.min_by(until, F.when(open_, first)).alias(f"{s.name}_open")]
     per = sessions.where("start is not null").groupBy("slug").agg(*found)
-    rows = items.select("slug", F.coalesce("heritage", F.lit(False)).alias("heritage")).join(per, "slug", "left")
+    rows = items.select("slug", F.coalesce("heritage", F.lit(False)).alias("heritage")).join(per.hint("merge"), "slug", "left")
     offers = []
     for s in when:
         place = F.when(F.lit(not s.night), F.struct(F.lit(s.name).alias("span"), F.lit("place").alias("kind"), F.lit(None).cast("long").alias("at")))
@@ -112,7 +112,8 @@ def matches(items: DataFrame, sessions: DataFrame, when: list[Span]) -> DataFram
     items = written(items.select("slug", "moods", "score", "heritage"), "pool")  # moods are decided once
     fit = items.where(F.size("moods") > 0).withColumn("mood", F.explode(F.array_union("moods", F.array(F.lit(ANY_MOOD)))))
     fit = fit.select("slug", "mood", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"), F.coalesce("heritage", F.lit(False)).alias("heritage"))
-    return fit.join(availability(items, sessions, when), "slug")
+    # exploded rows are more than Spark's estimate of them says, so neither side is broadcast
+    return fit.join(availability(items, sessions, when).hint("merge"), "slug")
 
 
 def recommended(matched: DataFrame, limit: int = TOP) -> DataFrame:
@@ -135,11 +136,11 @@ def nearest(people: DataFrame, matched: DataFrame, places: DataFrame, limit: int
     ``limit`` have one. People without a point are left out.
     """
     known = places.where("lat is not null and lng is not null").groupBy("slug").agg(F.min(F.struct("lat", "lng")).alias("p")).select("slug", "p.*")
-    rows = matched.select("span", "mood", "slug").distinct().join(known, "slug", "left")
+    rows = matched.select("span", "mood", "slug").distinct().join(known.hint("merge"), "slug", "left")
     located = people.where("lat is not null and lng is not null")
     near = nearest_in_rings(located.withColumnRenamed("person", "l_id"), rows.where("lat is not null").withColumnRenamed("slug", "r_id"), limit, ["span", "mood"])
     near = near.select(F.col("l_id").alias("person"), F.col("r_id").alias("slug"), "rank", "metres")
-    found = located.select("person", "span", "mood").join(near.groupBy("person").agg(F.count("*").alias("n")), "person", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    found = located.select("person", "span", "mood").join(near.groupBy("person").agg(F.count("*").alias("n")).hint("merge"), "person", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rest = rows.where("lat is null").withColumn("r", F.row_number().over(W.partitionBy("span", "mood").orderBy("slug"))).where(F.col("r") <= limit)
     more = found.where(F.col("n") < limit).join(rest, ["span", "mood"]).withColumn("rank", (F.col("n") + F.col("r")).cast("int")).where(F.col("rank") <= limit)
     return near.unionByName(more.select("person", "slug", "rank", F.lit(None).cast("double").alias("metres")))
@@ -152,6 +153,6 @@ def picked(lists: DataFrame, people: DataFrame, seed: int, top: int = TOP) -> Da
     of seed, person and slug wins, so a person gets another pick with another seed, and no other person's list matters.
     """
     seen = F.coalesce(F.array_contains("seen", F.col("slug")), F.lit(False))
-    rows = lists.where(F.col("rank") <= top).join(people.select("person", "seen"), "person")
+    rows = lists.where(F.col("rank") <= top).join(people.select("person", "seen").hint("merge"), "person")  # arrays made of a number look small, and are not broadcast
     draw = F.md5(F.concat_ws("|", F.lit(seed), "person", "slug").cast("binary"))
     return rows.groupBy("person").agg(F.min_by("slug", F.struct(seen.alias("seen"), draw.alias("draw"), "slug")).alias("slug"))

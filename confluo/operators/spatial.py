@@ -101,16 +101,17 @@ def nearest_in_rings(left: DataFrame, right: DataFrame, k: int, keys: list[str])
         edge = F.lit(FINEST) * F.pow(F.lit(2.0), level)
         return F.floor(F.col(lat) / edge), F.floor(F.col(lng) / edge)
 
+    # rows exploded into levels and cells are many more than Spark's estimate of them says: no side of these joins is broadcast
     levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level")
     grid = points.select("*", levels)
     y, x = cells("lat", "lng", F.col("level"))
     full = grid.groupBy(*keys, "level", y.alias("y"), x.alias("x")).agg(F.count("*").alias("n")).where(F.col("n") >= k).drop("n")
     seekers = written(left.where("lat is not null and lng is not null").select("l_id", F.col("lat").alias("la"), F.col("lng").alias("lo"), *keys), "ring-seekers")
     own_y, own_x = cells("la", "lo", F.col("level"))
-    level = seekers.select("l_id", "la", "lo", *keys, levels).withColumn("y", own_y).withColumn("x", own_x).join(full, [*keys, "level", "y", "x"])
+    level = seekers.select("l_id", "la", "lo", *keys, levels).withColumn("y", own_y).withColumn("x", own_x).join(full.hint("merge"), [*keys, "level", "y", "x"])
     level = level.groupBy("l_id", "la", "lo", *keys).agg(F.min("level").alias("level"))
     # where no cell holds k rows, the coarsest level is one cell for a hemisphere and its neighbours
-    chosen = seekers.join(level, ["l_id", "la", "lo", *keys], "left").withColumn("level", F.least(F.coalesce("level", F.lit(LEVELS)) + 1, F.lit(LEVELS)))
+    chosen = seekers.join(level.hint("merge"), ["l_id", "la", "lo", *keys], "left").withColumn("level", F.least(F.coalesce("level", F.lit(LEVELS)) + 1, F.lit(LEVELS)))
     own_y, own_x = cells("la", "lo", F.col("level"))
     around = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
     asked = chosen.withColumn("y", own_y).withColumn("x", own_x).withColumn("o", F.explode(around))
@@ -118,7 +119,7 @@ def nearest_in_rings(left: DataFrame, right: DataFrame, k: int, keys: list[str])
     wanted = asked.select("level").distinct()
     held = grid.join(F.broadcast(wanted), "level", "left_semi")  # at most LEVELS + 1 numbers
     y, x = cells("lat", "lng", F.col("level"))
-    near = asked.join(held.withColumn("y", y).withColumn("x", x), [*keys, "level", "y", "x"])
+    near = asked.join(held.withColumn("y", y).withColumn("x", x).hint("merge"), [*keys, "level", "y", "x"])
     near = near.withColumn("metres", geo.haversine_m(F.col("la"), F.col("lo"), F.col("lat"), F.col("lng")))
     order = W.partitionBy("l_id").orderBy("metres", "r_id")
     return near.select("l_id", "r_id", "metres").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
