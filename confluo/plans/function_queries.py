@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, hours, text
+from ..operators.lifecycle import per_value
 from .registry import query, table
 
 Case = tuple[tuple[str | None, ...], str | None]
@@ -17,8 +18,11 @@ def _sql(value: str | None) -> str:
     return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
 
 
-def cases(name: str, function: Callable[..., Column], *rows: Case) -> None:
-    """Register ``name``: for every part, the text that the function makes of the case that its key picks."""
+def cases(name: str, function: Callable[..., Column], *rows: Case, costly: bool = False) -> None:
+    """Register ``name``: for every part, the text that the function makes of the case that its key picks.
+
+    Of a costly function each distinct text is worked out once.
+    """
     wanted = ", ".join(_sql(want) for _, want in rows)
 
     @query(name, f"SELECT p_partkey, [{wanted}][p_partkey % {len(rows)} + 1] AS result FROM part")
@@ -26,7 +30,9 @@ def cases(name: str, function: Callable[..., Column], *rows: Case) -> None:
         part = table(spark, sf_dir, "part")
         pick = lambda k: F.get(F.array(*(F.lit(given[k]).cast("string") for given, _ in rows)), F.col("p_partkey") % len(rows))
         given = part.select("p_partkey", *(pick(k).alias(f"c{k}") for k in range(len(rows[0][0]))))
-        return given.select("p_partkey", function(*(F.col(f"c{k}") for k in range(len(rows[0][0])))).alias("result"))
+        columns = [f"c{k}" for k in range(len(rows[0][0]))]
+        result = function(*map(F.col, columns))
+        return (per_value(given, columns, result, "result") if costly else given.withColumn("result", result)).select("p_partkey", "result")
 
 
 def _json(c: Column) -> Column:
@@ -63,7 +69,7 @@ cases(
 cases("f10_lat_lng", _point, (("25.03", "121.5"), "25.030,121.500"), (("121.5", "25.03"), "25.030,121.500"), (("0", "0"), None), ((None, "121"), None))
 cases(
     "f16_date_range", _range,
-    (("2026-12-11 ~ 2026-12-20",), "2026-12-11/2026-12-20"), (("2026/11/07 14:30~16:00",), "2026-11-07T14:30:00+08:00/2026-11-07T16:00:00+08:00"), (("115-08-01",), "2026-08-01"), (("未定",), None), ((None,), None),
+    (("2026-12-11 ~ 2026-12-20",), "2026-12-11/2026-12-20"), (("2026/11/07 14:30~16:00",), "2026-11-07T14:30:00+08:00/2026-11-07T16:00:00+08:00"), (("115-08-01",), "2026-08-01"), (("未定",), None), ((None,), None), costly=True,
 )
 cases("f17_sentinel_range", lambda a, b: dates.is_sentinel_range(a, b).cast("string"), (("00:00", "23:59"), "true"), (("00:00", "24:00"), "true"), (("10:50", "10:50"), "true"), (("10:00", "12:00"), "false"), ((None, "10:00"), "false"))
 cases("f18_ticket_ids", lambda v: _json(text.external_ids(v)), (("https://www.opentix.life/event/123456",), '{"opentix":"123456"}'), (("https://abc.kktix.cc/events/x-1",), '{"kktix":"x-1"}'), (("https://example.org/",), None), ((None,), None))

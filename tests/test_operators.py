@@ -266,3 +266,21 @@ def test_nearby_events_same_as_plain_loop(spark, monkeypatch, at_once):
                         held[k] = held.get(k, 0) + 1
                     out.append((r[0], tier))
         assert [(s, t) for _, s, t in sorted(got.get(page, []))] == out, page
+
+
+def test_costly_expressions_are_worked_out_once_for_each_value(spark):
+    made = spark.sparkContext.accumulator(0)
+    shown = F.udf(lambda a, b: made.add(1) or f"{a}/{b}", "string")
+    rows = spark.range(2000).selectExpr("id", "if(id % 3 = 0, null, id % 3) as a", "cast(id % 2 as string) as b")
+    got = lifecycle.per_value(rows, ["a", "b"], shown("a", "b"), "shown").collect()
+    assert sorted(map(tuple, got)) == [(i, i % 3 or None, str(i % 2), f"{i % 3 or None}/{i % 2}") for i in range(2000)]
+    assert made.value <= 2 * 6
+
+
+def test_contained_takes_each_key_apart_once(spark):
+    names = spark.range(300).selectExpr("id as name", "concat('red hall ', id % 5) as key", "if(id % 2 = 0, 'a', null) as city")
+    registry = spark.createDataFrame([(1, "hall", None), (2, "red hall", "a"), (3, "red hall", "b"), (4, "red", None)], "id int, key string, city string")
+    found = relations.contained(names, registry)
+    assert found.count() == 150 * 2 + 150 * 3 and set(found.where("name = 0").toPandas()["id"]) == {1, 2}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Generate") :].split("LocalRelation")[0].split("Range")[0]
