@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from .relations import contained
+from .spatial import radius_join
 from .storage import written
 
 DAY = 86_400
@@ -116,6 +117,22 @@ def nearby_venues(near: DataFrame, venues: DataFrame, limit: int = 10) -> DataFr
     return groups.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("l_id", "venue", "metres", "rank")
 
 
+def venues_around(centres: DataFrame, venues: DataFrame, metres: float, limit: int = 10) -> DataFrame:
+    """``nearby_venues`` of centres (l_id, lat, lng) among venues (id, lat, lng, building, events, name) within a distance, without its own.
+
+    Each venue has its place in its building beforehand, by events, name and id, so that pairs are reduced as they arise, to a number
+    and a distance for each building; they are neither sorted nor shuffled.
+    """
+    rows = venues.select("id", "lat", "lng", F.coalesce("building", "id").alias("group"), "events", "name")
+    order = W.partitionBy("group").orderBy("events", F.reverse("name"), F.desc("id"))
+    placed = written(rows.withColumn("place", F.row_number().over(order)), "venue-places")
+    near = radius_join(centres, placed.withColumnRenamed("id", "r_id"), metres, ("group", "place")).where("l_id <> r_id")
+    best = near.groupBy("l_id", "group").agg(F.max("place").alias("place"), (F.round(F.min("metres") / 10) * 10).alias("metres"))
+    groups = best.join(placed.select("group", "place", F.col("id").alias("venue")), ["group", "place"])
+    order = W.partitionBy("l_id").orderBy("metres", "venue")
+    return groups.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("l_id", "venue", "metres", "rank")
+
+
 def editor_picks(picks: DataFrame, live: DataFrame, week: Column) -> DataFrame:
     """Picks (week, position, slug, note) of a week that are still live, in order."""
     return picks.where(F.col("week") == week).join(live.select("slug"), "slug", "left_semi").orderBy("position")

@@ -18,19 +18,51 @@ def degrees_for(metres: float, latitude: float = 27.0) -> float:
     return metres / (111_194.0 * math.cos(math.radians(latitude)))
 
 
-def radius_join(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
-    """Rows of left (l_id, lat, lng) with those of right (r_id, lat, lng) within a distance: l_id, r_id, metres."""
+def radius_join(left: DataFrame, right: DataFrame, metres: float, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of left (l_id, lat, lng) with those of right (r_id, lat, lng) within a distance: l_id, r_id, metres.
+
+    Columns of right in ``carry`` come along.
+    """
     d = degrees_for(metres)
     a = left.selectExpr("l_id", "lat as la", "lng as lo").where("la is not null and lo is not null").withColumn("cell", F.explode(geo.cells_around(F.col("la"), F.col("lo"), d)))
-    b = right.selectExpr("r_id", "lat as rla", "lng as rlo").where("rla is not null and rlo is not null").withColumn("cell", geo.cell(F.col("rla"), F.col("rlo"), d))
+    b = right.selectExpr("r_id", "lat as rla", "lng as rlo", *carry).where("rla is not null and rlo is not null").withColumn("cell", geo.cell(F.col("rla"), F.col("rlo"), d))
     near = a.join(b, "cell").withColumn("metres", geo.haversine_m(F.col("la"), F.col("lo"), F.col("rla"), F.col("rlo")))
-    return near.where(F.col("metres") <= metres).select("l_id", "r_id", "metres")
+    return near.where(F.col("metres") <= metres).select("l_id", "r_id", "metres", *carry)
+
+
+#: The cells of ``nearest_k`` are halved so many times at most: those for 2 km are then two metres wide.
+HALVINGS = 10
 
 
 def nearest_k(left: DataFrame, right: DataFrame, metres: float, k: int, tie: str = "r_id") -> DataFrame:
-    """The k nearest rows of right within a distance, for each row of left."""
+    """The k nearest rows of right within a distance, for each row of left; rows of its own id are none of them.
+
+    Each left row looks for the finest cell around it that holds enough rows; all of them are nearer than the cell's diagonal,
+    so the k nearest lie in the three by three cells of twice the edge. Where no cell does, these are as for ``radius_join``. Of
+    rows at one point only the first by id are met, so the work does not follow all pairs within the distance.
+    """
+    place = "lat is not null and lng is not null and not isnan(lat) and not isnan(lng)"
+    points = right.where(place).select("r_id", F.col("lat").alias("rla"), F.col("lng").alias("rlo"))
+    # k rows and those that may have the left row's id: one number
+    enough = k + (points.groupBy("r_id").count().agg(F.max("count")).first()[0] or 0)
+    first = F.row_number().over(W.partitionBy("rla", "rlo").orderBy("r_id"))
+    points = written(points.withColumn("_r", first).where(F.col("_r") <= enough).drop("_r"), "near-points")
+    levels = F.explode(F.sequence(F.lit(0), F.lit(HALVINGS))).alias("level")  # 0 is the coarsest
+
+    def cell(lat: str, lng: str) -> Column:
+        return geo.cell(F.col(lat), F.col(lng), degrees_for(metres) / F.pow(F.lit(2.0), F.col("level")))
+
+    grid = points.select("*", levels).withColumn("cell", cell("rla", "rlo"))
+    full = grid.groupBy("level", "cell").agg(F.count("*").alias("n")).where(F.col("n") >= enough).drop("n")
+    seekers = left.where(place).select("l_id", F.col("lat").alias("la"), F.col("lng").alias("lo"))
+    spots = seekers.select("la", "lo").distinct()
+    found = spots.select("*", levels).withColumn("cell", cell("la", "lo")).join(full.hint("merge"), ["level", "cell"]).groupBy("la", "lo").agg(F.max("level").alias("level"))
+    level = F.greatest(F.coalesce("level", F.lit(0)) - 1, F.lit(0))
+    chosen = seekers.join(found.hint("merge"), ["la", "lo"], "left").withColumn("level", level)
+    asked = chosen.withColumn("cell", F.explode(geo.cells_around(F.col("la"), F.col("lo"), degrees_for(metres) / F.pow(F.lit(2.0), F.col("level")))))
+    near = asked.join(grid.hint("merge"), ["level", "cell"]).where("l_id <> r_id").withColumn("metres", geo.haversine_m(F.col("la"), F.col("lo"), F.col("rla"), F.col("rlo")))
     order = W.partitionBy("l_id").orderBy("metres", tie)
-    return radius_join(left, right, metres).where("l_id <> r_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return near.where(F.col("metres") <= metres).select("l_id", "r_id", "metres").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def single_link(points: DataFrame, metres: float) -> DataFrame:

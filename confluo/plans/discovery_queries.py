@@ -46,9 +46,8 @@ def similar_events(spark, sf_dir):
     SELECT l_id, venue, CAST(metres AS BIGINT) AS metres, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
 def nearby_venues(spark, sf_dir):
     p = points(spark, sf_dir)
-    near = spatial.radius_join(p.withColumnRenamed("id", "l_id"), p.withColumnRenamed("id", "r_id"), 2000).where("l_id <> r_id")
-    venues = p.select("id", (F.col("id") % 10).alias("building"), F.col("id").alias("events"), F.lit("v").alias("name"))
-    return discovery.nearby_venues(near, venues).withColumn("metres", F.col("metres").cast("long"))
+    venues = p.select("*", (F.col("id") % 10).alias("building"), F.col("id").alias("events"), F.lit("v").alias("name"))
+    return discovery.venues_around(p.withColumnRenamed("id", "l_id"), venues, 2000).withColumn("metres", F.col("metres").cast("long"))
 
 
 @query("q21_district_pages", f"WITH {SESSIONS} SELECT city, venue % 5 AS district, count(*) FILTER (e >= {TODAY}) AS live, max(e) AS latest FROM s GROUP BY 1, 2 HAVING count(*) >= 5")
