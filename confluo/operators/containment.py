@@ -37,9 +37,9 @@ def contained_keys(needles: DataFrame, haystacks: DataFrame, least: int = GRAM)
     hay = haystacks.where("key <> ''").select(F.col("key").alias("haystack")).distinct().withColumn("gram", F.explode(parts))
     counted = hay.groupBy("gram").agg(F.count("*").alias("n"))
     own = F.coalesce(*(F.when(size == n, grams(F.col("needle"), n)) for n in sizes), none)
-    looked_up = short.withColumn("gram", F.explode(own)).join(counted, "gram", "left")
+    looked_up = short.withColumn("gram", F.explode(own)).hint("merge").join(counted, "gram", "left")
     rarest = looked_up.groupBy("needle").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count(F.when(F.col("n").isNull(), 1)).alias("lost"))
-    return rarest.where("lost = 0").select("needle", "gram").join(hay, "gram").where(F.contains("haystack", "needle")).select("needle", "haystack")
+    return rarest.where("lost = 0").select("needle", "gram").hint("merge").join(hay, "gram").where(F.contains("haystack", "needle")).select("needle", "haystack")
 
 
 # Kinds of heritage that are places, and what a venue's name may say of its status.
@@ -81,11 +81,11 @@ def _profiles(rows: DataFrame, keys: list[str], named: DataFrame) -> tuple[DataF
 
     Rows that decisions name stay alone, so that a decision holds for them only.
     """
-    alone = rows.join(named.select("id").distinct().withColumn("alone", F.col("id")), "id", "left")
+    alone = rows.hint("merge").join(named.select("id").distinct().withColumn("alone", F.col("id")), "id", "left")
     profile = F.struct(*keys, *PLACE, "alone")
     alone = written(alone, "places")
     heads = alone.groupBy(profile.alias("p")).agg(F.min("id").alias("profile"), (F.count_distinct("id") > 1).alias("many"))
-    return heads.select("profile", "many", "p.*"), alone.select(profile.alias("p"), "id").join(heads.select("p", "profile"), "p").select("profile", "id")
+    return heads.select("profile", "many", "p.*"), alone.select(profile.alias("p"), "id").hint("merge").join(heads.select("p", "profile"), "p").select("profile", "id")
 
 
 def heritage_sites(heritages: DataFrame, venues: DataFrame, reject: DataFrame | None = None, link: DataFrame | None = None) -> DataFrame:
@@ -106,23 +106,23 @@ def heritage_sites(heritages: DataFrame, venues: DataFrame, reject: DataFrame |
     reject = cast(reject) if reject is not None else spark.createDataFrame([], pairs)
     link = cast(link) if link is not None else spark.createDataFrame([], pairs)
     heritages, venues = (df.select(F.col("id").cast("string").alias("id"), "name", *PLACE).dropDuplicates() for df in (heritages, venues))
-    link = link.join(heritages.selectExpr("id as heritage_id"), "heritage_id", "left_semi").join(venues.selectExpr("id as venue_id"), "venue_id", "left_semi")
-    venues = venues.join(link.select(F.col("venue_id").alias("id")), "id", "left_anti")
+    link = link.hint("merge").join(heritages.selectExpr("id as heritage_id"), "heritage_id", "left_semi").hint("merge").join(venues.selectExpr("id as venue_id"), "venue_id", "left_semi")
+    venues = venues.hint("merge").join(link.select(F.col("venue_id").alias("id")), "id", "left_anti")
 
-    keyed = heritages.join(heritage_keys(heritages), "id").select("id", "key", *PLACE)
+    keyed = heritages.hint("merge").join(heritage_keys(heritages), "id").select("id", "key", *PLACE)
     h_rows, _ = _profiles(keyed, ["key"], reject.selectExpr("heritage_id as id"))
     v_rows, v_ids = _profiles(venues.withColumn("vkey", text.norm_venue(F.col("name"))).where("vkey <> ''").select("id", "vkey", *PLACE), ["vkey"], reject.selectExpr("venue_id as id"))
     h_rows, v_rows = written(h_rows, "sites"), v_rows.withColumn("bare", strip_status(F.col("vkey")))
 
     inner = contained_keys(h_rows.select("key"), v_rows.selectExpr("vkey as key"), LEAST_INNER).selectExpr("needle as key", "haystack as vkey")
     exact = v_rows.select("*", F.explode(F.array_distinct(F.array("vkey", "bare"))).alias("key"), F.lit(2).alias("rank"))
-    inside = v_rows.join(inner, "vkey").where("key <> vkey and key <> bare").select(*v_rows.columns, "key", F.lit(1).alias("rank"))
+    inside = v_rows.hint("merge").join(inner, "vkey").where("key <> vkey and key <> bare").select(*v_rows.columns, "key", F.lit(1).alias("rank"))
     wanted = written(exact.unionByName(inside).select("profile", "key", "rank", "alone", *[F.col(c).alias(f"v_{c}") for c in PLACE]), "named-venues")
     sites = h_rows.select(F.col("profile").alias("site"), "many", "key", F.col("alone").alias("h_alone"), *[F.col(c).alias(f"h_{c}") for c in PLACE])
 
     v_located, h_located = F.expr("v_lat is not null and v_lng is not null"), F.expr("h_lat is not null and h_lng is not null")
     d = degrees_for(EXACT_M + 1)
-    near = wanted.where(v_located).withColumn("cell", F.explode(geo.cells_around(F.col("v_lat"), F.col("v_lng"), d))).join(
+    near = wanted.where(v_located).withColumn("cell", F.explode(geo.cells_around(F.col("v_lat"), F.col("v_lng"), d))).hint("merge").join(
         sites.where(h_located).withColumn("cell", geo.cell(F.col("h_lat"), F.col("h_lng"), d)), ["key", "cell"])
     near = near.withColumn("metres", F.round(geo.haversine_m(F.col("h_lat"), F.col("h_lng"), F.col("v_lat"), F.col("v_lng"))).cast("long"))
     near = near.where(F.col("metres") <= F.when(F.col("rank") == 2, EXACT_M).otherwise(CONTAINS_M)).drop("cell")
@@ -130,18 +130,18 @@ def heritage_sites(heritages: DataFrame, venues: DataFrame, reject: DataFrame |
     unplaced = [(wanted.where(~v_located), sites), (wanted.where(v_located), sites.where(~h_located))]
     found = near
     for v, h in unplaced:
-        by_name = v.where("rank = 2").join(h, "key")
-        by_district = v.where(f"rank = 1 and length(key) >= {LEAST_WITHOUT_PLACE}").join(h.withColumn("v_district", F.col("h_district")), ["key", "v_district"])
+        by_name = v.where("rank = 2").hint("merge").join(h, "key")
+        by_district = v.where(f"rank = 1 and length(key) >= {LEAST_WITHOUT_PLACE}").hint("merge").join(h.withColumn("v_district", F.col("h_district")), ["key", "v_district"])
         found = found.unionByName(by_name.withColumn("metres", F.lit(None).cast("long"))).unionByName(by_district.withColumn("metres", F.lit(None).cast("long")))
     found = found.where("v_city is null or h_city is null or v_city = h_city")
     banned = reject.selectExpr("heritage_id as h_alone", "venue_id as alone")
-    found = found.join(banned, ["h_alone", "alone"], "left_anti")
+    found = found.hint("merge").join(banned, ["h_alone", "alone"], "left_anti")
 
     order = F.struct("rank", F.length("key").alias("size"))
     levels = found.groupBy("profile", order.alias("o")).agg(F.min("site").alias("site"), F.max("site").alias("other"), F.max("many").alias("many"), F.min("metres").alias("metres"))
     best = levels.groupBy("profile").agg(F.max_by(F.struct("site", "other", "many", "metres", "o"), "o").alias("b")).where("b.site = b.other and not b.many")
     exactly = F.col("b.o.rank") == 2
-    chosen = best.join(v_ids, "profile").select(
+    chosen = best.hint("merge").join(v_ids, "profile").select(
         F.col("b.site").alias("heritage_id"), F.col("id").alias("venue_id"), F.when(exactly, "exact-name").otherwise("name-contains").alias("method"),
         F.when(exactly, 0.9).otherwise(0.7).alias("confidence"), F.col("b.metres").alias("metres"))
     manual = link.select("heritage_id", "venue_id", F.lit("manual").alias("method"), F.lit(1.0).alias("confidence"), F.lit(None).cast("long").alias("metres"))

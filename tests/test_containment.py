@@ -103,3 +103,12 @@ def test_random_rows_equal_a_loop(spark):
 
 def test_empty_tables(spark):
     assert run(spark, [], []) == []
+
+
+def test_growing_sides_are_not_broadcast(spark):
+    """Small tables here; at any size the rows of a join stay with the executors."""
+    rows = spark.range(30).selectExpr("cast(id as string) as id", "concat('name ', id) as name", "'c' as city", "'d' as district", "24D as lat", "121D as lng")
+    links = spark.range(30).selectExpr("cast(id as string) as heritage_id", "cast(id + 1 as string) as venue_id").where("heritage_id = '7'")
+    found = containment.heritage_sites(rows, rows, links, links)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan and "SortMergeJoin" in plan
