@@ -75,10 +75,10 @@ def settled(candidates: DataFrame) -> DataFrame:
     order = F.struct(F.struct(*(-full[c].cast("long") for c in "gsdn")).alias("full"), "ord", "id")
     located = F.when(F.col("lat").isNotNull(), F.struct("ord", "lat", "lng"))
     one = candidates.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min(order)["id"].alias("best"), F.count_distinct("district").alias("districts"), F.min(located).alias("f"), F.count("lat").alias("located"))
-    several = candidates.where("lat is not null").join(one.where("n > 1 and located > 1").select("key", "f"), "key")
+    several = candidates.where("lat is not null").hint("merge").join(one.where("n > 1 and located > 1").select("key", "f"), "key")
     far = several.where(geo.haversine_m(F.col("lat"), F.col("lng"), F.col("f.lat"), F.col("f.lng")) > SAME_PLACE_M).select("key").distinct().withColumn("far", F.lit(True))
     sure = F.col("far").isNull() & (F.col("districts") <= 1)
-    return one.join(far, "key", "left").select("key", "n", F.when(F.col("n") == 1, F.col("id")).alias("id"), F.when(sure, F.col("best")).alias("chosen"))
+    return one.hint("merge").join(far, "key", "left").select("key", "n", F.when(F.col("n") == 1, F.col("id")).alias("id"), F.when(sure, F.col("best")).alias("chosen"))
 
 
 def resolve(sessions: DataFrame, registry: DataFrame, spellings: DataFrame | None = None, aliases: DataFrame | None = None, rejected: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
@@ -104,30 +104,30 @@ def resolve(sessions: DataFrame, registry: DataFrame, spellings: DataFrame | Non
     venues = registry.select(F.col("id").cast("string").alias("id"), F.col("ord").cast("long").alias("ord"), F.col("name").alias("v_name"), *[F.col(c).alias(f"v_{c}") for c in ("city", "district", "precision", "lat", "lng", "sources")], geo.norm_address(F.col("address")).alias("v_house"), geo.venue_identity_key(F.col("name")).alias("v_idk"))
     venues = written(venues, "registry")
     every = venues.select("id", F.col("v_name").alias("name")).unionByName(strings(spellings, "id", "name"))
-    known = written(every.withColumn("vkey", text.norm_venue(F.col("name"))).where("vkey <> ''").select("vkey", "id").distinct().join(venues.select("id", "ord"), "id"), "registry-keys")
+    known = written(every.withColumn("vkey", text.norm_venue(F.col("name"))).where("vkey <> ''").select("vkey", "id").distinct().hint("merge").join(venues.select("id", "ord"), "id"), "registry-keys")
 
     # what rejections, aliases and equal keys say
     banned = strings(rejected, "name").distinct().withColumn("banned", F.lit(True))
     renamed = strings(aliases, "alias", "target").groupBy("alias").agg(F.min("target").alias("target"))
     by_name, by_key = renamed.selectExpr("alias as name", "target as t1"), renamed.selectExpr("alias as key", "target as t2")
-    looked = names.join(banned, "name", "left").join(by_name, "name", "left").join(by_key, "key", "left").withColumn("target", F.coalesce("t1", "t2"))
+    looked = names.hint("merge").join(banned, "name", "left").hint("merge").join(by_name, "name", "left").hint("merge").join(by_key, "key", "left").withColumn("target", F.coalesce("t1", "t2"))
     looked = looked.withColumn("wanted", F.when(F.col("target").isNotNull(), text.norm_venue(F.col("target"))).otherwise(F.col("key"))).drop("t1", "t2")
     looked = written(looked, "wanted-names")
     free = looked.where("banned is null")
-    exact = free.select("key", F.col("wanted").alias("vkey")).join(known, "vkey").select("key", "id", F.struct(F.lit(0).cast("long").alias("first"), F.lit("").alias("vkey"), "ord").alias("ord"))
-    no_exact = free.join(exact.select("key").distinct(), "key", "left_anti").where(F.length("key") >= LEAST_CONTAINED)
+    exact = free.select("key", F.col("wanted").alias("vkey")).hint("merge").join(known, "vkey").select("key", "id", F.struct(F.lit(0).cast("long").alias("first"), F.lit("").alias("vkey"), "ord").alias("ord"))
+    no_exact = free.hint("merge").join(exact.select("key").distinct(), "key", "left_anti").where(F.length("key") >= LEAST_CONTAINED)
     first_of_key = known.groupBy("vkey").agg(F.min("ord").alias("first"))
-    indexed = known.join(first_of_key, "vkey").join(venues.select("id", "v_city"), "id")
+    indexed = known.hint("merge").join(first_of_key, "vkey").hint("merge").join(venues.select("id", "v_city"), "id")
 
     def holding(rows: DataFrame, column: str, itself: bool) -> DataFrame:
         """(key, id, ord) of registry names in a matching city that hold a column of the names."""
         pairs = contained_keys(rows.select(F.col(column).alias("key")), known.select(F.col("vkey").alias("key")), LEAST_CONTAINED)
-        found = rows.select("key", "city", F.col(column).alias("needle")).join(pairs, "needle").withColumnRenamed("haystack", "vkey").join(indexed, "vkey")
+        found = rows.select("key", "city", F.col(column).alias("needle")).hint("merge").join(pairs, "needle").withColumnRenamed("haystack", "vkey").hint("merge").join(indexed, "vkey")
         found = found.where(_agree(F.col("city"), F.col("v_city")))
         return (found if itself else found.where("vkey <> key")).select("key", "id", F.struct("first", "vkey", "ord").alias("ord"))
 
     contains = holding(no_exact, "key", False)
-    headless = no_exact.join(contains.select("key").distinct(), "key", "left_anti")
+    headless = no_exact.hint("merge").join(contains.select("key").distinct(), "key", "left_anti")
     heads = holding(headless.where("hk is not null and hk <> key"), "hk", True).groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").select("key", "id")
     tier = lambda df, name: df.select("key", "id", F.lit(name).alias("tier"), "ord")
     tiers = written(tier(exact, "exact-name").unionByName(tier(contains, "name-contains")), "tiers")
@@ -139,7 +139,7 @@ def resolve(sessions: DataFrame, registry: DataFrame, spellings: DataFrame | Non
     suffixes = F.when(F.length("idk") - LEAST_IDENTITY >= SUFFIX_DROPS, F.transform(ends, lambda i: F.struct(i.alias("cut"), F.expr("idk").substr(i + 1, F.length("idk")).alias("v_idk"))))
     parts = F.concat(F.array(F.struct(F.lit(0).alias("cut"), F.col("idk").alias("v_idk"))), F.coalesce(suffixes, F.array().cast("array<struct<cut: int, v_idk: string>>")))
     sided = with_place.select("key", "t", *[F.col(c).alias(f"n_{c}") for c in ("city", "lat", "lng", "house")], F.inline(parts))
-    alike = written(sided.join(venues.where(F.length("v_idk") >= LEAST_IDENTITY).drop("v_name"), "v_idk"), "alike")
+    alike = written(sided.hint("merge").join(venues.where(F.length("v_idk") >= LEAST_IDENTITY).drop("v_name"), "v_idk"), "alike")
 
     gained = spark.createDataFrame([], "id string, g_t struct<s: bigint, p: bigint, k: string>, g_lat double, g_lng double")
     made = spark.createDataFrame([], "wanted string, m_t struct<s: bigint, p: bigint, k: string>, m_place string")
@@ -157,21 +157,21 @@ def _round(looked: DataFrame, venues: DataFrame, tiers: DataFrame, heads: DataFr
     before = F.coalesce(F.col("g_t") < F.col("t"), F.lit(False))
     lat, lng = (F.coalesce(f"v_{c}", F.when(before, F.col(f"g_{c}"))) for c in ("lat", "lng"))
     details = venues.select("id", "v_district", "v_precision", "v_sources", "v_lat", "v_lng")
-    candidates = tiers.join(looked.select("key", "t"), "key").join(details, "id").join(gained, "id", "left")
+    candidates = tiers.hint("merge").join(looked.select("key", "t"), "key").hint("merge").join(details, "id").hint("merge").join(gained, "id", "left")
     candidates = candidates.select("key", "tier", "ord", "id", lat.alias("lat"), lng.alias("lng"), F.col("v_precision").alias("precision"), F.col("v_district").alias("district"), F.col("v_sources").alias("sources"))
     by_name = {tier: settled(candidates.where(F.col("tier") == tier)) for tier in ("exact-name", "name-contains")}
 
-    near = alike.join(gained, "id", "left").withColumn("p_lat", lat).withColumn("p_lng", lng).withColumn("p_city", F.col("v_city")).withColumn("p_house", F.col("v_house")).where(_same_place("p_"))
+    near = alike.hint("merge").join(gained, "id", "left").withColumn("p_lat", lat).withColumn("p_lng", lng).withColumn("p_city", F.col("v_city")).withColumn("p_house", F.col("v_house")).where(_same_place("p_"))
     near = near.select("key", "cut", "ord", "id", F.col("p_lat").alias("lat"), F.col("p_lng").alias("lng"), F.col("v_precision").alias("precision"), F.col("v_district").alias("district"), F.col("v_sources").alias("sources"))
     # the key itself, then the longest end that finds anything; each may come to nothing
     own = settled(near.where("cut = 0").drop("cut")).select("key", F.coalesce("id", "chosen").alias("own"))
     longest = near.where("cut > 0").groupBy("key").agg(F.min("cut").alias("cut"))
-    end = settled(near.join(longest, ["key", "cut"], "left_semi").drop("cut")).select("key", F.coalesce("id", "chosen").alias("end"))
+    end = settled(near.hint("merge").join(longest, ["key", "cut"], "left_semi").drop("cut")).select("key", F.coalesce("id", "chosen").alias("end"))
 
-    rows = looked.join(made, "wanted", "left").withColumn("m_place", F.when(F.col("target").isNotNull() & (F.col("m_t") < F.col("t")), F.col("m_place")))
+    rows = looked.hint("merge").join(made, "wanted", "left").withColumn("m_place", F.when(F.col("target").isNotNull() & (F.col("m_t") < F.col("t")), F.col("m_place")))
     for tier, p in (("exact-name", "e"), ("name-contains", "c")):
-        rows = rows.join(by_name[tier].select("key", F.col("n").alias(f"{p}_n"), F.col("id").alias(f"{p}_id"), F.col("chosen").alias(f"{p}_chosen")), "key", "left")
-    rows = rows.join(heads.withColumnRenamed("id", "h_id"), "key", "left").join(own, "key", "left").join(end, "key", "left").withColumn("r_id", F.coalesce("own", "end"))
+        rows = rows.hint("merge").join(by_name[tier].select("key", F.col("n").alias(f"{p}_n"), F.col("id").alias(f"{p}_id"), F.col("chosen").alias(f"{p}_chosen")), "key", "left")
+    rows = rows.hint("merge").join(heads.withColumnRenamed("id", "h_id"), "key", "left").hint("merge").join(own, "key", "left").hint("merge").join(end, "key", "left").withColumn("r_id", F.coalesce("own", "end"))
 
     what = lambda place, state, method: F.struct(place.cast("string").alias("place"), F.lit(state).alias("state"), F.lit(method).alias("method"))
     null = F.lit(None)
@@ -192,16 +192,16 @@ def _round(looked: DataFrame, venues: DataFrame, tiers: DataFrame, heads: DataFr
     )
     rows = written(rows.withColumn("d", decided).select("key", "name", "sessions", "t", "idk", "city", "house", "lat", "lng", "d"), "decided")
     derived = written(_named(_founders(rows.where("d is null")), pages), "derived")
-    out = rows.join(derived.select("key", "place", "best"), "key", "left")
+    out = rows.hint("merge").join(derived.select("key", "place", "best"), "key", "left")
     own_place = F.when(c("best"), what(c("out_place"), "resolved", "derived")).otherwise(what(c("out_place"), "resolved", "same-place"))
     out = out.withColumnRenamed("place", "out_place").withColumn("d", F.coalesce("d", own_place))
     confidence = F.coalesce(*(F.when((c("d.method") == m) & (c("d.state") == "resolved"), F.lit(v)) for m, v in METHODS.items() if v is not None))
     result = written(out.select("key", "name", "sessions", "d.place", "d.state", "d.method", confidence.alias("confidence")), "resolved")
 
     blank = venues.where("v_lat is null").select("id")
-    fills = rows.where("d.method = 'same-place' and lat is not null").select(c("d.place").alias("id"), "t", "lat", "lng").join(blank, "id", "left_semi")
+    fills = rows.where("d.method = 'same-place' and lat is not null").select(c("d.place").alias("id"), "t", "lat", "lng").hint("merge").join(blank, "id", "left_semi")
     gained_now = fills.groupBy("id").agg(F.min(F.struct("t", "lat", "lng")).alias("g")).select("id", c("g.t").alias("g_t"), c("g.lat").alias("g_lat"), c("g.lng").alias("g_lng"))
-    made_now = derived.select(c("key").alias("wanted"), c("t").alias("m_t"), c("place").alias("m_place")).join(looked.where("target is not null").select("wanted").distinct(), "wanted", "left_semi")
+    made_now = derived.select(c("key").alias("wanted"), c("t").alias("m_t"), c("place").alias("m_place")).hint("merge").join(looked.where("target is not null").select("wanted").distinct(), "wanted", "left_semi")
     return result, written(gained_now, "gained"), written(made_now, "made")
 
 
@@ -213,14 +213,14 @@ def _groups(rows: DataFrame) -> DataFrame:
     d = degrees_for(SAME_PLACE_M)
     located = rows.where("lat is not null").withColumn("cell", geo.cell(F.col("lat"), F.col("lng"), d))
     first = written(located.groupBy("idk", "cell").agg(F.min("key").alias("first")), "cells")
-    inside = located.join(first, ["idk", "cell"]).selectExpr("key as a", "first as b")
+    inside = located.hint("merge").join(first, ["idk", "cell"]).selectExpr("key as a", "first as b")
     offsets = F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1) if (y, x) > (0, 0)))
     near = first.withColumn("o", F.explode(offsets)).select("idk", F.struct((F.col("cell.y") + F.col("o.y")).alias("y"), (F.col("cell.x") + F.col("o.x")).alias("x")).alias("cell"), F.col("first").alias("a"))
-    beside = near.join(first, ["idk", "cell"]).selectExpr("a", "first as b")
+    beside = near.hint("merge").join(first, ["idk", "cell"]).selectExpr("a", "first as b")
     housed = rows.where("house is not null")
-    houses = housed.join(housed.groupBy("idk", "house").agg(F.min("key").alias("first")), ["idk", "house"]).selectExpr("key as a", "first as b")
+    houses = housed.hint("merge").join(housed.groupBy("idk", "house").agg(F.min("key").alias("first")), ["idk", "house"]).selectExpr("key as a", "first as b")
     components = connected_components(rows.selectExpr("key as id"), inside.unionByName(beside).unionByName(houses))
-    return rows.join(components.withColumnRenamed("id", "key"), "key")
+    return rows.hint("merge").join(components.withColumnRenamed("id", "key"), "key")
 
 
 def _founders(rows: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def _founders(rows: DataFrame) -> DataFrame:
     streamed = grouped.repartition("component").sortWithinPartitions("component", "t").select(*columns)
     found = streamed.mapInPandas(_walk, "key string, founder string")
     fields = ["key", "name", "sessions", "t", "founder"]
-    return short.select(*fields).unionByName(grouped.join(found, "key").select(*fields))
+    return short.select(*fields).unionByName(grouped.hint("merge").join(found, "key").select(*fields))
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -272,8 +272,8 @@ def _named(founders: DataFrame, pages: DataFrame) -> DataFrame:
 
     One with a page, then an official owner in front, the formal spelling, most sessions, the name.
     """
-    rows = founders.join(pages.withColumn("page", F.lit(True)), "name", "left")
+    rows = founders.hint("merge").join(pages.withColumn("page", F.lit(True)), "name", "left")
     formal = F.translate("name", "台", "臺")
     order = F.struct(F.col("page").isNull().alias("p"), (~F.rlike(formal, F.lit("^(" + "|".join(geo.OWNERS) + ")"))).alias("o"), F.contains("name", F.lit("台")).alias("t"), (-F.col("sessions")).alias("s"), F.col("name").alias("n"), F.col("key").alias("k"))
     best = rows.groupBy("founder").agg(F.min(order)["k"].alias("preferred"))
-    return rows.join(best, "founder").select("key", "t", F.concat(F.lit("derived:"), "preferred").alias("place"), (F.col("key") == F.col("preferred")).alias("best"))
+    return rows.hint("merge").join(best, "founder").select("key", "t", F.concat(F.lit("derived:"), "preferred").alias("place"), (F.col("key") == F.col("preferred")).alias("best"))
