@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import LOWER, Rolling, mix, one_per_id, partitions, release, text_slices, tune, word_spans, written
+from .common import LOWER, Rolling, mix, one_per_id, partitions, text_slices, tune, word_spans, written
 from .graph import components
 
 SHINGLE = 5
@@ -443,8 +443,12 @@ def alike(a: np.ndarray, b: np.ndarray, length: int) -> list[tuple[int, int, int
     The longest stretch of a that is dense enough in places of b is taken, and compared with where these lie in b. If that
     falls short, denser stretches within it are looked at, down to unbroken runs; else what is left and right of it.
     """
+    if len(a) >= length and np.array_equal(a, b):
+        return [(0, len(a), 0, len(b))]
     out, todo = [], [(0, len(a), 0)]
     known = np.isin(a, b)
+    if (1 + TENTHS) * np.count_nonzero(known) < TENTHS * length:
+        return []
     while todo:
         lo, hi, level = todo.pop()
         if hi - lo < length:
@@ -504,12 +508,9 @@ def passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["src", "dst", "s_begin", "s_end", "d_begin", "d_end"])
 
-    met = written(joined(windows(docs, words), length), "met")
-    release(docs.sparkSession)
+    met = written(joined(windows(docs, words), length), "met", drop_shuffles=True)
     pairs = met.where(F.col("f") < HOT).union(repeats(docs, met.where(F.col("f") == HOT), length))
-    wanted = written(segments(pairs), "segments")
-    del pairs
-    release(docs.sparkSession)
+    wanted = written(segments(pairs), "segments", drop_shuffles=True)
     found = shingles_in(docs, wanted)
     pairs = found.groupBy("src", "dst", "part").agg(
         F.max(F.when(F.col("side") == 0, F.col("lo"))).alias("s_lo"), F.max(F.when(F.col("side") == 1, F.col("lo"))).alias("d_lo"),
@@ -530,7 +531,7 @@ def classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
     tune(docs.sparkSession)
     docs = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
     lone, docs = docs.where("doc_id is null"), one_per_id(docs)
-    found = written(passages(docs, words), "passages")
+    found = written(passages(docs, words), "passages", drop_shuffles=True)
     labels = components(found.select("src", "dst").distinct()).withColumnRenamed("id", "doc_id")
     ends = found.selectExpr("src as doc_id", "s_begin as begin", "s_end as end").union(found.selectExpr("dst as doc_id", "d_begin as begin", "d_end as end"))
     runs = ends.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("r"))

@@ -166,3 +166,29 @@ def test_recall_of_pairs_around_a_frequent_line(spark):
     found, got, pairs = recall(spark, rows)
     assert len(pairs) == 40 and found >= 0.9, found
     assert all(got[d] == d for d in range(80, 300))
+
+
+def test_shuffle_files_go_as_a_table_is_written(spark):
+    """The steps' shuffle files add up to more than the disk limit unless each step drops its own."""
+    import gc
+    import time
+
+    from confluo.llm.common import written
+
+    def held():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+    gc.disable()
+    try:
+        before = held()
+        df = spark.range(20_000).selectExpr("id", "id % 7 as key").repartition(5, "key").groupBy("key").sum("id")
+        kept = written(df, "dropped", drop_shuffles=True)
+        for _ in range(50):
+            if not held() - before:
+                break
+            time.sleep(0.1)
+        assert not held() - before
+        assert kept.count() == 7
+    finally:
+        gc.enable()
