@@ -446,20 +446,21 @@ def alike(a: np.ndarray, b: np.ndarray, length: int) -> list[tuple[int, int, int
     if len(a) >= length and np.array_equal(a, b):
         return [(0, len(a), 0, len(b))]
     out, todo = [], [(0, len(a), 0)]
-    known = np.isin(a, b)
+    known = _held(a, np.sort(b))
     if (1 + TENTHS) * np.count_nonzero(known) < TENTHS * length:
         return []
     while todo:
         lo, hi, level = todo.pop()
         if hi - lo < length:
             continue
-        total = np.r_[0, np.cumsum(np.where(known[lo:hi], 1, -COSTS[level]))]
+        total = np.zeros(hi - lo + 1, np.int64)
+        np.cumsum(np.where(known[lo:hi], 1, -COSTS[level]), out=total[1:])
         best = np.maximum.accumulate(total[::-1])[::-1]  # largest sum from each place on
-        far = len(best) - np.searchsorted(best[::-1], total, side="left") - 1
-        i = int(np.argmax(far - np.arange(len(total))))
+        far = len(best) - best[::-1].searchsorted(total) - 1
+        i = int((far - np.arange(len(total))).argmax())
         j = int(far[i])
         if j - i < length:
-            if level + 1 < len(COSTS) and known[lo:hi].sum() >= length:
+            if level + 1 < len(COSTS) and np.count_nonzero(known[lo:hi]) >= length:
                 todo.append((lo, hi, level + 1))
             continue
         mine = a[lo + i : lo + j]
@@ -474,23 +475,41 @@ def alike(a: np.ndarray, b: np.ndarray, length: int) -> list[tuple[int, int, int
 
 def _counterpart(mine: np.ndarray, b: np.ndarray, length: int) -> tuple[int, int] | None:
     """Begin and end of a stretch of b that is similar enough: a literal copy, or where the middle one of the places lies."""
-    n = len(mine)
-    for x in np.flatnonzero(b == mine[0]).tolist():
-        if np.array_equal(b[x : x + n], mine):
-            return x, x + n
-    places = np.flatnonzero(np.isin(b, mine))
+    n, whole, wanted = len(mine), b.tobytes(), mine.tobytes()
+    x = whole.find(wanted)
+    while x % b.itemsize and x > 0:  # not at the border of a place
+        x = whole.find(wanted, x + 1)
+    if x >= 0:
+        return x // b.itemsize, x // b.itemsize + n
+    one = _sorted_set(mine)
+    places = np.flatnonzero(_held(b, one))
     if not len(places):
         return None
     middle = int(places[len(places) // 2])
     places = places[np.abs(places - middle) <= n // 2 + DRIFT]
     x, y = int(places[0]), int(places[-1]) + 1
-    one, two = np.unique(mine), np.unique(b[x:y])
-    both = len(np.intersect1d(one, two, assume_unique=True))
+    two = _sorted_set(b[x:y])
+    both = np.count_nonzero(_held(one, two))
     if 10 * both >= TENTHS * (len(one) + len(two) - both) and y - x >= length * TENTHS // 10:
         return x, y
     return None
 
 
+def _held(x: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of x are among the sorted values."""
+    if not len(values):
+        return np.zeros(len(x), bool)
+    return values.take(values.searchsorted(x), mode="clip") == x
+
+
+def _sorted_set(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    new = np.empty(len(x), bool)
+    new[:1] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 PASSAGES = "src long, dst long, s_begin int, s_end int, d_begin int, d_end int"
 
 
