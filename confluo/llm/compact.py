@@ -8,11 +8,13 @@ are laid over each other around c, and pairs of documents that meet under enough
 
 Up to FEW windows of one hash are all paired with each other. Of more, those with equal surroundings follow the first of
 them, and each first of its surroundings is compared with the BACK firsts before it; as this misses pairs, the places
-around such windows are compared once more by what follows them: see ``repeats``.
+around such windows are compared once more by what follows them: see ``repeats``. Places of many that no passage found so
+connects are compared without a cap: see ``rest``.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -274,6 +276,50 @@ def _one(both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both >> 32, both & 0xFFFFFFFF
 
 
+AROUND = "key long, component long, whole long, doc_id long, at int, spare int, shingles array<long>"
+
+
+def rest(docs: DataFrame, many: DataFrame, labels: DataFrame, length: int) -> DataFrame:
+    """All pairs of places of one run of ``many`` (doc_id, key, at) that are not of one class (id, component) and may be alike.
+
+    Nothing is capped. A passage with the run in it has at least TENTHS * length / 10 places in common with its counterpart
+    less than ``length`` places around the run. Of two sets with that much in common each has one of the common shingles among
+    those left when all but one of that many are taken away from the end of a fixed order. The order goes by how many places
+    around that run have a shingle, so what all have around it is taken away, and pairs arise by what few have. Where a
+    shingle repeats around a place, all are kept. Of places of one class with equal surroundings the first stands for them.
+    """
+    run_length, common = _run_length(length), length * TENTHS // 10
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, end, data, offsets in text_slices(batch.column(1)):
+                rows = []
+                for k, own in enumerate(shingles_of(data, offsets), start):
+                    doc, component = batch.column(0)[k].as_py(), batch.column(2)[k].as_py()
+                    for place in batch.column(3)[k].as_py():
+                        at = place["at"]
+                        near = own[max(0, at - length + 1) : at + run_length + length - 1]
+                        some = _sorted_set(near)
+                        whole = int.from_bytes(hashlib.blake2b(near.tobytes(), digest_size=8).digest(), "little", signed=True)
+                        rows.append((place["key"], component, whole, doc, at, common - 1 if len(some) == len(near) else 0, some.view(np.int64)))
+                cols = list(zip(*rows)) if rows else [()] * 7
+                kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["key", "component", "whole", "doc_id", "at", "spare", "shingles"])
+
+    many = many.join(labels.selectExpr("id as doc_id", "component"), "doc_id", "left").selectExpr("doc_id", "key", "at", "coalesce(component, doc_id) as component")
+    apart = many.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    places = many.join(apart, "key").groupBy("doc_id", "component").agg(F.collect_set(F.struct("key", "at")).alias("places"))
+    found = docs.select("doc_id", "text").join(places, "doc_id").select("doc_id", "text", "component", "places").mapInArrow(around, AROUND)
+    firsts = found.groupBy("key", "component", "whole").agg(F.min(F.struct("doc_id", "at", "spare", "shingles")).alias("r")).select("key", "component", "r.*")
+    each = firsts.withColumn("size", F.size("shingles")).withColumn("shingle", F.explode("shingles")).drop("shingles")
+    each = each.withColumn("n", F.count("*").over(W.partitionBy("key", "shingle")))
+    each = each.withColumn("rank", F.row_number().over(W.partitionBy("key", "doc_id", "at").orderBy("n", "shingle")))
+    each = written(each.where("rank <= size - spare and n > 1").select("key", "shingle", "component", "doc_id", "at"), "rest", drop_shuffles=True)
+    a, b = (each.selectExpr("key", "shingle", f"component as {x}_class", f"doc_id as {x}", f"at as c{x[0]}") for x in ("src", "dst"))
+    pairs = a.join(b, ["key", "shingle"]).where("src < dst and src_class <> dst_class").select("src", "dst", "cs", "cd").distinct()
+    return pairs.selectExpr("src", "dst", f"{SURE} as f", "cs", "cd", f"least({length}, cs, cd) as before", f"{run_length + length} as after")
+
+
 STRETCHES = "key long, whole long, doc_id long, at int"
 #: Of so many neighbouring places, that with the smallest hash gives a stretch.
 NEIGHBOURS = 4
@@ -292,6 +338,10 @@ def lowest_places(h: np.ndarray, row: np.ndarray) -> np.ndarray:
     return chosen
 
 
+def _run_length(length: int) -> int:
+    return max(1, -(-8 * length // 9) // 2 - NEIGHBOURS + 1)
+
+
 def repeats(docs: DataFrame, hot: DataFrame, length: int) -> DataFrame:
     """Pairs around windows of hashes that many have, by equal stretches instead of equal minima.
 
@@ -299,9 +349,10 @@ def repeats(docs: DataFrame, hot: DataFrame, length: int) -> DataFrame:
     as many as a shortest passage has from there on at least. Two passages of the wanted similarity with one gap have an
     unbroken stretch of a run and NEIGHBOURS - 1 places more in common, and hence a run that both give. Up to FEW places of
     one run are all paired. Of more, those with the same whole content follow the first of them. The firsts are compared with the BACK firsts before them, in the order of their hashes;
-    as a passage has many runs, each of them in another order, what is alike is found with a high probability.
+    as a passage has many runs, each of them in another order, what is alike is found with a high probability. Places of a
+    run that more than FEW have are given as HOT too, with the run as dst; ``rest`` compares those that this leaves apart.
     """
-    run_length = max(1, -(-8 * length // 9) // 2 - NEIGHBOURS + 1)
+    run_length = _run_length(length)
     whole_length = max(run_length, length - NEIGHBOURS + 1)
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,6 +393,11 @@ def repeats(docs: DataFrame, hot: DataFrame, length: int) -> DataFrame:
                 before = np.minimum(length, np.minimum(at[a], at[b]))
                 yield _met(doc[a], doc[b], np.full(len(a), SURE), at[a], at[b], before, np.full(len(a), run_length + length))
                 few = now.slice(max(0, now.num_rows - FEW + 1))
+            many = batch.take(pa.array(np.flatnonzero(n > FEW)))
+            if many.num_rows:
+                key, _, doc, at, _ = (x.to_numpy() for x in many.columns)
+                none = np.zeros(len(doc), np.int32)
+                yield _met(doc, key, none + HOT, at, at, none, none)
             batch = batch.take(pa.array(np.flatnonzero((n > FEW) & (batch.column(1).to_numpy() != 0))))
             if not batch.num_rows:
                 continue
@@ -527,15 +583,22 @@ def passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["src", "dst", "s_begin", "s_end", "d_begin", "d_end"])
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        found = shingles_in(docs, written(segments(pairs), "segments", drop_shuffles=True))
+        pairs = found.groupBy("src", "dst", "part").agg(
+            F.max(F.when(F.col("side") == 0, F.col("lo"))).alias("s_lo"), F.max(F.when(F.col("side") == 1, F.col("lo"))).alias("d_lo"),
+            F.max(F.when(F.col("side") == 0, F.col("shingles"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("shingles"))).alias("b"),
+        )
+        found = pairs.select("src", "dst", "s_lo", "d_lo", "a", "b").where("a is not null and b is not null").mapInArrow(run, PASSAGES)
+        return written(found, "passages", drop_shuffles=True)
+
     met = written(joined(windows(docs, words), length), "met", drop_shuffles=True)
-    pairs = met.where(F.col("f") < HOT).union(repeats(docs, met.where(F.col("f") == HOT), length))
-    wanted = written(segments(pairs), "segments", drop_shuffles=True)
-    found = shingles_in(docs, wanted)
-    pairs = found.groupBy("src", "dst", "part").agg(
-        F.max(F.when(F.col("side") == 0, F.col("lo"))).alias("s_lo"), F.max(F.when(F.col("side") == 1, F.col("lo"))).alias("d_lo"),
-        F.max(F.when(F.col("side") == 0, F.col("shingles"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("shingles"))).alias("b"),
-    )
-    return pairs.select("src", "dst", "s_lo", "d_lo", "a", "b").where("a is not null and b is not null").mapInArrow(run, PASSAGES)
+    again = written(repeats(docs, met.where(F.col("f") == HOT), length), "repeats", drop_shuffles=True)
+    found = verified(met.where(F.col("f") < HOT).union(again.where(F.col("f") < HOT)))
+    many = again.where(F.col("f") == HOT).selectExpr("src as doc_id", "dst as key", "cs as at")
+    labels = components(found.select("src", "dst").distinct())
+    left = written(rest(docs, many, labels, length), "left", drop_shuffles=True)
+    return found if left.isEmpty() else found.union(verified(left))
 
 
 def classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -550,7 +613,7 @@ def classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
     tune(docs.sparkSession)
     docs = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
     lone, docs = docs.where("doc_id is null"), one_per_id(docs)
-    found = written(passages(docs, words), "passages", drop_shuffles=True)
+    found = passages(docs, words)
     labels = components(found.select("src", "dst").distinct()).withColumnRenamed("id", "doc_id")
     ends = found.selectExpr("src as doc_id", "s_begin as begin", "s_end as end").union(found.selectExpr("dst as doc_id", "d_begin as begin", "d_end as end"))
     runs = ends.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("r"))

@@ -192,3 +192,24 @@ def test_shuffle_files_go_as_a_table_is_written(spark):
         assert kept.count() == 7
     finally:
         gc.enable()
+
+
+def test_no_cap_for_a_frequent_run(spark):
+    """The cheap rounds compare a first with the BACK firsts before it: pairs of places they leave apart are all given by rest."""
+    rng = random.Random(21)
+    line = words(rng, 30)
+    rows = []
+    for d in range(120):
+        pair = d % 60
+        own = random.Random(1000 + pair)
+        left, right = words(own, 12), words(own, 12)
+        right[d // 60] = "edit%d" % d
+        rows.append((d, " ".join(words(rng, 40) + left + line + right + words(rng, 40))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    many = spark.createDataFrame([(d, 5, 56) for d in range(120)], "doc_id long, key long, at int")
+    none = spark.createDataFrame([], "id long, component long")
+    got = {(r["src"], r["dst"]) for r in compact.rest(docs, many, none, 46).collect()}
+    assert got == {(d, d + 60) for d in range(60)}
+    # of those already of one class nothing is left
+    one = spark.createDataFrame([(d, d % 60) for d in range(120)], "id long, component long")
+    assert compact.rest(docs, many, one, 46).isEmpty()
