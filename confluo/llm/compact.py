@@ -276,47 +276,84 @@ def _one(both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both >> 32, both & 0xFFFFFFFF
 
 
-AROUND = "key long, component long, whole long, doc_id long, at int, spare int, shingles array<long>"
+AROUND = "key long, component long, whole long, doc_id long, at int, as_src int, as_dst int, shingles array<long>"
+
+
+def _least_kinds(own: np.ndarray, at: np.ndarray, run: int, n: int) -> np.ndarray:
+    """The least number of different shingles in n places in a row that hold the ``run`` places from each of ``at`` on; 0 where there are none."""
+    least = np.zeros(len(at), np.int64)
+    if len(own) < n:
+        return least
+    order = np.argsort(own, kind="stable")
+    before, again = order[:-1], order[1:]
+    near = (own[before] == own[again]) & (again - before < n)
+    change = np.zeros(len(own) + 1, np.int64)  # stretches from again - n + 1 to before have one place that counts no more
+    np.add.at(change, np.maximum(again[near] - n + 1, 0), -1)
+    np.add.at(change, before[near] + 1, 1)
+    levels = [n + np.cumsum(change)[: len(own) - n + 1]]
+    while 2 << (len(levels) - 1) <= n:
+        step = 1 << (len(levels) - 1)
+        levels.append(np.minimum(levels[-1], np.r_[levels[-1][step:], levels[-1][-1:].repeat(min(step, len(levels[-1])))][: len(levels[-1])]))
+    first, last = np.maximum(at + run - n, 0), np.minimum(at, len(own) - n)
+    for k, level in enumerate(levels):
+        some = (last - first + 1) >> k == 1
+        least[some] = np.minimum(level[first[some]], level[last[some] - (1 << k) + 1])
+    return least
 
 
 def rest(docs: DataFrame, many: DataFrame, labels: DataFrame, length: int) -> DataFrame:
     """All pairs of places of one run of ``many`` (doc_id, key, at) that are not of one class (id, component) and may be alike.
 
-    Nothing is capped. A passage with the run in it has at least TENTHS * length / 10 places in common with its counterpart
-    less than ``length`` places around the run. Of two sets with that much in common each has one of the common shingles among
+    Nothing is capped. A passage with the run in it has at least ``length`` places, and its counterpart TENTHS of that; each has
+    at least TENTHS of its different shingles in common with the other, and so of the fewest that so many places around the
+    run hold (``_least_kinds``). Of two sets with that much in common each has one of the common shingles among
     those left when all but one of that many are taken away from the end of a fixed order. The order goes by how many places
-    around that run have a shingle, so what all have around it is taken away, and pairs arise by what few have. Where a
-    shingle repeats around a place, all are kept. Of places of one class with equal surroundings the first stands for them.
+    around that run have a shingle, so what all have around it is taken away, and pairs arise by what few have. Of places of
+    one class with equal surroundings the first stands for them.
     """
-    run_length, common = _run_length(length), length * TENTHS // 10
+    run_length = _run_length(length)
+    sizes = (length, length * TENTHS // 10)
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, end, data, offsets in text_slices(batch.column(1)):
-                rows = []
+                rows, known = [], {}
                 for k, own in enumerate(shingles_of(data, offsets), start):
                     doc, component = batch.column(0)[k].as_py(), batch.column(2)[k].as_py()
-                    for place in batch.column(3)[k].as_py():
-                        at = place["at"]
-                        near = own[max(0, at - length + 1) : at + run_length + length - 1]
-                        some = _sorted_set(near)
-                        whole = int.from_bytes(hashlib.blake2b(near.tobytes(), digest_size=8).digest(), "little", signed=True)
-                        rows.append((place["key"], component, whole, doc, at, common - 1 if len(some) == len(near) else 0, some.view(np.int64)))
-                cols = list(zip(*rows)) if rows else [()] * 7
-                kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["key", "component", "whole", "doc_id", "at", "spare", "shingles"])
+                    places = batch.column(3)[k].values
+                    keys, at = (places.field(x).to_numpy() for x in ("key", "at"))
+                    least = [_least_kinds(own, at.astype(np.int64), run_length, n).tolist() for n in sizes]
+                    for key, x, *kinds in zip(keys.tolist(), at.tolist(), *least):
+                        first = min(x, length - 1)
+                        near = own[x - first : x + run_length + length - 1]
+                        whole = int.from_bytes(hashlib.blake2b(near.tobytes() + first.to_bytes(4), digest_size=8).digest(), "little", signed=True)
+                        if whole not in known:
+                            some = _sorted_set(near)
+                            known[whole] = some.view(np.int64), *(len(some) - -(-n * TENTHS // 10) + 1 if n else 0 for n in kinds)
+                        some, as_src, as_dst = known[whole]
+                        rows.append((key, component, whole, doc, x, as_src, as_dst, some))
+                cols = list(zip(*rows)) if rows else [()] * 8
+                kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["key", "component", "whole", "doc_id", "at", "as_src", "as_dst", "shingles"])
 
     many = many.join(labels.selectExpr("id as doc_id", "component"), "doc_id", "left").selectExpr("doc_id", "key", "at", "coalesce(component, doc_id) as component")
     apart = many.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
     places = many.join(apart, "key").groupBy("doc_id", "component").agg(F.collect_set(F.struct("key", "at")).alias("places"))
     found = docs.select("doc_id", "text").join(places, "doc_id").select("doc_id", "text", "component", "places").mapInArrow(around, AROUND)
-    firsts = found.groupBy("key", "component", "whole").agg(F.min(F.struct("doc_id", "at", "spare", "shingles")).alias("r")).select("key", "component", "r.*")
-    each = firsts.withColumn("size", F.size("shingles")).withColumn("shingle", F.explode("shingles")).drop("shingles")
-    each = each.withColumn("n", F.count("*").over(W.partitionBy("key", "shingle")))
+    firsts = found.groupBy("key", "component", "whole").agg(F.min(F.struct("doc_id", "at", "as_src", "as_dst", "shingles")).alias("r")).select("key", "component", "r.*")
+    each = firsts.withColumn("shingle", F.explode("shingles")).drop("shingles")
+    alike = W.partitionBy("key", "shingle")
+    each = each.withColumns({"n": F.count("*").over(alike), "apart": F.min("component").over(alike) != F.max("component").over(alike)})
     each = each.withColumn("rank", F.row_number().over(W.partitionBy("key", "doc_id", "at").orderBy("n", "shingle")))
-    each = written(each.where("rank <= size - spare and n > 1").select("key", "shingle", "component", "doc_id", "at"), "rest", drop_shuffles=True)
-    a, b = (each.selectExpr("key", "shingle", f"component as {x}_class", f"doc_id as {x}", f"at as c{x[0]}") for x in ("src", "dst"))
-    pairs = a.join(b, ["key", "shingle"]).where("src < dst and src_class <> dst_class").select("src", "dst", "cs", "cd").distinct()
+    each = each.where("apart and rank <= greatest(as_src, as_dst)").selectExpr("key", "shingle", "component", "doc_id", "at", "rank <= as_src as as_src", "rank <= as_dst as as_dst")
+    each = written(each, "rest", drop_shuffles=True).repartition(partitions(docs.sparkSession), "key", "shingle")
+    # documents meet with all their places at once, as a line that a document repeats has many there
+    places = {x: F.collect_list(F.when(F.col(f"as_{x}"), F.col("at"))).alias(f"as_{x}") for x in ("src", "dst")}
+    each = each.groupBy("key", "shingle", "component", "doc_id").agg(*places.values())
+    each = each.withColumn("apart", F.min("component").over(alike) != F.max("component").over(alike)).where("apart")
+    a, b = (each.where(f"size(as_{x}) > 0").selectExpr("key", "shingle", f"component as {x}_class", f"doc_id as {x}", f"as_{x}") for x in ("src", "dst"))
+    met = a.join(b, ["key", "shingle"]).where("src < dst and src_class <> dst_class")
+    pairs = met.select("src", "dst", F.explode("as_src").alias("cs"), "as_dst").select("src", "dst", "cs", F.explode("as_dst").alias("cd")).distinct()
     return pairs.selectExpr("src", "dst", f"{SURE} as f", "cs", "cd", f"least({length}, cs, cd) as before", f"{run_length + length} as after")
 
 

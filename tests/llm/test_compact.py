@@ -213,3 +213,48 @@ def test_no_cap_for_a_frequent_run(spark):
     # of those already of one class nothing is left
     one = spark.createDataFrame([(d, d % 60) for d in range(120)], "id long, component long")
     assert compact.rest(docs, many, one, 46).isEmpty()
+
+
+def test_repeats_around_a_frequent_run_do_not_pair_all(spark):
+    """A line that documents hold several times stands twice around its places: what all have of it is still taken away."""
+    rng = random.Random(22)
+    line, rows, many = words(rng, 30), [], []
+    for d in range(60):
+        own = random.Random(1000 + d % 59)  # the last one has the first one's words
+        gaps = [words(own, 25) for _ in range(3)]
+        text = words(rng, 40)
+        for gap in gaps:
+            many.append((d, 5, len(text) + 4))
+            text += line + gap
+        rows.append((d, " ".join(text + words(rng, 40))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    none = spark.createDataFrame([], "id long, component long")
+    got = compact.rest(docs, spark.createDataFrame(many, "doc_id long, key long, at int"), none, 46).collect()
+    assert {(r["src"], r["dst"]) for r in got} == {(0, 59)}
+
+
+def test_places_of_few_different_shingles_are_alike(spark):
+    """What passages must have in common goes by their different shingles: words over and over, with one changed."""
+    rng = random.Random(23)
+    rows = []
+    for d in range(40):
+        own = words(random.Random(2000 + d % 20), 24)
+        text = own * 3
+        if d >= 20:
+            text[-30] = "edit%d" % d
+        rows.append((d, " ".join(words(rng, 30) + text + words(rng, 30))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    many = spark.createDataFrame([(d, 5, k) for d in range(40) for k in (30, 34)], "doc_id long, key long, at int")
+    none = spark.createDataFrame([], "id long, component long")
+    got = {(r["src"], r["dst"]) for r in compact.rest(docs, many, none, 46).collect()}
+    assert got == {(d, d + 20) for d in range(20)}
+
+
+def test_least_kinds_same_as_brute_force():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        own = rng.integers(0, int(rng.integers(1, 200)), int(rng.integers(0, 140))).astype(np.uint64)
+        at = np.arange(max(0, len(own) - 16))
+        for n in (46, 36, 17):
+            cuts = [[len(set(own[s : s + n].tolist())) for s in range(max(0, x + 17 - n), min(x, len(own) - n) + 1)] for x in at.tolist()]
+            assert compact._least_kinds(own, at, 17, n).tolist() == [min(c, default=0) for c in cuts]
