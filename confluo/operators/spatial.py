@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -113,6 +117,35 @@ def reach_tiers(points: DataFrame, tiers: tuple[float, ...] = (3000.0, 8000.0, 2
     return found
 
 
+def _closest(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of the rows (l_id, r_id, metres) that follow each other with one l_id the k of fewest metres, and those as near as the last of them.
+
+    Memory holds a batch and the kept rows of one l_id, so what a join puts out for each of its left rows is not sorted as a whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        for batch in batches:
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if not batch.num_rows:
+                continue
+            ids, metres = batch.column(0), batch.column(2).to_numpy()
+            after, before = ids[1:], ids[:-1]
+            new = pc.coalesce(pc.not_equal(after, before), pc.not_equal(after.is_valid(), before.is_valid())).to_numpy(zero_copy_only=False)
+            run = np.r_[0, np.cumsum(new)]
+            first = np.flatnonzero(np.r_[True, new])
+            order = np.lexsort((metres, run))
+            last = np.minimum(first + k, np.r_[first[1:], len(run)]) - 1
+            near = metres <= metres[order[last]][run]
+            yield batch.filter(pa.array(near & (run < run[-1])))
+            held = batch.filter(pa.array(near & (run == run[-1])))
+        if held is not None:
+            yield held
+
+    return run
+
+
 #: Cells of the finest grid for ``nearest_in_rings`` have this edge in degrees, about eleven metres; each level doubles it.
 FINEST, LEVELS = 1e-4, 22
 
@@ -122,7 +155,8 @@ def nearest_in_rings(left: DataFrame, right: DataFrame, k: int, keys: list[str])
 
     Each left row looks for the finest cell around it that holds k rows of its keys; all of them are nearer than the cell's
     diagonal, so the k nearest lie in the three by three cells of twice the edge. Dense places are met in small cells, empty
-    ones in large cells, and of rows at one point only the first k by id count. Exact for latitudes up to 45 degrees, away from
+    ones in large cells, and of rows at one point only the first k by id count. Of the rows of a cell a left row keeps its k nearest
+    as they are met, so neither the sort nor the shuffle behind it holds all that it meets. Exact for latitudes up to 45 degrees, away from
     the 180th meridian. Rows without a place, or a key, have no neighbours. Ties go by r_id.
     """
     at_point = W.partitionBy(*keys, "lat", "lng").orderBy("r_id")
@@ -137,21 +171,27 @@ def nearest_in_rings(left: DataFrame, right: DataFrame, k: int, keys: list[str])
     levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level")
     grid = points.select("*", levels)
     y, x = cells("lat", "lng", F.col("level"))
-    full = grid.groupBy(*keys, "level", y.alias("y"), x.alias("x")).agg(F.count("*").alias("n")).where(F.col("n") >= k).drop("n")
+    full = written(grid.groupBy(*keys, "level", y.alias("y"), x.alias("x")).agg(F.count("*").alias("n")).where(F.col("n") >= k).drop("n"), "ring-full")
+    finest = full.agg(F.min("level")).first()[0]  # one number: no finer cell holds enough
     seekers = written(left.where("lat is not null and lng is not null").select("l_id", F.col("lat").alias("la"), F.col("lng").alias("lo"), *keys), "ring-seekers")
     own_y, own_x = cells("la", "lo", F.col("level"))
-    level = seekers.select("l_id", "la", "lo", *keys, levels).withColumn("y", own_y).withColumn("x", own_x).join(full.hint("merge"), [*keys, "level", "y", "x"])
+    coarser = F.explode(F.sequence(F.lit(LEVELS if finest is None else finest), F.lit(LEVELS))).alias("level")
+    level = seekers.select("l_id", "la", "lo", *keys, coarser).withColumn("y", own_y).withColumn("x", own_x).join(full.hint("merge"), [*keys, "level", "y", "x"])
     level = level.groupBy("l_id", "la", "lo", *keys).agg(F.min("level").alias("level"))
     # where no cell holds k rows, the coarsest level is one cell for a hemisphere and its neighbours
-    chosen = seekers.join(level.hint("merge"), ["l_id", "la", "lo", *keys], "left").withColumn("level", F.least(F.coalesce("level", F.lit(LEVELS)) + 1, F.lit(LEVELS)))
+    chosen = seekers.join(level.hint("merge"), ["l_id", "la", "lo", *keys], "left")
+    # the diagonal in metres of the cell that holds k rows, at the equator and rounded up: no other row is among the k nearest
+    chosen = chosen.withColumn("reach", F.coalesce(F.lit(111_196 * math.sqrt(2) * FINEST) * F.pow(F.lit(2.0), "level"), F.lit(math.inf))).withColumn("level", F.least(F.coalesce("level", F.lit(LEVELS)) + 1, F.lit(LEVELS)))
     own_y, own_x = cells("la", "lo", F.col("level"))
     around = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
     asked = chosen.withColumn("y", own_y).withColumn("x", own_x).withColumn("o", F.explode(around))
-    asked = asked.select("l_id", "la", "lo", *keys, "level", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
-    wanted = asked.select("level").distinct()
+    asked = asked.select("l_id", "la", "lo", "reach", *keys, "level", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
+    wanted = chosen.select("level").distinct()
     held = grid.join(F.broadcast(wanted), "level", "left_semi")  # at most LEVELS + 1 numbers
     y, x = cells("lat", "lng", F.col("level"))
     near = asked.join(held.withColumn("y", y).withColumn("x", x).hint("merge"), [*keys, "level", "y", "x"])
-    near = near.withColumn("metres", geo.haversine_m(F.col("la"), F.col("lo"), F.col("lat"), F.col("lng")))
+    near = near.where("abs(la - lat) * 111190 <= reach").withColumn("metres", geo.haversine_m(F.col("la"), F.col("lo"), F.col("lat"), F.col("lng")))
+    near = near.where("metres <= reach").select("l_id", "r_id", "metres")
+    near = near.mapInArrow(_closest(k), near.schema)
     order = W.partitionBy("l_id").orderBy("metres", "r_id")
-    return near.select("l_id", "r_id", "metres").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -1,6 +1,10 @@
 """Pairs of rows with many copies: what is compared are distinct values, and the rows are those of all pairs."""
 
 import itertools
+import math
+import random
+
+import pyarrow as pa
 
 from __spark_entry__ import queries
 from confluo.operators import recommend, search, spatial
@@ -66,3 +70,33 @@ def test_exploded_levels_are_not_broadcast(spark, tmp_path):
     joins = [line for line in plan.splitlines() if "Join Inner" in line]
     assert joins and all("strategy=merge" in line for line in joins)
     assert got.count() == 150
+
+
+def test_rows_met_around_a_place_are_not_sorted(spark):
+    """Each seeker meets hundreds of rows and keeps three: what the last sort and its shuffle get are a few for each."""
+    right = spark.range(20_000).selectExpr("id as r_id", "23 + (id * 7919) % 10007 * 0.0001d as lat", "121 + (id * 6101) % 9973 * 0.0001d as lng", "0 as list")
+    seekers = spark.range(60).selectExpr("id as l_id", "23 + (id * 3571) % 9901 * 0.0001d as lat", "121 + (id * 2797) % 9887 * 0.0001d as lng", "0 as list")
+    got = spatial.nearest_in_rings(seekers, right, 3, ["list"])
+    found = {(r["l_id"], r["rank"]): r["r_id"] for r in got.collect()}
+
+    def metres(p, q):
+        (a, b), (c, d) = (map(math.radians, x) for x in (p, q))
+        return 2 * 6371000.0 * math.asin(math.sqrt(min(1.0, math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+    places = right.collect()
+    for s in seekers.collect():
+        near = sorted((metres((s["lat"], s["lng"]), (p["lat"], p["lng"])), p["r_id"]) for p in places)[:3]
+        assert [found[s["l_id"], k] for k in (1, 2, 3)] == [r for _, r in near]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    window, rest = plan.split("Window", 1)[1].split("SortMergeJoin", 1)[0], "MapInArrow"
+    assert rest in window, "rows are reduced between the join and the window"
+
+
+def test_closest_rows_of_each_run():
+    rng = random.Random(5)
+    rows = [(l, r, float(rng.randrange(9))) for l in [1, 2, 3, 2, None, 4] for r in range(rng.randrange(1, 60))]
+    table = pa.table({"l_id": [r[0] for r in rows], "r_id": [r[1] for r in rows], "metres": [r[2] for r in rows]})
+    out = [tuple(x.values()) for size in (1, 7, 1000) for b in spatial._closest(5)(iter(table.to_batches(max_chunksize=size))) for x in b.to_pylist()]
+    runs = [list(g) for _, g in itertools.groupby(rows, key=lambda r: r[0])]
+    want = [x for g in runs for x in g if x[2] <= sorted(y[2] for y in g)[:5][-1]]
+    assert out == want * 3
