@@ -84,3 +84,33 @@ def test_components_of_a_long_chain(spark):
     nodes = spark.createDataFrame([(i,) for i in [*ids, 1000, 1001, 2000]], "id long")
     got = {r["id"]: r["component"] for r in graph.connected_components(nodes, edges).collect()}
     assert got == dict.fromkeys(ids, 0) | {1000: 1000, 1001: 1000, 2000: 2000}
+
+
+def test_rows_of_a_frequent_key_are_shuffled_a_few_times(spark, monkeypatch):
+    """Rows meet in a grid of cells; the number of cells, and with it what is shuffled, does not grow with a key's rows."""
+    rows = spark.range(9000).selectExpr("id", "array('hot') as keys")
+    met = matching.blocked_pairs(rows, "id", "keys").where("a >= 8990")
+    assert len(met.collect()) == 45
+    assert 9000 <= max(rows_sent(met)) <= 2 * 9000
+    monkeypatch.setattr(matching, "CELL_ROWS", 10)
+    monkeypatch.setattr(matching, "CELLS", 4)
+    met = matching.blocked_pairs(rows.where("id < 300"), "id", "keys")
+    assert {(r["a"], r["b"]) for r in met.collect()} == {(a, b) for b in range(300) for a in range(b)}
+    assert max(rows_sent(met)) == 4 * 300
+
+
+def rows_sent(df):
+    """How many rows each shuffle of a query that has run has written."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        elif name == "Exchange":
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return found
