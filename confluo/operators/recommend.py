@@ -146,13 +146,21 @@ def nearest(people: DataFrame, matched: DataFrame, places: DataFrame, limit: int
     return near.unionByName(more.select("person", "slug", "rank", F.lit(None).cast("double").alias("metres")))
 
 
-def picked(lists: DataFrame, people: DataFrame, seed: int, top: int = TOP) -> DataFrame:
+def picked(lists: DataFrame, people: DataFrame, seed: int, top: int = TOP, seen: Column | None = None) -> DataFrame:
     """(person, slug): one of the first ``top`` rows of each person's list (person, slug, rank) that is not in ``seen``.
 
     ``people`` has (person, seen: array of slugs). Where all are seen, one of them all. The draw is repeatable: the least digest
     of seed, person and slug wins, so a person gets another pick with another seed, and no other person's list matters.
+
+    An array ``seen`` that follows from columns of ``people`` (person and these) may be given as an expression: it is then
+    worked out once for each person behind the join, and not shuffled.
     """
-    seen = F.coalesce(F.array_contains("seen", F.col("slug")), F.lit(False))
-    rows = lists.where(F.col("rank") <= top).join(people.select("person", "seen").hint("merge"), "person")  # arrays made of a number look small, and are not broadcast
+    if seen is None:
+        people, seen = people.select("person", "seen"), F.col("seen")
+    lists = lists.where(F.col("rank") <= top).groupBy("person").agg(F.collect_list("slug").alias("_slugs"))  # ``top`` for each
+    rows = lists.join(people.hint("merge"), "person").select("person", seen.alias("seen"), "_slugs")  # arrays made of a number look small, and are not broadcast
+    rows = rows.select("person", "seen", F.explode("_slugs").alias("slug"))
+    known = F.coalesce(F.array_contains("seen", F.col("slug")), F.lit(False))
     draw = F.md5(F.concat_ws("|", F.lit(seed), "person", "slug").cast("binary"))
-    return rows.groupBy("person").agg(F.min_by("slug", F.struct(seen.alias("seen"), draw.alias("draw"), "slug")).alias("slug"))
+    rows = rows.select("person", "slug", F.struct(known.alias("seen"), draw.alias("draw"), "slug").alias("_order"))
+    return rows.groupBy("person").agg(F.min_by("slug", "_order").alias("slug"))

@@ -73,8 +73,7 @@ def _nearest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     items, sessions = _pool(spark, sf_dir)
     sql = PEOPLE.removeprefix("p AS (").removesuffix(")").replace("FROM clients", "FROM {clients}")
     people = spark.sql(sql, clients=table(spark, sf_dir, "clients")).withColumnsRenamed({"plat": "lat", "plng": "lng"})
-    found = recommend.nearest(people, recommend.matches(items, sessions, recommend.spans(NOW)), items)
-    return people.withColumn("seen", F.transform(F.sequence(F.lit(0), F.lit(399)), lambda k: k * 3 + F.col("seen") % 3)), found
+    return people, recommend.nearest(people, recommend.matches(items, sessions, recommend.spans(NOW)), items)
 
 
 @query("q29_nearest_of_list", f"WITH {SESSIONS}, {POOL}, {PEOPLE}, {NEAREST} SELECT person, slug, CAST(rank AS INTEGER) AS rank, CAST(round(metres) AS BIGINT) AS metres FROM n WHERE rank <= 40")
@@ -88,7 +87,8 @@ def nearest_of_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One of the nearest for every client, not among the items seen."""
     people, found = _nearest(spark, sf_dir)
-    return recommend.picked(found, people, SEED)
+    seen = F.transform(F.sequence(F.lit(0), F.lit(399)), lambda k: k * 3 + F.col("seen") % 3)
+    return recommend.picked(found, people.select("person", "seen"), SEED, seen=seen)
 
 
 #: Every vendor is a page with its own stand as site; the first ten others of its nation are near.

@@ -1,5 +1,6 @@
 """Pairs of rows with many copies: what is compared are distinct values, and the rows are those of all pairs."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -8,6 +9,7 @@ import pyarrow as pa
 
 from __spark_entry__ import queries
 from confluo.operators import recommend, search, spatial
+from confluo.plans import recommend_queries
 
 
 def test_title_dice_of_copies(spark, tmp_path):
@@ -100,3 +102,19 @@ def test_closest_rows_of_each_run():
     runs = [list(g) for _, g in itertools.groupby(rows, key=lambda r: r[0])]
     want = [x for g in runs for x in g if x[2] <= sorted(y[2] for y in g)[:5][-1]]
     assert out == want * 3
+
+
+def test_seen_items_that_follow_from_a_number_are_not_shuffled(spark, monkeypatch):
+    """Arrays of 400 items for each person are far more than the lists; they are made behind the join."""
+    given = {}
+    monkeypatch.setattr(recommend_queries, "_nearest", lambda s, d: (s.range(50).selectExpr("id as person", "id % 7 as seen"), s.range(50).selectExpr("id as person", "inline(array(struct(id as slug, 1 as rank), struct(id + 1 as slug, 2 as rank)))")))
+    got = recommend_queries.pick(spark, "")
+    for r in got.collect():
+        given[r["person"]] = r["slug"]
+    for person in range(50):
+        seen = {k * 3 + person % 7 % 3 for k in range(400)}
+        fresh = [x for x in (person, person + 1) if x not in seen] or [person, person + 1]
+        assert given[person] == min(fresh, key=lambda x: hashlib.md5(f"{recommend_queries.SEED}|{person}|{x}".encode()).hexdigest())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join Inner", 1)
+    assert "transform" in above and "transform" not in below
